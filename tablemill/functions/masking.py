@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-import json
-import re
-
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-# The mask, the sensitive JSON keys, the signs of a connection
-# string, and what is replaced in one.
-MASK = "*** MASKED ***"
-SENSITIVE_KEYS = (
-    "connectionString",
-    "password",
-    "pwd",
-    "token",
-    "secret",
-    "apiKey",
-    "access_token",
-    "client_secret",
+from tablemill.functions.jsontext import (
+    MASK,
+    PASSWORD_PATTERN,
+    STRICT_URI_PATTERN,
+    URI_PATTERN,
+    json_masker,
 )
-CONNECTION_SIGNS = ("Server=", "Data Source=", "mongodb://")
-PASSWORD_PATTERN = r"(Password|Pwd)\s*=\s*[^;]+"
-URI_PATTERN = r"(mongodb(?:\+srv)?://[^:]+:)([^@]+)(@[^/]+)"
-
-# Ours: takes the password up to the last @ before the host.
-STRICT_URI_PATTERN = r"(mongodb(?:\+srv)?://[^:/]+:)([^/]*)(@[^/@]+)"
 
 
 def mask_connection_string(text: Column, strict: bool = False) -> Column:
@@ -40,76 +25,6 @@ def mask_connection_string(text: Column, strict: bool = False) -> Column:
     return F.regexp_replace(first, f"(?i){uri}", f"$1{MASK}$3")
 
 
-def _python_rules(strict: bool):
-    password = re.compile(PASSWORD_PATTERN, re.IGNORECASE)
-    uri = re.compile(STRICT_URI_PATTERN if strict else URI_PATTERN, re.IGNORECASE)
-
-    def connection(text: str) -> str:
-        return uri.sub(rf"\g<1>{MASK}\g<3>", password.sub(rf"\g<1>={MASK}", text))
-
-    return connection
-
-
-class _Number(str):
-    """A number as written, so that masking doesn't reprint it."""
-
-
-class _Object(list):
-    """An object as key-value pairs, so that a repeated key isn't lost."""
-
-
-_SENSITIVE = frozenset(k.lower() for k in SENSITIVE_KEYS)
-_SIGNS = tuple(s.lower() for s in CONNECTION_SIGNS)
-_quote = json.JSONEncoder(ensure_ascii=False).encode
-
-
-def _no_constant(name: str):
-    raise ValueError(f"{name} is not JSON")
-
-
-_decode = json.JSONDecoder(
-    object_pairs_hook=_Object,
-    parse_int=_Number,
-    parse_float=_Number,
-    parse_constant=_no_constant,
-).decode
-
-
-def _text_of(node) -> str:
-    return node if isinstance(node, str) else _emit(node, None)
-
-
-def _emit(node, connection) -> str:
-    """Compact JSON of a node; with ``connection`` given, sensitive keys are masked."""
-    if isinstance(node, _Object):
-        parts = []
-        for key, value in node:
-            if connection is None or key.lower() not in _SENSITIVE:
-                parts.append(f"{_quote(key)}:{_emit(value, connection)}")
-                continue
-            shown = MASK
-            if value is not None:
-                text = _text_of(value)
-                if any(sign in text.lower() for sign in _SIGNS):
-                    shown = connection(text)
-            parts.append(f"{_quote(key)}:{_quote(shown)}")
-        return "{" + ",".join(parts) + "}"
-    if isinstance(node, list):
-        return "[" + ",".join(_emit(v, connection) for v in node) + "]"
-    if isinstance(node, _Number):
-        return node
-    return _quote(node)
-
-
-def masked_json(text: str | None, connection) -> str | None:
-    if text is None or not text.lstrip().startswith(("{", "[")):
-        return text
-    try:
-        return _emit(_decode(text), connection)
-    except (ValueError, RecursionError):
-        return text
-
-
 def mask_json(text: Column, strict: bool = False) -> Column:
     """JSON text with the values of sensitive keys masked, at any depth, as compact JSON.
 
@@ -119,7 +34,6 @@ def mask_json(text: Column, strict: bool = False) -> Column:
 
     @F.pandas_udf(T.StringType())
     def mask(values: pd.Series) -> pd.Series:
-        connection = _python_rules(strict)
-        return values.map(lambda v: masked_json(v, connection), na_action="ignore")
+        return values.map(json_masker(strict), na_action="ignore")
 
     return mask(text)

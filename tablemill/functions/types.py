@@ -51,6 +51,16 @@ def declared_type(field: T.StructField) -> str:
     return field.metadata.get(CHAR_METADATA, field.dataType.simpleString())
 
 
+def quoted_ddl(dt: T.DataType) -> str:
+    """DDL of a type with every field name in backticks, so that any name parses."""
+    if isinstance(dt, T.StructType):
+        fields = [f"`{f.name.replace('`', '``')}`: {quoted_ddl(f.dataType)}" for f in dt]
+        return f"struct<{', '.join(fields)}>"
+    if isinstance(dt, T.ArrayType):
+        return f"array<{quoted_ddl(dt.elementType)}>"
+    return dt.simpleString()
+
+
 def table_ddl(schema: T.StructType, keep_not_null: bool = True) -> str:
     """Column list for CREATE TABLE."""
     parts = []

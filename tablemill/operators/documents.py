@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Collection, Mapping, Sequence
-from dataclasses import dataclass, field as dataclass_field, replace
+from dataclasses import dataclass, field as dataclass_field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablemill.errors import RequestError
-from tablemill.functions.names import is_column_name, quoted, require_columns
-from tablemill.functions.types import DOCUMENT_DECIMAL, document_type
+from tablemill.functions.names import require_columns
+from tablemill.functions.types import DOCUMENT_DECIMAL, document_type, quoted_ddl
 from tablemill.operators.mapping import usable_fields
 
 DOC = "__doc"
@@ -201,7 +201,7 @@ def read_documents(
     for f in schema:
         dt = _read_type(f.dataType, options)
         if dt is not None:
-            value = F.try_variant_get(DOC, _path(f.name), dt.simpleString())
+            value = F.try_variant_get(DOC, _path(f.name), quoted_ddl(dt))
             columns.append(value.alias(f.name))
     return source.select(*keep, *columns)
 

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablemill.metrics import RunResult
 from tablemill.operators.query import deleted
@@ -25,7 +25,7 @@ NEXT_STATES = {
     "Running": ("Completed", "Failed"),
 }
 
-LEDGER_SCHEMA = T.StructType.fromDDL(
+LEDGER_SCHEMA = (
     "id STRING, type STRING, status STRING, request_payload STRING, result_payload STRING, "
     "error_message STRING, progress INT, progress_message STRING, created_at TIMESTAMP, "
     "started_at TIMESTAMP, completed_at TIMESTAMP, created_by STRING, correlation_id STRING"

@@ -7,13 +7,13 @@ client_ip, user_agent, error_message, stack_trace``; operators touch those they
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tablemill.functions.jsontext import flattened_names
 from tablemill.functions.masking import mask_json
 from tablemill.functions.names import COLUMN_MESSAGE, column_name_ok, quoted
 from tablemill.operators.query import deleted
@@ -249,27 +249,6 @@ def sql_audit(df: DataFrame, sql_col: str) -> DataFrame:
     return df.withColumn("sql_pattern", pattern).withColumn("is_clean", F.col("sql_pattern").isNull())
 
 
-def _names(node: dict, separator: str, prefix: str, out: set[str]) -> None:
-    for key, value in node.items():
-        name = f"{prefix}{separator}{key}" if prefix else key
-        if isinstance(value, dict):
-            _names(value, separator, name, out)
-        else:
-            out.add(name)
-
-
-def flattened_names(text: str | None, separator: str = "_") -> list[str]:
-    """Flattened field names of one document; none for text that is no JSON object."""
-    found: set[str] = set()
-    try:
-        node = json.loads(text) if text else None
-    except (ValueError, RecursionError):
-        return []
-    if isinstance(node, dict):
-        _names(node, separator, "", found)
-    return sorted(found)
-
-
 def field_name_audit(df: DataFrame, json_col: str, separator: str = "_") -> DataFrame:
     """Field names that break the column rule: how many documents have each, and why.
 

@@ -8,7 +8,8 @@ the new ones and a failed write changes nothing. One writer per table is assumed
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
@@ -65,16 +66,26 @@ def create_table(
     return True
 
 
-def _file_options(max_records_per_file: int | None) -> dict[str, str]:
-    return {"maxRecordsPerFile": str(max_records_per_file)} if max_records_per_file else {}
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the length of one write; ``insertInto`` takes no options."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def append(df: DataFrame, name: str, max_records_per_file: int | None = None) -> None:
     """Add rows; the files appear together when the job commits."""
     require_columns(df.columns)
-    table = df.sparkSession.table(name)
-    writer = df.select(*table.columns).write.options(**_file_options(max_records_per_file))
-    writer.insertInto(name)
+    spark = df.sparkSession
+    with _setting(spark, "spark.sql.files.maxRecordsPerFile", str(max_records_per_file or 0)):
+        df.select(*spark.table(name).columns).write.insertInto(name)
 
 
 def snapshot_path(spark: SparkSession, name: str, tag: str | None = None) -> str:
@@ -84,7 +95,7 @@ def snapshot_path(spark: SparkSession, name: str, tag: str | None = None) -> str
 
 def write_snapshot(df: DataFrame, path: str, max_records_per_file: int | None = None) -> None:
     require_columns(df.columns)
-    df.write.options(**_file_options(max_records_per_file)).parquet(path)
+    df.write.option("maxRecordsPerFile", str(max_records_per_file or 0)).parquet(path)
 
 
 def publish(spark: SparkSession, name: str, path: str) -> None:
@@ -129,13 +140,8 @@ def _move_in(df: DataFrame, name: str, mode: str) -> None:
     and a run broken off in between gives the same table when repeated.
     """
     spark = df.sparkSession
-    setting = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, mode)
-    try:
+    with _setting(spark, "spark.sql.sources.partitionOverwriteMode", mode):
         df.select(*spark.table(name).columns).write.mode("overwrite").insertInto(name)
-    finally:
-        spark.conf.set(setting, before)
 
 
 def remove_old_snapshots(spark: SparkSession, name: str, keep: int = 1) -> list[str]:
