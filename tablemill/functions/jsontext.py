@@ -57,6 +57,7 @@ class _Object(list):
 
 _SENSITIVE = frozenset(k.lower() for k in SENSITIVE_KEYS)
 _SIGNS = tuple(s.lower() for s in CONNECTION_SIGNS)
+_LITERALS = {None: "null", True: "true", False: "false"}
 
 
 def _no_constant(name: str):
@@ -86,7 +87,7 @@ def _emit(node, connection) -> str:
         return "[" + ",".join(_emit(v, connection) for v in node) + "]"
     if isinstance(node, _Number):
         return node
-    return _quote(node)
+    return _quote(node) if isinstance(node, str) else _LITERALS[node]
 
 
 def json_masker(strict: bool = False) -> Callable[[str | None], str | None]:
