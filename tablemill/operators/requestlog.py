@@ -8,6 +8,7 @@ client_ip, user_agent, error_message, stack_trace``; operators touch those they
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 from functools import reduce
 
 import pandas as pd
@@ -226,9 +227,15 @@ def retained(
     return out
 
 
-def drop_old_partitions(spark: SparkSession, table: str, before: str) -> None:
+def drop_old_partitions(spark: SparkSession, table: str, before: date) -> int:
     """Drop a rolled log table's days before a date: catalog work, no rewrite."""
-    spark.sql(f"ALTER TABLE {quoted(table)} DROP IF EXISTS PARTITION (log_date < DATE '{before}')")
+    listed = spark.sql(f"SHOW PARTITIONS {quoted(table)}").collect()
+    days = {part.split("/")[0].partition("=")[2] for (part,) in listed}
+    old = sorted(d for d in days if d < before.isoformat())
+    if old:
+        parts = ", ".join(f"PARTITION (log_date = DATE '{d}')" for d in old)
+        spark.sql(f"ALTER TABLE {quoted(table)} DROP IF EXISTS {parts}")
+    return len(old)
 
 
 # --- audits -----------------------------------------------------------------------

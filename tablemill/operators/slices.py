@@ -20,9 +20,12 @@ _ARRIVAL = "__arrival"
 
 
 def in_slices(
-    df: DataFrame, order_by: Sequence[str | Column] = (), slices: int | None = None
+    df: DataFrame,
+    order_by: Sequence[str | Column] = (),
+    slices: int | None = None,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``df`` with SLICE and PLACE, slice by slice in ``order_by`` order.
+    """``df`` (its ``keep`` columns) with SLICE and PLACE, slice by slice in ``order_by`` order.
 
     Without an order the scan's own partitions are the slices and nothing shuffles.
     """
@@ -35,7 +38,8 @@ def in_slices(
         out = out.repartitionByRange(*([slices] if slices else []), *order)
         out = out.sortWithinPartitions(*order).drop(_ARRIVAL)
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    out = out.withColumn(SLICE, F.spark_partition_id()).withColumn(PLACE, place)
+    columns = list(keep or df.columns)
+    out = out.select(*columns, F.spark_partition_id().alias(SLICE), place.alias(PLACE))
     path = work_path(spark, "slices")
     out.write.parquet(path)
     return spark.read.schema(out.schema).parquet(path)
@@ -47,10 +51,11 @@ def dense_ids(
     order_by: Sequence[str | Column] = (),
     start: int = 1,
     slices: int | None = None,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``df`` with ids ``start, start + 1, ...`` in ``order_by`` order."""
+    """``df`` (its ``keep`` columns) with ids ``start, start + 1, ...`` in ``order_by`` order."""
     spark = df.sparkSession
-    staged = in_slices(df, order_by, slices)
+    staged = in_slices(df, order_by, slices, keep)
     # One row per write task, whatever the data: small enough to add up here.
     sizes = staged.groupBy(SLICE).agg(F.count(F.lit(1)).alias("n")).orderBy(SLICE).collect()
     offsets, total = [], start
@@ -60,11 +65,17 @@ def dense_ids(
     schema = T.StructType([T.StructField(SLICE, T.IntegerType()), T.StructField("at", T.LongType())])
     starts = spark.createDataFrame(offsets, schema)
     numbered = staged.join(F.broadcast(starts), SLICE)
-    return numbered.select((F.col("at") + F.col(PLACE)).alias(id_col), *df.columns)
+    columns = [c for c in staged.columns if c not in (SLICE, PLACE)]
+    return numbered.select((F.col("at") + F.col(PLACE)).alias(id_col), *columns)
 
 
 def with_previous(
-    df: DataFrame, key: str, order_by: Sequence[str], value: str, name: str
+    df: DataFrame,
+    key: str,
+    order_by: Sequence[str],
+    value: str,
+    name: str,
+    slices: int | None = None,
 ) -> DataFrame:
     """``df`` with the ``value`` of the key's previous row, NULL for its first.
 
@@ -72,7 +83,7 @@ def with_previous(
     key and slice, and a key's first row in a slice takes the last value of the
     key's slice before. That second window sees a row per key and slice.
     """
-    staged = in_slices(df, [key, *order_by])
+    staged = in_slices(df, [key, *order_by], slices)
     at = Window.partitionBy(key, SLICE).orderBy(PLACE)
     near = staged.withColumn("__near", F.lag(F.struct(value)).over(at))
     ends = staged.groupBy(key, SLICE).agg(F.max_by(F.struct(value), PLACE).alias("__end"))

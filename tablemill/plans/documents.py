@@ -132,7 +132,7 @@ def raw_json_rows(
 ) -> DataFrame:
     """``Id, JsonData, CreatedAt``: one row per good document, ids dense from ``start``."""
     good = docs.good_documents(documents, json_col)
-    numbered = dense_ids(good, "Id", order_by, start)
+    numbered = dense_ids(good, "Id", order_by, start, keep=[json_col])
     return numbered.select(
         "Id",
         F.col(json_col).alias("JsonData"),

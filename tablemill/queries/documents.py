@@ -128,6 +128,12 @@ def doc_filter(spark, folder):
     )
 
 
+def _columns(docs):
+    """Good documents as columns, nested ones as structs."""
+    schema = ops.infer_document_schema(docs, "js")
+    return ops.read_documents(ops.only_parsed(docs, "js"), "js", schema)
+
+
 EVENT_DOCS = """
 SELECT event_id, concat('{"_id":', event_id, ',"type":"', event_type, '","user":', user_id,
                         ',"props":', props, '}') AS js FROM events
@@ -146,8 +152,7 @@ def doc_pipeline(spark, folder):
         {"$match": {"user": {"$gte": 10}}},
         {"$group": {"_id": "$type", "n": {"$sum": 1}, "total": {"$sum": "$props.k"}}},
     ]
-    docs = sql(spark, folder, EVENT_DOCS)
-    rows = apply_pipeline(ops.read_documents(ops.good_documents(docs, "js"), "js"), stages)
+    rows = apply_pipeline(_columns(sql(spark, folder, EVENT_DOCS)), stages)
     return ops.flatten(rows, DocumentOptions(field_mappings={"_id": "type"}), keep_id=True)
 
 
@@ -170,9 +175,7 @@ def doc_project(spark, folder):
         {"$match": {"status": "F"}},
         {"$project": {"orderId": 1, "priority": 1, "customerName": "$customer.name"}},
     ]
-    docs = sql(spark, folder, ORDER_DOCS)
-    rows = apply_pipeline(ops.read_documents(ops.good_documents(docs, "js"), "js"), stages)
-    return ops.flatten(rows)
+    return ops.flatten(apply_pipeline(_columns(sql(spark, folder, ORDER_DOCS)), stages))
 
 
 # Typed wrappers, as document stores export them.

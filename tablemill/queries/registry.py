@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -50,8 +51,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def sql(spark: SparkSession, folder: str, text: str) -> DataFrame:
-    """A query over the given tables."""
-    register_tables(spark, folder, TABLES)
+    """A query over the given tables; those it names become views first."""
+    words = set(re.findall(r"\w+", text))
+    register_tables(spark, folder, [t for t in TABLES if t in words])
     return spark.sql(text)
 
 

@@ -9,7 +9,7 @@ from tablemill.plans.changes import delete_rows, insert_rows, update_rows
 from tablemill.plans.transfer import TransferOptions, insert_records, transfer
 from tablemill.queries.registry import new_table, query, sql, table
 from tablemill.queries.sync import _checked, _lake_copy
-from tablemill.sources.scans import record_scan
+from tablemill.sources.scans import record_scan, register_tables
 
 
 @query("SELECT * FROM orders")
@@ -69,7 +69,7 @@ WHERE o_orderstatus = 'F' AND o_totalprice > 100000 GROUP BY c_mktsegment
 """
 )
 def param_query(spark, folder):
-    sql(spark, folder, "SELECT 1")
+    register_tables(spark, folder, ["orders", "customer"])
     text = """
 SELECT c_mktsegment, count(*) AS n_orders,
        sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS total_cents
@@ -81,7 +81,7 @@ WHERE o_orderstatus = @status AND o_totalprice > :least GROUP BY c_mktsegment
 
 @query("SELECT max(o_totalprice) AS value FROM orders WHERE o_orderpriority = '2-HIGH'")
 def scalar_query(spark, folder):
-    sql(spark, folder, "SELECT 1")
+    register_tables(spark, folder, ["orders"])
     text = "SELECT max(o_totalprice), count(*) FROM orders WHERE o_orderpriority = @p"
     return ops.scalar(spark, text, {"p": "2-HIGH"}, "double")
 
@@ -93,7 +93,7 @@ WHERE c_mktsegment = 'BUILDING' AND o_totalprice >= 250000.0
 """
 )
 def stored_query(spark, folder):
-    sql(spark, folder, "SELECT 1")
+    register_tables(spark, folder, ["orders", "customer"])
     ops.define_stored_query(
         spark,
         "segment_orders",

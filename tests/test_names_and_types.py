@@ -1,0 +1,76 @@
+import pytest
+from pyspark.sql import functions as F, types as T
+
+from tablemill.errors import RequestError
+from tablemill.functions import names, types
+
+
+@pytest.mark.parametrize("name", ["Users", "dbo.Users", "schema_name.table_name", "Table123", "_table"])
+def test_valid_tables(name):
+    assert names.is_table_name(name)
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["", None, "123Table", "table name", "table-name", "table@name", "Users; DROP TABLE Users--", "Users\n", "a.b.c", "x" * 129],
+)
+def test_invalid_tables(name):
+    assert not names.is_table_name(name)
+
+
+@pytest.mark.parametrize("name", ["Id", "FirstName", "user_id", "Column123", "_column", "x" * 128])
+def test_valid_columns(name):
+    assert names.is_column_name(name)
+
+
+@pytest.mark.parametrize("name", ["", None, "col.name", "1a", "a b", "x" * 129, "Id\n"])
+def test_invalid_columns(name):
+    assert not names.is_column_name(name)
+
+
+def test_column_forms_agree(spark):
+    texts = ["Users", "dbo.Users", "a.b.c", "Users\n", "", " ", None, "x" * 128, "x" * 129, "1a", "é"]
+    df = spark.createDataFrame([(t,) for t in texts], "n string")
+    got = df.select(names.column_name_ok(F.col("n")), names.table_name_ok(F.col("n"))).collect()
+    assert [tuple(r) for r in got] == [
+        (names.is_column_name(t), names.is_table_name(t)) for t in texts
+    ]
+
+
+def test_duplicate_columns_ignore_case():
+    with pytest.raises(RequestError, match="Duplicate"):
+        names.require_columns(["a", "A"])
+
+
+def test_source_types():
+    assert types.source_type("TINYINT") == T.ShortType()
+    assert types.source_type("decimal", precision=10, scale=2) == T.DecimalType(10, 2)
+    assert types.source_type("decimal") == T.DecimalType(18, 0)
+    assert types.source_type("nvarchar", 50) == T.VarcharType(50)
+    assert types.source_type("nvarchar", -1) == T.StringType()
+    assert types.source_type("varchar", 9000) == T.StringType()
+    assert types.source_type("datetime2") == T.TimestampNTZType()
+    assert types.source_type("datetimeoffset") == T.TimestampType()
+    assert types.source_type("sql_variant") == T.StringType()
+
+
+def test_ddl_keeps_lengths_and_not_null(spark):
+    schema = T.StructType(
+        [
+            T.StructField("id", T.IntegerType(), False),
+            T.StructField("name", T.VarcharType(20)),
+            T.StructField("amount", T.DecimalType(10, 2)),
+        ]
+    )
+    assert types.table_ddl(schema) == "`id` int NOT NULL, `name` varchar(20), `amount` decimal(10,2)"
+    assert types.jdbc_column_types(schema) == "`name` VARCHAR(20)"
+
+
+def test_ddl_of_a_table_read_back(spark, base, name):
+    spark.sql(f"CREATE TABLE {name} (id int, c varchar(7)) USING parquet LOCATION '{base}/x'")
+    assert types.jdbc_column_types(spark.table(name).schema) == "`c` VARCHAR(7)"
+
+
+def test_quoted_ddl_parses(spark):
+    schema = T.StructType([T.StructField("a b", T.StructType([T.StructField("$x`y", T.LongType())]))])
+    assert T.DataType.fromDDL(types.quoted_ddl(schema)) == schema
