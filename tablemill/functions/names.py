@@ -71,3 +71,8 @@ def resolve(name: str, columns: Iterable[str]) -> str | None:
 def quoted(name: str) -> str:
     """A column or dotted table name in backticks for SQL text."""
     return ".".join(f"`{part}`" for part in name.split("."))
+
+
+def variant_path(names: Iterable[str]) -> str:
+    """The path of a field inside a variant, whatever its name."""
+    return "$" + "".join(f'["{n}"]' if "'" in n else f"['{n}']" for n in names)

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablemill.errors import RequestError
-from tablemill.functions.names import require_columns
+from tablemill.functions.names import require_columns, variant_path
 from tablemill.functions.types import DOCUMENT_DECIMAL, document_type, quoted_ddl
 from tablemill.operators.mapping import usable_fields
 
@@ -120,8 +120,12 @@ def infer_document_schema(
         if not order_by:
             raise RequestError("A schema sample needs an order to be repeatable")
         documents = df.orderBy(*order_by).limit(sample_size)
-    found = parsed(documents, json_col).agg(F.schema_of_variant_agg(DOC).alias("s"))
-    return _as_struct(found.first()["s"])
+    return schema_of_parsed(parsed(documents, json_col))
+
+
+def schema_of_parsed(df: DataFrame) -> T.StructType:
+    """Fields and types of the documents in DOC, by one aggregate."""
+    return _as_struct(df.agg(F.schema_of_variant_agg(DOC).alias("s")).first()["s"])
 
 
 # Extended-JSON wrappers: a document with this one field stands for a value.
@@ -193,10 +197,6 @@ def _read_type(dt: T.DataType, options: DocumentOptions) -> T.DataType | None:
     return document_type(dt)
 
 
-def _path(name: str) -> str:
-    return f'$["{name}"]' if "'" in name else f"$['{name}']"
-
-
 def read_documents(
     df: DataFrame,
     json_col: str,
@@ -215,7 +215,7 @@ def read_documents(
     for f in schema:
         dt = _read_type(f.dataType, options)
         if dt is not None:
-            value = F.try_variant_get(DOC, _path(f.name), quoted_ddl(dt))
+            value = F.try_variant_get(DOC, variant_path([f.name]), quoted_ddl(dt))
             columns.append(value.alias(f.name))
     return source.select(*keep, *columns)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import date, datetime
+from datetime import date
 from functools import reduce
 from numbers import Number
 from typing import Any
@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablemill.errors import RequestError
+from tablemill.functions.names import variant_path
 
 _COMPARE = {
     "$eq": lambda f, v: f == v,
@@ -21,6 +22,9 @@ _COMPARE = {
     "$lte": lambda f, v: f <= v,
 }
 
+# Largest whole number a double holds exactly.
+_EXACT_IN_DOUBLE = 2**53
+
 
 def _dotted(path: str) -> str:
     return ".".join(f"`{p}`" for p in path.split("."))
@@ -35,55 +39,92 @@ def _field(df: DataFrame, path: str) -> tuple[Column, T.DataType] | None:
         return None
 
 
-def _comparable(value: Any, dt: T.DataType) -> bool:
-    """Values of another kind never match, rather than being cast."""
-    if isinstance(value, bool):
-        return isinstance(dt, T.BooleanType)
-    if isinstance(value, Number):
-        return isinstance(dt, T.NumericType)
-    if isinstance(value, str):
-        return isinstance(dt, T.StringType)
-    if isinstance(value, (datetime, date)):
-        return isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType))
-    return True
+class ColumnFields:
+    """Document fields that are columns of a frame. Tests on them reach the scan."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+
+    def is_null(self, path: str) -> Column:
+        found = _field(self.df, path)
+        return F.lit(True) if found is None else found[0].isNull()
+
+    def like(self, path: str, value: Any) -> Column | None:
+        """The field to compare with ``value``; None where its type never matches."""
+        found = _field(self.df, path)
+        if found is None:
+            return None
+        kinds = {
+            bool: T.BooleanType,
+            str: T.StringType,
+            Number: T.NumericType,
+            date: (T.DateType, T.TimestampType, T.TimestampNTZType),
+        }
+        kind = next((t for k, t in kinds.items() if isinstance(value, k)), ())
+        return found[0] if isinstance(found[1], kind) else None
+
+
+class VariantFields:
+    """Fields of a parsed document, whose types differ from row to row."""
+
+    def __init__(self, doc: str):
+        self.doc = doc
+
+    def _get(self, path: str, data_type: str) -> Column:
+        return F.try_variant_get(self.doc, variant_path(path.split(".")), data_type)
+
+    def is_null(self, path: str) -> Column:
+        field = self._get(path, "variant")
+        return field.isNull() | F.is_variant_null(field)
+
+    def like(self, path: str, value: Any) -> Column | None:
+        kind = F.schema_of_variant(self._get(path, "variant"))
+        if isinstance(value, bool):
+            return F.when(kind == "BOOLEAN", self._get(path, "boolean"))
+        if isinstance(value, str):
+            return F.when(kind == "STRING", self._get(path, "string"))
+        if isinstance(value, Number):
+            big = isinstance(value, int) and abs(value) > _EXACT_IN_DOUBLE
+            number = self._get(path, "decimal(38,0)" if big else "double")
+            return F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE)"), number)
+        return None
 
 
-def _test(df: DataFrame, path: str, op: str, value: Any) -> Column:
-    found = _field(df, path)
+Fields = ColumnFields | VariantFields
+
+
+def _test(fields: Fields, path: str, op: str, value: Any) -> Column:
     if op == "$ne":
-        return ~F.coalesce(_test(df, path, "$eq", value), F.lit(False))
+        return ~F.coalesce(_test(fields, path, "$eq", value), F.lit(False))
     if op == "$in":
-        return reduce(lambda a, b: a | b, [_test(df, path, "$eq", v) for v in value], F.lit(False))
+        tests = [_test(fields, path, "$eq", v) for v in value]
+        return reduce(lambda a, b: a | b, tests, F.lit(False))
     if op not in _COMPARE:
         raise RequestError(f"Unsupported filter operator: '{op}'")
-    if found is None:
-        return F.lit(value is None)
-    column, dt = found
     if value is None:
-        return column.isNull()
-    if not _comparable(value, dt):
-        return F.lit(False)
-    return _COMPARE[op](column, F.lit(value))
+        return fields.is_null(path)
+    field = fields.like(path, value)
+    return F.lit(False) if field is None else _COMPARE[op](field, F.lit(value))
 
 
-def document_predicate(df: DataFrame, spec: Mapping[str, Any]) -> Column:
+def document_predicate(fields: Fields, spec: Mapping[str, Any]) -> Column:
     """A filter such as ``{"status": "active", "age": {"$gt": 18}}`` as one Column.
 
-    Plain comparisons on plain columns, so they reach the Parquet scan.
+    A value of another kind never matches, rather than being cast.
     """
-    tests = []
+    tests = [F.lit(True)]
     for path, condition in spec.items():
         if path.startswith("$"):
             raise RequestError(f"Unsupported filter operator: '{path}'")
         if isinstance(condition, Mapping):
-            tests += [_test(df, path, op, value) for op, value in condition.items()]
+            tests += [_test(fields, path, op, value) for op, value in condition.items()]
         else:
-            tests.append(_test(df, path, "$eq", condition))
-    return reduce(lambda a, b: a & b, tests, F.lit(True)) if tests else F.lit(True)
+            tests.append(_test(fields, path, "$eq", condition))
+    return reduce(lambda a, b: a & b, tests)
 
 
 def document_filter(df: DataFrame, spec: Mapping[str, Any] | None) -> DataFrame:
-    return df.where(document_predicate(df, spec)) if spec else df
+    return df.where(document_predicate(ColumnFields(df), spec)) if spec else df
 
 
 def _expression(df: DataFrame, value: Any) -> Column:
@@ -173,5 +214,19 @@ def apply_pipeline(df: DataFrame, stages: Sequence[Mapping[str, Any]]) -> DataFr
     return df
 
 
+def split_leading_matches(
+    stages: Sequence[Mapping[str, Any]],
+) -> tuple[list[Mapping[str, Any]], list[Mapping[str, Any]]]:
+    """(filters of the leading $match stages, the stages after them)."""
+    n = next((i for i, s in enumerate(stages) if "$match" not in s), len(stages))
+    return [s["$match"] for s in stages[:n]], list(stages[n:])
+
+
+def deciding_stages(stages: Sequence[Mapping[str, Any]]) -> list[Mapping[str, Any]]:
+    """The stages that decide whether there is any row: grouping alone never drops the last."""
+    last_match = max((i for i, s in enumerate(stages) if "$match" in s), default=-1)
+    return list(stages[: last_match + 1])
+
+
 def makes_groups(stages: Sequence[Mapping[str, Any]] | None) -> bool:
     return any("$group" in stage for stage in stages or ())

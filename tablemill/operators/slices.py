@@ -24,10 +24,12 @@ def in_slices(
     order_by: Sequence[str | Column] = (),
     slices: int | None = None,
     keep: Sequence[str] | None = None,
+    path: str | None = None,
 ) -> DataFrame:
     """``df`` (its ``keep`` columns) with SLICE and PLACE, slice by slice in ``order_by`` order.
 
     Without an order the scan's own partitions are the slices and nothing shuffles.
+    The rows stay at ``path``, by default a new one in the shared folder.
     """
     spark = df.sparkSession
     out = df
@@ -40,7 +42,7 @@ def in_slices(
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     columns = list(keep or df.columns)
     out = out.select(*columns, F.spark_partition_id().alias(SLICE), place.alias(PLACE))
-    path = work_path(spark, "slices")
+    path = path or work_path(spark, "slices")
     out.write.parquet(path)
     return spark.read.schema(out.schema).parquet(path)
 
@@ -52,10 +54,11 @@ def dense_ids(
     start: int = 1,
     slices: int | None = None,
     keep: Sequence[str] | None = None,
+    path: str | None = None,
 ) -> DataFrame:
     """``df`` (its ``keep`` columns) with ids ``start, start + 1, ...`` in ``order_by`` order."""
     spark = df.sparkSession
-    staged = in_slices(df, order_by, slices, keep)
+    staged = in_slices(df, order_by, slices, keep, path)
     # One row per write task, whatever the data: small enough to add up here.
     sizes = staged.groupBy(SLICE).agg(F.count(F.lit(1)).alias("n")).orderBy(SLICE).collect()
     offsets, total = [], start

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -13,8 +14,16 @@ from tablemill.functions.names import require_table_name
 from tablemill.metrics import RunResult, counted, run
 from tablemill.operators import documents as docs
 from tablemill.operators.mapping import conform
-from tablemill.operators.pipelines import apply_pipeline, document_filter, makes_groups
+from tablemill.operators.pipelines import (
+    VariantFields,
+    apply_pipeline,
+    deciding_stages,
+    document_predicate,
+    makes_groups,
+    split_leading_matches,
+)
 from tablemill.operators.slices import dense_ids
+from tablemill.session import delete_path, work_path
 from tablemill.sinks import tables
 
 FAILED = "__failed"
@@ -50,40 +59,41 @@ def load_documents(
 ) -> RunResult:
     """Flatten documents into a table.
 
-    A pipeline beats a filter. Bad documents are counted, optionally written to
-    ``rejected_path``, and don't stop the load. No document at all leaves the
-    target as it is, even when truncating.
+    A pipeline beats a filter. Filters and leading ``$match`` stages are tested
+    on the parsed document, so fields are inferred from matching documents only.
+    Bad documents are counted, optionally written to ``rejected_path``, and don't
+    stop the load. No document at all leaves the target as it is, even when truncating.
     """
     spark = documents.sparkSession
+    filters, stages = split_leading_matches(pipeline) if pipeline else ([filter or {}], [])
+    tests = [document_predicate(VariantFields(docs.DOC), f) for f in filters if f]
+    matches = reduce(lambda a, b: a & b, tests, F.col(docs.DOC).isNotNull())
+    grouped = makes_groups(stages)
+    keep_id = grouped and not document_options.drop_group_id
 
     def body(result: RunResult) -> None:
         require_table_name(target)
-        fields = schema or docs.infer_document_schema(documents, json_col)
-        grouped = makes_groups(pipeline)
-        keep_id = grouped and not document_options.drop_group_id
+        parsed = docs.parsed(documents, json_col)
+        fields = schema or docs.schema_of_parsed(parsed.where(matches))
 
-        def shaped(parsed_documents: DataFrame) -> tuple[DataFrame, docs.Flattened]:
-            good = parsed_documents.where(F.col(docs.DOC).isNotNull())
-            rows = docs.read_documents(good, json_col, fields, document_options)
-            rows = apply_pipeline(rows, pipeline) if pipeline else document_filter(rows, filter)
-            return rows, docs.flatten_plan(rows, document_options, keep_id)
+        def columns(parsed_documents: DataFrame) -> DataFrame:
+            matching = parsed_documents.where(matches)
+            return docs.read_documents(matching, json_col, fields, document_options)
 
-        parsed = docs.parsed(documents, json_col)
-        rows, plan = shaped(parsed)
-        result.warnings += plan.warnings
-        if rows.isEmpty():
+        if apply_pipeline(columns(parsed), deciding_stages(stages)).isEmpty():
             result.rows_read = result.rows_failed = _bad_documents(parsed)
             result.warn(NO_DOCUMENTS)
             return
-        if not plan.columns:
-            result.warn("No valid columns found after schema inference")
-            return
         seen = None
         if not grouped:
             # Counted between parsing and the filter, so that each text is parsed once.
-            is_bad = F.col(docs.DOC).isNull()
-            parsed, seen = counted(parsed, failed=F.count_if(is_bad))
-            rows, plan = shaped(parsed)
+            parsed, seen = counted(parsed, failed=F.count_if(F.col(docs.DOC).isNull()))
+        rows = apply_pipeline(columns(parsed), stages)
+        plan = docs.flatten_plan(rows, document_options, keep_id)
+        result.warnings += plan.warnings
+        if not plan.columns:
+            result.warn("No valid columns found after schema inference")
+            return
         unconverted = F.lit(False) if plan.failed is None else F.coalesce(plan.failed, F.lit(False))
         picked, written = counted(
             rows.select(*plan.columns, unconverted.alias(FAILED)), failed=F.count_if(FAILED)
@@ -128,11 +138,15 @@ def _write(
 
 
 def raw_json_rows(
-    documents: DataFrame, json_col: str, order_by: Sequence[str | Column] = (), start: int = 1
+    documents: DataFrame,
+    json_col: str,
+    order_by: Sequence[str | Column] = (),
+    start: int = 1,
+    path: str | None = None,
 ) -> DataFrame:
     """``Id, JsonData, CreatedAt``: one row per good document, ids dense from ``start``."""
     good = docs.good_documents(documents, json_col)
-    numbered = dense_ids(good, "Id", order_by, start, keep=[json_col])
+    numbered = dense_ids(good, "Id", order_by, start, keep=[json_col], path=path)
     return numbered.select(
         "Id",
         F.col(json_col).alias("JsonData"),
@@ -153,22 +167,22 @@ def load_raw_json(
 
     def body(result: RunResult) -> None:
         require_table_name(name)
-        checked = docs.parsed(documents, json_col).agg(
-            F.count(F.lit(1)).alias("rows"), F.count(docs.DOC).alias("good")
-        )
-        total, good = checked.first()
-        result.rows_failed = total - good
-        if good == 0:
-            result.rows_read = result.rows_failed
-            result.warn(NO_DOCUMENTS)
-            return
         start = 1
         if tables.table_exists(spark, name) and not options.truncate:
             start += spark.table(name).agg(F.max("Id")).first()[0] or 0
-        out = raw_json_rows(documents, json_col, order_by, start)
-        always = LoadOptions(options.truncate, True, options.base, options.max_records_per_file)
-        _write(spark, out, name, always, result)
-        result.rows_written = good
-        result.rows_read = total
+        path = work_path(spark, "raw-json")
+        try:
+            out = raw_json_rows(documents, json_col, order_by, start, path)
+            good = out.count()
+            total = documents.count()
+            result.rows_read, result.rows_failed = total, total - good
+            if good == 0:
+                result.warn(NO_DOCUMENTS)
+                return
+            always = LoadOptions(options.truncate, True, options.base, options.max_records_per_file)
+            _write(spark, out, name, always, result)
+            result.rows_written = good
+        finally:
+            delete_path(spark, path)
 
     return run(name, body)

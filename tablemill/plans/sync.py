@@ -27,6 +27,7 @@ class SyncOptions:
     column_mappings: Mapping[str, str] | None = None
     delete_all_before_insert: bool = False
     unique_keys: bool = False
+    reject_null_keys: bool = False
     key_collation: str | None = None
     max_records_per_file: int | None = None
 
@@ -83,6 +84,8 @@ def sync_table(
                 result.warn("No rows read from source query")
                 return
             staged = spark.read.schema(prepared.schema).parquet(staged_path)
+            if options.reject_null_keys and not staged.where(ops.any_null(names)).isEmpty():
+                raise RequestError(f"Source has NULL keys: {', '.join(names)}")
             if options.unique_keys and not ops.duplicate_keys(staged, names).isEmpty():
                 raise RequestError(f"Source has duplicate keys: {', '.join(names)}")
             _apply(spark, current, staged, target, names, options, result, tag)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from tablemill.operators import ledger as ops
-from tablemill.queries.registry import query, sql
+from tablemill.plans.transfer import TransferOptions, transfer
+from tablemill.queries.registry import new_table, query, sql, table
+from tablemill.sinks import tables
+
+LEDGERED = ("customer", "orders", "lineitem")
 
 STATUS = """
 CASE event_type WHEN 'signup' THEN 'Pending' WHEN 'view' THEN 'Running' WHEN 'click' THEN 'Cancelled'
@@ -101,3 +107,29 @@ WHERE NOT (created_at < TIMESTAMP '2024-01-15 00:00:00'
 def runs_retention(spark, folder):
     cutoff = F.expr("TIMESTAMP_NTZ'2024-01-15 00:00:00'")
     return ops.retained_runs(_runs(spark, folder), cutoff).select("id", "status", "created_at")
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT 'DataTransfer' AS type, 'Completed' AS status, true AS is_finished, "
+        f"'{t}' AS correlation_id, CAST(count(*) AS INT) AS rows_written FROM {t}"
+        for t in LEDGERED
+    )
+)
+def runs_appended(spark, folder):
+    """Transfers noted in a ledger table, and read back with their metrics."""
+    ledger, base = new_table(spark, "ledger")
+    schema = spark.createDataFrame([], ops.LEDGER_SCHEMA).schema
+    tables.create_table(spark, ledger, schema, base)
+    for name in LEDGERED:
+        target, target_base = new_table(spark, "ledgered")
+        started = datetime.now(timezone.utc)
+        options = TransferOptions(create_if_missing=True, base=target_base)
+        result = transfer(spark, table(spark, folder, name), target, options)
+        row = ops.ledger_row(spark, "DataTransfer", result, started, correlation_id=name)
+        tables.append(row, ledger)
+    report = ops.status_report(spark.table(ledger))
+    written = F.get_json_object("result", "$.rows_written").cast("int")
+    return report.select(
+        "type", "status", "is_finished", "correlation_id", written.alias("rows_written")
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from tablemill.operators import query as ops
+from tablemill.plans.documents import LoadOptions, load_documents
 from tablemill.plans.changes import delete_rows, insert_rows, update_rows
 from tablemill.plans.transfer import TransferOptions, insert_records, transfer
 from tablemill.queries.registry import new_table, query, sql, table
@@ -184,3 +185,27 @@ def records_inserted(spark, folder):
     records = _part_records(spark, folder)
     _checked(insert_records(records, "js", target, schema=schema, options=options))
     return spark.table(target)
+
+
+# Types are the sources' own; document numbers widen to bigint.
+CREATED = [
+    ("transfer", "OrderKey", "bigint"),
+    ("transfer", "Total", "double"),
+    ("transfer", "Ordered", "timestamp_ntz"),
+    ("documents", "k", "bigint"),
+]
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(str(r) for r in CREATED)}) v(made_by, name, type)")
+def created_tables(spark, folder):
+    """Columns of the tables that a mapped transfer and a document load create."""
+    target, base = new_table(spark, "created")
+    mappings = {"o_orderkey": "OrderKey", "o_totalprice": "Total", "o_orderdate": "Ordered"}
+    options = TransferOptions(mappings, create_if_missing=True, base=base)
+    _checked(transfer(spark, table(spark, folder, "orders"), target, options))
+    loaded, loaded_base = new_table(spark, "created_docs")
+    events = table(spark, folder, "events").select("props")
+    _checked(load_documents(events, "props", loaded, options=LoadOptions(base=loaded_base)))
+    found = [("transfer", c.name, c.dataType) for c in spark.catalog.listColumns(target)]
+    found += [("documents", c.name, c.dataType) for c in spark.catalog.listColumns(loaded)]
+    return spark.createDataFrame(found, "made_by string, name string, type string")

@@ -1,6 +1,6 @@
 """Lake tables: catalog entries over Parquet folders, replaced snapshot by snapshot.
 
-A table's location is ``<base>/snapshot-<tag>``. Replacing its content writes a
+A table's location is ``<base>/<name>/snapshot-<tag>``. Replacing its content writes a
 new snapshot and then points the catalog at it, so readers see the old rows or
 the new ones and a failed write changes nothing. One writer per table is assumed.
 """
@@ -20,6 +20,9 @@ from tablemill.session import delete_path, list_path
 
 SNAPSHOT = "snapshot-"
 
+# Replaced snapshots kept for readers that still use them.
+KEPT_SNAPSHOTS = 1
+
 
 def table_exists(spark: SparkSession, name: str) -> bool:
     require_table_name(name)
@@ -39,10 +42,11 @@ def partition_columns(spark: SparkSession, name: str) -> list[str]:
     return [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
 
 
-def _base(spark: SparkSession, name: str) -> str:
-    location = table_location(spark, name)
-    parent, _, leaf = location.rstrip("/").rpartition("/")
-    return parent if leaf.startswith(SNAPSHOT) else location
+def _folder(spark: SparkSession, name: str) -> str:
+    """The folder that holds this table's snapshots, and nothing else."""
+    location = table_location(spark, name).rstrip("/")
+    parent, _, leaf = location.rpartition("/")
+    return parent if leaf.startswith(SNAPSHOT) else f"{location}-snapshots"
 
 
 def create_table(
@@ -61,7 +65,7 @@ def create_table(
     clause = f"PARTITIONED BY ({', '.join(quoted(c) for c in partition_by)})" if partition_by else ""
     spark.sql(
         f"CREATE TABLE {quoted(name)} ({table_ddl(schema, keep_not_null)}) USING parquet "
-        f"{clause} LOCATION '{base}/{SNAPSHOT}{uuid.uuid4().hex}'"
+        f"{clause} LOCATION '{base}/{name}/{SNAPSHOT}{uuid.uuid4().hex}'"
     )
     return True
 
@@ -90,7 +94,7 @@ def append(df: DataFrame, name: str, max_records_per_file: int | None = None) ->
 
 def snapshot_path(spark: SparkSession, name: str, tag: str | None = None) -> str:
     """Where the table's next content goes."""
-    return f"{_base(spark, name)}/{SNAPSHOT}{tag or ''}{uuid.uuid4().hex}"
+    return f"{_folder(spark, name)}/{SNAPSHOT}{tag or ''}{uuid.uuid4().hex}"
 
 
 def write_snapshot(df: DataFrame, path: str, max_records_per_file: int | None = None) -> None:
@@ -119,6 +123,7 @@ def replace(
         delete_path(spark, path)
     else:
         publish(spark, name, path)
+        remove_old_snapshots(spark, name)
 
 
 def replace_partitions(df: DataFrame, name: str) -> None:
@@ -144,12 +149,12 @@ def _move_in(df: DataFrame, name: str, mode: str) -> None:
         df.select(*spark.table(name).columns).write.mode("overwrite").insertInto(name)
 
 
-def remove_old_snapshots(spark: SparkSession, name: str, keep: int = 1) -> list[str]:
+def remove_old_snapshots(spark: SparkSession, name: str, keep: int = KEPT_SNAPSHOTS) -> list[str]:
     """Delete snapshots the table no longer points at, but for the newest ``keep``."""
     current = table_location(spark, name).rstrip("/").rpartition("/")[2]
     old = [
         (modified, path)
-        for path, modified in list_path(spark, _base(spark, name))
+        for path, modified in list_path(spark, _folder(spark, name))
         if path.rpartition("/")[2].startswith(SNAPSHOT) and not path.endswith(current)
     ]
     gone = [path for _, path in sorted(old, reverse=True)[keep:]]

@@ -7,11 +7,11 @@ watermark.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tablemill.errors import RequestError
 from tablemill.metrics import RunResult
 from tablemill.operators.mapping import project_mapped
 from tablemill.operators.requestlog import roll_columns, scrub, with_roll_columns
@@ -74,14 +74,17 @@ def stream_sync(
 ) -> StreamingQuery:
     """Sync each batch into a table.
 
-    The published snapshot carries the stream's name and batch number, in the
-    same catalog change that shows it. A batch replayed after a crash finds its
-    own mark and is skipped, so NULL keys and repeated source keys aren't added twice.
-    The target must be unpartitioned: only there one change publishes all.
+    A batch may be replayed after a crash. On an unpartitioned table the published
+    snapshot carries the stream's name and batch number, in the same catalog change
+    that shows it; a replayed batch finds its own mark and is skipped. A table
+    partitioned by key columns has only the touched partitions rewritten, which no
+    single change can mark. There a replay deletes what it inserted before, which
+    holds for rows with keys: a batch with a NULL key is refused.
     """
     spark = rows.sparkSession
-    if tables.partition_columns(spark, target):
-        raise RequestError(f"Table '{target}' is partitioned: a batch can't be marked as done")
+    partitioned = bool(tables.partition_columns(spark, target))
+    if partitioned:
+        options = replace(options, reject_null_keys=True)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         tag = f"{stream_name}-batch{batch_id}-"

@@ -7,7 +7,12 @@ from conftest import rows
 from tablemill.errors import RequestError
 from tablemill.operators import documents as ops
 from tablemill.operators.documents import DocumentOptions
-from tablemill.operators.pipelines import apply_pipeline, document_filter
+from tablemill.operators.pipelines import (
+    VariantFields,
+    apply_pipeline,
+    document_filter,
+    document_predicate,
+)
 from tablemill.plans.documents import LoadOptions, load_documents, load_raw_json, raw_json_rows
 from tablemill.sinks import tables
 
@@ -314,3 +319,48 @@ def test_read_back(spark):
     assert rows(got) == [("A", 41, 2), ("B", None, None)]
     opened = ops.open_json(df, "js", "name STRING, n STRUCT<x: INT>")
     assert opened.select("name", "n.x").count() == 2
+
+
+def test_fields_come_from_matching_documents_only(spark, base, name):
+    df = docs(spark, '{"s":"on","a":1}', '{"s":"off","b":2}', '{"s":"on","a":"x"}')
+    result = load_documents(df, "js", name, options=LoadOptions(base=base), filter={"s": "on"})
+    assert result.ok, result.error
+    assert spark.table(name).columns == ["a", "s"]
+    assert rows(spark.table(name)) == [("1", "on"), ("x", "on")]
+
+
+def test_filter_on_parsed_documents(spark):
+    df = ops.parsed(
+        docs(
+            spark,
+            '{"n":20,"s":"a","b":true,"o":{"x":1.5}}',
+            '{"n":"20","s":null}',
+            '{"n":9007199254740993,"b":false}',
+            '{"n":18.5}',
+        ),
+        "js",
+    )
+
+    def hits(spec):
+        test = document_predicate(VariantFields(ops.DOC), spec)
+        return [r["i"] for r in df.where(test).orderBy("i").collect()]
+
+    assert hits({"n": {"$gt": 18}}) == [0, 2, 3]
+    assert hits({"n": {"$gt": 18, "$lt": 19.5}}) == [3]
+    assert hits({"n": "20"}) == [1]
+    assert hits({"n": 9007199254740993}) == [2]
+    assert hits({"s": None}) == [1, 2, 3]
+    assert hits({"s": {"$ne": "a"}}) == [1, 2, 3]
+    assert hits({"b": True}) == [0]
+    assert hits({"o.x": {"$gte": 1.5}}) == [0]
+    assert hits({"n": {"$in": [20, "20"]}}) == [0, 1]
+    assert hits({}) == [0, 1, 2, 3]
+
+
+def test_group_then_match_that_drops_all(spark, base, name):
+    df = docs(spark, '{"p":"a"}')
+    load_documents(df, "js", name, options=LoadOptions(base=base))
+    stages = [{"$group": {"_id": "$p", "c": {"$sum": 1}}}, {"$match": {"c": {"$gt": 5}}}]
+    result = load_documents(df, "js", name, options=LoadOptions(truncate=True), pipeline=stages)
+    assert result.ok and result.rows_written == 0
+    assert spark.table(name).count() == 1

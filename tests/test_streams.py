@@ -1,3 +1,5 @@
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -53,6 +55,21 @@ def test_sync_by_batch_and_replay(spark, tmp_path, base, name):
     assert go(state) == [(None, "m"), (None, "n"), (1, "x"), (2, "z")]
 
 
+def test_sync_into_touched_partitions(spark, tmp_path, base, name):
+    source = str(tmp_path / "in")
+    target = spark.createDataFrame([(1, "a"), (2, "b")], KV)
+    tables.create_table(spark, name, target.schema, base, partition_by=["v"])
+    tables.append(target, name)
+    put(spark, [(1, "a"), (1, "a"), (3, "c")], source)
+    stream = file_stream(spark, source, spark.read.parquet(source).schema)
+    for checkpoint in ("one", "lost"):
+        stream_sync(stream, name, ["k", "v"], str(tmp_path / checkpoint), "s").awaitTermination()
+        assert rows(spark.table(name)) == [(1, "a"), (1, "a"), (2, "b"), (3, "c")]
+    put(spark, [(None, "a")], source)
+    with pytest.raises(StreamingQueryException, match="NULL keys"):
+        stream_sync(stream, name, ["k", "v"], str(tmp_path / "one"), "s").awaitTermination()
+
+
 def test_scrub(spark, tmp_path):
     source, sink, state = (str(tmp_path / p) for p in ("in", "out", "state"))
     df = spark.sql(

@@ -165,8 +165,29 @@ def test_plan_is_an_anti_join_with_pushdown(spark, tmp_path):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
-def test_hot_target_key_is_split(spark, tmp_path):
-    """A third of the target on one key: AQE cuts its partition on the anti join's left side."""
+SMALL_SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+}
+
+
+@pytest.fixture
+def small_skew(spark):
+    """Settings under which test-sized tables count as large and skewed."""
+    before = {k: spark.conf.get(k, None) for k in SMALL_SKEW}
+    for k, v in SMALL_SKEW.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("form", ["delete_insert", "flagged_rows"])
+def test_hot_target_key_is_split(spark, tmp_path, small_skew, form):
+    """A third of the target on one key: AQE cuts its partition on the join's left side."""
     path = str(tmp_path / "t")
     hot = spark.range(90000).select(
         F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("int").alias("k"),
@@ -175,21 +196,17 @@ def test_hot_target_key_is_split(spark, tmp_path):
     hot.repartition(8).write.parquet(path)
     t = spark.read.parquet(path)
     s = spark.range(50000).select(F.col("id").cast("int").alias("k"), F.lit("s").alias("v"))
-    saved = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
-    }
-    before = {k: spark.conf.get(k, None) for k in saved}
-    try:
-        for k, v in saved.items():
-            spark.conf.set(k, v)
-        kept = ops.kept_rows(t, s, ["k"])
-        kept.collect()
-        assert "skew=true" in plan_of(kept)
-        assert kept.count() == hot.where("k >= 50000").count()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    out = getattr(ops, form)(t, s, ["k"])
+    n = len(out.collect())
+    assert "skew=true" in plan_of(out)
+    kept = hot.where("k >= 50000").count()
+    assert n == (kept + 50000 if form == "delete_insert" else 90000)
+
+
+def test_hot_source_key_reaches_the_join_once(spark, tmp_path, small_skew):
+    """A third of the source on one key: counts combine before the shuffle."""
+    s = spark.range(90000).selectExpr("CAST(IF(id % 3 = 0, 7, id) AS INT) AS k", "'s' AS v")
+    t = frame(spark, [(7, "a"), (-1, "b")])
+    assert ops.flagged_rows(t, s, ["k"]).count() == 2
+    text = plan_of(ops.kept_rows(t, s, ["k"]))
+    assert "partial_count" in text

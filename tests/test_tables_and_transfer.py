@@ -7,6 +7,7 @@ from tablemill.operators import mapping
 from tablemill.plans.changes import delete_rows, insert_rows, update_rows
 from tablemill.plans.sync import sync_table
 from tablemill.plans.transfer import TransferOptions, insert_records, transfer
+from tablemill.session import list_path
 from tablemill.sinks import jdbc as jdbc_sink, tables
 from tablemill.sources import jdbc as jdbc_source
 from tablemill.sources.scans import record_scan
@@ -79,10 +80,24 @@ def test_files_hold_at_most_the_batch(spark, base, name):
 
 
 def test_old_snapshots(spark, base, name):
-    transfer(spark, users(spark, (1, "a")), name, TransferOptions(create_if_missing=True, base=base))
+    """One replaced snapshot stays for running readers; other tables' folders are left alone."""
+    options = TransferOptions(create_if_missing=True, base=base)
+    transfer(spark, users(spark, (7, "other")), f"{name}_other", options)
+    transfer(spark, users(spark, (1, "a")), name, options)
     for i in range(3):
         transfer(spark, users(spark, (i, "b")), name, TransferOptions(truncate=True))
-    assert len(tables.remove_old_snapshots(spark, name, keep=1)) == 2
+    folder = tables.table_location(spark, name).rpartition("/")[0]
+    assert len(list_path(spark, folder)) == 2
+    assert len(tables.remove_old_snapshots(spark, name, keep=0)) == 1
+    assert rows(spark.table(name)) == [(2, "b")]
+    assert rows(spark.table(f"{name}_other")) == [(7, "other")]
+
+
+def test_table_made_elsewhere(spark, base, name):
+    spark.sql(f"CREATE TABLE {name} (Id int, Name string) USING parquet LOCATION '{base}/x'")
+    transfer(spark, users(spark, (1, "a"), (2, "b")), name)
+    again = spark.table(name).where("Id = 2")
+    assert transfer(spark, again, name, TransferOptions(truncate=True)).ok
     assert rows(spark.table(name)) == [(2, "b")]
 
 
