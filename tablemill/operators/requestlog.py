@@ -7,6 +7,7 @@ client_ip, user_agent, error_message, stack_trace``; operators touch those they
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import date
 from functools import reduce
@@ -16,8 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tablemill.functions.jsontext import flattened_names
 from tablemill.functions.masking import mask_json
-from tablemill.functions.names import COLUMN_MESSAGE, column_name_ok, quoted
-from tablemill.operators.query import deleted
+from tablemill.functions.names import COLUMN_MESSAGE, IDENTIFIER, MAX_NAME_LENGTH, quoted
 
 # Headers never logged, paths not logged, body limits and marks,
 # days kept and file size before a roll.
@@ -216,14 +216,16 @@ def retained(
 ) -> DataFrame:
     """Records no older than ``days`` before ``as_of``; 0 days keeps all.
 
-    On a rolled log the day test prunes folders and the exact test trims the first.
+    Records without a time are kept. On a rolled log the day test prunes folders
+    and the exact test trims the first; both are plain enough to reach the scan.
     """
     if days <= 0:
         return logs
     cutoff = as_of - F.make_dt_interval(F.lit(days))
-    out = deleted(logs, F.col(at) < cutoff)
+    out = logs.where(F.col(at).isNull() | (F.col(at) >= cutoff))
     if "log_date" in logs.columns:
-        out = out.where(F.col("log_date") >= F.to_date(cutoff))
+        day = F.col("log_date")
+        out = out.where(day.isNull() | (day >= F.to_date(cutoff)))
     return out
 
 
@@ -260,15 +262,18 @@ def field_name_audit(df: DataFrame, json_col: str, separator: str = "_") -> Data
     """Field names that break the column rule: how many documents have each, and why.
 
     Names nest to any depth, which no built-in lists, so they are drawn in Python
-    over Arrow batches; counting is a plain grouped count.
+    over Arrow batches. Only the bad ones come back; counting is a plain grouped count.
     """
+    valid, longest = re.compile(IDENTIFIER), MAX_NAME_LENGTH
+
+    def is_bad(name: str) -> bool:
+        return len(name) > longest or valid.fullmatch(name) is None
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def names(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: flattened_names(v, separator))
+    def bad_names(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: [n for n in flattened_names(v, separator) if is_bad(n)])
 
-    found = df.select(F.explode(names(F.col(json_col))).alias("field_name"))
-    bad = found.where(~column_name_ok(F.col("field_name")))
-    counts = bad.groupBy("field_name").agg(F.count(F.lit(1)).alias("n_documents"))
+    found = df.select(F.explode(bad_names(F.col(json_col))).alias("field_name"))
+    counts = found.groupBy("field_name").agg(F.count(F.lit(1)).alias("n_documents"))
     head, tail = COLUMN_MESSAGE.split("%s")
     return counts.withColumn("message", F.concat(F.lit(head), "field_name", F.lit(tail)))

@@ -83,16 +83,17 @@ def with_previous(
     """``df`` with the ``value`` of the key's previous row, NULL for its first.
 
     A plain ``lag`` by key would put a hot key into one task. Here ``lag`` runs by
-    key and slice, and a key's first row in a slice takes the last value of the
-    key's slice before. That second window sees a row per key and slice.
+    key and slice, and each slice is handed the key's last value before it as an
+    extra row in front. Those extra rows are one per key and slice.
     """
     staged = in_slices(df, [key, *order_by], slices)
-    at = Window.partitionBy(key, SLICE).orderBy(PLACE)
-    near = staged.withColumn("__near", F.lag(F.struct(value)).over(at))
     ends = staged.groupBy(key, SLICE).agg(F.max_by(F.struct(value), PLACE).alias("__end"))
     before = Window.partitionBy(key).orderBy(SLICE)
-    ends = ends.withColumn("__far", F.lag("__end").over(before)).drop("__end")
-    on = near[key].eqNullSafe(ends[key]) & (near[SLICE] == ends[SLICE])
-    found = near.join(ends.where(F.col("__far").isNotNull()), on, "left")
-    previous = F.coalesce(near["__near"], ends["__far"])[value]
-    return found.select(*[near[c] for c in df.columns], previous.alias(name))
+    handed = ends.withColumn("__far", F.lag("__end").over(before)).where("__far IS NOT NULL")
+    handed = handed.select(
+        key, SLICE, F.lit(-1).cast("long").alias(PLACE), F.col("__far")[value].alias(value)
+    )
+    rows = staged.unionByName(handed, allowMissingColumns=True)
+    at = Window.partitionBy(key, SLICE).orderBy(PLACE)
+    found = rows.withColumn(name, F.lag(value).over(at)).where(F.col(PLACE) >= 0)
+    return found.select(*df.columns, name)

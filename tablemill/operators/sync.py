@@ -120,6 +120,8 @@ def delete_insert(
     """The target after the sync, as one lazy plan.
 
     An empty source leaves the target as it is: there is nothing to match or add.
+    The plan reads the source twice, for its keys and for its rows; pass one that
+    is ``staged`` when it is costly or not repeatable.
     """
     target_keys = resolve_keys(source, keys, mappings)
     rows = prepare_source(target, source, mappings)

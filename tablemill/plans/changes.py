@@ -14,7 +14,8 @@ from tablemill.sinks import tables
 
 def insert_rows(spark: SparkSession, target: str, rows: DataFrame) -> RunResult:
     def body(result: RunResult) -> None:
-        ready, seen = counted(conform(rows, spark.table(target).schema))
+        ready = conform(rows, spark.table(target).schema)
+        ready, seen = counted(tables.arranged(ready, target))
         tables.append(ready, target)
         result.rows_read = result.rows_written = result.rows_inserted = seen.get["rows"]
 

@@ -8,6 +8,7 @@ from tablemill.metrics import RunResult
 from tablemill.operators import sync as ops
 from tablemill.plans.sync import SyncOptions, sync_table
 from tablemill.queries.registry import new_table, query, sql, table
+from tablemill.session import staged
 from tablemill.sinks import tables
 
 # Orders with status and total recomputed from their lines.
@@ -39,7 +40,7 @@ UNION ALL SELECT * FROM src
 """
 )
 def sync_delete_insert(spark, folder):
-    source = sql(spark, folder, RECOMPUTED_ORDERS)
+    source = staged(sql(spark, folder, RECOMPUTED_ORDERS))
     return ops.delete_insert(table(spark, folder, "orders"), source, ["o_orderkey"])
 
 
@@ -200,7 +201,7 @@ def _lake_copy(spark, folder, name, partition_by=()):
     target, base = new_table(spark, f"lake_{name}")
     df = table(spark, folder, name)
     tables.create_table(spark, target, df.schema, base, partition_by)
-    tables.append(df, target)
+    tables.append(tables.arranged(df, target), target)
     return target
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -28,6 +28,17 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tablemill/{label}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, label: str = "staged") -> DataFrame:
+    """``df`` written once under the shared folder and read back.
+
+    For a frame that a plan reads more than once: it is computed once, gives the
+    same rows each time, and survives the loss of an executor.
+    """
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a path this library wrote, on whatever file system holds it."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -84,6 +84,16 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+def arranged(df: DataFrame, name: str) -> DataFrame:
+    """Rows gathered by the table's partitions, so that not every task writes to each.
+
+    The rebalance hint aims at files of fair size: AQE cuts a partition that holds
+    much of the data and joins small ones. Unpartitioned tables need no shuffle.
+    """
+    columns = partition_columns(df.sparkSession, name)
+    return df.hint("rebalance", *columns) if columns else df
+
+
 def append(df: DataFrame, name: str, max_records_per_file: int | None = None) -> None:
     """Add rows; the files appear together when the job commits."""
     require_columns(df.columns)
@@ -146,7 +156,8 @@ def _move_in(df: DataFrame, name: str, mode: str) -> None:
     """
     spark = df.sparkSession
     with _setting(spark, "spark.sql.sources.partitionOverwriteMode", mode):
-        df.select(*spark.table(name).columns).write.mode("overwrite").insertInto(name)
+        rows = arranged(df.select(*spark.table(name).columns), name)
+        rows.write.mode("overwrite").insertInto(name)
 
 
 def remove_old_snapshots(spark: SparkSession, name: str, keep: int = KEPT_SNAPSHOTS) -> list[str]:
