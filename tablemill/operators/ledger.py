@@ -19,6 +19,13 @@ TERMINAL = ("Completed", "Failed", "Cancelled")
 RECENT_LIMIT = 50
 STATUS_LIMIT = 100
 
+# Progress messages that a state sets.
+STATUS_MESSAGES = {
+    "Running": "Processing started",
+    "Completed": "Completed",
+    "Failed": "Failed",
+}
+
 # The states a run may go to from each state.
 NEXT_STATES = {
     "Pending": ("Running", "Cancelled"),
@@ -109,15 +116,30 @@ def current_state(
 ) -> DataFrame:
     """Each run's state from its events.
 
-    The last event by time (then sequence) gives the status. Everything is a
-    maximum, so a run with a third of the events still reduces inside each task.
+    An event sets the status, or (status NULL) reports ``progress`` and ``message``.
+    The last event by time, then sequence, that sets a value gives it. Everything is
+    a maximum, so a run with a third of the events still reduces inside each task.
     """
     order = F.struct(at, sequence)
+    status = F.col("status")
+    reported = {c: F.col(c) if c in events.columns else F.lit(None) for c in ("progress", "message")}
+    progress = F.when(status == "Running", 0).when(status == "Completed", 100)
+    progress = F.coalesce(progress, reported["progress"].cast("int"))
+    message = F.coalesce(
+        *[F.when(status == s, text) for s, text in STATUS_MESSAGES.items()],
+        reported["message"].cast("string"),
+    )
+
+    def last(value: Column) -> Column:
+        return F.max_by(value, F.when(value.isNotNull(), order))
+
     return events.groupBy(run).agg(
-        F.max_by("status", order).alias("status"),
+        last(status).alias("status"),
         F.min(at).alias("created_at"),
-        F.max(F.when(F.col("status") == "Running", F.col(at))).alias("started_at"),
-        F.max(F.when(is_finished(F.col("status")), F.col(at))).alias("completed_at"),
+        F.max(F.when(status == "Running", F.col(at))).alias("started_at"),
+        F.max(F.when(is_finished(status), F.col(at))).alias("completed_at"),
+        last(progress).alias("progress"),
+        last(message).alias("progress_message"),
         F.count(F.lit(1)).alias("n_events"),
     )
 
@@ -125,8 +147,9 @@ def current_state(
 def illegal_transitions(
     events: DataFrame, run: str = "run_id", at: str = "ts", sequence: str = "event_id"
 ) -> DataFrame:
-    """Events whose status can't follow the run's status before."""
-    steps = with_previous(events, run, [at, sequence], "status", "previous_status")
+    """Events whose status can't follow the run's status before; progress reports don't count."""
+    changes = events.where(F.col("status").isNotNull())
+    steps = with_previous(changes, run, [at, sequence], "status", "previous_status")
     legal = F.lit(False)
     for before, after in NEXT_STATES.items():
         legal = legal | ((F.col("previous_status") == before) & F.col("status").isin(*after))

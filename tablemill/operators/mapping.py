@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Collection, Mapping
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablemill.errors import RequestError
 from tablemill.functions.names import is_column_name, resolve
+from tablemill.functions.types import CHAR_METADATA
 
 
 def _source_columns(df: DataFrame, mappings: Mapping[str, str]) -> dict[str, str]:
@@ -67,6 +69,17 @@ def usable_fields(
     return kept, warnings
 
 
+def _fitted(value: Column, field: T.StructField) -> Column:
+    """The value as the field's type; text longer than a declared length is an error."""
+    text = value.cast(field.dataType)
+    declared = re.search(r"\((\d+)\)", field.metadata.get(CHAR_METADATA, ""))
+    if declared is None:
+        return text
+    message = f"Text too long for column '{field.name}': more than {declared.group(1)} characters"
+    too_long = F.length(text) > int(declared.group(1))
+    return F.when(too_long, F.raise_error(F.lit(message)).cast("string")).otherwise(text)
+
+
 def conform(df: DataFrame, target: T.StructType) -> DataFrame:
     """Give ``df`` the target's columns, order and types.
 
@@ -82,5 +95,5 @@ def conform(df: DataFrame, target: T.StructType) -> DataFrame:
     for f in target:
         source = by_name.get(f.name.lower())
         value = F.col(f"`{source}`") if source else F.lit(None)
-        columns.append(value.cast(f.dataType).alias(f.name))
+        columns.append(_fitted(value, f).alias(f.name))
     return df.select(*columns)

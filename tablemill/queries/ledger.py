@@ -74,6 +74,10 @@ def runs_status(spark, folder):
 SELECT run_id, arg_max(status, (ts, event_id)) AS status, min(ts) AS created_at,
        max(ts) FILTER (status = 'Running') AS started_at,
        max(ts) FILTER (status IN ('Completed', 'Failed', 'Cancelled')) AS completed_at,
+       arg_max(CASE status WHEN 'Running' THEN 0 ELSE 100 END, (ts, event_id))
+         FILTER (status IN ('Running', 'Completed')) AS progress,
+       arg_max(CASE status WHEN 'Running' THEN 'Processing started' ELSE status END, (ts, event_id))
+         FILTER (status IN ('Running', 'Completed', 'Failed')) AS progress_message,
        count(*) AS n_events
 FROM ({EVENTS}) e GROUP BY run_id
 """

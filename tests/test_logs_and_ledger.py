@@ -134,12 +134,25 @@ EVENT_COLUMNS = "run_id string, event_id int, ts timestamp_ntz, status string"
 def test_current_state(spark):
     got = ledger.current_state(spark.createDataFrame(EVENTS, EVENT_COLUMNS))
     assert rows(got) == [
-        ("a", "Running", at(0), at(3), at(2), 4),
-        ("b", "Failed", at(0), at(0), at(0), 2),
-        ("c", "Cancelled", at(0), None, at(1), 2),
+        ("a", "Running", at(0), at(3), at(2), 0, "Processing started", 4),
+        ("b", "Failed", at(0), at(0), at(0), 0, "Failed", 2),
+        ("c", "Cancelled", at(0), None, at(1), None, None, 2),
     ]
 
 
+def test_progress_reports(spark):
+    events = [
+        ("a", 1, at(0), "Pending", None, None),
+        ("a", 2, at(1), "Running", None, None),
+        ("a", 3, at(2), None, 40, "reading"),
+        ("a", 4, at(3), None, None, "still reading"),
+    ]
+    df = spark.createDataFrame(events, EVENT_COLUMNS + ", progress int, message string")
+    got = ledger.current_state(df).select("status", "progress", "progress_message")
+    assert rows(got) == [("Running", 40, "still reading")]
+    assert ledger.illegal_transitions(df).count() == 0
+
+
 def test_illegal_transitions(spark):
     got = ledger.illegal_transitions(spark.createDataFrame(EVENTS, EVENT_COLUMNS))
     assert rows(got.select("event_id", "previous_status", "status")) == [

@@ -33,6 +33,15 @@ def test_conform_casts_and_raises_on_overflow(spark):
         mapping.conform(spark.sql("SELECT 1000 AS a"), target).collect()
 
 
+def test_text_longer_than_declared_fails_the_load(spark, base, name):
+    spark.sql(f"CREATE TABLE {name} (Id int, Name varchar(3)) USING parquet LOCATION '{base}/x'")
+    assert transfer(spark, users(spark, (1, "abc"), (2, None)), name).ok
+    for options in (TransferOptions(), TransferOptions(truncate=True)):
+        result = transfer(spark, users(spark, (3, "abcd")), name, options)
+        assert not result.ok and "too long" in result.error.lower()
+    assert rows(spark.table(name)) == [(1, "abc"), (2, None)]
+
+
 def test_create_append_truncate(spark, base, name):
     options = TransferOptions(create_if_missing=True, base=base)
     first = transfer(spark, users(spark, (1, "a"), (2, None)), name, options)
