@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
@@ -44,7 +45,7 @@ def run(target: str, body: Callable[[RunResult], None]) -> RunResult:
     started = time.monotonic()
     try:
         body(result)
-    except (RequestError, PySparkException) as exc:
+    except (RequestError, PySparkException, Py4JJavaError) as exc:
         result.error = str(exc)
     result.elapsed_ms = int((time.monotonic() - started) * 1000)
     return result

@@ -33,32 +33,39 @@ def column_inventory(
     for name, df in tables.items():
         keys = {k.lower() for k in (primary_keys or {}).get(name, ())}
         identity = (identities or {}).get(name, "").lower()
-        columns = []
-        for ordinal, field in enumerate(df.schema, start=1):
-            value = F.col(f"`{field.name}`")
-            is_text = isinstance(field.dataType, T.StringType)
-            longest = F.max(F.length(value)).cast("long") if is_text else F.lit(None).cast("long")
-            columns.append(
-                F.struct(
-                    F.lit(ordinal).alias("ordinal"),
-                    F.lit(field.name).alias("column_name"),
-                    F.lit(field.dataType.simpleString()).alias("data_type"),
-                    longest.alias("max_length"),
-                    F.count_if(value.isNull()).alias("n_null"),
-                    F.lit(field.name.lower() in keys).alias("is_primary_key"),
-                    F.lit(field.name.lower() == identity).alias("is_identity"),
-                )
+        structs = [
+            _column_facts(
+                ordinal, field, field.name.lower() in keys, field.name.lower() == identity
             )
-        parts.append(
-            df.agg(F.array(*columns).alias("c")).select(
-                F.lit(schema_name).alias("schema_name"),
-                F.lit(name).alias("table_name"),
-                F.inline("c"),
-            )
-        )
+            for ordinal, field in enumerate(df.schema, start=1)
+        ]
+        found = df.agg(F.expr(f"array({', '.join(structs)})").alias("c"))
+        where = F.lit(schema_name).alias("schema_name"), F.lit(name).alias("table_name")
+        parts.append(found.select(*where, F.inline("c")))
     return reduce(DataFrame.unionAll, parts).orderBy("schema_name", "table_name", "ordinal")
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _column_facts(ordinal: int, field: T.StructField, is_key: bool, is_identity: bool) -> str:
+    """SQL of one column's inventory row: one expression to hand over, not one per value."""
+    value = "`" + field.name.replace("`", "``") + "`"
+    is_text = isinstance(field.dataType, T.StringType)
+    longest = f"CAST(max(length({value})) AS BIGINT)" if is_text else "CAST(NULL AS BIGINT)"
+    facts = {
+        "ordinal": str(ordinal),
+        "column_name": _text(field.name),
+        "data_type": _text(field.dataType.simpleString()),
+        "max_length": longest,
+        "n_null": f"count_if({value} IS NULL)",
+        "is_primary_key": str(is_key).lower(),
+        "is_identity": str(is_identity).lower(),
+    }
+    return f"named_struct({', '.join(f'{_text(k)}, {v}' for k, v in facts.items())})"
+
+
 def database_inventory(
     spark: SparkSession, database: str, include_columns: bool = True
 ) -> tuple[DataFrame, DataFrame | None]:

@@ -82,7 +82,9 @@ def path_is_logged(path: Column, excluded: Sequence[str] = EXCLUDED_PATHS) -> Co
 
 def truncated(text: Column, limit: int = MAX_BODY_LENGTH, mark: str = BODY_MARK) -> Column:
     """The first ``limit`` characters and a mark, for longer text."""
-    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(mark))).otherwise(text)
+    # Not when/otherwise: outside a branch, a costly text is computed once for both uses.
+    tail = F.when(F.length(text) > limit, mark).otherwise("")
+    return F.concat(F.substring(text, 1, limit), tail)
 
 
 def client_ip(headers: Column, remote_address: Column) -> Column:
@@ -111,15 +113,20 @@ def _filled(text: Column) -> Column:
 
 
 def _line_body(body: Column) -> Column:
-    one_line = F.regexp_replace(body, "\r\n|\n|\r", " ")
-    return truncated(one_line, MAX_LINE_BODY_LENGTH, LINE_MARK)
+    # A line break is at most two characters and becomes one, so these are enough
+    # to give the line's characters and to tell that there are more.
+    line = F.substring(body, 1, 2 * MAX_LINE_BODY_LENGTH + 1)
+    for line_break in ("\r\n", "\n", "\r"):
+        line = F.replace(line, F.lit(line_break), F.lit(" "))
+    return truncated(line, MAX_LINE_BODY_LENGTH, LINE_MARK)
 
 
 def text_line(df: DataFrame) -> Column:
     """One text line per record; empty parts are left out."""
 
     def part(label: str, name: str, shown: Column) -> Column:
-        return F.when(_filled(df[name]), F.concat(F.lit(label), shown)).otherwise("")
+        head = F.when(_filled(df[name]), label).otherwise("")
+        return F.concat(head, F.coalesce(shown, F.lit("")))
 
     def shown(name: str) -> Column:
         return F.coalesce(df[name].cast("string"), F.lit(""))

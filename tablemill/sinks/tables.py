@@ -108,8 +108,13 @@ def snapshot_path(spark: SparkSession, name: str, tag: str | None = None) -> str
 
 
 def write_snapshot(df: DataFrame, path: str, max_records_per_file: int | None = None) -> None:
+    """Write new content; what a failed write left is removed."""
     require_columns(df.columns)
-    df.write.option("maxRecordsPerFile", str(max_records_per_file or 0)).parquet(path)
+    try:
+        df.write.option("maxRecordsPerFile", str(max_records_per_file or 0)).parquet(path)
+    except Exception:
+        delete_path(df.sparkSession, path)
+        raise
 
 
 def publish(spark: SparkSession, name: str, path: str) -> None:

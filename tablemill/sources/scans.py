@@ -8,7 +8,11 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tablemill.errors import RequestError
-from tablemill.operators.documents import infer_document_schema
+from tablemill.operators.documents import (
+    DocumentOptions,
+    infer_document_schema,
+    read_documents,
+)
 from tablemill.operators.query import parameterized
 
 
@@ -49,15 +53,20 @@ def record_scan(
     """Ragged JSON records as columns.
 
     The columns are the declared ``schema``, or the keys of the first record by
-    ``ordinal``, typed over all records. A missing key is NULL, an extra one is left out.
+    ``ordinal``, typed over all records: nested values, and values whose type differs
+    between records, are text. A missing key is NULL, an extra one is left out.
     """
-    if schema is None:
-        if ordinal is None:
-            raise RequestError("record_scan needs a schema or an ordinal column")
-        names = record_columns(df, json_col, ordinal)
-        seen = {f.name: f.dataType for f in infer_document_schema(df, json_col)}
-        schema = T.StructType([T.StructField(n, seen.get(n, T.StringType())) for n in names])
-    if not schema.fields:
+    if schema is not None:
+        return df.select(F.from_json(json_col, schema).alias("r")).select("r.*")
+    if ordinal is None:
+        raise RequestError("record_scan needs a schema or an ordinal column")
+    names = record_columns(df, json_col, ordinal)
+    if not names:
         return df.select().limit(0)
-    record = F.from_json(json_col, schema)
-    return df.select(record.alias("r")).select("r.*")
+    seen = {f.name: f for f in infer_document_schema(df, json_col)}
+    typed = T.StructType([seen[n] for n in names if n in seen])
+    read = read_documents(df, json_col, typed, DocumentOptions(flatten=False))
+    never_set = F.lit(None).cast("string")
+    return read.select(
+        *[F.col(f"`{n}`") if n in read.columns else never_set.alias(n) for n in names]
+    )

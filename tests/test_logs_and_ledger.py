@@ -64,6 +64,16 @@ def test_paths_headers_and_truncation(spark):
     assert tuple(got.first()) == ({"Host": "h"}, "abcde... [truncated]", "abcdef")
 
 
+@pytest.mark.parametrize("n", [498, 499, 500, 501, 999, 1000, 1001, 1002, 3000])
+@pytest.mark.parametrize("unit", ["x", "\r\n", "\r", "y\r\n"])
+def test_line_body_is_cut_after_breaks_are_replaced(spark, n, unit):
+    body = (unit * n)[:n]
+    flat = body.replace("\r\n", " ").replace("\n", " ").replace("\r", " ")
+    want = flat if len(flat) <= 500 else flat[:500] + "..."
+    df = spark.createDataFrame([(body,)], "b string")
+    assert df.select(logs._line_body(F.col("b"))).first()[0] == want
+
+
 def test_scrub_masks_before_it_cuts(spark):
     body = '{"password":"hunter2","pad":"' + "x" * 12000 + '"}'
     df = spark.createDataFrame(

@@ -116,3 +116,9 @@ def test_database_inventory(spark, base):
     assert rows(found) == [("inv", "t", 0)]
     assert columns.count() == 1
     assert catalog.database_inventory(spark, "inv", include_columns=False)[1] is None
+
+
+def test_inventory_of_odd_column_names(spark):
+    df = spark.createDataFrame([("x", 1)], ["it's `q` \\ \"d\"", "b"])
+    got = catalog.column_inventory({"t": df}).collect()
+    assert got[0]["column_name"] == "it's `q` \\ \"d\"" and got[0]["max_length"] == 1

@@ -40,6 +40,7 @@ def test_text_longer_than_declared_fails_the_load(spark, base, name):
         result = transfer(spark, users(spark, (3, "abcd")), name, options)
         assert not result.ok and "too long" in result.error.lower()
     assert rows(spark.table(name)) == [(1, "abc"), (2, None)]
+    assert list_path(spark, f"{base}/x-snapshots") == []
 
 
 def test_create_append_truncate(spark, base, name):
@@ -157,6 +158,16 @@ def test_null_and_fill_columns_of_first_record(spark):
     assert got.columns == ["b", "a"] and rows(got) == [(None, 1), ("x", None)]
 
 
+def test_record_values_of_several_kinds(spark):
+    texts = ['{"m":1,"n":{"x": 1},"l":[1, 2],"d":1.5,"bad name":1}', '{"m":"x","d":2}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, js string")
+    got = record_scan(df, "js", "i")
+    assert got.dtypes == [
+        ("m", "string"), ("n", "string"), ("l", "string"), ("d", "double"), ("bad name", "bigint"),
+    ]
+    assert rows(got) == [("1", '{"x":1}', "[1,2]", 1.5, 1), ("x", None, None, 2.0, None)]
+
+
 def test_sync_refuses_odd_names(spark, base, name):
     transfer(spark, users(spark, (1, "a")), name, TransferOptions(create_if_missing=True, base=base))
     odd = spark.sql("SELECT 1 AS Id, 2 AS `bad name`")
