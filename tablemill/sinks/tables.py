@@ -10,8 +10,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from tablemill.errors import RequestError
 from tablemill.functions.names import quoted, require_columns, require_table_name
@@ -134,7 +135,10 @@ def replace(
     path = snapshot_path(spark, name, tag)
     write_snapshot(df, path, max_records_per_file)
     if partition_columns(spark, name):
-        _move_in(spark.read.schema(df.schema).parquet(path), name, "static")
+        done = spark.read.schema(df.schema).parquet(path)
+        gone = _partitions_only_in(spark.table(name), done, partition_columns(spark, name))
+        _move_in(done, name)
+        _drop_partitions(spark, name, gone)
         delete_path(spark, path)
     else:
         publish(spark, name, path)
@@ -148,23 +152,43 @@ def replace_partitions(df: DataFrame, name: str) -> None:
         raise RequestError(f"Table '{name}' has no partition columns")
     path = snapshot_path(spark, name)
     write_snapshot(df, path)
-    _move_in(spark.read.schema(df.schema).parquet(path), name, "dynamic")
+    _move_in(spark.read.schema(df.schema).parquet(path), name)
     delete_path(spark, path)
 
 
-def _move_in(df: DataFrame, name: str, mode: str) -> None:
-    """Overwrite partitions of a table with finished rows.
+def _move_in(df: DataFrame, name: str) -> None:
+    """Overwrite the partitions that finished rows belong to.
 
     The catalog lists partitions one by one, so they can't all switch at once.
     The rows are finished beside the table first: what can fail has run by then,
     and a run broken off in between gives the same table when repeated.
     """
     spark = df.sparkSession
-    with _setting(spark, "spark.sql.sources.partitionOverwriteMode", mode):
+    with _setting(spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
         rows = arranged(df.select(*spark.table(name).columns), name)
         rows.write.mode("overwrite").insertInto(name)
 
 
+def _partitions_only_in(old: DataFrame, new: DataFrame, columns: list[str]) -> list[Row]:
+    """Partition values, as text, that ``old`` has and ``new`` has not."""
+    left, right = old.select(*columns).distinct(), new.select(*columns).distinct()
+    same = reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
+    gone = left.join(right, same, "left_anti")
+    return gone.select(*[F.col(c).cast("string").alias(c) for c in columns]).collect()
+
+
+def _drop_partitions(spark: SparkSession, name: str, partitions: list[Row]) -> None:
+    def value(text: str | None) -> str:
+        return "NULL" if text is None else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    specs = [
+        "PARTITION (" + ", ".join(f"{quoted(c)} = {value(v)}" for c, v in p.asDict().items()) + ")"
+        for p in partitions
+    ]
+    if specs:
+        spark.sql(f"ALTER TABLE {quoted(name)} DROP IF EXISTS {', '.join(specs)}")
+
+
 def remove_old_snapshots(spark: SparkSession, name: str, keep: int = KEPT_SNAPSHOTS) -> list[str]:
     """Delete snapshots the table no longer points at, but for the newest ``keep``."""
     current = table_location(spark, name).rstrip("/").rpartition("/")[2]

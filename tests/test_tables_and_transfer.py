@@ -122,6 +122,20 @@ def test_partitioned_table_keeps_partitions_on_append_and_replace(spark, base, n
     assert rows(spark.table(name)) == [(2, "y")]
 
 
+def test_partitions_without_new_rows_go(spark, base, name):
+    data = [(1, "it's", 1), (2, None, 1), (3, "a b", 2), (4, "z", 2), (5, "z", 3)]
+    df = spark.createDataFrame(data, "k int, p string, q int")
+    options = TransferOptions(create_if_missing=True, base=base, partition_by=["p", "q"])
+    assert transfer(spark, df, name, options).ok
+    change = spark.createDataFrame([(9, "z", 2)], "k int, p string, q int")
+    result = transfer(spark, change, name, TransferOptions(truncate=True))
+    assert result.ok, result.error
+    assert rows(spark.table(name)) == [(9, "z", 2)]
+    assert len(spark.sql(f"SHOW PARTITIONS {name}").collect()) == 1
+    assert transfer(spark, change.where("k < 0"), name, TransferOptions(truncate=True)).ok
+    assert spark.table(name).count() == 0
+
+
 def test_row_changes(spark, base, name):
     df = spark.createDataFrame([(1, 5), (2, None), (3, 50)], "k int, n int")
     transfer(spark, df, name, TransferOptions(create_if_missing=True, base=base))
