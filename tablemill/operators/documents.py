@@ -128,21 +128,22 @@ def schema_of_parsed(df: DataFrame) -> T.StructType:
     return _as_struct(df.agg(F.schema_of_variant_agg(DOC).alias("s")).first()["s"])
 
 
-# Extended-JSON wrappers: a document with this one field stands for a value.
-WRAPPERS = (
-    "$oid",
-    "$date",
-    "$numberInt",
-    "$numberLong",
-    "$numberDouble",
-    "$numberDecimal",
-    "$binary",
-    "$timestamp",
-)
+# Extended-JSON wrappers: a document with one such field stands for a value of this
+# type. The value of any other field that starts with $ is kept as text.
+WRAPPERS = {
+    "$oid": "string",
+    "$date": "timestamp_ntz",
+    "$numberInt": "int",
+    "$numberLong": "bigint",
+    "$numberDouble": "double",
+    "$numberDecimal": DOCUMENT_DECIMAL.simpleString(),
+    "$binary": "binary",
+    "$timestamp": "timestamp_ntz",
+}
 
 
 def _wrapper(dt: T.DataType) -> str | None:
-    if isinstance(dt, T.StructType) and len(dt) == 1 and dt[0].name in WRAPPERS:
+    if isinstance(dt, T.StructType) and len(dt) == 1 and dt[0].name.startswith("$"):
         return dt[0].name
     return None
 
@@ -156,8 +157,6 @@ def _utc(instant: Column) -> Column:
 
 def _unwrapped(value: Column, wrapper: str) -> Column:
     """The value a wrapper's text stands for; NULL where the text doesn't convert."""
-    if wrapper == "$oid":
-        return value
     if wrapper == "$date":
         millis = F.get_json_object(value, "$.$numberLong").try_cast("bigint")
         return _utc(F.coalesce(value.try_cast("timestamp"), F.timestamp_millis(millis)))
@@ -165,13 +164,7 @@ def _unwrapped(value: Column, wrapper: str) -> Column:
         return F.try_to_binary(F.get_json_object(value, "$.base64"), F.lit("base64"))
     if wrapper == "$timestamp":
         return _utc(F.timestamp_seconds(F.get_json_object(value, "$.t").try_cast("bigint")))
-    numbers = {
-        "$numberInt": T.IntegerType(),
-        "$numberLong": T.LongType(),
-        "$numberDouble": T.DoubleType(),
-        "$numberDecimal": DOCUMENT_DECIMAL,
-    }
-    return value.try_cast(numbers[wrapper])
+    return value.try_cast(WRAPPERS.get(wrapper, "string"))
 
 
 def _read_type(dt: T.DataType, options: DocumentOptions) -> T.DataType | None:
@@ -331,7 +324,8 @@ def inferred_columns(
             elif isinstance(dt, T.ArrayType):
                 rows[name] = dt.elementType.simpleString()
             else:
-                rows[name] = "string" if _wrapper(dt) == "$oid" else dt.simpleString()
+                wrapper = _wrapper(dt)
+                rows[name] = WRAPPERS.get(wrapper, "string") if wrapper else dt.simpleString()
 
     walk(schema, "")
     kept, warnings = usable_fields(

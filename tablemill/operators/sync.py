@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablemill.errors import RequestError
 from tablemill.functions.names import resolve
@@ -22,6 +22,9 @@ from tablemill.operators.mapping import conform, rename_mapped
 
 MATCHED = "__matched"
 
+# Key column -> (smallest, largest) value.
+Bounds = Mapping[str, tuple]
+
 
 def resolve_keys(
     source: DataFrame, keys: Sequence[str], mappings: Mapping[str, str] | None = None
@@ -85,29 +88,77 @@ def _distinct_keys(source: DataFrame, keys: Sequence[str], collation: str | None
     return found.groupBy(*groups).agg(*first).select(*keys)
 
 
+def key_bounds(source: DataFrame, keys: Sequence[str]) -> Bounds:
+    """Smallest and largest source value of each key that has a plain order."""
+    plain = (T.IntegralType, T.DecimalType, T.DateType)
+    ordered = [
+        f.name
+        for f in source.schema
+        if f.name in keys and (isinstance(f.dataType, plain) or f.dataType == T.StringType())
+    ]
+    if not ordered:
+        return {}
+    found = source.where(~any_null(keys)).select(*ordered)
+    row = found.agg(
+        *[F.min(k).alias(f"lo{i}") for i, k in enumerate(ordered)],
+        *[F.max(k).alias(f"hi{i}") for i, k in enumerate(ordered)],
+    ).first()
+    pairs = {k: (row[f"lo{i}"], row[f"hi{i}"]) for i, k in enumerate(ordered)}
+    return {k: pair for k, pair in pairs.items() if pair[0] is not None}
+
+
+def _split(
+    target: DataFrame, keys: Sequence[str], bounds: Bounds | None, collation: str | None
+) -> tuple[DataFrame, DataFrame]:
+    """(rows that may match, rows that can't): the latter have a NULL key or one out of bounds.
+
+    Both tests are plain comparisons, which the scan checks against file statistics.
+    """
+    may, cannot = ~any_null(keys), any_null(keys)
+    for key, (lo, hi) in (bounds or {}).items():
+        value, data_type = F.col(f"`{key}`"), target.schema[key].dataType
+        if collation and data_type.typeName() == "string":
+            continue
+        low, high = F.lit(lo).cast(data_type), F.lit(hi).cast(data_type)
+        may = may & (value >= low) & (value <= high)
+        cannot = cannot | (value < low) | (value > high)
+    return target.where(may), target.where(cannot)
+
+
 def kept_rows(
-    target: DataFrame, source: DataFrame, keys: Sequence[str], key_collation: str | None = None
+    target: DataFrame,
+    source: DataFrame,
+    keys: Sequence[str],
+    key_collation: str | None = None,
+    bounds: Bounds | None = None,
 ) -> DataFrame:
     """Target rows that the source doesn't replace. Both sides use target names."""
     target_keys = [resolve(k, target.columns) for k in keys]
     wanted = _distinct_keys(source, target_keys, key_collation)
-    keyed = target.where(~any_null(target_keys))
-    kept = keyed.join(wanted, _match(keyed, wanted, target_keys, key_collation), "left_anti")
-    return kept.unionByName(target.where(any_null(target_keys)))
+    may, cannot = _split(target, target_keys, bounds, key_collation)
+    kept = may.join(wanted, _match(may, wanted, target_keys, key_collation), "left_anti")
+    return kept.unionByName(cannot)
 
 
 def flagged_rows(
-    target: DataFrame, source: DataFrame, keys: Sequence[str], key_collation: str | None = None
+    target: DataFrame,
+    source: DataFrame,
+    keys: Sequence[str],
+    key_collation: str | None = None,
+    bounds: Bounds | None = None,
 ) -> DataFrame:
-    """Every target row once, with ``MATCHED`` TRUE where the source replaces it, else NULL."""
+    """Every target row once, with ``MATCHED`` TRUE where the source replaces it, else NULL.
+
+    With ``bounds`` (from ``key_bounds`` of the source), rows outside them skip the
+    join and its shuffle. On a target written in key order that leaves most files alone.
+    """
     target_keys = [resolve(k, target.columns) for k in keys]
     wanted = _distinct_keys(source, target_keys, key_collation).withColumn(MATCHED, F.lit(True))
-    keyed = target.where(~any_null(target_keys))
-    on = _match(keyed, wanted, target_keys, key_collation)
-    columns = [keyed[c] for c in target.columns]
-    flagged = keyed.join(wanted, on, "left").select(*columns, wanted[MATCHED])
-    unkeyed = target.where(any_null(target_keys))
-    return flagged.unionByName(unkeyed.withColumn(MATCHED, F.lit(None).cast("boolean")))
+    may, cannot = _split(target, target_keys, bounds, key_collation)
+    on = _match(may, wanted, target_keys, key_collation)
+    columns = [may[c] for c in target.columns]
+    flagged = may.join(wanted, on, "left").select(*columns, wanted[MATCHED])
+    return flagged.unionByName(cannot.withColumn(MATCHED, F.lit(None).cast("boolean")))
 
 
 def delete_insert(

@@ -113,8 +113,10 @@ def _apply(
         by_key = columns and all(resolve(c, keys) for c in columns)
         touched = _touched(staged, columns) if by_key else None
         before = current if touched is None else current.where(touched)
+        names = [resolve(k, current.columns) for k in keys]
+        bounds = ops.key_bounds(staged, names)
         flagged, seen = counted(
-            ops.flagged_rows(before, staged, keys, options.key_collation),
+            ops.flagged_rows(before, staged, names, options.key_collation, bounds),
             deleted=F.count(ops.MATCHED),
         )
         kept = flagged.where(F.col(ops.MATCHED).isNull()).drop(ops.MATCHED)

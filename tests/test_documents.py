@@ -156,6 +156,13 @@ def test_typed_wrappers(spark, zone):
     assert bytes(row["b"]) == b"hi"
 
 
+def test_other_wrappers_are_text(spark):
+    df = docs(spark, '{"u":{"$uuid":"c0ffee"},"k":{"$maxKey":1},"d":{"$date":"2024-01-01T00:00:00Z"}}')
+    assert flat(df.select("js"), exclude_fields=["d"]) == (["k", "u"], [("1", "c0ffee")])
+    columns, _ = ops.inferred_columns(ops.infer_document_schema(df, "js"))
+    assert columns == [("d", "timestamp_ntz"), ("k", "string"), ("u", "string")]
+
+
 def test_flatten_of_struct_columns(spark):
     df = spark.sql("SELECT named_struct('x', 1, 'y', array(1, 2)) AS s, map('k', 1) AS m")
     assert rows(ops.flatten(df)) == [(1, "[1,2]", '{"k":1}')]

@@ -26,6 +26,8 @@ def test_sync_equals_its_model(spark, target, source):
     kept = [r for r in target if r[0] not in source_keys]
     out = ops.delete_insert(t, s, ["k"])
     assert rows(out) == by_row(kept + source)
+    bounds = ops.key_bounds(s, ["k"])
+    assert rows(ops.kept_rows(t, s, ["k"], bounds=bounds)) == by_row(kept)
     counts = ops.sync_counts(t, s, ["k"]).first()
     assert counts["rows_deleted"] == len(target) - len(kept)
     assert counts["rows_after"] == len(kept) + len(source)

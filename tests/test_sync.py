@@ -165,6 +165,30 @@ def test_plan_is_an_anti_join_with_pushdown(spark, tmp_path):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+def test_bounds_change_the_plan_not_the_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    data = [(i, f"n{i:03d}") for i in range(100)] + [(None, "n050"), (40, None), (45, "zzz")]
+    frame(spark, data).write.parquet(path)
+    t = spark.read.parquet(path)
+    s = frame(spark, [(40, "n040"), (45, "n045"), (60, "n060"), (None, "n001"), (200, "n200")])
+    bounds = ops.key_bounds(s, ["k", "v"])
+    assert bounds == {"k": (40, 200), "v": ("n040", "n200")}
+    for keys in (["k"], ["v"], ["k", "v"]):
+        b = ops.key_bounds(s, keys)
+        plain = ops.flagged_rows(t, s, keys)
+        assert rows(ops.flagged_rows(t, s, keys, bounds=b)) == rows(plain)
+        assert rows(ops.kept_rows(t, s, keys, bounds=b)) == rows(
+            plain.where(f"{ops.MATCHED} IS NULL").drop(ops.MATCHED)
+        )
+        loose = ops.flagged_rows(t, s, keys, "UTF8_LCASE", b)
+        assert rows(loose) == rows(ops.flagged_rows(t, s, keys, "UTF8_LCASE"))
+    text = plan_of(ops.kept_rows(t, s, ["k"], bounds=ops.key_bounds(s, ["k"])))
+    assert "GreaterThanOrEqual(k,40), LessThanOrEqual(k,200)" in text
+    assert "Or(Or(IsNull(k),LessThan(k,40)),GreaterThan(k,200))" in text
+    assert ops.key_bounds(frame(spark, [(None, "a")]), ["k"]) == {}
+    assert ops.key_bounds(spark.sql("SELECT 1.5D AS k"), ["k"]) == {}
+
+
 SMALL_SKEW = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
