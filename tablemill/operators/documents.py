@@ -150,9 +150,8 @@ def _wrapper(dt: T.DataType) -> str | None:
 
 def _utc(instant: Column) -> Column:
     """An instant as UTC wall-clock time, whatever the session's zone."""
-    seconds = (F.unix_micros(instant) / F.lit(1000000).cast("decimal(7,0)")).cast("decimal(18,6)")
     epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
-    return epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), epoch)
 
 
 def _unwrapped(value: Column, wrapper: str) -> Column:

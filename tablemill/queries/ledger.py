@@ -34,7 +34,7 @@ def _runs(spark, folder):
     runs = sql(spark, folder, RUNS)
     ended = F.when(
         ops.is_finished(F.col("status")),
-        F.timestamp_add("MILLISECOND", F.col("ms").cast("int"), F.col("started_at")),
+        F.timestamp_add("MILLISECOND", F.col("ms"), F.col("started_at")),
     )
     return runs.withColumn("completed_at", ended).drop("ms")
 
