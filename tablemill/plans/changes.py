@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -25,22 +26,48 @@ def insert_rows(spark: SparkSession, target: str, rows: DataFrame) -> RunResult:
 def update_rows(
     spark: SparkSession, target: str, assignments: Mapping[str, Column], where: Column
 ) -> RunResult:
-    """Rewrite the table with the update; ``rows_written`` is the rows it changed."""
+    """Set columns where the predicate is TRUE; ``rows_written`` is the rows changed."""
 
     def body(result: RunResult) -> None:
-        before, seen = counted(spark.table(target), affected=F.count_if(where))
-        tables.replace(query.updated(before, assignments, where), target)
-        result.rows_read = seen.get["rows"]
-        result.rows_written = seen.get["affected"]
+        moves = {c.lower() for c in assignments} & {
+            c.lower() for c in tables.partition_columns(spark, target)
+        }
+        change = partial(query.updated, assignments=assignments, where=where)
+        result.rows_written = _rewrite(spark, target, where, change, result, narrow=not moves)
 
     return run(target, body)
 
 
 def delete_rows(spark: SparkSession, target: str, where: Column) -> RunResult:
+    """Delete where the predicate is TRUE."""
+
     def body(result: RunResult) -> None:
-        before, seen = counted(spark.table(target), affected=F.count_if(where))
-        tables.replace(query.deleted(before, where), target)
-        result.rows_read = seen.get["rows"]
-        result.rows_deleted = seen.get["affected"]
+        change = partial(query.deleted, where=where)
+        result.rows_deleted = _rewrite(spark, target, where, change, result, narrow=True)
 
     return run(target, body)
+
+
+def _rewrite(
+    spark: SparkSession,
+    target: str,
+    where: Column,
+    change: Callable[[DataFrame], DataFrame],
+    result: RunResult,
+    narrow: bool,
+) -> int:
+    """Rewrite the table, or just the partitions with affected rows; the affected rows.
+
+    ``rows_read`` counts the rows rewritten or looked at to that end.
+    """
+    table = spark.table(target)
+    columns = tables.partition_columns(spark, target)
+    touched = tables.touched_partitions(table.where(where), columns) if columns and narrow else None
+    before = table if touched is None else table.where(touched)
+    seen_rows, seen = counted(before, affected=F.count_if(where))
+    if touched is None:
+        tables.replace(change(seen_rows), target)
+    else:
+        tables.replace_partitions(change(seen_rows), target, scope=before)
+    result.rows_read = seen.get["rows"]
+    return seen.get["affected"]

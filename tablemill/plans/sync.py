@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablemill.errors import RequestError
 from tablemill.functions.names import require_columns, require_table_name, resolve
@@ -18,10 +17,6 @@ from tablemill.session import delete_path, work_path
 from tablemill.sinks import tables
 from tablemill.sources.scans import query_scan
 
-# A source that touches more partitions than this rewrites the whole table.
-MAX_NARROW_PARTITIONS = 500
-
-
 @dataclass(frozen=True)
 class SyncOptions:
     column_mappings: Mapping[str, str] | None = None
@@ -32,18 +27,6 @@ class SyncOptions:
     max_records_per_file: int | None = None
 
 
-def _is_partition(columns: Sequence[str], row) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(row[c])) for c in columns])
-
-
-def _touched(staged: DataFrame, columns: Sequence[str]) -> Column | None:
-    """Test for the partitions the source has rows in; None when there are many."""
-    rows = staged.select(*columns).distinct().limit(MAX_NARROW_PARTITIONS + 1).collect()
-    if len(rows) > MAX_NARROW_PARTITIONS:
-        return None
-    return reduce(lambda a, b: a | b, [_is_partition(columns, r) for r in rows])
-
-
 def sync_table(
     spark: SparkSession,
     source: str | DataFrame,
@@ -111,7 +94,7 @@ def _apply(
     else:
         columns = tables.partition_columns(spark, target)
         by_key = columns and all(resolve(c, keys) for c in columns)
-        touched = _touched(staged, columns) if by_key else None
+        touched = tables.touched_partitions(staged, columns) if by_key else None
         before = current if touched is None else current.where(touched)
         names = [resolve(k, current.columns) for k in keys]
         bounds = ops.key_bounds(staged, names)

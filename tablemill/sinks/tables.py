@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from tablemill.errors import RequestError
 from tablemill.functions.names import quoted, require_columns, require_table_name
@@ -24,6 +24,9 @@ SNAPSHOT = "snapshot-"
 # Replaced snapshots kept for readers that still use them.
 KEPT_SNAPSHOTS = 1
 
+# A change to more partitions than this rewrites the whole table.
+MAX_NAMED_PARTITIONS = 500
+
 
 def table_exists(spark: SparkSession, name: str) -> bool:
     require_table_name(name)
@@ -145,14 +148,33 @@ def replace(
         remove_old_snapshots(spark, name)
 
 
-def replace_partitions(df: DataFrame, name: str) -> None:
-    """Replace the partitions that ``df`` has rows for; leave the others."""
+def touched_partitions(rows: DataFrame, columns: Sequence[str]) -> Column | None:
+    """Test for the partitions that ``rows`` are in; None when there are too many to name."""
+    found = rows.select(*columns).distinct().limit(MAX_NAMED_PARTITIONS + 1).collect()
+    if len(found) > MAX_NAMED_PARTITIONS:
+        return None
+    tests = [
+        reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(row[c])) for c in columns])
+        for row in found
+    ]
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def replace_partitions(df: DataFrame, name: str, scope: DataFrame | None = None) -> None:
+    """Replace the partitions that ``df`` has rows for; leave the others.
+
+    Partitions of ``scope`` that ``df`` has no rows for any more are dropped.
+    """
     spark = df.sparkSession
-    if not partition_columns(spark, name):
+    columns = partition_columns(spark, name)
+    if not columns:
         raise RequestError(f"Table '{name}' has no partition columns")
     path = snapshot_path(spark, name)
     write_snapshot(df, path)
-    _move_in(spark.read.schema(df.schema).parquet(path), name)
+    done = spark.read.schema(df.schema).parquet(path)
+    gone = _partitions_only_in(scope, done, columns) if scope is not None else []
+    _move_in(done, name)
+    _drop_partitions(spark, name, gone)
     delete_path(spark, path)
 
 

@@ -106,6 +106,25 @@ def test_rolling_and_retention(spark, tmp_path):
     assert logs.retained(back, now, 0).count() == 96
 
 
+def test_hot_day_is_written_by_several_tasks(spark, tmp_path):
+    path = str(tmp_path / "log")
+    df = spark.range(0, 60000, 1, 8).selectExpr(
+        "id", "sha2(CAST(id AS STRING), 256) AS request_body",
+        "IF(id % 10 < 8, TIMESTAMP_NTZ'2024-01-01 00:00:00', TIMESTAMP_NTZ'2024-01-02 00:00:00') "
+        "AS timestamp",
+    )
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(setting, "300KB")
+    try:
+        logs.write_rolling(df, path)
+    finally:
+        spark.conf.unset(setting)
+    back = spark.read.parquet(path)
+    files = back.select("log_date", F.input_file_name().alias("f")).distinct()
+    by_day = {str(r["log_date"]): r["count"] for r in files.groupBy("log_date").count().collect()}
+    assert by_day["2024-01-01"] > 3 and back.count() == 60000
+
+
 def test_partition_drop(spark, base, name):
     spark.sql(
         f"CREATE TABLE {name} (id int, log_date date) USING parquet PARTITIONED BY (log_date) "

@@ -150,6 +150,31 @@ def test_row_changes(spark, base, name):
     assert "Unknown columns: zz" in bad.error
 
 
+def test_row_changes_rewrite_only_affected_partitions(spark, base, name):
+    data = [(1, "a", 5), (2, "a", 50), (3, "b", 50), (4, None, 50), (5, "c", None)]
+    df = spark.createDataFrame(data, "k int, p string, n int")
+    options = TransferOptions(create_if_missing=True, base=base, partition_by=["p"])
+    assert transfer(spark, df, name, options).ok
+
+    def files(p):
+        found = spark.table(name).where(F.col("p") == p).select(F.input_file_name()).distinct()
+        return {r[0] for r in found.collect()}
+
+    kept = files("c")
+    gone = delete_rows(spark, name, F.col("n") > 10)
+    assert gone.ok, gone.error
+    assert (gone.rows_read, gone.rows_deleted) == (4, 3)
+    assert rows(spark.table(name).select("k", "p", "n")) == [(1, "a", 5), (5, "c", None)]
+    assert files("c") == kept
+    up = update_rows(spark, name, {"n": F.lit(6)}, F.col("p") == "a")
+    assert up.ok and up.rows_written == 1 and files("c") == kept
+    nothing = delete_rows(spark, name, F.col("k") > 100)
+    assert nothing.ok and nothing.rows_deleted == 0
+    moved = update_rows(spark, name, {"p": F.lit("c")}, F.col("k") == 1)
+    assert moved.ok, moved.error
+    assert rows(spark.table(name).select("k", "p", "n")) == [(1, "c", 6), (5, "c", None)]
+
+
 RECORDS = ['{"Id":1,"Name":"a"}', '{"Id":2}', '{"Id":3,"Name":"c","X":9}']
 
 
