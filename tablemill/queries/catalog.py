@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from tablemill.operators import catalog as ops, keys
+from tablemill.operators.sync import duplicate_keys
 from tablemill.queries.registry import TABLES, query, table
 
 # Column types of the given tables, for the SQL twin of the column inventory.
@@ -185,12 +188,6 @@ def _held_sql(name: str, columns: str) -> str:
 )
 def declared_key(spark, folder):
     """Each table's declared key, and how many keys the data repeats."""
-    from functools import reduce
-
-    from pyspark.sql import DataFrame
-
-    from tablemill.operators.sync import duplicate_keys
-
     indexes = _indexes(spark)
     parts = []
     for name in ("orders", "lineitem", "customer"):

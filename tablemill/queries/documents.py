@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tablemill.operators import documents as ops
 from tablemill.operators.documents import DocumentOptions
 from tablemill.operators.pipelines import apply_pipeline, document_filter
-from tablemill.plans.documents import LoadOptions, load_documents, load_raw_json, raw_json_rows
+from tablemill.plans.documents import LoadOptions, load_documents, load_raw_json
 from tablemill.queries.registry import new_table, query, sql, table
 from tablemill.queries.sync import _checked
 from tablemill.session import work_path

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablemill.functions.masking import mask_connection_string, mask_json
+from tablemill.functions.names import column_name_ok, table_name_ok
 from tablemill.operators import requestlog as ops
 from tablemill.queries.registry import query, sql, table
 from tablemill.session import work_path
@@ -268,3 +269,30 @@ FROM (SELECT 'user id' AS field_name, count(*) AS n_documents FROM events
 )
 def field_name_audit(spark, folder):
     return ops.field_name_audit(sql(spark, folder, ODD_DOCS), "js")
+
+
+# Names found in the data, some of them valid.
+NAMES = """
+SELECT DISTINCT name FROM (
+  SELECT p_brand AS name FROM part UNION ALL SELECT p_type FROM part UNION ALL
+  SELECT p_name FROM part UNION ALL SELECT concat(p_type, '.', p_type) FROM part UNION ALL
+  SELECT concat(p_type, '_', p_size) FROM part UNION ALL
+  SELECT concat(p_size, p_type) FROM part UNION ALL SELECT repeat(p_type, 30) FROM part
+) n
+"""
+
+
+@query(
+    f"""
+SELECT name,
+  length(name) <= 128 AND regexp_full_match(name, '[a-zA-Z_][a-zA-Z0-9_]*') AS is_column,
+  length(name) <= 128
+    AND regexp_full_match(name, '[a-zA-Z_][a-zA-Z0-9_]*([.][a-zA-Z_][a-zA-Z0-9_]*)?') AS is_table
+FROM ({NAMES}) q
+"""
+)
+def name_rules(spark, folder):
+    name = F.col("name")
+    return sql(spark, folder, NAMES).select(
+        "name", column_name_ok(name).alias("is_column"), table_name_ok(name).alias("is_table")
+    )

@@ -259,3 +259,38 @@ def sync_run_metrics(spark, folder):
     row = (r.rows_read, r.rows_deleted, r.rows_inserted, r.rows_written)
     names = ("rows_read", "rows_deleted", "rows_inserted", "rows_written")
     return spark.createDataFrame([row], ", ".join(f"{n} bigint" for n in names))
+
+
+REFUSALS = [
+    ("unknown key", "Key column 'nope' not found in source query result"),
+    ("extra column", "Source columns not in target: extra"),
+    ("repeated keys", "Source has duplicate keys: l_orderkey, l_linenumber"),
+    ("null keys", "Source has NULL keys: l_orderkey"),
+    ("no keys", "No key columns given"),
+]
+_REFUSALS_SQL = ", ".join("('{}', '{}')".format(c, m.replace("'", "''")) for c, m in REFUSALS)
+
+
+@query(
+    f"""
+SELECT attempt, message, n_rows FROM (VALUES {_REFUSALS_SQL}) v(attempt, message),
+  (SELECT count(*) AS n_rows FROM lineitem) n
+"""
+)
+def sync_refusals(spark, folder):
+    """Syncs that must be refused, why, and the rows the target still has after each."""
+    target = _lake_copy(spark, folder, "lineitem")
+    lines = table(spark, folder, "lineitem")
+    unkeyed = lines.withColumn("l_orderkey", F.expr("nullif(l_orderkey, l_orderkey)"))
+    attempts = {
+        "unknown key": (lines, ["nope"], SyncOptions()),
+        "extra column": (lines.withColumn("extra", F.lit(1)), LINE_KEY, SyncOptions()),
+        "repeated keys": (lines, LINE_KEY, SyncOptions(unique_keys=True)),
+        "null keys": (unkeyed, ["l_orderkey"], SyncOptions(reject_null_keys=True)),
+        "no keys": (lines, [], SyncOptions()),
+    }
+    found = []
+    for attempt, (source, keys, options) in attempts.items():
+        result = sync_table(spark, source, target, keys, options)
+        found.append((attempt, result.error, spark.table(target).count()))
+    return spark.createDataFrame(found, "attempt string, message string, n_rows bigint")
