@@ -10,7 +10,7 @@ import json
 import re
 import sys
 from collections.abc import Callable
-from json.encoder import encode_basestring as _quote
+from json.encoder import encode_basestring, encode_basestring_ascii
 
 from pyspark import cloudpickle
 
@@ -60,6 +60,16 @@ _SIGNS = tuple(s.lower() for s in CONNECTION_SIGNS)
 _LITERALS = {None: "null", True: "true", False: "false"}
 
 
+_HALF_PAIR = re.compile("[\ud800-\udfff]")
+
+
+def _quote(text: str) -> str:
+    """A JSON string; half of a surrogate pair stays an escape, as UTF-8 has no form for it."""
+    if text.isascii() or not _HALF_PAIR.search(text):
+        return encode_basestring(text)
+    return encode_basestring_ascii(text)
+
+
 def _no_constant(name: str):
     raise ValueError(f"{name} is not JSON")
 
@@ -128,8 +138,8 @@ def flattened_names(text: str | None, separator: str = "_") -> list[str]:
     found: set[str] = set()
     try:
         node = json.loads(text) if text else None
+        if isinstance(node, dict):
+            _names(node, separator, "", found)
     except (ValueError, RecursionError):
         return []
-    if isinstance(node, dict):
-        _names(node, separator, "", found)
-    return sorted(found)
+    return sorted({name.encode("utf-8", "replace").decode() for name in found})

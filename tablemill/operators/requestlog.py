@@ -89,8 +89,8 @@ def truncated(text: Column, limit: int = MAX_BODY_LENGTH, mark: str = BODY_MARK)
 
 def client_ip(headers: Column, remote_address: Column) -> Column:
     """First address of X-Forwarded-For, else the remote address."""
-    lowered = F.transform_keys(headers, lambda name, _: F.lower(name))
-    return client_ip_of(F.try_element_at(lowered, F.lit("x-forwarded-for")), remote_address)
+    forwarded = F.map_filter(headers, lambda name, _: F.lower(name) == "x-forwarded-for")
+    return client_ip_of(F.get(F.map_values(forwarded), F.lit(0)), remote_address)
 
 
 def client_ip_of(forwarded: Column, remote_address: Column) -> Column:

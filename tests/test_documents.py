@@ -118,7 +118,8 @@ def test_sampled_schema_misses_late_fields(spark):
         ops.infer_document_schema(df, "js", sample_size=1)
 
 
-BAD = ["{broken", "[1,2]", '"s"', "", None, '{"a":1', "{'a':1}"]
+TOO_DEEP = '{"x":' * 5000 + "1" + "}" * 5000
+BAD = ["{broken", TOO_DEEP, "[1,2]", '"s"', "", None, '{"a":1', "{'a':1}"]
 
 
 def test_quarantine(spark):

@@ -66,6 +66,8 @@ BODIES = [
     ('{"p\\u0061ssword":"x"}', '{"password":"*** MASKED ***"}'),
     ('{"secret":1,"secret":2}', '{"secret":"*** MASKED ***","secret":"*** MASKED ***"}'),
     (' [1, {"apiKey":"k"}]', '[1,{"apiKey":"*** MASKED ***"}]'),
+    ('{"s":"\\ud800é","pwd":"\\udfff"}', '{"s":"\\ud800\\u00e9","pwd":"*** MASKED ***"}'),
+    ('{"s":"\\ud83d\\ude00"}', '{"s":"😀"}'),
     ("This is not JSON", None),
     ("{invalid json structure", None),
     ('{"password":"x"} tail', None),
