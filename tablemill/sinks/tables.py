@@ -148,9 +148,27 @@ def replace(
         remove_old_snapshots(spark, name)
 
 
+def _partition_values(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct partition values as the table keeps them: empty text is stored as NULL."""
+    kept = [
+        F.nullif(F.col(c), F.lit("")).alias(c) if t == "string" else F.col(c)
+        for c, t in rows.select(*columns).dtypes
+    ]
+    return rows.select(*kept).distinct()
+
+
+# Types whose values come to the driver and back unchanged, whatever the time zone.
+_NAMEABLE = (T.IntegralType, T.StringType, T.DateType, T.BooleanType)
+
+
 def touched_partitions(rows: DataFrame, columns: Sequence[str]) -> Column | None:
-    """Test for the partitions that ``rows`` are in; None when there are too many to name."""
-    found = rows.select(*columns).distinct().limit(MAX_NAMED_PARTITIONS + 1).collect()
+    """Test for the partitions that ``rows`` are in.
+
+    None when there are too many to name, or their type is none to name safely.
+    """
+    if not all(isinstance(f.dataType, _NAMEABLE) for f in rows.select(*columns).schema):
+        return None
+    found = _partition_values(rows, columns).limit(MAX_NAMED_PARTITIONS + 1).collect()
     if len(found) > MAX_NAMED_PARTITIONS:
         return None
     tests = [
@@ -193,7 +211,7 @@ def _move_in(df: DataFrame, name: str) -> None:
 
 def _partitions_only_in(old: DataFrame, new: DataFrame, columns: list[str]) -> list[Row]:
     """Partition values, as text, that ``old`` has and ``new`` has not."""
-    left, right = old.select(*columns).distinct(), new.select(*columns).distinct()
+    left, right = _partition_values(old, columns), _partition_values(new, columns)
     same = reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
     gone = left.join(right, same, "left_anti")
     return gone.select(*[F.col(c).cast("string").alias(c) for c in columns]).collect()

@@ -141,6 +141,44 @@ def test_partitioned_target_rewrites_touched_partitions(spark, base, name):
     )
 
 
+def test_empty_text_and_null_share_a_partition(spark, base, name):
+    """Empty text is stored as the NULL partition, whose other rows must stay."""
+    schema = "k int, v string, p string"
+    t = frame(spark, [(1, "a", None), (2, "b", "x")], schema)
+    tables.create_table(spark, name, t.schema, base, partition_by=["p"])
+    tables.append(t, name)
+    for k in (3, 4):
+        result = sync_table(spark, frame(spark, [(k, "n", "")], schema), name, ["k", "p"])
+        assert result.ok, result.error
+    left = [(1, "a", None), (3, "n", None), (4, "n", None)]
+    assert [r for r in rows(spark.table(name)) if r[2] is None] == left
+    tables.replace(frame(spark, [(9, "z", "")], schema), name)
+    assert rows(spark.table(name)) == [(9, "z", None)]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo"])
+def test_time_partitions(spark, base, name, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        t = spark.sql(
+            "SELECT 1 AS k, 'a' AS v, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS p UNION ALL "
+            "SELECT 2, 'b', TIMESTAMP_NTZ'2024-01-02 00:00:00'"
+        )
+        tables.create_table(spark, name, t.schema, base, partition_by=["p"])
+        tables.append(t, name)
+        result = sync_table(spark, t.where("k = 2").withColumn("v", F.lit("B")), name, ["p"])
+        assert result.ok, result.error
+        assert rows(spark.table(name).select("k", "v")) == [(1, "a"), (2, "B")]
+        new = t.where("k = 2").withColumn("k", F.lit(5))
+        assert sync_table(spark, new, name, ["k", "p"]).ok
+        assert rows(spark.table(name).select("k", "v")) == [(1, "a"), (2, "B"), (5, "b")]
+        tables.replace(new, name)
+        assert rows(spark.table(name).select("k", "v")) == [(5, "b")]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_partitioned_target_without_partition_key(spark, base, name):
     schema = "k int, v string, p string"
     t = frame(spark, [(1, "a", "x"), (2, "b", "y")], schema)
