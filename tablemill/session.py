@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +10,12 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach: the one ``spark.checkpoint.dir`` names.
 
-    Only where the session names none (unit tests on one machine) is a local
-    temporary folder made and kept in the session's settings.
+    Where the session names none, work goes beside the tables, under ``spark.sql.warehouse.dir``,
+    which every executor must reach as well.
     """
-    path = spark.conf.get(CHECKPOINT_DIR, None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="tablemill-")
-        spark.conf.set(CHECKPOINT_DIR, path)
+    path = spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get("spark.sql.warehouse.dir")
     return path.rstrip("/")
 
 
