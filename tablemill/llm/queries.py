@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemill.llm import simhash
+from tablemill.llm import mixing, simhash
 from tablemill.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -14,3 +14,64 @@ __all__ = ["ORACLES", "QUERIES"]
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+OP4_SQL = r"""
+WITH docs AS (
+    SELECT doc_id, source,
+           coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+    FROM documents
+), per AS (
+    SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source
+), flows AS (
+    SELECT source, source_size, 2 * source_size AS most,
+           CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight
+    FROM per
+), filled AS (
+    SELECT *,
+           coalesce(sum(most) OVER before, 0)::BIGINT AS before_most,
+           coalesce(sum(weight) OVER before, 0)::BIGINT AS before_weight,
+           most::DOUBLE / weight::DOUBLE AS full_at
+    FROM flows
+    WINDOW before AS (
+        ORDER BY most::DOUBLE / weight::DOUBLE, coalesce('=' || source, '')
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), sums AS (
+    SELECT sum(source_size)::DOUBLE * 1.5::DOUBLE AS budget, sum(weight)::DOUBLE AS parts FROM flows
+), levels AS (
+    SELECT f.*, (budget - before_most::DOUBLE) / (parts - before_weight::DOUBLE) AS reach, budget
+    FROM filled f, sums
+), top AS (
+    SELECT max(reach) AS reached FROM levels WHERE full_at >= reach
+), goals AS (
+    SELECT source, source_size, budget,
+           least(most::DOUBLE, coalesce(weight::DOUBLE * reached, most::DOUBLE)) AS target
+    FROM levels, top
+), laps AS (
+    SELECT d.doc_id, d.size, g.source, g.source_size, g.target, g.budget, lap,
+           md5('mix:' || lap::VARCHAR || ':' || coalesce(d.doc_id::VARCHAR, '')) AS draw
+    FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source,
+         (VALUES (1), (2)) AS l(lap)
+    WHERE lap = 1 OR (lap - 1) * g.source_size < g.target
+), served AS (
+    SELECT *, sum(size) OVER (
+        PARTITION BY source ORDER BY lap, draw, size, doc_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DOUBLE / nullif(target, 0) AS finish
+    FROM laps
+), line AS (
+    SELECT *, sum(size) OVER (
+        ORDER BY finish NULLS LAST, draw, size, doc_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total
+    FROM served
+)
+SELECT doc_id, max(size) AS size, max(source_size) AS source_size, max(target) AS target,
+       (max(size) * sum(CASE WHEN total <= budget AND finish IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM line
+GROUP BY doc_id
+"""
+
+
+@query(OP4_SQL)
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of every document a mix of 150 % of all words takes."""
+    return mixing.mix(table(spark, folder, "documents"))
