@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemill.llm import mixing, simhash
+from tablemill.llm import archives, mixing, simhash
 from tablemill.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -75,3 +75,9 @@ GROUP BY doc_id
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of every document a mix of 150 % of all words takes."""
     return mixing.mix(table(spark, folder, "documents"))
+
+
+@query()
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page through ARC archives, their conversion to WARC, and back."""
+    return archives.archived(table(spark, folder, "pages"))
