@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import gc
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession, functions as F
 
 from tablemill.session import staged, work_path
 
@@ -37,9 +39,34 @@ def text_bytes(column: str | Column) -> Column:
     return (F.col(f"`{column}`") if isinstance(column, str) else column).cast("binary")
 
 
+class Gathered:
+    """Columns of many small results, handed on in batches of a bounded number of rows."""
+
+    def __init__(self, names: Sequence[str], rows: int = 1 << 16):
+        self.names, self.most = list(names), rows
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.rows = 0
+
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Keep the rows; yields what is full."""
+        n = len(columns[0])
+        for at in range(0, n, self.most):
+            part = tuple(c[at : at + self.most] for c in columns)
+            self.parts.append(part)
+            self.rows += len(part[0])
+            if self.rows >= self.most:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            columns = [pa.array(np.concatenate(c)) for c in zip(*self.parts, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, self.names)
+            self.parts, self.rows = [], 0
+
+
 def pieces_for(rows: int, per_piece: int) -> int:
     """How many pieces of at most about ``per_piece`` rows hold ``rows``."""
     return max(1, math.ceil(rows / per_piece))
 
 
-__all__ = ["WORD", "free", "pieces_for", "release", "staged", "text_bytes", "work_path"]
+__all__ = ["Gathered", "WORD", "free", "pieces_for", "release", "staged", "text_bytes", "work_path"]

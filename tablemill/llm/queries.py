@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemill.llm import archives, mixing, simhash
+from tablemill.llm import archives, mixing, repeats, simhash
 from tablemill.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -81,3 +81,10 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page through ARC archives, their conversion to WARC, and back."""
     return archives.archived(table(spark, folder, "pages"))
+
+
+@query()
+def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without passages of 50 words that an earlier document holds."""
+    found = repeats.without_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
