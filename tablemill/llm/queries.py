@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablemill.llm import archives, mixing, repeats, simhash
+from tablemill.llm import archives, mixing, personal, repeats, simhash
 from tablemill.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -88,3 +88,19 @@ def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without passages of 50 words that an earlier document holds."""
     found = repeats.without_repeats(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def _listed(spans: str) -> Column:
+    kind = F.array(*[F.lit(k) for k in personal.KINDS])
+    one = F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kind, s["kind"] + 1), s["start"], s["end"]))
+    return F.array_join(one, ",")
+
+
+@query()
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document; the counts are of the strings of known form."""
+    found = personal.personal_data(table(spark, folder, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, k)) for k in range(len(personal.KINDS))]
+    counts = [(F.size("base") - n).cast("long").alias(f"n_{name}") for n, name in zip(counts, personal.KINDS, strict=True)]
+    return found.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
