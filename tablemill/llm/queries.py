@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablemill.llm import archives, mixing, personal, repeats, simhash
+from tablemill.llm import archives, mixing, personal, repeats, simhash, toxicity
 from tablemill.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -104,3 +104,10 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     counts = [F.size(F.array_remove(kinds, k)) for k in range(len(personal.KINDS))]
     counts = [(F.size("base") - n).cast("long").alias(f"n_{name}") for n, name in zip(counts, personal.KINDS, strict=True)]
     return found.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+
+
+@query()
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document."""
+    found = toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))

@@ -8,7 +8,7 @@ With passages of 50 words, a period of 31 and its perfect cover of six, an ancho
 words and starts at every fifth word or so.
 
 Anchors that two documents share mark the places to look at. There each window of full length
-that holds such an anchor is hashed (128 bits), and the least document of each window decides.
+that holds such an anchor is hashed (84 bits), and the least document of each window decides.
 The work is in proportion to the words in shared passages: no pairs of documents are formed,
 so a passage of a third of all documents costs what its words cost.
 """
@@ -22,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablemill.llm.common import Gathered, release, text_bytes
-from tablemill.session import work_path
+from tablemill.session import delete_path, work_path
 
 PASSAGE = 50
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)  # each remainder of 31 but 0 is one difference of these, once
+#: A window's place and second hash in one number: 20 bits of hash, 14 that tell texts of one
+#: id apart, and 30 for the word it starts at (a text of 2 GB, the most Spark holds, has 2^30).
+TAG_BITS, START_BITS = 14, 30
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -76,16 +79,13 @@ def anchor_starts(n_words: int, width: int, period: int = PERIOD, cover: tuple[i
 
 
 def anchors(rows: DataFrame, passage: int, period: int, cover: tuple[int, ...], places: bool) -> DataFrame:
-    """(hash) once per document, or with ``places`` (hash, row, start) for every anchor.
-
-    ``rows`` has row and t (bytes).
-    """
+    """(hash) once per document, or with ``places`` (hash, id, start) for every anchor of ``rows`` (id, t)."""
     width = passage - period + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Gathered(["hash", "row", "start"] if places else ["hash"])
+        out = Gathered(["hash", "id", "start"] if places else ["hash"])
         for batch in batches:
-            for row, t in zip(*batch.columns, strict=True):
+            for id_, t in zip(*batch.columns, strict=True):
                 words = (t.as_py() or b"").split()
                 if len(words) < passage:
                     continue
@@ -93,23 +93,31 @@ def anchors(rows: DataFrame, passage: int, period: int, cover: tuple[int, ...],
                 starts = anchor_starts(len(words), width, period, cover)
                 hashes = hashed.at(starts, width).view(np.int64)
                 if places:
-                    yield from out.add(hashes, np.full(len(starts), row.as_py(), np.int64), starts.astype(np.int32))
+                    yield from out.add(hashes, np.full(len(starts), id_.as_py(), np.int64), starts.astype(np.int32))
                 else:
                     yield from out.add(np.unique(hashes))
         yield from out.rest()
 
-    return rows.mapInArrow(run, "hash long, row long, start int" if places else "hash long")
+    return rows.select("id", "t").mapInArrow(run, "hash long, id long, start int" if places else "hash long")
+
+
+def _tag(text: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text) & ((1 << TAG_BITS) - 1)
 
 
 def _windows(passage: int, period: int):
     width = passage - period + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Gathered(["h1", "h2", "id", "row", "start"])
+        out = Gathered(["hash", "place", "id"])
         for batch in batches:
-            for row, id_, t, starts in zip(*batch.columns, strict=True):
-                words = (t.as_py() or b"").split()
+            for id_, t, starts in zip(*batch.columns, strict=True):
+                text = t.as_py() or b""
+                words = text.split()
                 s = starts.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                # Places are per id: of several texts of one id, a shorter one may lack some.
                 s = s[s <= len(words) - width]
                 # A window that holds the anchor starts at most period - 1 words before it.
                 marks = np.zeros(len(words) + 2, np.int32)
@@ -119,13 +127,10 @@ def _windows(passage: int, period: int):
                 if not len(near):
                     continue
                 hashes = word_hashes(words)
-                yield from out.add(
-                    Windows(hashes, _B1).at(near, passage).view(np.int64),
-                    Windows(hashes, _B2).at(near, passage).view(np.int64),
-                    np.full(len(near), id_.as_py(), np.int64),
-                    np.full(len(near), row.as_py(), np.int64),
-                    near.astype(np.int32),
-                )
+                second = Windows(hashes, _B2).at(near, passage) >> np.uint64(TAG_BITS + START_BITS)
+                place = (second << np.uint64(TAG_BITS) | np.uint64(_tag(text))) << np.uint64(START_BITS) | near.astype(np.uint64)
+                first = Windows(hashes, _B1).at(near, passage)
+                yield from out.add(first.view(np.int64), place.view(np.int64), np.full(len(near), id_.as_py(), np.int64))
         yield from out.rest()
 
     return run
@@ -134,37 +139,54 @@ def _windows(passage: int, period: int):
 def repeated_windows(
     rows: DataFrame, passage: int = PASSAGE, period: int = PERIOD, cover: tuple[int, ...] = COVER
 ) -> DataFrame:
-    """(row, id, starts): the windows of each document that also start in one with a smaller id.
+    """(id, starts): the windows of each document that also start in one with a smaller id.
 
-    ``rows`` has row (a hash of the other two), id and t (the text as bytes).
+    ``rows`` has id (not NULL) and t (the text as bytes). Each of the ``starts`` holds a window's
+    first word in its lowest 30 bits and the text's tag in the 14 above.
     """
     if not covers(cover, period) or period > passage:
         raise ValueError("the cover must give every shift of a period no longer than a passage")
     spark = rows.sparkSession
+    made = []
 
     def written(df: DataFrame, label: str) -> DataFrame:
         path = work_path(spark, label)
         df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        made.append(path)
+        schema = df.schema
+        del df
+        release(spark)
+        return spark.read.schema(schema).parquet(path)
 
-    texts = rows.select("row", "t")
     # A document sends an anchor's hash once, so a count over 1 is of two documents.
-    shared = anchors(texts, passage, period, cover, False).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    shared = written(shared.where("n > 1").select("hash"), "anchors-shared")
-    release(spark)
-    places = anchors(texts, passage, period, cover, True).join(shared, "hash", "left_semi")
-    places = written(places.groupBy("row").agg(F.collect_list("start").alias("starts")), "anchor-places")
-    release(spark)
-    marked = rows.join(places, "row").select("row", "id", "t", "starts")
-    windows = marked.mapInArrow(_windows(passage, period), "h1 long, h2 long, id long, row long, start int")
-    windows = written(windows, "windows")
-    release(spark)
-    least = windows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    least = written(least.where("least < most").select("h1", "h2", "least"), "windows-least")
-    release(spark)
-    later = windows.join(least, ["h1", "h2"]).where("id > least")
-    found = written(later.groupBy("row", "id").agg(F.collect_list("start").alias("starts")), "windows-repeated")
-    release(spark)
+    shared = written(
+        anchors(rows, passage, period, cover, False).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"),
+        "anchors-shared",
+    )
+    places = written(
+        anchors(rows, passage, period, cover, True).join(shared, "hash", "left_semi").groupBy("id").agg(F.collect_set("start").alias("starts")),
+        "anchor-places",
+    )
+    windows = written(
+        rows.join(places, "id").select("id", "t", "starts").mapInArrow(_windows(passage, period), "hash long, place long, id long"),
+        "windows",
+    )
+    second = F.shiftright("place", TAG_BITS + START_BITS)
+    least = written(
+        windows.groupBy("hash", second.alias("second"))
+        .agg(F.min("id").alias("least"), F.max("id").alias("most"))
+        .where("least < most")
+        .select(F.col("hash").alias("h"), "second", "least"),
+        "windows-least",
+    )
+    same = (F.col("hash") == F.col("h")) & (second == F.col("second"))
+    place = F.col("place").bitwiseAND((1 << (TAG_BITS + START_BITS)) - 1)
+    found = written(
+        windows.join(least, same).where("id > least").groupBy("id").agg(F.collect_list(place).alias("starts")),
+        "windows-repeated",
+    )
+    for path in made[:-1]:
+        delete_path(spark, path)
     return found
 
 
@@ -193,25 +215,26 @@ def without_repeats(
     Rows of one id keep each other's words; a row whose id is NULL is compared with none and
     stays whole. An empty table gives an empty one. Extra columns are ignored.
     """
-    id_, t = F.col(f"`{id_col}`").cast("long"), text_bytes(text_col)
-    # A hash names a row: a clash only adds places to look at, as ids are compared as well.
-    rows = docs.select(F.xxhash64(id_, t).alias("row"), id_.alias("id"), t.alias("t"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_bytes(text_col).alias("t"))
     found = repeated_windows(rows.where("id IS NOT NULL"), passage, period, cover)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_words", "n_removed", "kept_text"]
         for batch in batches:
             total, removed, kept = [], [], []
-            for text, starts in zip(batch.column(1), batch.column(2), strict=True):
-                words = (text.as_py() or b"").split()
+            for t, starts in zip(batch.column(1), batch.column(2), strict=True):
+                text = t.as_py() or b""
+                words = text.split()
                 total.append(len(words))
                 gone = 0
                 if starts.is_valid:
-                    words, gone = kept_words(words, starts.values.to_numpy(zero_copy_only=False).astype(np.int64), passage)
+                    s = starts.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                    s = s[s >> START_BITS == _tag(text)] & ((1 << START_BITS) - 1)
+                    words, gone = kept_words(words, s, passage)
                 removed.append(gone)
                 kept.append(b" ".join(words))
             text = pa.array(kept, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), text], names)
 
-    joined = rows.join(found, ["row", "id"], "left").select("id", "t", "starts")
+    joined = rows.join(found, "id", "left").select("id", "t", "starts")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
