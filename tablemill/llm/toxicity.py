@@ -32,7 +32,7 @@ MAX_TERMS = 50_000
 #: Different words that must stand before a word in toxic texts; copies of a text add none.
 LEAST_CONTEXTS = 5
 PRIOR = 30_000.0
-LEAST_Z = 3.0
+LEAST_Z = 2.0
 DRIFT = 0.5
 #: Chance that a clean text has such a segment, for a passage to be reported.
 SIGNIFICANT = 0.05
