@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -64,9 +63,4 @@ class Gathered:
             self.parts, self.rows = [], 0
 
 
-def pieces_for(rows: int, per_piece: int) -> int:
-    """How many pieces of at most about ``per_piece`` rows hold ``rows``."""
-    return max(1, math.ceil(rows / per_piece))
-
-
-__all__ = ["Gathered", "WORD", "free", "pieces_for", "release", "staged", "text_bytes", "work_path"]
+__all__ = ["Gathered", "WORD", "free", "release", "staged", "text_bytes", "work_path"]

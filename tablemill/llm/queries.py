@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablemill.llm import archives, mixing, personal, repeats, simhash, toxicity
+from tablemill.llm import archives, balltree, mixing, personal, repeats, simhash, toxicity
 from tablemill.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -111,3 +111,26 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document."""
     found = toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+OP1_SQL = """
+WITH ints AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM ints q JOIN ints c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+    FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query(OP1_SQL)
+def op1_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 highest integer inner products of every twentieth vector."""
+    return balltree.top_k(table(spark, folder, "embeddings"))
