@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablemill.llm import archives, balltree, mixing, personal, repeats, simhash, toxicity
+from tablemill.llm import archives, balltree, kmeanstree, mixing, personal, repeats, simhash, toxicity
 from tablemill.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -134,3 +134,9 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 def op1_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 highest integer inner products of every twentieth vector."""
     return balltree.top_k(table(spark, folder, "embeddings"))
+
+
+@query()
+def op6_ann(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors found of every twentieth vector."""
+    return kmeanstree.neighbours(table(spark, folder, "embeddings"))
