@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablemill.llm import archives, balltree, kmeanstree, mixing, personal, repeats, simhash, toxicity
+from tablemill.llm import archives, balltree, kmeanstree, licences, mixing, personal, repeats, simhash, toxicity
 from tablemill.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -140,3 +140,9 @@ def op1_topk(spark: SparkSession, folder: str) -> DataFrame:
 def op6_ann(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest vectors found of every twentieth vector."""
     return kmeanstree.neighbours(table(spark, folder, "embeddings"))
+
+
+@query(licences.oracle_sql())
+def op2_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """The licence every document is, if any, and the notices it holds."""
+    return licences.licences(table(spark, folder, "documents"))
