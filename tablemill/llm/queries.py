@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablemill.llm import archives, balltree, kmeanstree, licences, mixing, personal, repeats, simhash, toxicity
+from tablemill.llm import archives, balltree, kmeanstree, licences, mixing, packing, personal, repeats, simhash, toxicity
 from tablemill.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -146,3 +146,9 @@ def op6_ann(spark: SparkSession, folder: str) -> DataFrame:
 def op2_licences(spark: SparkSession, folder: str) -> DataFrame:
     """The licence every document is, if any, and the notices it holds."""
     return licences.licences(table(spark, folder, "documents"))
+
+
+@query()
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Where every piece of every document stands in the packed sequences."""
+    return packing.packing(table(spark, folder, "documents"))
