@@ -75,9 +75,8 @@ def packed_pieces(
     piece = F.posexplode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("n") - 1), F.lit(longest).cast("long"))).alias("piece", "start")
     cut = lengths.select("row", "id", "n", piece)
     cut = cut.select("row", "id", "piece", "start", F.least(F.lit(longest).cast("long"), F.col("n") - F.col("start")).alias("n_words"))
-    full = cut.where(F.col("n_words") == longest)
     empty = cut.where("n_words = 0")
-    part = cut.where((F.col("n_words") > 0) & (F.col("n_words") < longest))
+    part = cut.where("n_words > 0")
     shards = pieces(part.count(), shard_pieces)
 
     def pack(table: pa.Table) -> pa.Table:
@@ -94,11 +93,8 @@ def packed_pieces(
     schema = "row long, id long, piece int, start long, n_words long, bin_id long, capacity long, place long"
     dealt = part.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)))
     packed = dealt.groupBy("shard").applyInArrow(pack, schema)
-    # A full piece is a bin by itself; such bins count down from -1 by row and piece, apart from all shards.
-    number = -1 - F.xxhash64("row", "piece").bitwiseAND(2**62 - 1)
-    whole = full.select("*", number.alias("bin_id"), F.lit(longest).cast("long").alias("capacity"), F.lit(0).cast("long").alias("place"))
     none = F.lit(None).cast("long")
-    return packed.unionAll(whole).unionAll(empty.select("*", none, none, none))
+    return packed.unionAll(empty.select("*", none, none, none))
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
