@@ -1,0 +1,111 @@
+import base64
+import gzip
+import hashlib
+import os
+
+import pytest
+
+from tablemill.llm import archives
+from tests.llm.awkward import as_rows, clashing
+
+FOLDER = "/root/testdata/sf0.001"
+PAGES = "page_id long, url string, html string"
+
+
+def plain(rows):
+    firsts = {}
+    for i, _, html in rows:
+        key = html or ""
+        if i is not None:
+            firsts[key] = min(i, firsts.get(key, i))
+    out, done = [], set()
+    for i, _, html in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        data = (html or "").encode()
+        name = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        first = firsts.get(html or "")
+        new = (html or "") not in done
+        done.add(html or "")
+        out.append((i, len(data), name, "response" if new else "revisit", None if new else first))
+    return sorted(out, key=repr)
+
+
+ROWS = [
+    (1, "http://a.example/x y", "<p>one</p>"),
+    (2, None, None),
+    (3, "http://b.example/ü\n", ""),
+    (4, "http://c.example/", "<p>one</p>"),
+    (4, "http://c.example/", "<p>one</p>"),
+    (5, "", "WARC/1.1\r\nContent-Length: 3\r\n\r\n\r\n\r\nhttp://x 0.0.0.0 20000101000000 text/html 99\n"),
+    (6, "http://d.example/", "\n\n\n"),
+    (7, "http://d.example/", "ü\U0001f600" * 50_000),
+    (None, "http://e.example/", "<p>one</p>"),
+    (None, "http://e.example/", "only without an id"),
+    (9, "http://f.example/", "x" * 300_000),
+    (8, "http://f.example/", "x" * 300_000),
+]
+
+
+@pytest.mark.parametrize("archive_bytes", [1 << 20, 1])
+def test_round_trip(spark, archive_bytes):
+    pages = spark.createDataFrame(ROWS, PAGES).repartition(3)
+    assert as_rows(archives.archived(pages, archive_bytes=archive_bytes)) == plain(ROWS)
+
+
+def test_other_columns_and_no_rows(spark):
+    pages = spark.createDataFrame(ROWS, PAGES)
+    assert as_rows(archives.archived(clashing(pages))) == plain(ROWS)
+    assert as_rows(archives.archived(spark.createDataFrame([], PAGES))) == []
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_versions(version):
+    block = archives.http_response(7, b"<p>\n\nhi</p>")
+    body = archives.arc_header(version, "old.arc") + b"".join(archives.arc_record(version, u, block, "old.arc", 0, "19970102") for u in (b"http://a/", b"", None))
+    found = list(archives.read_arc(body))
+    assert [b for _, _, b in found] == [block] * 3
+    assert [f["URL"] for _, f, _ in found] == ["http://a/", "-", "-"]
+    assert all(set(f) == set(archives.ARC_FIELDS[version]) for _, f, _ in found)
+    assert archives.iso_date(found[0][1]["Archive-date"]) == "1997-01-02T00:00:00Z"
+    members = b"".join(gzip.compress(body[a:b]) for a, b in ((0, 90), (90, len(body))))
+    assert archives.unpacked(members) == body == archives.unpacked(body)
+
+
+def test_old_writers():
+    """Spaces in URLs, no version block, line ends of two bytes."""
+    line = b"http://a/b c d 1.2.3.4 19970102030405 text/html 4\r\nbody\n"
+    [(_, fields, block)] = archives.read_arc(line)
+    assert (fields["URL"], fields["IP-address"], block) == ("http://a/b c d", "1.2.3.4", b"body")
+
+
+@pytest.mark.parametrize("text", [b"http://a 1.2.3.4 19970102030405 text/html 9\nshort", b"no line end", b"no number at the end\n"])
+def test_broken_archives_are_refused(text):
+    with pytest.raises(ValueError):
+        list(archives.read_arc(text))
+
+
+def test_warc_records(spark, tmp_path):
+    """What the files hold: a head for each revisit, digests that fit, unique identifiers."""
+    arc = archives.write_arc(spark.createDataFrame(ROWS, PAGES).coalesce(1), str(tmp_path / "arc"))
+    warc = archives.convert_arc(spark, arc, str(tmp_path / "warc"))
+    files = [tmp_path / "warc" / f for f in os.listdir(warc) if f.startswith("part-")]
+    records = [r for f in files for r in archives.read_warc(archives.unpacked(f.read_bytes()))]
+    ids = [h["warc-record-id"] for h, _ in records]
+    assert len(set(ids)) == len(ids) == len(ROWS) + len(files)
+    kinds = [h["warc-type"] for h, _ in records]
+    assert kinds.count("revisit") == sum(r[3] == "revisit" for r in plain(ROWS))
+    for headers, block in records:
+        if headers["warc-type"] == "warcinfo":
+            continue
+        assert headers["warc-block-digest"] == f"sha1:{archives.digest(block)}"
+        head, http, payload = archives.http_parts(block)
+        assert head and (payload == b"" or headers["warc-type"] == "response")
+        if headers["warc-type"] == "revisit":
+            assert headers["warc-refers-to"] in ids
+        else:
+            assert int(http["content-length"]) == len(payload)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+def test_given_pages(spark):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    assert as_rows(archives.archived(pages)) == plain([(r.page_id, r.url, r.html) for r in pages.collect()])

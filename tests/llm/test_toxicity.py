@@ -1,0 +1,137 @@
+import os
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from tablemill.llm import toxicity
+from tests.llm.awkward import LONG, ROWS, as_rows, clashing, documents
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def plain_segments(scores):
+    """Maximal segments by their definition, recursively: the best stretch, then both sides."""
+
+    def within(a, b):
+        best = max(((sum(scores[i:j]), -(j - i), -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=None)
+        if best is None or best[0] <= 0:
+            return []
+        i, j = best[3], best[4]
+        return within(a, i) + [(i, j, best[0])] + within(j, b)
+
+    return within(0, len(scores))
+
+
+def test_segments():
+    draw = random.Random(2)
+    for _ in range(300):
+        scores = [draw.choice([-5, -3, -2, -1, 1, 2, 4, 7]) + draw.random() / 64 for _ in range(draw.randint(0, 14))]
+        got = toxicity.segments(np.array(scores))
+        want = plain_segments(scores)
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+        assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
+
+
+def test_segments_of_a_long_text():
+    """Worst cases for a search that isn't linear."""
+    n = 300_000
+    assert len(toxicity.segments(np.full(n, 1.0))) == 1
+    falling = np.where(np.arange(n) % 2, -1.0, 0.5)
+    assert len(toxicity.segments(falling)) == n // 2
+
+
+def test_chance_rate():
+    scores, shares = np.array([2.0, -1.0]), np.array([0.2, 0.8])
+    rate = toxicity.chance_rate(scores, shares)
+    assert (shares * np.exp(rate * scores)).sum() == pytest.approx(1)
+
+
+def corpus(n=400):
+    draw = random.Random(8)
+    stock = [f"word{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(n):
+        toxic = i % 4 == 0
+        text = draw.choices(stock, k=draw.randint(20, 200))
+        for _ in range(3 if toxic else 0):
+            text.insert(draw.randrange(len(text)), draw.choice(["vile", "dreck", "scum"]))
+        rows.append((i, " ".join(text), "en", "s", 0))
+        labels.append((i, 1, int(toxic)))
+    return rows, labels
+
+
+def labelled(spark, labels):
+    return spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_learned_words_are_found_in_unseen_texts(spark):
+    rows, labels = corpus()
+    found = toxicity.toxicity(clashing(documents(spark, rows)), labelled(spark, labels)).collect()
+    kind = {i: t for i, _, t in labels}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in found)
+    out = [r for r in found if r.held_out]
+    assert np.mean([r.predicted == kind[r.doc_id] for r in out]) > 0.97
+    for r in out:
+        text = rows[r.doc_id][1].split()
+        for p in r.passages if kind[r.doc_id] else ():
+            assert {"vile", "dreck", "scum"} & set(text[p.start : p.end])
+
+
+def test_held_out_labels_teach_nothing(spark):
+    rows, labels = corpus(200)
+    turned = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 5 == 0 else t) for i, q, t in labels]
+    docs = documents(spark, rows)
+    assert as_rows(toxicity.toxicity(docs, labelled(spark, labels))) == as_rows(toxicity.toxicity(docs, labelled(spark, turned)))
+
+
+def test_copies_of_one_toxic_text_make_no_words(spark):
+    """A word that only copies hold stands behind one other word."""
+    rows, labels = corpus()
+    rows += [(1000 + i, "harmless oddity here", "en", "s", 0) for i in range(60)]
+    labels += [(1000 + i, 1, 1) for i in range(60)]
+    model = toxicity.learned(documents(spark, rows), labelled(spark, labels))
+    assert "oddity" not in model.weights and model.weights["vile"] > 1
+
+
+def test_awkward_rows(spark):
+    rows, labels = corpus(120)
+    labels += [(None, 1, 1), (3, 1, None), (7, None, 0), (7, 1, 0), (11, 0, 1)]
+    docs = documents(spark, ROWS + [(i + 100, *r) for i, *r in rows])
+    marks = [(i + 100 if i is not None else None, q, t) for i, q, t in labels]
+    found = toxicity.toxicity(docs, labelled(spark, marks)).collect()
+    assert len(found) == len(ROWS) + 120
+    none = {r.score for r in found if r.doc_id in (3, 4, 5)}
+    assert len(none) == 1 and none.pop() < 0.5
+    assert all(r.held_out is False for r in found if r.doc_id is None)
+    assert toxicity.toxicity(documents(spark, []), labelled(spark, marks)).count() == 0
+
+
+def test_without_labels(spark):
+    for labels in ([], [(1, 1, 1)], [(2, 1, 0)]):
+        found = toxicity.toxicity(documents(spark), labelled(spark, labels)).collect()
+        assert len(found) == len(ROWS) and all(r.predicted == 0 for r in found)
+
+
+def test_clean_rows(spark):
+    rows, labels = corpus()
+    docs = clashing(documents(spark, [*rows, (5000, None, None, None, None), (5001, LONG, "", "", 0)]))
+    kept = toxicity.clean_rows(docs, labelled(spark, labels))
+    assert kept.columns == docs.columns
+    judged = {r.doc_id for r in toxicity.toxicity(docs, labelled(spark, labels)).collect() if not r.predicted}
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert ids == judged and {5000, 5001} <= ids
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+def test_held_out_accuracy(spark):
+    """Few labels at this size: some 40 toxic texts in four languages to learn from."""
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    kind = {r.doc_id: r.toxic for r in labels.collect()}
+    out = [(r.score, kind[r.doc_id]) for r in toxicity.toxicity(docs, labels).collect() if r.held_out and r.doc_id in kind]
+    bad, good = ([s for s, k in out if k == x] for x in (1, 0))
+    area = np.mean([(sum(g < b for g in good) + sum(g == b for g in good) / 2) / len(good) for b in bad])
+    assert area > 0.75
+    assert np.mean([s < 0.5 for s in good]) > 0.9
