@@ -50,21 +50,28 @@ def top_key(indexes: DataFrame) -> DataFrame:
     )
 
 
-def declared_key(indexes: DataFrame, table: str, default_schema: str = "dbo") -> list[str]:
-    """Key columns of a table from its declared indexes, in key order."""
+def _indexes_of(indexes: DataFrame, table: str, default_schema: str) -> DataFrame:
     schema, _, name = table.rpartition(".")
-    mine = indexes.where(
+    return indexes.where(
         (F.col("schema_name") == (schema or default_schema)) & (F.col("table_name") == name)
     )
-    row = top_key(mine).select("key_columns").first()
+
+
+def declared_key(indexes: DataFrame, table: str, default_schema: str = "dbo") -> list[str]:
+    """Key columns of a table from its declared indexes, in key order."""
+    row = top_key(_indexes_of(indexes, table, default_schema)).select("key_columns").first()
     if row is None:
-        raise RequestError(
-            f"No Primary Key or Unique Index found on table '{table}'. Please provide "
-            "KeyColumns manually or add a Primary Key/Unique Index to the target table."
-        )
+        raise RequestError(f"Table '{table}' declares no primary key and no unique index; name its key columns")
     return row["key_columns"].split(",")
 
 
+def unique_keys(indexes: DataFrame, table: str, default_schema: str = "dbo") -> list[list[str]]:
+    """Key columns of each primary key and unique index of a table, the primary key first."""
+    mine = _indexes_of(indexes, table, default_schema).where("is_primary_key OR is_unique")
+    found = in_priority(index_summary(mine)).select("key_columns").collect()
+    return [r["key_columns"].split(",") for r in found]
+
+
 def key_profile(df: DataFrame, candidates: Sequence[Sequence[str]]) -> DataFrame:
     """Per candidate key: rows, distinct keys, rows with a NULL, and whether it is a key.
 

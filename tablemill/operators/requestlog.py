@@ -133,7 +133,7 @@ def text_line(df: DataFrame) -> Column:
 
     return F.concat(
         F.lit("["),
-        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS"),
+        F.coalesce(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("")),
         F.lit("] ["),
         shown("id"),
         F.lit("] "),

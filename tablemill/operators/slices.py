@@ -18,9 +18,6 @@ SLICE = "__slice"
 PLACE = "__place"
 _ARRIVAL = "__arrival"
 
-# Slice offsets take some 20 bytes each; more than this many are joined by shuffle.
-MAX_BROADCAST_SLICES = 500_000
-
 
 def in_slices(
     df: DataFrame,
@@ -70,8 +67,6 @@ def dense_ids(
         total += row["n"]
     schema = T.StructType([T.StructField(SLICE, T.IntegerType()), T.StructField("at", T.LongType())])
     starts = spark.createDataFrame(offsets, schema)
-    if len(offsets) <= MAX_BROADCAST_SLICES:
-        starts = F.broadcast(starts)
     numbered = staged.join(starts, SLICE)
     columns = [c for c in staged.columns if c not in (SLICE, PLACE)]
     return numbered.select((F.col("at") + F.col(PLACE)).alias(id_col), *columns)

@@ -37,7 +37,7 @@ def resolve_keys(
     for key in keys:
         column = resolve(key, source.columns)
         if column is None:
-            raise RequestError(f"Key column '{key}' not found in source query result")
+            raise RequestError(f"The source has no key column '{key}'")
         names.append(renamed.get(column.lower(), column))
     return names
 
@@ -161,6 +161,33 @@ def flagged_rows(
     return flagged.unionByName(cannot.withColumn(MATCHED, F.lit(None).cast("boolean")))
 
 
+def touched_partitions(
+    target: DataFrame,
+    source: DataFrame,
+    keys: Sequence[str],
+    partition_by: Sequence[Column],
+    key_collation: str | None = None,
+) -> DataFrame:
+    """Partitions a sync touches: their values, target rows it deletes and source rows it adds.
+
+    ``partition_by`` are named columns that both sides have. Keys are compared as the sync
+    compares them, and the partition columns need not be key columns. Of the target only key
+    and partition columns are read; both counts are combined before their shuffle.
+    """
+    target_keys = [resolve(k, target.columns) for k in keys]
+    wanted = _distinct_keys(source, target_keys, key_collation)
+    may = target.where(~any_null(target_keys))
+    hit = may.join(wanted, _match(may, wanted, target_keys, key_collation), "left_semi")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    deleted = hit.select(*partition_by, one.alias("n_deleted"), none.alias("n_added"))
+    added = source.select(*partition_by, none.alias("n_deleted"), one.alias("n_added"))
+    both = deleted.unionAll(added)
+    names = both.columns[: len(partition_by)]
+    return both.groupBy(*[F.col(f"`{n}`") for n in names]).agg(
+        F.sum("n_deleted").alias("n_deleted"), F.sum("n_added").alias("n_added")
+    )
+
+
 def delete_insert(
     target: DataFrame,
     source: DataFrame,
@@ -217,3 +244,26 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     columns = [resolve(k, df.columns) for k in keys]
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
+
+
+def target_names(
+    columns: Sequence[str], target: Sequence[str], mappings: Mapping[str, str] | None = None
+) -> list[str]:
+    """Target columns that source columns fill."""
+    renamed = {s.lower(): t for s, t in (mappings or {}).items()}
+    found = [resolve(renamed.get(c.lower(), c), target) for c in columns]
+    return [c for c in found if c is not None]
+
+
+def all_given(columns: Sequence[str], given: Sequence[str]) -> bool:
+    return all(resolve(c, given) for c in columns)
+
+
+def repeated_keys(df: DataFrame, keys: Sequence[Sequence[str]]) -> list[list[str]]:
+    """Those of several keys that occur more than once, found in one job."""
+    listed = list(dict.fromkeys(tuple(resolve(c, df.columns) for c in k) for k in keys))
+    if not listed:
+        return []
+    found = [duplicate_keys(df, k).limit(1).select(F.lit(i).alias("i")) for i, k in enumerate(listed)]
+    hits = {r["i"] for r in reduce(DataFrame.unionAll, found).collect()}
+    return [list(k) for i, k in enumerate(listed) if i in hits]

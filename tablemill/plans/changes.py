@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tablemill.metrics import RunResult, counted, run
 from tablemill.operators import query
 from tablemill.operators.mapping import conform
+from tablemill.session import delete_path, work_path
 from tablemill.sinks import tables
 
 
@@ -43,7 +44,7 @@ def delete_rows(spark: SparkSession, target: str, where: Column) -> RunResult:
 
     def body(result: RunResult) -> None:
         change = partial(query.deleted, where=where)
-        result.rows_deleted = _rewrite(spark, target, where, change, result, narrow=True)
+        result.rows_deleted = _rewrite(spark, target, where, change, result, narrow=True, deletes=True)
 
     return run(target, body)
 
@@ -55,19 +56,35 @@ def _rewrite(
     change: Callable[[DataFrame], DataFrame],
     result: RunResult,
     narrow: bool,
+    deletes: bool = False,
 ) -> int:
     """Rewrite the table, or just the partitions with affected rows; the affected rows.
 
-    ``rows_read`` counts the rows rewritten or looked at to that end.
+    Which partitions those are is found by one aggregate over the predicate's and the
+    partition's columns. ``rows_read`` counts the rows rewritten.
     """
     table = spark.table(target)
     columns = tables.partition_columns(spark, target)
-    touched = tables.touched_partitions(table.where(where), columns) if columns and narrow else None
-    before = table if touched is None else table.where(touched)
-    seen_rows, seen = counted(before, affected=F.count_if(where))
-    if touched is None:
-        tables.replace(change(seen_rows), target)
-    else:
-        tables.replace_partitions(change(seen_rows), target, scope=before)
-    result.rows_read = seen.get["rows"]
-    return seen.get["affected"]
+    if not columns or not narrow:
+        rows, seen = counted(table, affected=F.count_if(where))
+        tables.replace(change(rows), target)
+        result.rows_read = seen.get["rows"]
+        return seen.get["affected"]
+    path = work_path(spark, "change-scope")
+    hits = F.count_if(where).alias("n_affected")
+    found = table.groupBy(*columns).agg(hits, F.count(F.lit(1)).alias("n")).where("n_affected > 0")
+    try:
+        found.write.parquet(path)
+        scope = spark.read.schema(found.schema).parquet(path)
+        total = scope.agg(F.sum("n").alias("n"), F.sum("n_affected").alias("affected")).first()
+        result.rows_read = total["n"] or 0
+        if not total["affected"]:
+            return 0
+        after = change(tables.in_partitions(table, scope, columns))
+        tables.overwrite_partitions(after, target)
+        if deletes:
+            emptied = scope.where("n = n_affected").select(*[F.col(c).cast("string").alias(c) for c in columns])
+            tables.drop_partitions(spark, target, emptied.collect())
+        return total["affected"]
+    finally:
+        delete_path(spark, path)

@@ -27,7 +27,7 @@ from tablemill.session import delete_path, work_path
 from tablemill.sinks import tables
 
 FAILED = "__failed"
-NO_DOCUMENTS = "No documents found matching the filter"
+NO_DOCUMENTS = "No document matches"
 
 
 def _bad_documents(parsed: DataFrame) -> int:
@@ -92,7 +92,7 @@ def load_documents(
         plan = docs.flatten_plan(rows, document_options, keep_id)
         result.warnings += plan.warnings
         if not plan.columns:
-            result.warn("No valid columns found after schema inference")
+            result.warn("The documents have no field that can be a column")
             return
         unconverted = F.lit(False) if plan.failed is None else F.coalesce(plan.failed, F.lit(False))
         picked, written = counted(

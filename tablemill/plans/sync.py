@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from tablemill.errors import RequestError
 from tablemill.functions.names import require_columns, require_table_name, resolve
 from tablemill.metrics import RunResult, counted, run
 from tablemill.operators import sync as ops
-from tablemill.operators.keys import declared_key
+from tablemill.operators.keys import declared_key, unique_keys
 from tablemill.session import delete_path, work_path
 from tablemill.sinks import tables
 from tablemill.sources.scans import query_scan
@@ -41,8 +42,8 @@ def sync_table(
 
     The source is evaluated once and written to the shared folder, so that the
     keys deleted and the rows inserted can't differ. The new content is written
-    beside the old and published in one step. Where the table is partitioned by
-    key columns, only partitions the source touches are read and rewritten.
+    beside the old and published in one step. Of a partitioned table only the partitions
+    that lose or get rows are read and rewritten, whether or not they are part of the key.
     """
 
     def body(result: RunResult) -> None:
@@ -69,8 +70,12 @@ def sync_table(
             staged = spark.read.schema(prepared.schema).parquet(staged_path)
             if options.reject_null_keys and not staged.where(ops.any_null(names)).isEmpty():
                 raise RequestError(f"Source has NULL keys: {', '.join(names)}")
-            if options.unique_keys and not ops.duplicate_keys(staged, names).isEmpty():
-                raise RequestError(f"Source has duplicate keys: {', '.join(names)}")
+            unique = [names] if options.unique_keys and names else []
+            if declared_indexes is not None:
+                given_columns = ops.target_names(rows.columns, current.columns, options.column_mappings)
+                unique += [u for u in unique_keys(declared_indexes, target) if ops.all_given(u, given_columns)]
+            for columns in ops.repeated_keys(staged, unique):
+                raise RequestError(f"Source has duplicate keys: {', '.join(columns)}")
             _apply(spark, current, staged, target, names, options, result, tag)
         finally:
             delete_path(spark, staged_path)
@@ -93,23 +98,44 @@ def _apply(
         tables.replace(staged, target, tag, options.max_records_per_file)
     else:
         columns = tables.partition_columns(spark, target)
-        by_key = columns and all(resolve(c, keys) for c in columns)
-        touched = tables.touched_partitions(staged, columns) if by_key else None
-        before = current if touched is None else current.where(touched)
         names = [resolve(k, current.columns) for k in keys]
-        bounds = ops.key_bounds(staged, names)
-        flagged, seen = counted(
-            ops.flagged_rows(before, staged, names, options.key_collation, bounds),
-            deleted=F.count(ops.MATCHED),
-        )
-        kept = flagged.where(F.col(ops.MATCHED).isNull()).drop(ops.MATCHED)
-        after = kept.unionByName(staged)
-        if touched is None:
-            tables.replace(after, target, tag, options.max_records_per_file)
-        else:
-            tables.replace_partitions(after, target)
-            result.warn("Rewrote only the partitions the source has rows for")
-        result.rows_deleted = seen.get["deleted"]
+        scope_path = work_path(spark, "sync-scope")
+        try:
+            before, scope = current, None
+            if columns:
+                found = ops.touched_partitions(
+                    current, staged, names, tables.stored_partition(current, columns), options.key_collation
+                )
+                found.write.parquet(scope_path)
+                scope = spark.read.schema(found.schema).parquet(scope_path)
+                before = tables.in_partitions(current, scope, columns)
+            bounds = ops.key_bounds(staged, names)
+            flagged, seen = counted(
+                ops.flagged_rows(before, staged, names, options.key_collation, bounds),
+                deleted=F.count(ops.MATCHED),
+            )
+            kept = flagged.where(F.col(ops.MATCHED).isNull()).drop(ops.MATCHED)
+            after = kept.unionByName(staged)
+            if scope is None:
+                tables.replace(after, target, tag, options.max_records_per_file)
+            else:
+                emptied = _emptied(current, scope, columns)
+                tables.overwrite_partitions(after, target)
+                tables.drop_partitions(spark, target, emptied)
+                result.warn("Rewrote only the partitions the sync touches")
+            result.rows_deleted = seen.get["deleted"]
+        finally:
+            delete_path(spark, scope_path)
     result.rows_inserted = result.rows_written = result.rows_read
     result.warn(f"Deleted {result.rows_deleted} rows from target table")
     result.warn(f"Inserted {result.rows_inserted} rows into target table")
+
+
+def _emptied(current: DataFrame, scope: DataFrame, columns: Sequence[str]) -> list[Row]:
+    """Partitions that lose all their rows and get none, as text."""
+    losing = scope.where("n_added = 0")
+    whole = tables.in_partitions(current, losing, columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    lost = losing.select(*[F.col(c).alias(f"__l{i}") for i, c in enumerate(columns)], "n_deleted")
+    same = [F.col(c).eqNullSafe(F.col(f"__l{i}")) for i, c in enumerate(columns)]
+    gone = whole.join(lost, reduce(lambda a, b: a & b, same)).where("n = n_deleted")
+    return gone.select(*[F.col(c).cast("string").alias(c) for c in columns]).collect()

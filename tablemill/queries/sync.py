@@ -196,15 +196,19 @@ def _checked(result: RunResult) -> RunResult:
     return result
 
 
-def _lake_copy(spark, folder, name, partition_by=()):
-    """A lake table with the rows of a given table."""
+def _lake_table(spark, df, name, partition_by=()):
+    """A lake table with the rows of a frame."""
     target, base = new_table(spark, f"lake_{name}")
-    df = table(spark, folder, name)
     tables.create_table(spark, target, df.schema, base, partition_by)
     tables.append(tables.arranged(df, target), target)
     return target
 
 
+def _lake_copy(spark, folder, name, partition_by=()):
+    """A lake table with the rows of a given table."""
+    return _lake_table(spark, table(spark, folder, name), name, partition_by)
+
+
 @query(
     f"""
 WITH src AS ({REISSUED_LINES})
@@ -262,7 +266,7 @@ def sync_run_metrics(spark, folder):
 
 
 REFUSALS = [
-    ("unknown key", "Key column 'nope' not found in source query result"),
+    ("unknown key", "The source has no key column 'nope'"),
     ("extra column", "Source columns not in target: extra"),
     ("repeated keys", "Source has duplicate keys: l_orderkey, l_linenumber"),
     ("null keys", "Source has NULL keys: l_orderkey"),
@@ -294,3 +298,106 @@ def sync_refusals(spark, folder):
         result = sync_table(spark, source, target, keys, options)
         found.append((attempt, result.error, spark.table(target).count()))
     return spark.createDataFrame(found, "attempt string, message string, n_rows bigint")
+
+
+# Orders by month, and urgent ones moved to another month: the partition is no part of the key.
+MONTHLY = """
+SELECT o_orderkey, o_totalprice, month(o_orderdate) AS o_month FROM orders
+"""
+MOVED = """
+SELECT o_orderkey, o_totalprice, 1 + (month(o_orderdate) * 5) % 12 AS o_month
+FROM orders WHERE o_orderpriority = '1-URGENT' AND month(o_orderdate) < 4
+"""
+
+
+@query(
+    f"""
+WITH src AS ({MOVED}), tgt AS ({MONTHLY})
+SELECT * FROM tgt t WHERE NOT EXISTS (SELECT 1 FROM src s WHERE s.o_orderkey = t.o_orderkey)
+UNION ALL SELECT * FROM src
+"""
+)
+def sync_by_month(spark, folder):
+    """Rows leave one partition and arrive in another; the partition is no key column."""
+    target = _lake_table(spark, sql(spark, folder, MONTHLY), "monthly", ["o_month"])
+    _checked(sync_table(spark, sql(spark, folder, MOVED), target, ["o_orderkey"]))
+    return spark.table(target)
+
+
+DEALT = "SELECT o_orderkey, o_totalprice, CAST(o_custkey % 600 AS INT) AS part FROM orders"
+
+
+@query(
+    f"""
+WITH src AS (SELECT o_orderkey, -1.0::DOUBLE AS o_totalprice, part FROM ({DEALT}) d WHERE o_orderkey % 2 = 0)
+SELECT * FROM ({DEALT}) t WHERE NOT EXISTS (SELECT 1 FROM src s WHERE s.o_orderkey = t.o_orderkey)
+UNION ALL SELECT * FROM src
+"""
+)
+def sync_many_partitions(spark, folder):
+    """A sync that touches hundreds of partitions."""
+    dealt = sql(spark, folder, DEALT)
+    target = _lake_table(spark, dealt, "dealt", ["part"])
+    source = dealt.where("o_orderkey % 2 = 0").withColumn("o_totalprice", F.lit(-1.0))
+    _checked(sync_table(spark, source, target, ["o_orderkey"]))
+    return spark.table(target)
+
+
+SEGMENTS = "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer"
+
+
+@query(
+    f"""
+WITH src AS (SELECT c_custkey, c_acctbal, lower(c_mktsegment) AS c_mktsegment
+             FROM customer WHERE c_mktsegment <> 'BUILDING')
+SELECT * FROM ({SEGMENTS}) t WHERE NOT EXISTS (
+  SELECT 1 FROM src s WHERE s.c_custkey = t.c_custkey AND s.c_mktsegment = lower(t.c_mktsegment))
+UNION ALL SELECT * FROM src
+"""
+)
+def sync_collated_partition(spark, folder):
+    """A partition column in the key, compared without case: whole partitions are replaced."""
+    rows = sql(spark, folder, SEGMENTS)
+    target = _lake_table(spark, rows, "segments", ["c_mktsegment"])
+    source = rows.where("c_mktsegment <> 'BUILDING'").withColumn("c_mktsegment", F.lower("c_mktsegment"))
+    options = SyncOptions(key_collation="UTF8_LCASE")
+    _checked(sync_table(spark, source, target, ["c_custkey", "c_mktsegment"], options))
+    return spark.table(target)
+
+
+DECLARED = [
+    ("dbo", "PK", 1, True, True, "c_custkey", 1),
+    ("dbo", "UX_name", 2, False, True, "c_name", 1),
+    ("dbo", "UX_balance", 3, False, True, "c_acctbal", 1),
+]
+DECLARED_MESSAGE = "Source has duplicate keys: c_name"
+
+
+@query(
+    f"""
+SELECT 'named' AS attempt, '{DECLARED_MESSAGE}' AS message, count(*) AS n_rows,
+       CAST(count(*) AS BIGINT) AS n_old FROM customer
+UNION ALL
+SELECT 'without names', NULL, count(*), count(*) FILTER (c_custkey % 3 <> 0) FROM customer
+"""
+)
+def sync_declared_unique(spark, folder):
+    """A repeated value in a second unique index refuses the sync; an index not given is skipped."""
+    customers = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
+    target = _lake_table(spark, customers, "customer")
+    names = "schema_name string, index_name string, index_id int, is_primary_key boolean, is_unique boolean, column_name string, key_ordinal int"
+    indexes = spark.createDataFrame(DECLARED, names).select(
+        "*", F.lit(target).alias("table_name"), F.lit(False).alias("is_descending"), F.lit(False).alias("is_included")
+    )
+    changed = customers.where("c_custkey % 3 = 0")
+    # Two keys share a name; no balance is given, so its index says nothing.
+    attempts = {
+        "named": changed.select("c_custkey", F.lit("same").alias("c_name")),
+        "without names": changed.select("c_custkey"),
+    }
+    found = []
+    for attempt, source in attempts.items():
+        result = sync_table(spark, source, target, declared_indexes=indexes)
+        left = spark.table(target).agg(F.count("*").alias("n"), F.count("c_name").alias("named")).first()
+        found.append((attempt, result.error, left["n"], left["named"]))
+    return spark.createDataFrame(found, "attempt string, message string, n_rows bigint, n_old bigint")

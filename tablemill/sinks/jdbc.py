@@ -53,6 +53,7 @@ def jdbc_write(
     """
     require_table_name(table)
     require_columns(df.columns)
-    out = df.coalesce(connections) if connections else df
+    # A shuffle, as merging partitions would slow all work before the write to so few tasks.
+    out = df.repartition(connections) if connections else df
     options = write_options(df, url, table, truncate, batch_size, timeout, properties)
     out.write.format("jdbc").options(**options).mode("overwrite" if truncate else "append").save()

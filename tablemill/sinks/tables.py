@@ -7,6 +7,7 @@ the new ones and a failed write changes nothing. One writer per table is assumed
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -17,15 +18,15 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, ty
 from tablemill.errors import RequestError
 from tablemill.functions.names import quoted, require_columns, require_table_name
 from tablemill.functions.types import table_ddl
-from tablemill.session import delete_path, list_path
+from tablemill.session import delete_path, list_path, work_path
 
 SNAPSHOT = "snapshot-"
 
-# Replaced snapshots kept for readers that still use them.
-KEPT_SNAPSHOTS = 1
+# Replaced snapshots stay this long for readers that still use them: well above the longest read.
+KEPT_SECONDS = 24 * 3600
 
-# A change to more partitions than this rewrites the whole table.
-MAX_NAMED_PARTITIONS = 500
+# Partitions named in one catalog statement.
+_DROP_CHUNK = 1000
 
 
 def table_exists(spark: SparkSession, name: str) -> bool:
@@ -135,75 +136,59 @@ def replace(
 ) -> None:
     """Replace the table's content with ``df``, which may read the table itself."""
     spark = df.sparkSession
-    path = snapshot_path(spark, name, tag)
-    write_snapshot(df, path, max_records_per_file)
-    if partition_columns(spark, name):
-        done = spark.read.schema(df.schema).parquet(path)
-        gone = _partitions_only_in(spark.table(name), done, partition_columns(spark, name))
-        _move_in(done, name)
-        _drop_partitions(spark, name, gone)
-        delete_path(spark, path)
+    columns = partition_columns(spark, name)
+    if columns:
+        # The rows are read twice here, for their partitions and for themselves, so they are pinned.
+        held = work_path(spark, "replacement")
+        write_snapshot(df, held)
+        try:
+            done = spark.read.schema(df.schema).parquet(held)
+            gone = _partitions_only_in(spark.table(name), done, columns)
+            overwrite_partitions(done, name)
+            drop_partitions(spark, name, gone)
+        finally:
+            delete_path(spark, held)
     else:
+        path = snapshot_path(spark, name, tag)
+        write_snapshot(df, path, max_records_per_file)
         publish(spark, name, path)
         remove_old_snapshots(spark, name)
 
 
-def _partition_values(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct partition values as the table keeps them: empty text is stored as NULL."""
-    kept = [
+def stored_partition(rows: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Partition values as the table keeps them: empty text is stored as NULL."""
+    return [
         F.nullif(F.col(c), F.lit("")).alias(c) if t == "string" else F.col(c)
         for c, t in rows.select(*columns).dtypes
     ]
-    return rows.select(*kept).distinct()
 
 
-# Types whose values come to the driver and back unchanged, whatever the time zone.
-_NAMEABLE = (T.IntegralType, T.StringType, T.DateType, T.BooleanType)
+def _partition_values(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return rows.select(*stored_partition(rows, columns)).distinct()
 
 
-def touched_partitions(rows: DataFrame, columns: Sequence[str]) -> Column | None:
-    """Test for the partitions that ``rows`` are in.
+def in_partitions(rows: DataFrame, scope: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows whose partition is in ``scope``, however many partitions that names.
 
-    None when there are too many to name, or their type is none to name safely.
+    The scope stays a frame: where it is small enough to broadcast, Spark prunes the
+    partitions with it, else it is one more join.
     """
-    if not all(isinstance(f.dataType, _NAMEABLE) for f in rows.select(*columns).schema):
-        return None
-    found = _partition_values(rows, columns).limit(MAX_NAMED_PARTITIONS + 1).collect()
-    if len(found) > MAX_NAMED_PARTITIONS:
-        return None
-    tests = [
-        reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(row[c])) for c in columns])
-        for row in found
-    ]
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
+    marked = scope.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(columns)], F.lit(True).alias("__in"))
+    same = [F.col(c).eqNullSafe(F.col(f"__p{i}")) for i, c in enumerate(columns)]
+    return rows.join(marked.where("__in"), reduce(lambda a, b: a & b, same), "left_semi")
 
 
-def replace_partitions(df: DataFrame, name: str, scope: DataFrame | None = None) -> None:
-    """Replace the partitions that ``df`` has rows for; leave the others.
+def overwrite_partitions(df: DataFrame, name: str) -> None:
+    """Replace the partitions that ``df`` has rows for, leave the others; ``df`` may read the table.
 
-    Partitions of ``scope`` that ``df`` has no rows for any more are dropped.
+    Rows are written once, beside the table, and move in when all of them are there: a run that
+    fails before changes nothing. Partitions move one after another; a run broken off in between
+    gives the same table when repeated.
     """
     spark = df.sparkSession
-    columns = partition_columns(spark, name)
-    if not columns:
+    require_columns(df.columns)
+    if not partition_columns(spark, name):
         raise RequestError(f"Table '{name}' has no partition columns")
-    path = snapshot_path(spark, name)
-    write_snapshot(df, path)
-    done = spark.read.schema(df.schema).parquet(path)
-    gone = _partitions_only_in(scope, done, columns) if scope is not None else []
-    _move_in(done, name)
-    _drop_partitions(spark, name, gone)
-    delete_path(spark, path)
-
-
-def _move_in(df: DataFrame, name: str) -> None:
-    """Overwrite the partitions that finished rows belong to.
-
-    The catalog lists partitions one by one, so they can't all switch at once.
-    The rows are finished beside the table first: what can fail has run by then,
-    and a run broken off in between gives the same table when repeated.
-    """
-    spark = df.sparkSession
     with _setting(spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
         rows = arranged(df.select(*spark.table(name).columns), name)
         rows.write.mode("overwrite").insertInto(name)
@@ -217,7 +202,9 @@ def _partitions_only_in(old: DataFrame, new: DataFrame, columns: list[str]) -> l
     return gone.select(*[F.col(c).cast("string").alias(c) for c in columns]).collect()
 
 
-def _drop_partitions(spark: SparkSession, name: str, partitions: list[Row]) -> None:
+def drop_partitions(spark: SparkSession, name: str, partitions: Sequence[Row]) -> None:
+    """Drop partitions given by their values as text, a bounded number per statement."""
+
     def value(text: str | None) -> str:
         return "NULL" if text is None else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -225,19 +212,23 @@ def _drop_partitions(spark: SparkSession, name: str, partitions: list[Row]) -> N
         "PARTITION (" + ", ".join(f"{quoted(c)} = {value(v)}" for c, v in p.asDict().items()) + ")"
         for p in partitions
     ]
-    if specs:
-        spark.sql(f"ALTER TABLE {quoted(name)} DROP IF EXISTS {', '.join(specs)}")
+    for at in range(0, len(specs), _DROP_CHUNK):
+        spark.sql(f"ALTER TABLE {quoted(name)} DROP IF EXISTS {', '.join(specs[at : at + _DROP_CHUNK])}")
+
 
+def remove_old_snapshots(spark: SparkSession, name: str, older_than: float = KEPT_SECONDS) -> list[str]:
+    """Delete snapshots the table no longer points at and that are older than so many seconds.
 
-def remove_old_snapshots(spark: SparkSession, name: str, keep: int = KEPT_SNAPSHOTS) -> list[str]:
-    """Delete snapshots the table no longer points at, but for the newest ``keep``."""
+    A snapshot's age counts from when it was written; a reader that began on it while it was
+    current is safe for the rest of that time.
+    """
     current = table_location(spark, name).rstrip("/").rpartition("/")[2]
-    old = [
-        (modified, path)
+    newest_gone = (time.time() - older_than) * 1000
+    gone = [
+        path
         for path, modified in list_path(spark, _folder(spark, name))
-        if path.rpartition("/")[2].startswith(SNAPSHOT) and not path.endswith(current)
+        if path.rpartition("/")[2].startswith(SNAPSHOT) and not path.endswith(current) and modified <= newest_gone
     ]
-    gone = [path for _, path in sorted(old, reverse=True)[keep:]]
     for path in gone:
         delete_path(spark, path)
     return gone

@@ -72,7 +72,7 @@ def test_declared_keys(spark):
     assert keys.declared_key(df, "a") == ["Id", "Code"]
     assert keys.declared_key(df, "dbo.b") == ["y"]
     assert keys.declared_key(df, "other.c") == ["k"]
-    with pytest.raises(RequestError, match="No Primary Key or Unique Index found on table 'c'"):
+    with pytest.raises(RequestError, match="Table 'c' declares no primary key"):
         keys.declared_key(df, "c")
 
 

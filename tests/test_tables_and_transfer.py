@@ -90,15 +90,17 @@ def test_files_hold_at_most_the_batch(spark, base, name):
 
 
 def test_old_snapshots(spark, base, name):
-    """One replaced snapshot stays for running readers; other tables' folders are left alone."""
+    """Replaced snapshots stay for running readers; other tables' folders are left alone."""
     options = TransferOptions(create_if_missing=True, base=base)
     transfer(spark, users(spark, (7, "other")), f"{name}_other", options)
     transfer(spark, users(spark, (1, "a")), name, options)
+    early = spark.table(name)
     for i in range(3):
         transfer(spark, users(spark, (i, "b")), name, TransferOptions(truncate=True))
+    assert rows(early) == [(1, "a")]
     folder = tables.table_location(spark, name).rpartition("/")[0]
-    assert len(list_path(spark, folder)) == 2
-    assert len(tables.remove_old_snapshots(spark, name, keep=0)) == 1
+    assert len(list_path(spark, folder)) == 4
+    assert len(tables.remove_old_snapshots(spark, name, older_than=0)) == 3
     assert rows(spark.table(name)) == [(2, "b")]
     assert rows(spark.table(f"{name}_other")) == [(7, "other")]
 
@@ -233,3 +235,23 @@ def test_jdbc_write_options(spark, base, name):
     assert options["createTableColumnTypes"] == "`c` VARCHAR(9)"
     with pytest.raises(RequestError):
         jdbc_sink.jdbc_write(df, "jdbc:x", "t; drop")
+
+
+def test_change_leaves_other_partitions_alone(spark, base, name):
+    df = spark.range(40).selectExpr("CAST(id AS INT) AS k", "CAST(id AS INT) % 4 AS p")
+    options = TransferOptions(create_if_missing=True, base=base, partition_by=["p"])
+    assert transfer(spark, df, name, options).ok
+
+    def files():
+        found = spark.table(name).select("p", F.input_file_name().alias("f")).distinct().collect()
+        return {(r["p"], r["f"]) for r in found}
+
+    before = files()
+    gone = delete_rows(spark, name, F.col("p").isin(1) | (F.col("k") == 2))
+    assert gone.ok and gone.rows_deleted == 11
+    kept = {x for x in before if x[0] in (0, 3)}
+    assert kept <= files() and {p for p, _ in files()} == {0, 2, 3}
+    changed = update_rows(spark, name, {"k": F.lit(-1)}, F.col("k") == 3)
+    assert changed.ok and changed.rows_written == 1
+    assert {x for x in before if x[0] == 0} <= files()
+    assert delete_rows(spark, name, F.col("k") == 12345).rows_deleted == 0
