@@ -10,6 +10,10 @@ from pyspark.sql import types as T
 MAX_DECLARED_LENGTH = 8000
 DOCUMENT_DECIMAL = T.DecimalType(38, 18)
 
+# Digits a double always gives back; a field that may need more, as one that whole numbers
+# and fractions share, stays a decimal.
+EXACT_DIGITS = 15
+
 CHAR_METADATA = "__CHAR_VARCHAR_TYPE_STRING"
 
 # Source type name -> Spark type. Unsigned bytes need ShortType, 100 ns
@@ -89,6 +93,6 @@ def document_type(dt: T.DataType) -> T.DataType | None:
         return None
     if isinstance(dt, T.VariantType):
         return T.StringType()  # seen with conflicting types: keep the JSON text
-    if isinstance(dt, T.DecimalType) and dt.scale > 0:
+    if isinstance(dt, T.DecimalType) and dt.scale > 0 and dt.precision <= EXACT_DIGITS:
         return T.DoubleType()  # a plain JSON fraction is a double
     return dt

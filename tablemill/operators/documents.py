@@ -15,7 +15,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tablemill.errors import RequestError
 from tablemill.functions.names import require_columns, variant_path
 from tablemill.functions.types import DOCUMENT_DECIMAL, document_type, quoted_ddl
 from tablemill.operators.mapping import usable_fields
@@ -27,9 +26,6 @@ SERIALIZE = "serialize"
 SKIP = "skip"
 FIRST_ELEMENT = "firstelement"
 
-# Documents looked at when a sample is asked for.
-SAMPLE_SIZE = 100
-
 
 @dataclass(frozen=True)
 class DocumentOptions:
@@ -104,23 +100,9 @@ def _as_struct(variant_schema: str | None) -> T.StructType:
     return T.DataType.fromDDL(ddl)
 
 
-def infer_document_schema(
-    df: DataFrame,
-    json_col: str,
-    sample_size: int | None = None,
-    order_by: Sequence[str | Column] | None = None,
-) -> T.StructType:
-    """Fields and types over all documents; types widen where documents differ.
-
-    Fields come in name order. ``sample_size`` with ``order_by`` looks at the
-    first documents only, and then misses what they don't show.
-    """
-    documents = df
-    if sample_size is not None:
-        if not order_by:
-            raise RequestError("A schema sample needs an order to be repeatable")
-        documents = df.orderBy(*order_by).limit(sample_size)
-    return schema_of_parsed(parsed(documents, json_col))
+def infer_document_schema(df: DataFrame, json_col: str) -> T.StructType:
+    """Fields and types over all documents, in name order; types widen where documents differ."""
+    return schema_of_parsed(parsed(df, json_col))
 
 
 def schema_of_parsed(df: DataFrame) -> T.StructType:
@@ -128,8 +110,9 @@ def schema_of_parsed(df: DataFrame) -> T.StructType:
     return _as_struct(df.agg(F.schema_of_variant_agg(DOC).alias("s")).first()["s"])
 
 
-# Extended-JSON wrappers: a document with one such field stands for a value of this
-# type. The value of any other field that starts with $ is kept as text.
+# Extended-JSON wrappers: a document of such fields stands for a value of this type; where
+# documents use several for one field, the type widens. The value of any other field that
+# starts with $ is kept as text.
 WRAPPERS = {
     "$oid": "string",
     "$date": "timestamp_ntz",
@@ -142,10 +125,24 @@ WRAPPERS = {
 }
 
 
-def _wrapper(dt: T.DataType) -> str | None:
-    if isinstance(dt, T.StructType) and len(dt) == 1 and dt[0].name.startswith("$"):
-        return dt[0].name
-    return None
+def _wrappers(dt: T.DataType) -> list[str]:
+    """The wrappers a field's documents use: all its names start with $; none for other fields."""
+    names = dt.names if isinstance(dt, T.StructType) else []
+    return names if all(n.startswith("$") for n in names) else []
+
+
+def _wrapped_type(wrappers: Sequence[str]) -> str:
+    """The type that holds the values of all these wrappers; text where none else does."""
+    types = {WRAPPERS.get(w, "string") for w in wrappers}
+    if len(types) == 1:
+        return types.pop()
+    if types <= {"int", "bigint"}:
+        return "bigint"
+    if types <= {"int", "double"}:
+        return "double"
+    if types <= {"int", "bigint", "double", DOCUMENT_DECIMAL.simpleString()}:
+        return DOCUMENT_DECIMAL.simpleString()
+    return "string"
 
 
 def _utc(instant: Column) -> Column:
@@ -166,10 +163,32 @@ def _unwrapped(value: Column, wrapper: str) -> Column:
     return value.try_cast(WRAPPERS.get(wrapper, "string"))
 
 
+def _unwrapped_all(value: Column, wrappers: Sequence[str]) -> tuple[Column, Column]:
+    """(the value whichever wrapper holds it, whether there is one that doesn't convert)."""
+    data_type = _wrapped_type(wrappers)
+    values, failures = [], []
+    for w in wrappers:
+        raw = value.getField(w)
+        found = raw if data_type == "string" else _unwrapped(raw, w).try_cast(data_type)
+        values.append(found)
+        failures.append(raw.isNotNull() & found.isNull())
+    return F.coalesce(*values), reduce(lambda a, b: a | b, failures)
+
+
+def variant_text(value: Column) -> Column:
+    """Text of a value whose type differs between documents: a wrapper's content, else the value."""
+    inner = [F.try_variant_get(value, variant_path([w]), "string") for w in WRAPPERS]
+    wrapped = F.schema_of_variant(value).startswith("OBJECT<`$") | F.schema_of_variant(value).startswith("OBJECT<$")
+    whole = F.try_variant_get(value, "$", "string")
+    return F.when(wrapped, F.coalesce(*inner, whole)).otherwise(whole)
+
+
 def _read_type(dt: T.DataType, options: DocumentOptions) -> T.DataType | None:
     """Type to read a field as; None for a field that never holds a value."""
-    if _wrapper(dt):
-        return T.StructType([T.StructField(dt[0].name, T.StringType())])
+    if _wrappers(dt):
+        return T.StructType([T.StructField(n, T.StringType()) for n in _wrappers(dt)])
+    if isinstance(dt, T.VariantType):
+        return dt  # stays what it is in each document until it is flattened
     if isinstance(dt, T.StructType):
         if not options.flatten:
             return T.StringType()  # JSON text
@@ -189,6 +208,54 @@ def _read_type(dt: T.DataType, options: DocumentOptions) -> T.DataType | None:
     return document_type(dt)
 
 
+def _same_names(schema: T.StructType) -> list[list[T.StructField]]:
+    """Fields in order, those whose names differ only in case together."""
+    groups: dict[str, list[T.StructField]] = {}
+    for f in schema:
+        groups.setdefault(f.name.lower(), []).append(f)
+    return list(groups.values())
+
+
+def case_clashes(schema: T.DataType, prefix: str = "") -> list[str]:
+    """Dotted names that a document also has in another case."""
+    if not isinstance(schema, T.StructType):
+        return []
+    found = []
+    for group in _same_names(schema):
+        found += [f"{prefix}{f.name}" for f in group[1:]]
+        for f in group:
+            found += case_clashes(f.dataType, f"{prefix}{f.name}.")
+    return found
+
+
+def _fields(path: list[str], schema: T.StructType, options: DocumentOptions) -> list[Column]:
+    """The fields of the document at ``path``; of names that differ only in case the last one.
+
+    Each is read straight from the parsed document, whose names have case; where the document
+    has several, the later one wins, and where their types differ their text is kept.
+    """
+    columns = []
+    for group in _same_names(schema):
+        types = [(f, _read_type(f.dataType, options)) for f in group]
+        kept = [(f, t) for f, t in types if t is not None]
+        if not kept:
+            continue
+        name = kept[-1][0].name
+        if len({quoted_ddl(t) for _, t in kept}) == 1:
+            values = [_field_value([*path, f.name], f.dataType, t, options) for f, t in kept]
+        else:
+            values = [F.try_variant_get(DOC, variant_path([*path, f.name]), "string") for f, _ in kept]
+        columns.append((values[0] if len(values) == 1 else F.coalesce(*reversed(values))).alias(name))
+    return columns
+
+
+def _field_value(path: list[str], dt: T.DataType, read_as: T.DataType, options: DocumentOptions) -> Column:
+    if isinstance(read_as, T.StructType) and not _wrappers(dt) and case_clashes(dt):
+        whole = F.try_variant_get(DOC, variant_path(path), "variant")
+        return F.when(F.schema_of_variant(whole).startswith("OBJECT"), F.struct(*_fields(path, dt, options)))
+    return F.try_variant_get(DOC, variant_path(path), quoted_ddl(read_as))
+
+
 def read_documents(
     df: DataFrame,
     json_col: str,
@@ -203,13 +270,7 @@ def read_documents(
     if schema is None:
         schema = infer_document_schema(df, json_col)
     source = df if DOC in df.columns else parsed(df, json_col)
-    columns = []
-    for f in schema:
-        dt = _read_type(f.dataType, options)
-        if dt is not None:
-            value = F.try_variant_get(DOC, variant_path([f.name]), quoted_ddl(dt))
-            columns.append(value.alias(f.name))
-    return source.select(*keep, *columns)
+    return source.select(*keep, *_fields([], schema, options))
 
 
 # --- flattening -------------------------------------------------------------
@@ -231,11 +292,11 @@ def _leaves(
         name = f"{prefix}{options.separator}{f.name}" if prefix else f.name
         value = F.col(f"`{f.name.replace('`', '``')}`") if parent is None else parent.getField(f.name)
         dt = f.dataType
-        wrapper = _wrapper(dt)
-        if wrapper:
-            raw = value.getField(wrapper)
-            converted = _unwrapped(raw, wrapper)
-            yield name, converted, raw.isNotNull() & converted.isNull()
+        if _wrappers(dt):
+            converted, failure = _unwrapped_all(value, _wrappers(dt))
+            yield name, converted, failure
+        elif isinstance(dt, T.VariantType):
+            yield name, variant_text(value), None
         elif isinstance(dt, T.StructType) and options.flatten:
             yield from _leaves(dt, options, name, value)
         elif isinstance(dt, (T.StructType, T.MapType)):
@@ -318,13 +379,14 @@ def inferred_columns(
             dt = _read_type(f.dataType, options)
             if dt is None:
                 continue
-            if isinstance(dt, T.StructType) and not _wrapper(dt):
+            if _wrappers(dt):
+                rows[name] = _wrapped_type(_wrappers(dt))
+            elif isinstance(dt, T.StructType):
                 walk(f.dataType, name)
             elif isinstance(dt, T.ArrayType):
                 rows[name] = dt.elementType.simpleString()
             else:
-                wrapper = _wrapper(dt)
-                rows[name] = WRAPPERS.get(wrapper, "string") if wrapper else dt.simpleString()
+                rows[name] = "string" if isinstance(dt, T.VariantType) else dt.simpleString()
 
     walk(schema, "")
     kept, warnings = usable_fields(

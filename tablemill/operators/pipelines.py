@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablemill.errors import RequestError
 from tablemill.functions.names import variant_path
+from tablemill.operators.documents import variant_text
 
 _COMPARE = {
     "$eq": lambda f, v: f == v,
@@ -22,6 +23,9 @@ _COMPARE = {
     "$lte": lambda f, v: f <= v,
 }
 
+# Variant kinds that are numbers.
+_NUMBER = "^(BIGINT|DECIMAL|DOUBLE)"
+
 # Largest whole number a double holds exactly.
 _EXACT_IN_DOUBLE = 2**53
 
@@ -39,6 +43,20 @@ def _field(df: DataFrame, path: str) -> tuple[Column, T.DataType] | None:
         return None
 
 
+def _variant_like(value: Column, wanted: Any) -> Column | None:
+    """A variant as a value of ``wanted``'s kind; NULL where it is of another."""
+    kind = F.schema_of_variant(value)
+    if isinstance(wanted, bool):
+        return F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+    if isinstance(wanted, str):
+        return F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+    if isinstance(wanted, Number):
+        big = isinstance(wanted, int) and abs(wanted) > _EXACT_IN_DOUBLE
+        number = F.try_variant_get(value, "$", "decimal(38,0)" if big else "double")
+        return F.when(kind.rlike(_NUMBER), number)
+    return None
+
+
 class ColumnFields:
     """Document fields that are columns of a frame. Tests on them reach the scan."""
 
@@ -47,13 +65,18 @@ class ColumnFields:
 
     def is_null(self, path: str) -> Column:
         found = _field(self.df, path)
-        return F.lit(True) if found is None else found[0].isNull()
+        if found is None:
+            return F.lit(True)
+        missing = found[0].isNull()
+        return missing | F.is_variant_null(found[0]) if isinstance(found[1], T.VariantType) else missing
 
     def like(self, path: str, value: Any) -> Column | None:
         """The field to compare with ``value``; None where its type never matches."""
         found = _field(self.df, path)
         if found is None:
             return None
+        if isinstance(found[1], T.VariantType):
+            return _variant_like(found[0], value)
         kinds = {
             bool: T.BooleanType,
             str: T.StringType,
@@ -78,16 +101,7 @@ class VariantFields:
         return field.isNull() | F.is_variant_null(field)
 
     def like(self, path: str, value: Any) -> Column | None:
-        kind = F.schema_of_variant(self._get(path, "variant"))
-        if isinstance(value, bool):
-            return F.when(kind == "BOOLEAN", self._get(path, "boolean"))
-        if isinstance(value, str):
-            return F.when(kind == "STRING", self._get(path, "string"))
-        if isinstance(value, Number):
-            big = isinstance(value, int) and abs(value) > _EXACT_IN_DOUBLE
-            number = self._get(path, "decimal(38,0)" if big else "double")
-            return F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE)"), number)
-        return None
+        return _variant_like(self._get(path, "variant"), value)
 
 
 Fields = ColumnFields | VariantFields
@@ -176,12 +190,18 @@ def _project(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
 
 
 def _total(df: DataFrame, value: Any) -> Column:
-    """Sum of a field's numbers; other values and missing fields count as 0."""
+    """Sum of a field's numbers; other values and missing fields count as 0, as does a text."""
     if isinstance(value, str):
-        found = _field(df, value.removeprefix("$"))
-        if found is None or not isinstance(found[1], T.NumericType):
+        found = _field(df, value[1:]) if value.startswith("$") else None
+        if found is None:
+            return F.lit(0)
+        number, kind = found
+        if isinstance(kind, T.VariantType):
+            # Of a field that is text in some documents, the numbers of the others.
+            number = _variant_like(number, 0.0)
+        elif not isinstance(kind, T.NumericType):
             return F.lit(0)
-        return F.coalesce(F.sum(found[0]), F.lit(0))
+        return F.coalesce(F.sum(number), F.lit(0))
     if value == 1:
         return F.count(F.lit(1))
     return F.coalesce(F.sum(F.lit(value)), F.lit(0))
@@ -197,8 +217,10 @@ def _group(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
         if op != "$sum":
             raise RequestError(f"Unsupported accumulator: '{op}'")
         totals.append(_total(df, value).alias(name))
-    groups = df.groupBy(_expression(df, key).alias("_id"))
-    return groups.agg(*totals) if totals else df.select(_expression(df, key).alias("_id")).distinct()
+    value = _expression(df, key).alias("_id")
+    if isinstance(df.select(value).schema["_id"].dataType, T.VariantType):
+        value = variant_text(value).alias("_id")  # variants can't be compared
+    return df.groupBy(value).agg(*totals) if totals else df.select(value).distinct()
 
 
 _STAGES = {"$match": document_filter, "$project": _project, "$group": _group}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -27,6 +28,8 @@ from tablemill.session import delete_path, work_path
 from tablemill.sinks import tables
 
 FAILED = "__failed"
+NOT_A_DOCUMENT = "no JSON document"
+NOT_CONVERTED = "a value that doesn't convert"
 NO_DOCUMENTS = "No document matches"
 
 
@@ -41,6 +44,7 @@ class LoadOptions:
     base: str | None = None
     max_records_per_file: int | None = None
     rejected_path: str | None = None
+    run_id: str | None = None
 
 
 def _without_not_null(schema: T.StructType) -> T.StructType:
@@ -61,8 +65,10 @@ def load_documents(
 
     A pipeline beats a filter. Filters and leading ``$match`` stages are tested
     on the parsed document, so fields are inferred from matching documents only.
-    Bad documents are counted, optionally written to ``rejected_path``, and don't
-    stop the load. No document at all leaves the target as it is, even when truncating.
+    Bad documents are counted and don't stop the load. With ``rejected_path`` their text and the
+    reason go to a folder of this run (``options.run_id``) under it, once the load is done: those
+    that are no document, and, unless documents are grouped, those with a value that doesn't
+    convert. No document at all leaves the target as it is, even when truncating.
     """
     spark = documents.sparkSession
     filters, stages = split_leading_matches(pipeline) if pipeline else ([filter or {}], [])
@@ -90,7 +96,7 @@ def load_documents(
             parsed, seen = counted(parsed, failed=F.count_if(F.col(docs.DOC).isNull()))
         rows = apply_pipeline(columns(parsed), stages)
         plan = docs.flatten_plan(rows, document_options, keep_id)
-        result.warnings += plan.warnings
+        result.warnings += [f"Field name clash: '{n}'" for n in docs.case_clashes(fields)] + plan.warnings
         if not plan.columns:
             result.warn("The documents have no field that can be a column")
             return
@@ -98,19 +104,41 @@ def load_documents(
         picked, written = counted(
             rows.select(*plan.columns, unconverted.alias(FAILED)), failed=F.count_if(FAILED)
         )
-        if options.rejected_path:
-            rejected = docs.rejected_documents(documents, json_col)
-            rejected.write.mode("append").parquet(options.rejected_path)
         _write(spark, picked.where(~F.col(FAILED)).drop(FAILED), target, options, result)
         bad = seen.get["failed"] if seen else _bad_documents(parsed)
         unconverted_rows = written.get["failed"]
         result.rows_failed = bad + unconverted_rows
         result.rows_written = written.get["rows"] - unconverted_rows
         result.rows_read = result.rows_written + result.rows_failed
+        if options.rejected_path:
+            read = docs.read_documents(
+                docs.only_parsed(documents, json_col).where(matches), json_col, fields, document_options, [json_col]
+            )
+            if grouped:
+                read = read.limit(0)
+            else:
+                read = apply_pipeline(read, [s for s in stages if "$match" in s])
+            _write_rejected(documents, json_col, read, document_options, options)
 
     return run(target, body)
 
 
+def _write_rejected(
+    documents: DataFrame,
+    json_col: str,
+    read: DataFrame,
+    document_options: docs.DocumentOptions,
+    options: LoadOptions,
+) -> None:
+    """(text, reason) of the documents a load left out, in place of an earlier try of the run."""
+    text = F.col(json_col).alias("text")
+    broken = docs.rejected_documents(documents, json_col).select(text, F.lit(NOT_A_DOCUMENT).alias("reason"))
+    failed = docs.flatten_plan(read.drop(json_col), document_options).failed
+    if failed is not None:
+        broken = broken.unionAll(read.where(failed).select(text, F.lit(NOT_CONVERTED).alias("reason")))
+    broken.write.mode("overwrite").parquet(f"{options.rejected_path}/run={options.run_id or uuid.uuid4().hex}")
+
+
 def _ensure(
     spark: SparkSession, target: str, schema: T.StructType, options: LoadOptions, result: RunResult
 ) -> None:

@@ -289,3 +289,102 @@ def document_files(spark, folder):
     rows = table(spark, folder, "conversations").select("turn", "role", "text")
     rows.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
     return ops.flatten_documents(document_scan(spark, path), "doc")
+
+
+# A field that is a number in most documents and a text in some.
+MIXED_FIELD = """
+SELECT event_id, concat('{"type":"', event_type, '","q":',
+  CASE WHEN user_id % 7 = 0 THEN '"none"' ELSE cast(user_id as string) END, '}') AS js FROM events
+"""
+
+
+@query(
+    """
+SELECT event_type AS type,
+       CAST(coalesce(sum(user_id) FILTER (user_id % 7 <> 0), 0) AS DOUBLE) AS total
+FROM events GROUP BY event_type
+"""
+)
+def doc_mixed_sum(spark, folder):
+    """Numbers of a field of mixed type add up; its texts count as 0."""
+    stages = [{"$group": {"_id": "$type", "total": {"$sum": "$q"}}}]
+    rows = apply_pipeline(_columns(sql(spark, folder, MIXED_FIELD)), stages)
+    return ops.flatten(rows, DocumentOptions(field_mappings={"_id": "type"}), keep_id=True)
+
+
+@query("SELECT event_type AS type, CAST(user_id AS VARCHAR) AS q FROM events WHERE user_id % 7 <> 0 AND user_id > 2")
+def doc_mixed_filter(spark, folder):
+    found = document_filter(_columns(sql(spark, folder, MIXED_FIELD)), {"q": {"$gt": 2}})
+    return ops.flatten(found)
+
+
+# Each number in the wrapper it fits into, as canonical exports have them.
+WRAPPED_DOCS = """
+SELECT concat('{"key":{"$number', CASE WHEN o_orderkey % 2 = 0 THEN 'Long' ELSE 'Int' END, '":"',
+  o_orderkey, '"},"name":', CASE WHEN o_custkey % 3 = 0 THEN concat('{"$oid":"c', o_custkey, '"}')
+  ELSE concat('"c', o_custkey, '"') END, '}') AS js FROM orders
+"""
+
+
+@query("SELECT o_orderkey AS \"key\", 'c' || o_custkey AS name FROM orders")
+def doc_mixed_wrappers(spark, folder):
+    return ops.flatten_documents(sql(spark, folder, WRAPPED_DOCS), "js")
+
+
+CASED_DOCS = """
+SELECT concat('{"Key":', c_custkey, CASE WHEN c_custkey % 2 = 0 THEN concat(',"key":', -c_custkey) ELSE '' END,
+  ',"in":{"N":"', c_name, '"', CASE WHEN c_custkey % 5 = 0 THEN ',"n":"x"' ELSE '' END, '}}') AS js FROM customer
+"""
+
+
+@query(
+    """
+SELECT CASE WHEN c_custkey % 2 = 0 THEN -c_custkey ELSE c_custkey END AS "key",
+       CASE WHEN c_custkey % 5 = 0 THEN 'x' ELSE c_name END AS in_n FROM customer
+"""
+)
+def doc_case_clash(spark, folder):
+    """Names that differ only in case make one column; the later in name order wins."""
+    return ops.flatten_documents(sql(spark, folder, CASED_DOCS), "js")
+
+
+EXACT_DOCS = """
+SELECT concat('{"v":', CASE WHEN o_orderkey % 2 = 0 THEN cast(9007199254740992 + o_orderkey + 1 as string)
+  ELSE concat(o_custkey, '.5') END, '}') AS js FROM orders
+"""
+
+
+@query(
+    """
+SELECT CASE WHEN o_orderkey % 2 = 0 THEN (9007199254740992 + o_orderkey + 1)::VARCHAR || '.0'
+       ELSE o_custkey || '.5' END AS v FROM orders
+"""
+)
+def doc_exact_numbers(spark, folder):
+    """Whole numbers above 2^53 beside fractions."""
+    flat = ops.flatten_documents(sql(spark, folder, EXACT_DOCS), "js")
+    return flat.select(F.col("v").cast("string").alias("v"))
+
+
+# Errors lost their closing brace; every tenth number is no number.
+UNFIT_DOCS = """
+SELECT event_id, CASE WHEN event_type = 'error' THEN concat('{"id":', event_id)
+  ELSE concat('{"id":', event_id, ',"n":{"$numberLong":"', CASE WHEN user_id % 10 = 0 THEN 'x' ELSE '' END,
+              user_id, '"}}') END AS js FROM events
+"""
+
+
+@query(
+    """
+SELECT CASE WHEN event_type = 'error' THEN 'no JSON document' ELSE 'a value that doesn''t convert' END AS reason,
+       count(*) AS n, (SELECT count(*) FROM events WHERE event_type = 'error' OR user_id % 10 = 0) AS n_failed
+FROM events WHERE event_type = 'error' OR user_id % 10 = 0 GROUP BY ALL
+"""
+)
+def doc_rejected(spark, folder):
+    """What a load left out, by reason, beside the number it reports."""
+    target, base = new_table(spark, "rejected")
+    options = LoadOptions(base=base, rejected_path=work_path(spark, "rejected"))
+    r = _checked(load_documents(sql(spark, folder, UNFIT_DOCS), "js", target, options=options))
+    found = spark.read.parquet(options.rejected_path).groupBy("reason").agg(F.count("*").alias("n"))
+    return found.withColumn("n_failed", F.lit(r.rows_failed).cast("long"))
