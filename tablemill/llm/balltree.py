@@ -130,9 +130,9 @@ def top_k(
     trees = staged(dealt.select("shard", "id", "v").groupBy("shard").applyInArrow(grown, schema), "ball-trees")
     asks = dealt.where(F.col("id") % every == 0).select("shard", F.col("id").alias("query"), "v", "region")
     found_schema, blocks = "query long, id long, score long", pieces(queries_n, QUERY_BLOCK)
-    look = lambda data, ids, vectors, floors: search(data, ids, vectors, floors, k)
+    look = lambda data, ids, vectors, floors: search(data, ids, vectors, floors.to_numpy(zero_copy_only=False), k)
     data = trees.select("shard", "data")
-    home = staged(met(asks.withColumn("floor", F.lit(float("-inf"))), data, 1, look, found_schema), "ball-home")
+    home = staged(met(asks.withColumn("floor", F.lit(float("-inf"))), data, 1, look, found_schema, "floor"), "ball-home")
     kth = best(home, k).where(F.col("rank") == k).select(F.col("query").alias("q"), F.col("score").cast("double").alias("kth"))
     shared = asks.join(kth, F.col("query") == F.col("q"), "left")
     shared = shared.select("query", "v", "shard", F.coalesce("kth", F.lit(float("-inf"))).alias("floor"))
@@ -159,7 +159,7 @@ def top_k(
                 )
 
     far = shared.mapInArrow(routed, "shard int, query long, v array<double>, floor double")
-    away = met(far, data, blocks, look, found_schema)
+    away = met(far, data, blocks, look, found_schema, "floor")
     out = best(staged(home.unionAll(away), "ball-found"), k)
     return out.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
 

@@ -112,18 +112,25 @@ def exact_products(points: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(data: dict[str, np.ndarray], ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(query, id, score) of each query's ``k`` best rows of a shard."""
+def search(data: dict[str, np.ndarray], ids: np.ndarray, vectors: np.ndarray, k: int, visits: list[set[int]] | None = None) -> tuple[np.ndarray, ...]:
+    """(query, id, score) of each query's ``k`` best rows of a shard, of all or of the leaves it visits."""
     points, rows = data["points"], data["ids"]
-    rough = vectors @ points.T
-    same = ids[:, None] == rows
-    rough[same] = -np.inf
+    if visits is None:
+        rough = vectors @ points.T
+    else:
+        rough = np.full((len(ids), len(rows)), -np.inf)
+        edges = np.flatnonzero(np.diff(data["leaf"], prepend=-1, append=-1))
+        for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            leaf = int(data["leaf"][start])
+            here = np.array([q for q, seen in enumerate(visits) if leaf in seen], np.int64)
+            rough[here, start:end] = vectors[here] @ points[start:end].T
+    rough[ids[:, None] == rows] = -np.inf
     if len(rows) > k:
         least = np.partition(rough, len(rows) - k, axis=1)[:, len(rows) - k]
     else:
         least = np.full(len(ids), -np.inf)
     slack = 1e-12 * (1 + np.abs(points).max(initial=0) * np.abs(vectors).sum(axis=1))
-    query, row = np.nonzero((rough >= (least - slack)[:, None]) & ~same)
+    query, row = np.nonzero((rough >= (least - slack)[:, None]) & (rough > -np.inf))
     scores = np.concatenate([exact_products(points[row[a : a + 65536]], vectors[query[a : a + 65536]]) for a in range(0, len(row), 65536)] or [np.zeros(0)])
     cuts = np.searchsorted(query, np.arange(len(ids) + 1))
     kept = [a + best_of(scores[a:b], rows[row[a:b]], k) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -183,13 +190,15 @@ def neighbours(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf.astype(np.int32))], ["id", "v", "leaf"])
 
     indexed = staged(rows.mapInArrow(placed, "id long, v array<double>, leaf int"), "ann-index")
-    dealt, spans = in_shards(indexed, "leaf", shard_rows)
+    # Neighbouring leaves share a shard, so a query hands on its best rows per shard, not per leaf.
+    dealt, spans = in_shards(indexed, "leaf", shard_rows, together=True)
 
     def shard(table: pa.Table) -> pa.Table:
-        data = packed(ids=table.column("id").to_numpy(), points=matrix(table.column("v")))
+        table = table.sort_by([("leaf", "ascending"), ("id", "ascending")])
+        data = packed(ids=table.column("id").to_numpy(), leaf=table.column("leaf").to_numpy(), points=matrix(table.column("v")))
         return pa.table({"shard": table.column("shard").slice(0, 1), "data": pa.array([data], pa.binary())})
 
-    shards = staged(dealt.select("shard", "id", "v").groupBy("shard").applyInArrow(shard, "shard int, data binary"), "ann-shards")
+    shards = staged(dealt.select("shard", "id", "v", "leaf").groupBy("shard").applyInArrow(shard, "shard int, data binary"), "ann-shards")
     queries = indexed.where(F.col("id") % every == 0).select(F.col("id").alias("query"), "v")
     trials = queries.orderBy(F.xxhash64("query"), "query").limit(trial_queries).toArrow()
     trial_ids, trial_vectors = trials.column("query").to_numpy(), matrix(trials.column("v"))
@@ -217,21 +226,26 @@ def neighbours(
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                row, shard = [], []
+                row, shard, leaves = [], [], []
                 for q, order in enumerate(tree.visits(_asked(matrix(part.column(1))))):
-                    seen = 0
+                    seen, wanted = 0, {}
                     for turn, leaf in enumerate(order):
                         # One row more than asked for, as the query itself doesn't count.
                         if turn >= visits and seen > k:
                             break
                         seen += sizes[leaf]
                         first, many = spans.get(leaf, (0, 0))
-                        row += [q] * many
-                        shard += range(first, first + many)
+                        for s in range(first, first + many):
+                            wanted.setdefault(s, []).append(leaf)
+                    row += [q] * len(wanted)
+                    shard += wanted
+                    leaves += wanted.values()
                 index = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *(c.take(index) for c in part.columns)], ["shard", "query", "v"])
+                lists = pa.array(leaves, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *(c.take(index) for c in part.columns), lists], ["shard", "query", "v", "leaves"])
 
-    asked = queries.mapInArrow(routed, "shard int, query long, v array<double>").withColumn("floor", F.lit(0.0))
-    found = met(asked, shards, pieces(queries_n, QUERY_BLOCK), lambda data, ids, vectors, _: search(data, ids, vectors, k), found_schema)
+    asked = queries.mapInArrow(routed, "shard int, query long, v array<double>, leaves array<int>")
+    look = lambda data, ids, vectors, leaves: search(data, ids, vectors, k, [set(x) for x in leaves.to_pylist()])
+    found = met(asked, shards, pieces(queries_n, QUERY_BLOCK), look, found_schema, "leaves")
     out = best(found, k)
     return out.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")

@@ -96,17 +96,25 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nda
     return index, least
 
 
-def in_shards(rows: DataFrame, group: str, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+def in_shards(
+    rows: DataFrame, group: str, shard_rows: int = SHARD_ROWS, together: bool = False
+) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
     """``rows`` with ``shard``, and {group: (first shard, shards)}.
 
     A group (there are boundedly many) that is larger than a shard is dealt over several by
-    the hash of the id, so a vector that a third of the rows share fills no task.
+    the hash of the id, so a vector that a third of the rows share fills no task. With
+    ``together`` small groups in a row share a shard as far as they fit.
     """
     counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).orderBy(group).collect()
-    spans, at = {}, 0
+    spans, at, room = {}, 0, 0
     for r in counts:
+        if together and r.n <= room:
+            spans[r[group]] = (at - 1, 1)
+            room -= r.n
+            continue
         spans[r[group]] = (at, -(-r.n // shard_rows))
         at += spans[r[group]][1]
+        room = shard_rows - r.n
     if not spans:
         return rows.withColumn("shard", F.lit(0)), spans
     listed = [(g, a, n) for g, (a, n) in spans.items()]
@@ -116,22 +124,21 @@ def in_shards(rows: DataFrame, group: str, shard_rows: int = SHARD_ROWS) -> tupl
     return out.withColumn("shard", shard).drop("g", "first", "shards"), spans
 
 
-def met(asked: DataFrame, shards: DataFrame, blocks: int, search: Callable, schema: str) -> DataFrame:
-    """Queries ``asked`` (shard, query, v, floor) and ``shards`` (shard, data) brought together.
+def met(asked: DataFrame, shards: DataFrame, blocks: int, search: Callable, schema: str, also: str) -> DataFrame:
+    """Queries ``asked`` (shard, query, v, ``also``) and ``shards`` (shard, data) brought together.
 
-    ``search(data, ids, vectors, floors)`` gets a shard and a block of the queries that ask for
+    ``search(data, ids, vectors, also)`` gets a shard and a block of the queries that ask for
     it, and returns arrays of query, id and score.
     """
     block = F.pmod(F.xxhash64("query"), F.lit(max(1, blocks)))
-    lists = asked.groupBy("shard", block.alias("block")).agg(F.collect_list(F.struct("query", "v", "floor")).alias("asked"))
+    lists = asked.groupBy("shard", block.alias("block")).agg(F.collect_list(F.struct("query", "v", also)).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, wanted in zip(batch.column(0), batch.column(1), strict=True):
                 queries = wanted.values
                 ids = queries.field("query").to_numpy(zero_copy_only=False)
-                floors = queries.field("floor").to_numpy(zero_copy_only=False)
-                found = search(unpacked(data.as_py()), ids, matrix(queries.field("v")), floors)
+                found = search(unpacked(data.as_py()), ids, matrix(queries.field("v")), queries.field(also))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query", "id", "score"])
 
     return lists.join(shards, "shard").select("data", "asked").mapInArrow(run, schema)
