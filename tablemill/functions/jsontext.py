@@ -119,27 +119,3 @@ def json_masker(strict: bool = False) -> Callable[[str | None], str | None]:
             return text
 
     return mask
-
-
-# --- field names ----------------------------------------------------------------
-
-
-def _names(node: dict, separator: str, prefix: str, out: set[str]) -> None:
-    for key, value in node.items():
-        name = f"{prefix}{separator}{key}" if prefix else key
-        if isinstance(value, dict):
-            _names(value, separator, name, out)
-        else:
-            out.add(name)
-
-
-def flattened_names(text: str | None, separator: str = "_") -> list[str]:
-    """Flattened field names of one document; none for text that is no JSON object."""
-    found: set[str] = set()
-    try:
-        node = json.loads(text) if text else None
-        if isinstance(node, dict):
-            _names(node, separator, "", found)
-    except (ValueError, RecursionError):
-        return []
-    return sorted({name.encode("utf-8", "replace").decode() for name in found})

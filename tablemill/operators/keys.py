@@ -72,6 +72,13 @@ def unique_keys(indexes: DataFrame, table: str, default_schema: str = "dbo") ->
     return [r["key_columns"].split(",") for r in found]
 
 
+def primary_keys(indexes: DataFrame, schema_name: str) -> dict[str, list[str]]:
+    """Table -> columns of its primary key, for the tables of a schema. Metadata, small."""
+    mine = indexes.where((F.col("schema_name") == schema_name) & F.col("is_primary_key"))
+    found = index_summary(mine).select("table_name", "key_columns").collect()
+    return {r["table_name"]: r["key_columns"].split(",") for r in found}
+
+
 def key_profile(df: DataFrame, candidates: Sequence[Sequence[str]]) -> DataFrame:
     """Per candidate key: rows, distinct keys, rows with a NULL, and whether it is a key.
 

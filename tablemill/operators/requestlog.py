@@ -15,7 +15,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tablemill.functions.jsontext import flattened_names
+from tablemill.errors import RequestError
 from tablemill.functions.masking import mask_json
 from tablemill.functions.names import COLUMN_MESSAGE, IDENTIFIER, MAX_NAME_LENGTH, quoted
 
@@ -198,24 +198,55 @@ def roll_columns(interval: str = "Daily") -> list[str]:
     return ["log_date", "log_hour"] if interval == "Hourly" else ["log_date"]
 
 
+def _mean_bytes(text: Column, df: DataFrame) -> int:
+    """Mean size of a record as it is written, measured over all of them."""
+    found = df.agg(F.avg(F.octet_length(text))).first()[0]
+    return max(1, int(found or 1))
+
+
+def _rolled(logs: DataFrame, interval: str, max_file_bytes: int, mean_bytes: int, mode: str):
+    columns = roll_columns(interval)
+    # The rebalance hint gathers a day's records into files of fair size and lets AQE cut a
+    # day that holds much of the log.
+    writer = logs.hint("rebalance", *columns).write.mode(mode).partitionBy(*columns)
+    return writer.option("maxRecordsPerFile", str(max(1, max_file_bytes // mean_bytes)))
+
+
 def write_rolling(
     logs: DataFrame,
     path: str,
     interval: str = "Daily",
     max_file_bytes: int = MAX_FILE_BYTES,
-    mean_record_bytes: int = 1024,
+    mean_record_bytes: int | None = None,
     mode: str = "append",
 ) -> None:
     """One folder per day or hour, files rolled near ``max_file_bytes``.
 
-    The rebalance hint gathers a day's records into files of fair size and lets
-    AQE cut a day that holds much of the log.
+    A record's size is that of its JSON line unless it is given. Parquet packs records, so
+    files come out smaller than that.
     """
-    columns = roll_columns(interval)
-    out = with_roll_columns(logs, interval).hint("rebalance", *columns)
-    out.write.mode(mode).partitionBy(*columns).option(
-        "maxRecordsPerFile", str(max(1, max_file_bytes // mean_record_bytes))
-    ).parquet(path)
+    out = with_roll_columns(logs, interval)
+    mean = mean_record_bytes or _mean_bytes(json_line(logs), logs)
+    _rolled(out, interval, max_file_bytes, mean, mode).parquet(path)
+
+
+def write_rolling_lines(
+    logs: DataFrame,
+    path: str,
+    form: str = "text",
+    interval: str = "Daily",
+    max_file_bytes: int = MAX_FILE_BYTES,
+    mode: str = "append",
+) -> None:
+    """The log as lines of text, or of JSON with ``form="json"``, in folders per day or hour."""
+    lines = {"text": text_line, "json": json_line}
+    if form not in lines:
+        raise RequestError(f"Unknown line form: '{form}'")
+    line = lines[form](logs)
+    out = with_roll_columns(logs.select(F.col("timestamp"), line.alias("line")), interval)
+    out = out.select("line", *roll_columns(interval))
+    mean = _mean_bytes(F.col("line"), out) + 1
+    _rolled(out, interval, max_file_bytes, mean, mode).text(path)
 
 
 def retained(
@@ -265,12 +296,46 @@ def sql_audit(df: DataFrame, sql_col: str) -> DataFrame:
     return df.withColumn("sql_pattern", pattern).withColumn("is_clean", F.col("sql_pattern").isNull())
 
 
+# A name in a shape's text, quoted or bare, before its colon; or what ends or opens a level.
+_SHAPE = re.compile(r"`((?:[^`]|``)*)`:|([^\s<>,:`]+):|(OBJECT<)|(<)|(>)")
+
+
+def shape_names(shape: str | None, separator: str = "_") -> list[str]:
+    """Flattened names of the leaves of a document's shape; none if it is no object."""
+    if shape is None or not shape.startswith("OBJECT<"):
+        return []
+    found, path, levels = set(), [], []
+    name, leaf = "", False
+    for quoted_name, bare, opens, other, closes in _SHAPE.findall(shape):
+        if quoted_name or bare or not (opens or other or closes):
+            if leaf:
+                found.add(separator.join([*path, name]))
+            name, leaf = quoted_name.replace("``", "`") or bare, all(levels)
+        elif opens:
+            # Objects inside an array are no fields of the document.
+            if levels and all(levels):
+                path.append(name)
+                leaf = False
+            levels.append(all(levels))
+        elif other:
+            levels.append(False)
+        else:
+            if leaf and all(levels):
+                found.add(separator.join([*path, name]))
+                leaf = False
+            if levels.pop() and len(levels) and all(levels) and path:
+                path.pop()
+    return sorted(found)
+
+
 def field_name_audit(df: DataFrame, json_col: str, separator: str = "_") -> DataFrame:
     """Field names that break the column rule: how many documents have each, and why.
 
-    Names nest to any depth, which no built-in lists, so they are drawn in Python
-    over Arrow batches. Only the bad ones come back; counting is a plain grouped count.
+    Names are a property of a document's shape. Documents are counted by shape, before the
+    shuffle, and only the different shapes are taken apart.
     """
+    shape = F.schema_of_variant(F.try_parse_json(F.col(json_col))).alias("shape")
+    shapes = df.select(shape).where("shape IS NOT NULL").groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
     valid, longest = re.compile(IDENTIFIER), MAX_NAME_LENGTH
 
     def is_bad(name: str) -> bool:
@@ -278,9 +343,9 @@ def field_name_audit(df: DataFrame, json_col: str, separator: str = "_") -> Data
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def bad_names(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: [n for n in flattened_names(v, separator) if is_bad(n)])
+        return values.map(lambda v: [n for n in shape_names(v, separator) if is_bad(n)])
 
-    found = df.select(F.explode(bad_names(F.col(json_col))).alias("field_name"))
-    counts = found.groupBy("field_name").agg(F.count(F.lit(1)).alias("n_documents"))
+    found = shapes.select(F.explode(bad_names(F.col("shape"))).alias("field_name"), "n")
+    counts = found.groupBy("field_name").agg(F.sum("n").alias("n_documents"))
     head, tail = COLUMN_MESSAGE.split("%s")
     return counts.withColumn("message", F.concat(F.lit(head), "field_name", F.lit(tail)))

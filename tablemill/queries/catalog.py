@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tablemill.operators import catalog as ops, keys
 from tablemill.operators.sync import duplicate_keys
 from tablemill.queries.registry import TABLES, query, table
+from tablemill.session import staged
 
 # Column types of the given tables, for the SQL twin of the column inventory.
 TYPES = {
@@ -44,6 +45,21 @@ IDENTITIES = {"events": "event_id"}
 
 
 def _column_sql() -> str:
+    selects = []
+    for name, columns in TYPES.items():
+        for ordinal, column in enumerate(columns.split(", "), start=1):
+            field, data_type = column.split(" ")
+            selects.append(
+                f"SELECT 'dbo' AS schema_name, '{name}' AS table_name, {ordinal} AS ordinal, "
+                f"'{field}' AS column_name, {field in PRIMARY_KEYS.get(name, [])} AS is_primary_key, "
+                f"{field == IDENTITIES.get(name)} AS is_identity, '{data_type}' AS data_type, "
+                "CAST(NULL AS BIGINT) AS max_length, true AS is_nullable, "
+                f"(SELECT count(*) FROM {name}) AS n_rows"
+            )
+    return " UNION ALL ".join(selects)
+
+
+def _profile_columns_sql() -> str:
     selects = []
     for name, columns in TYPES.items():
         for ordinal, column in enumerate(columns.split(", "), start=1):
@@ -51,10 +67,8 @@ def _column_sql() -> str:
             longest = f"max(length({field}))" if data_type == "string" else "CAST(NULL AS BIGINT)"
             selects.append(
                 f"SELECT 'dbo' AS schema_name, '{name}' AS table_name, {ordinal} AS ordinal, "
-                f"'{field}' AS column_name, '{data_type}' AS data_type, {longest} AS max_length, "
-                f"count(*) FILTER ({field} IS NULL) AS n_null, "
-                f"{field in PRIMARY_KEYS.get(name, [])} AS is_primary_key, "
-                f"{field == IDENTITIES.get(name)} AS is_identity FROM {name}"
+                f"'{field}' AS column_name, {longest} AS longest, "
+                f"count(*) FILTER ({field} IS NULL) AS n_null FROM {name}"
             )
     return " UNION ALL ".join(selects)
 
@@ -75,7 +89,15 @@ def table_inventory(spark, folder):
 
 @query(_column_sql())
 def column_inventory(spark, folder):
-    return ops.column_inventory(_tables(spark, folder), PRIMARY_KEYS, IDENTITIES)
+    """Columns of the given tables, beside the row counts of their tables."""
+    tables = _tables(spark, folder)
+    sizes = ops.table_inventory(tables).select("table_name", F.col("row_count").alias("n_rows"))
+    return ops.column_inventory(tables, PRIMARY_KEYS, IDENTITIES).join(sizes, "table_name")
+
+
+@query(_profile_columns_sql())
+def column_profile(spark, folder):
+    return ops.column_profile(_tables(spark, folder))
 
 
 def _profile_sql(name: str, candidates: list[list[str]]) -> str:
@@ -106,68 +128,66 @@ def key_profile_lines(spark, folder):
     return keys.key_profile(table(spark, folder, "lineitem"), LINE_KEYS)
 
 
-# Declared indexes: table, index, id, primary, unique, column, ordinal, descending, included.
-INDEXES = [
-    ("orders", "PK_orders", 1, True, True, "o_orderkey", 1, False, False),
-    ("orders", "IX_orders_date", 2, False, False, "o_orderdate", 1, True, False),
-    ("orders", "IX_orders_date", 2, False, False, "o_custkey", 2, False, False),
-    ("orders", "IX_orders_date", 2, False, False, "o_totalprice", 3, False, True),
-    ("lineitem", "UX_line", 2, False, True, "l_linenumber", 2, False, False),
-    ("lineitem", "UX_line", 2, False, True, "l_orderkey", 1, False, False),
-    ("lineitem", "UX_line_part", 3, False, True, "l_partkey", 1, False, False),
-    ("customer", "UX_customer_name", 1, False, True, "c_name", 1, False, False),
-    ("customer", "PK_customer", 4, True, True, "c_custkey", 1, False, False),
-    ("events", "IX_events", 1, False, False, "user_id", 1, False, False),
-]
-INDEX_COLUMNS = (
-    "table_name string, index_name string, index_id int, is_primary_key boolean, "
-    "is_unique boolean, column_name string, key_ordinal int, is_descending boolean, "
-    "is_included boolean"
-)
-INDEX_SQL = "SELECT * FROM (VALUES {}) v({})".format(
-    ", ".join(str(r) for r in INDEXES),
-    ", ".join(c.split(" ")[0] for c in INDEX_COLUMNS.split(", ")),
-)
-SUMMARY_SQL = f"""
-SELECT table_name, index_name, index_id, is_primary_key, is_unique,
-       string_agg(column_name, ',' ORDER BY key_ordinal) AS key_columns,
-       string_agg(CASE WHEN is_descending THEN 'DESC' ELSE 'ASC' END, ',' ORDER BY key_ordinal)
-         AS orders
-FROM ({INDEX_SQL}) i WHERE NOT is_included GROUP BY ALL
-"""
-SIZES_SQL = " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}"
-    for t in ("orders", "lineitem", "customer", "events")
-)
+# Index rows as the data itself suggests them: each candidate key is an index, unique if its
+# values are, and the first is the primary key if it is one. Dates run downwards.
+CANDIDATES = {
+    "orders": [["o_orderkey"], ["o_orderdate", "o_custkey"], ["o_custkey"]],
+    "lineitem": [["l_shipdate"], ["l_orderkey", "l_linenumber"], ["l_orderkey"]],
+    "customer": [["c_custkey"], ["c_name"], ["c_nationkey"]],
+    "events": [["event_id"], ["user_id", "ts"]],
+}
+
+
+def _indexes(spark, folder):
+    parts = []
+    for name, candidates in CANDIDATES.items():
+        listed = F.array(*[F.lit(",".join(c)) for c in candidates])
+        found = keys.key_profile(table(spark, folder, name), candidates)
+        found = found.withColumn("index_id", F.array_position(listed, F.col("key_columns")).cast("int"))
+        parts.append(
+            found.select(
+                F.lit("dbo").alias("schema_name"),
+                F.lit(name).alias("table_name"),
+                F.concat(F.lit(f"IX_{name}_"), "index_id").alias("index_name"),
+                "index_id",
+                (F.col("is_key") & (F.col("index_id") == 1)).alias("is_primary_key"),
+                F.col("is_key").alias("is_unique"),
+                F.posexplode(F.split("key_columns", ",")).alias("key_ordinal", "column_name"),
+            )
+        )
+    rows = reduce(DataFrame.unionAll, parts)
+    return rows.select("*", F.col("column_name").endswith("date").alias("is_descending"), F.lit(False).alias("is_included"))
 
 
-def _indexes(spark):
-    return spark.createDataFrame(INDEXES, INDEX_COLUMNS).withColumn("schema_name", F.lit("dbo"))
+def _summary_sql() -> str:
+    selects = []
+    for name, candidates in CANDIDATES.items():
+        for i, columns in enumerate(candidates, start=1):
+            orders = ",".join("DESC" if c.endswith("date") else "ASC" for c in columns)
+            selects.append(
+                f"SELECT '{name}' AS table_name, 'IX_{name}_{i}' AS index_name, {i} AS index_id, "
+                f"is_key AND {i} = 1 AS is_primary_key, is_key AS is_unique, key_columns, "
+                f"'{orders}' AS orders FROM ({_profile_sql(name, [columns])}) p"
+            )
+    return " UNION ALL ".join(selects)
 
 
-def _sized(spark, folder, found):
-    """Index rows with the row counts of the tables they are on."""
-    names = ("orders", "lineitem", "customer", "events")
-    sizes = ops.table_inventory({n: table(spark, folder, n) for n in names})
-    sizes = sizes.select("table_name", F.col("row_count").alias("n_rows"))
-    return found.drop("schema_name").join(sizes, "table_name")
+SUMMARY_SQL = _summary_sql()
 
 
-@query(f"SELECT s.*, n_rows FROM ({SUMMARY_SQL}) s JOIN ({SIZES_SQL}) z USING (table_name)")
+@query(SUMMARY_SQL)
 def index_summary(spark, folder):
-    return _sized(spark, folder, keys.index_summary(_indexes(spark)))
+    return keys.index_summary(_indexes(spark, folder)).drop("schema_name")
 
 
 @query(
     f"""
-SELECT s.*, n_rows FROM (
-  SELECT * FROM ({SUMMARY_SQL}) q WHERE is_primary_key OR is_unique
-  QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY is_primary_key DESC, index_id) = 1
-) s JOIN ({SIZES_SQL}) z USING (table_name)
+SELECT * FROM ({SUMMARY_SQL}) q WHERE is_primary_key OR is_unique
+QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY is_primary_key DESC, index_id) = 1
 """
 )
 def top_key(spark, folder):
-    return _sized(spark, folder, keys.top_key(_indexes(spark)))
+    return keys.top_key(_indexes(spark, folder)).drop("schema_name")
 
 
 def _held_sql(name: str, columns: str) -> str:
@@ -181,16 +201,16 @@ def _held_sql(name: str, columns: str) -> str:
     " UNION ALL ".join(
         [
             _held_sql("orders", "o_orderkey"),
-            _held_sql("lineitem", "l_orderkey,l_linenumber"),
+            _held_sql("events", "event_id"),
             _held_sql("customer", "c_custkey"),
         ]
     )
 )
 def declared_key(spark, folder):
     """Each table's declared key, and how many keys the data repeats."""
-    indexes = _indexes(spark)
+    indexes = staged(_indexes(spark, folder))
     parts = []
-    for name in ("orders", "lineitem", "customer"):
+    for name in ("orders", "events", "customer"):
         columns = keys.declared_key(indexes, f"dbo.{name}")
         repeated = duplicate_keys(table(spark, folder, name), columns)
         parts.append(

@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from tablemill.operators import ledger as ops
+from tablemill.plans.ledger import purge_runs
 from tablemill.plans.transfer import TransferOptions, transfer
 from tablemill.queries.registry import new_table, query, sql, table
 from tablemill.sinks import tables
@@ -113,6 +114,28 @@ def runs_retention(spark, folder):
     return ops.retained_runs(_runs(spark, folder), cutoff).select("id", "status", "created_at")
 
 
+@query(
+    """
+SELECT count(*) FILTER (gone) AS n_purged, count(*) FILTER (NOT gone) AS n_left
+FROM (SELECT o_orderdate < TIMESTAMP '1996-01-01' AND o_orderstatus <> 'P' AS gone FROM orders) q
+"""
+)
+def runs_purged(spark, folder):
+    """Finished runs before a time go from a ledger table, and are counted."""
+    ledger, base = new_table(spark, "purged")
+    rows = sql(
+        spark,
+        folder,
+        "SELECT cast(o_orderkey as string) AS id, cast(o_orderdate as timestamp) AS created_at, "
+        "CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'O' THEN 'Failed' ELSE 'Running' END AS status FROM orders",
+    )
+    tables.create_table(spark, ledger, rows.schema, base)
+    tables.append(rows, ledger)
+    result = purge_runs(spark, ledger, F.expr("cast(TIMESTAMP_NTZ'1996-01-01 00:00:00' as timestamp)"))
+    left = spark.table(ledger).agg(F.count("*").alias("n_left"))
+    return left.select(F.lit(result.rows_deleted).cast("long").alias("n_purged"), "n_left")
+
+
 @query(
     " UNION ALL ".join(
         f"SELECT 'DataTransfer' AS type, 'Completed' AS status, true AS is_finished, "

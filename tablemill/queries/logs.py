@@ -203,6 +203,32 @@ def log_rolling(spark, folder):
     )
 
 
+# Errors came without a time.
+UNTIMED = LOGS.replace("ts AS timestamp", "CASE WHEN event_type <> 'error' THEN ts END AS timestamp")
+
+
+@query(
+    """
+SELECT CASE WHEN event_type <> 'error' THEN strftime(ts, '%Y-%m-%d') END AS log_date,
+  '[' || CASE WHEN event_type <> 'error' THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%g') ELSE '' END
+  || '] [' || event_id || '] GET /api/' || event_type
+  || CASE WHEN event_type = 'view' THEN '??u=' || user_id ELSE '' END
+  || ' -> 200 (' || user_id || 'ms) | IP: '
+  || CASE WHEN event_type = 'purchase' THEN '' ELSE '10.0.0.1' END
+  || CASE WHEN event_type = 'click' THEN ' | Body: a b ' || repeat('x', 496) || '...'
+          WHEN event_type = 'signup' THEN ' | Body: ' || props ELSE '' END
+  || CASE WHEN event_type = 'error' THEN ' | ERROR: boom' ELSE '' END AS line
+FROM events
+"""
+)
+def log_rolling_lines(spark, folder):
+    """Text lines in a folder per day, read back; records without a time among them."""
+    path = work_path(spark, "rolling-lines")
+    ops.write_rolling_lines(sql(spark, folder, UNTIMED), path)
+    back = spark.read.text(path)
+    return back.select(F.col("log_date").cast("string").alias("log_date"), F.col("value").alias("line"))
+
+
 @query(
     """
 SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 10 DAY

@@ -103,22 +103,33 @@ def test_inventory(spark, people):
     assert rows(catalog.table_inventory({"p": people})) == [("dbo", "p", 2)]
     got = catalog.column_inventory({"p": people}, {"p": ["ID"]}, {"p": "id"}).collect()
     assert [tuple(r)[2:] for r in got] == [
-        (1, "id", "int", None, 0, True, True),
-        (2, "name", "string", 4, 0, False, False),
-        (3, "age", "int", None, 1, False, False),
+        (1, "id", "int", None, True, True, True),
+        (2, "name", "string", None, True, False, False),
+        (3, "age", "int", None, True, False, False),
     ]
+    profile = catalog.column_profile({"p": people}).collect()
+    assert [tuple(r)[2:] for r in profile] == [(1, "id", None, 0), (2, "name", 4, 0), (3, "age", None, 1)]
+    assert catalog.table_inventory({}).count() == catalog.column_inventory({}).count() == 0
 
 
 def test_database_inventory(spark, base):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS inv LOCATION '{base}'")
-    spark.sql(f"CREATE TABLE inv.t (a int) USING parquet LOCATION '{base}/t'")
-    found, columns = catalog.database_inventory(spark, "inv")
+    assert [x.count() for x in catalog.database_inventory(spark, "inv")] == [0, 0]
+    spark.sql(f"CREATE TABLE inv.t (a int NOT NULL, b varchar(9)) USING parquet LOCATION '{base}/t'")
+    fields = ("schema_name", "table_name", "index_name", "index_id", "is_primary_key", "is_unique", "column_name", "key_ordinal", "is_descending", "is_included")
+    indexes = spark.createDataFrame([("inv", "t", "PK", 1, True, True, "a", 1, False, False)], list(fields))
+    found, columns = catalog.database_inventory(spark, "inv", declared_indexes=indexes, identities={"t": "a"})
     assert rows(found) == [("inv", "t", 0)]
-    assert columns.count() == 1
+    assert [tuple(r)[3:] for r in columns.collect()] == [
+        ("a", "int", None, columns.first()["is_nullable"], True, True),
+        ("b", "varchar(9)", 9, True, False, False),
+    ]
+    assert "Scan parquet" not in columns._jdf.queryExecution().toString()
     assert catalog.database_inventory(spark, "inv", include_columns=False)[1] is None
 
 
 def test_inventory_of_odd_column_names(spark):
     df = spark.createDataFrame([("x", 1)], ["it's `q` \\ \"d\"", "b"])
     got = catalog.column_inventory({"t": df}).collect()
-    assert got[0]["column_name"] == "it's `q` \\ \"d\"" and got[0]["max_length"] == 1
+    assert got[0]["column_name"] == "it's `q` \\ \"d\"" and got[0]["max_length"] is None
+    assert catalog.column_profile({"t": df}).first()["longest"] == 1
