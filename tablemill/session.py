@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +22,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_scope: ContextVar[str] = ContextVar("tablemill-scope", default="")
+
+
 def work_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/tablemill/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/tablemill/{_scope.get()}{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def work_scope(spark: SparkSession) -> Iterator[str]:
+    """A scope whose working data is deleted at its end.
+
+    Frames that operators return may read it, so write or collect them inside the scope.
+    Tables and results written elsewhere stay.
+    """
+    name = f"{_scope.get()}scope-{uuid.uuid4().hex}/"
+    token = _scope.set(name)
+    path = f"{shared_dir(spark)}/tablemill/{name}"
+    try:
+        yield path
+    finally:
+        _scope.reset(token)
+        delete_path(spark, path)
 
 
 def staged(df: DataFrame, label: str = "staged") -> DataFrame:

@@ -7,7 +7,8 @@ from tablemill.operators import mapping
 from tablemill.plans.changes import delete_rows, insert_rows, update_rows
 from tablemill.plans.sync import sync_table
 from tablemill.plans.transfer import TransferOptions, insert_records, transfer
-from tablemill.session import list_path
+from tablemill.operators.slices import dense_ids, with_previous
+from tablemill.session import list_path, shared_dir, staged, work_scope
 from tablemill.sinks import jdbc as jdbc_sink, tables
 from tablemill.sources import jdbc as jdbc_source
 from tablemill.sources.scans import record_scan
@@ -255,3 +256,17 @@ def test_change_leaves_other_partitions_alone(spark, base, name):
     assert changed.ok and changed.rows_written == 1
     assert {x for x in before if x[0] == 0} <= files()
     assert delete_rows(spark, name, F.col("k") == 12345).rows_deleted == 0
+
+
+def test_a_scope_leaves_no_working_data(spark):
+    df = spark.createDataFrame([(1, 10, "a"), (1, 20, "b"), (2, 5, "c")], "k int, t int, v string")
+    with work_scope(spark) as path:
+        with work_scope(spark) as inner:
+            assert staged(df).count() == 3 and list_path(spark, inner)
+        assert list_path(spark, inner) == []
+        assert dense_ids(df, "Id", ["t"]).count() == 3
+        steps = with_previous(df, "k", ["t"], "v", "before").collect()
+        assert sorted((r["v"], r["before"]) for r in steps) == [("a", None), ("b", "a"), ("c", None)]
+        assert list_path(spark, path)
+    assert list_path(spark, path) == []
+    assert all("scope-" not in p for p, _ in list_path(spark, f"{shared_dir(spark)}/tablemill"))
