@@ -12,6 +12,7 @@ from tablemill.operators.documents import (
     DocumentOptions,
     infer_document_schema,
     read_documents,
+    variant_text,
 )
 from tablemill.operators.query import parameterized
 
@@ -67,6 +68,8 @@ def record_scan(
     typed = T.StructType([seen[n] for n in names if n in seen])
     read = read_documents(df, json_col, typed, DocumentOptions(flatten=False))
     never_set = F.lit(None).cast("string")
-    return read.select(
-        *[F.col(f"`{n}`") if n in read.columns else never_set.alias(n) for n in names]
-    )
+    values = {
+        f.name: variant_text(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.VariantType) else F.col(f"`{f.name}`")
+        for f in read.schema
+    }
+    return read.select(*[values.get(n, never_set.alias(n)) for n in names])

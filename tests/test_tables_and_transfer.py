@@ -205,7 +205,7 @@ def test_record_values_of_several_kinds(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, js string")
     got = record_scan(df, "js", "i")
     assert got.dtypes == [
-        ("m", "string"), ("n", "string"), ("l", "string"), ("d", "double"), ("bad name", "bigint"),
+        ("m", "string"), ("n", "string"), ("l", "string"), ("d", "decimal(21,1)"), ("bad name", "bigint"),
     ]
     assert rows(got) == [("1", '{"x":1}', "[1,2]", 1.5, 1), ("x", None, None, 2.0, None)]
 
