@@ -4,8 +4,8 @@ A difference cover of a period holds, for every shift, two members that far apar
 windows that start at cover positions (position modulo the period in the cover) be anchors.
 Then wherever two documents agree in so many words as an anchor and a period together, some
 anchor starts in both at the same place of the passage, however their positions are shifted.
-With passages of 50 words, a period of 31 and its perfect cover of six, an anchor has 20
-words and starts at every fifth word or so.
+With passages of 50 words, a period of 13 and its perfect cover of four, an anchor has 38
+words and starts at every third word or so.
 
 Anchors that two documents share mark the places to look at. There each window of full length
 that holds such an anchor is hashed (84 bits), and the least document of each window decides.
@@ -25,8 +25,8 @@ from tablemill.llm.common import Gathered, release, text_bytes
 from tablemill.session import delete_path, work_path
 
 PASSAGE = 50
-PERIOD = 31
-COVER = (1, 5, 11, 24, 25, 27)  # each remainder of 31 but 0 is one difference of these, once
+PERIOD = 13
+COVER = (0, 1, 3, 9)  # each remainder of 13 but 0 is one difference of these, once
 #: A window's place and second hash in one number: 20 bits of hash, 14 that tell texts of one
 #: id apart, and 30 for the word it starts at (a text of 2 GB, the most Spark holds, has 2^30).
 TAG_BITS, START_BITS = 14, 30
@@ -153,24 +153,24 @@ def repeated_windows(
         path = work_path(spark, label)
         df.write.parquet(path)
         made.append(path)
-        schema = df.schema
-        del df
-        release(spark)
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
     # A document sends an anchor's hash once, so a count over 1 is of two documents.
     shared = written(
         anchors(rows, passage, period, cover, False).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"),
         "anchors-shared",
     )
+    release(spark)
     places = written(
         anchors(rows, passage, period, cover, True).join(shared, "hash", "left_semi").groupBy("id").agg(F.collect_set("start").alias("starts")),
         "anchor-places",
     )
+    release(spark)
     windows = written(
         rows.join(places, "id").select("id", "t", "starts").mapInArrow(_windows(passage, period), "hash long, place long, id long"),
         "windows",
     )
+    release(spark)
     second = F.shiftright("place", TAG_BITS + START_BITS)
     least = written(
         windows.groupBy("hash", second.alias("second"))
@@ -179,12 +179,14 @@ def repeated_windows(
         .select(F.col("hash").alias("h"), "second", "least"),
         "windows-least",
     )
+    release(spark)
     same = (F.col("hash") == F.col("h")) & (second == F.col("second"))
     place = F.col("place").bitwiseAND((1 << (TAG_BITS + START_BITS)) - 1)
     found = written(
         windows.join(least, same).where("id > least").groupBy("id").agg(F.collect_list(place).alias("starts")),
         "windows-repeated",
     )
+    release(spark)
     for path in made[:-1]:
         delete_path(spark, path)
     return found
