@@ -33,6 +33,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of text that go to Python at once, at most; Spark's own bound is 10,000 rows or 64 MB.
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches of this session to some MB of text, on both sides of the pipe.
+
+    A batch is held by the JVM and by the Python worker at once, outside the heap. The setting
+    is read when a job starts, so it stays; a smaller one of the session's own is left alone.
+    """
+    if not 0 < int(spark.conf.get(_BATCH_KEY)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
 def text_bytes(column: str | Column) -> Column:
     """A text as bytes, so that Python gets it without decoding; NULL stays NULL."""
     return (F.col(f"`{column}`") if isinstance(column, str) else column).cast("binary")
@@ -63,4 +78,4 @@ class Gathered:
             self.parts, self.rows = [], 0
 
 
-__all__ = ["Gathered", "WORD", "free", "release", "staged", "text_bytes", "work_path"]
+__all__ = ["Gathered", "WORD", "free", "release", "small_batches", "staged", "text_bytes", "work_path"]

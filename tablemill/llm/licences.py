@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablemill.llm.common import text_bytes
+from tablemill.llm.common import small_batches, text_bytes
 
 # Spellings that count as the word on the right.
 SPELLINGS = {
@@ -176,6 +176,7 @@ def licences(
                 out.append([digest(text), *(hashlib.sha256(x).hexdigest() for x in lines if x.split(b" ", 1)[0] in openings)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], ["row", "id", "digests"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), text_bytes(text_col).alias("t"))
     digests = rows.mapInArrow(run, "row long, id long, digests array<string>").select("row", "id", F.posexplode("digests").alias("k", "digest"))
     named = digests.join(catalogue(docs.sparkSession, known), F.col("digest") == F.col("known_digest"), "left")

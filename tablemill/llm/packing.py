@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablemill.llm.common import WORD
+from tablemill.llm.common import WORD, small_batches
 from tablemill.llm.mixing import word_count
 from tablemill.llm.vectors import pieces
 from tablemill.session import staged
@@ -132,6 +132,7 @@ def packed_texts(
 
     Documents without words are in no sequence and left out.
     """
+    small_batches(docs.sparkSession)
     held = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), "pack-texts")
     lengths = staged(held.select("row", "id", word_count(F.col("text")).alias("n")), "pack-lengths")
     layout = packed_pieces(lengths, capacities, overhead, shard_pieces).where("n_words > 0")
@@ -143,8 +144,11 @@ def packed_texts(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "piece", "start", "n_words", "bin_id", "capacity", "place", "text"]
         kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.string()]
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
         for batch in batches:
-            rows = []
+            rows, size = [], 0
             for id_, text, parts in zip(*batch.columns, strict=True):
                 body, found = text.as_py(), parts.as_py()
                 ends = [0, len(body)]
@@ -152,8 +156,12 @@ def packed_texts(
                     firsts = {p["start"] for p in found[1:]}
                     ends = [0, *(m.start() for k, m in enumerate(word.finditer(body)) if k in firsts), len(body)]
                 rows += [(id_.as_py(), *(p[c] for c in names[1:7]), body[a:b]) for p, a, b in zip(found, ends[:-1], ends[1:], strict=True)]
+                size += len(body)
+                if size > 1 << 22:  # texts are handed on some MB at a time
+                    yield made(rows)
+                    rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield made(rows)
 
     return joined.mapInArrow(cut, "doc_id long, piece int, start long, n_words long, bin_id long, capacity long, place long, text string")
 

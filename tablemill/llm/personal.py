@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablemill.llm.common import free, release, staged, text_bytes
+from tablemill.llm.common import free, release, small_batches, staged, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -173,6 +173,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, rounds: int) -> DataFram
     """(row, id, base, more): spans of known form, and those the patterns add."""
     id_, t = F.col(f"`{id_col}`").cast("long"), text_bytes(text_col)
     rows = docs.select(F.xxhash64(id_, t).alias("row"), id_.alias("id"), t.alias("t"))
+    small_batches(docs.sparkSession)
     scanned = staged(rows.mapInArrow(_scanned, f"row long, id long, base array<{_SPAN}>, places array<{_PLACE}>"), "pii-scanned")
     places = scanned.select("row", "id", F.explode("places").alias("p")).select("row", "id", "p.*")
     edges = places.select(F.explode("patterns").alias("pattern"), "value", "kind").groupBy("pattern", "value").agg(F.min("kind").alias("kind"))

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablemill.llm.common import Gathered, release, text_bytes
+from tablemill.llm.common import Gathered, release, small_batches, text_bytes
 from tablemill.session import delete_path, work_path
 
 PASSAGE = 50
@@ -147,6 +147,7 @@ def repeated_windows(
     if not covers(cover, period) or period > passage:
         raise ValueError("the cover must give every shift of a period no longer than a passage")
     spark = rows.sparkSession
+    small_batches(spark)
     made = []
 
     def written(df: DataFrame, label: str) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablemill.llm.common import text_bytes
+from tablemill.llm.common import small_batches, text_bytes
 
 #: Labelled rows that are learned from, at most: those with the least hash of their id.
 TRAIN_ROWS = 200_000
@@ -216,6 +216,7 @@ def learned(
     Rows with a NULL id or label teach nothing; of several labels of one id the largest counts.
     Without texts of both classes the model knows no words and every score is 0 or nearly so.
     """
+    small_batches(docs.sparkSession)
     key = F.col(f"`{id_col}`")
     sample = labels.where(key.isNotNull() & F.col(f"`{label_col}`").isNotNull() & ~held_out(key))
     sample = sample.groupBy(key.alias("key")).agg((F.max(F.col(f"`{label_col}`")) > 0).cast("int").alias("kind"))
