@@ -3,13 +3,21 @@
 A text is brought to one form: small letters, no copyright lines, no punctuation, one spelling
 for words that count as equal. Its SHA-256 is looked up among those of known licences and
 notices by a join. Whole texts are looked up, and each line by itself for notices.
+
+There are two forms. ``canonical`` is that of the ``digest`` column and of the SQL. Lookups use
+``matching``, which also folds Unicode punctuation and widths, drops copyright lines that name
+the holder first, and is taken of more texts: those of ``whole_texts``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
+from itertools import product
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -124,6 +132,26 @@ For more information, please refer to <https://unlicense.org/>""",
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
 }
 
+#: Headings under which short licences stand, or none.
+HEADINGS = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+#: One entire text per file, named by its identifier.
+FOLDER = Path(__file__).with_name("known")
+#: Lines at which a text without its heading starts, and at which one without its appendix ends.
+_STARTS = re.compile(
+    r"(?m)^[\x20\t]*(?:preamble|terms and conditions for use[^\n]*|1\. definitions\.?|statement of purpose"
+    r"|this version of the gnu lesser[^\n]*|redistribution and use in[^\n]*)$",
+    re.IGNORECASE,
+)
+_ENDS = re.compile(r"(?m)^[\x20\t]*(?:end of terms and conditions$|exhibit a\b)", re.IGNORECASE)
+_NUMBERS = re.compile(r"(?m)^[\x20\t]*[0-9]\.[\x20\t]")
+
 #: Lines that state a copyright; the same text serves Python and SQL.
 COPYRIGHT = r"(?m)^[\x20\t*#/;.-]*(?:copyright[\x20\t:]+(?:\(c\)|©|[0-9<\[{])|\(c\)|©|all rights reserved)[^\n]*"
 WORDS = r"[^a-z0-9\x80-\xff]+"
@@ -144,48 +172,114 @@ def digest(text: bytes | None) -> str:
     return hashlib.sha256(canonical(text)).hexdigest()
 
 
-def catalogue(spark: SparkSession, known: dict[str, tuple[str, ...]] = KNOWN) -> DataFrame:
-    """(known_digest, licence): a digest for each known text, the first licence that has it."""
+#: Copyright lines as above, and those with a name first: they end in a year, what follows it and an address.
+_STATED = re.compile(
+    r"(?m)^(?:[^\w\n]|_)*(?:copyright[\x20\t:]+(?:\(c\)|©|[0-9<\[{])|\(c\)|©|all rights reserved"
+    r"|copyright[\x20\t:]+(?!(?:and|disclaimer|holders?|in|interests?|is|laws?|licen[cs]es?|notices?|of|or|owners?|rights?|statements?|to|treaty)\b)"
+    r"[^\n]*?\b(?:19|20)[0-9]{2}\b[^\n\w]*(?:present|now)?[^\n\w]*(?:<[^>\n]*>)?[^\n\w]*(?:all rights reserved)?[^\n\w]*$)[^\n]*"
+)
+_WORD = re.compile(r"[^\W_]+")
+_EQUAL = SPELLINGS | {"https": "http"}
+
+
+def _plain(text: bytes | None) -> str:
+    """Small letters; letters and punctuation of special width or form as plain ones."""
+    out = (text or b"").decode("utf-8", "replace")
+    return (out if out.isascii() else unicodedata.normalize("NFKC", out)).lower()
+
+
+def _matching(plain: str) -> str:
+    words = [_EQUAL.get(w, w) for w in _WORD.findall(_STATED.sub("", plain))]
+    return " ".join(words).replace("copyright owner", "copyright holder")
+
+
+def matching(text: bytes | None) -> str:
+    """The form in which a text equals a known one; empty for NULL."""
+    return _matching(_plain(text))
+
+
+def _first(plain: str) -> str:
+    """The first word of ``_matching`` of a line, if that isn't empty."""
+    word = _WORD.search(plain)
+    return _EQUAL.get(word[0], word[0]).split(" ", 1)[0] if word else ""
+
+
+def _key(form: str) -> str:
+    return hashlib.sha256(form.encode()).hexdigest()
+
+
+@cache
+def whole_texts() -> dict[str, tuple[str, ...]]:
+    """Entire licences with and without heading, appendix and numbers of short lists, by identifier."""
+    short = {name: KNOWN[name][0] for name in HEADINGS if name in KNOWN}
+    out: dict[str, list[str]] = {}
+    for file in sorted(FOLDER.glob("*.txt")):
+        text = file.read_text("utf-8")
+        starts = {0, *(m.start() for m in _STARTS.finditer(text))}
+        ends = {len(text), *(x for m in _ENDS.finditer(text) for x in m.span() if text[x : x + 1] in ("", "\n") or x == m.start())}
+        out[file.stem] = [text[a:b] for a, b in product(sorted(starts), sorted(ends)) if b - a > len(text) // 2]
+        if file.stem in HEADINGS:
+            body = text[max(starts) :]
+            holder = body.replace("the University", "the copyright holder").replace("THE REGENTS AND", "THE COPYRIGHT HOLDERS AND").replace("THE REGENTS OR", "THE COPYRIGHT HOLDER OR")
+            out[file.stem].append(body)
+            short[file.stem] = holder
+    for name, text in short.items():
+        body = text.removeprefix(f"{HEADINGS[name][0]}\n")
+        bodies = {body, _NUMBERS.sub("", body)} | {_NUMBERS.sub("", x) for x in out.get(name, ())}
+        out.setdefault(name, []).extend(f"{h}\n\n{b}" for h, b in product(("", *HEADINGS[name]), sorted(bodies)))
+    return {name: tuple(texts) for name, texts in out.items()}
+
+
+def _forms(known: dict[str, tuple[str, ...]] | None) -> dict[str, str]:
+    """Each known text in its matching form, with the first licence that has it; None is all that is known."""
     found: dict[str, str] = {}
-    for licence, texts in known.items():
-        for text in texts:
-            found.setdefault(digest(text.encode()), licence)
-    return spark.createDataFrame(list(found.items()), "known_digest string, licence string")
+    for part in (KNOWN, whole_texts()) if known is None else (known,):
+        for licence, texts in part.items():
+            for text in texts:
+                found.setdefault(matching(text.encode()), licence)
+    return found
+
+
+def catalogue(spark: SparkSession, known: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(known_digest, licence): a digest for each known text, the first licence that has it."""
+    return spark.createDataFrame([(_key(f), x) for f, x in _forms(known).items()], "known_digest string, licence string")
 
 
 def licences(
-    docs: DataFrame, known: dict[str, tuple[str, ...]] = KNOWN, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, known: dict[str, tuple[str, ...]] | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, digest, licence, notices) for every row of ``docs``.
 
-    ``digest`` is that of the whole text, ``licence`` the known licence it equals (NULL: none),
-    ``notices`` the licences of the lines that equal a known text, each once, in order, joined
-    by commas. NULL and empty texts have the digest of nothing and are no licence. A NULL id is
+    ``digest`` is that of the whole text's canonical form, ``licence`` the known licence it
+    matches (NULL: none), ``notices`` the licences of the lines that match a known text, each
+    once, in order, joined by commas. By default KNOWN and ``whole_texts`` are known. NULL and empty texts have the digest of nothing and are no licence. A NULL id is
     kept; rows of one id each get a row. An empty table gives an empty one. Extra columns are
     ignored.
     """
-    # A line can only equal a known text if it starts with that text's first word.
-    openings = {c.split(b" ", 1)[0] for texts in known.values() for c in [canonical(t.encode()) for t in texts] if c}
+    # A text or line can only match a known text if it starts with that text's first word.
+    openings = {f.split(" ", 1)[0] for f in _forms(known) if f}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for t in batch.column(2):
                 text = t.as_py() or b""
-                lines = (canonical(x) for x in text.split(b"\n"))
-                out.append([digest(text), *(hashlib.sha256(x).hexdigest() for x in lines if x.split(b" ", 1)[0] in openings)])
+                plain = _plain(text)
+                lines = plain.split("\n")
+                opening = next((w for x in lines if (w := _first(x)) and not _STATED.match(x)), "")
+                whole = _key(_matching(plain)) if opening in openings else ""
+                out.append([digest(text), whole, *(_key(_matching(x)) for x in lines if _first(x) in openings)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], ["row", "id", "digests"])
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), text_bytes(text_col).alias("t"))
     digests = rows.mapInArrow(run, "row long, id long, digests array<string>").select("row", "id", F.posexplode("digests").alias("k", "digest"))
     named = digests.join(catalogue(docs.sparkSession, known), F.col("digest") == F.col("known_digest"), "left")
-    whole = F.col("k") == 0
     return named.groupBy("row").agg(
         F.max("id").alias("doc_id"),
-        F.max(F.when(whole, F.col("digest"))).alias("digest"),
-        F.max(F.when(whole, F.col("licence"))).alias("licence"),
-        F.array_join(F.array_sort(F.collect_set(F.when(~whole, F.col("licence")))), ",").alias("notices"),
+        F.max(F.when(F.col("k") == 0, F.col("digest"))).alias("digest"),
+        F.max(F.when(F.col("k") == 1, F.col("licence"))).alias("licence"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("k") > 1, F.col("licence")))), ",").alias("notices"),
     ).drop("row")
 
 
@@ -200,7 +294,10 @@ def canonical_sql(text: str) -> str:
 
 
 def oracle_sql(known: dict[str, tuple[str, ...]] = KNOWN) -> str:
-    """SQL that gives the rows of ``licences`` over documents, for ids that are not repeated."""
+    """SQL that gives the rows of ``licences`` over documents, for ids that are not repeated.
+
+    It knows the texts of KNOWN only, in their canonical form, not ``whole_texts``.
+    """
     quoted = ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, texts in known.items() for text in texts)
     return f"""
 WITH given(licence, body) AS (VALUES {quoted}),
