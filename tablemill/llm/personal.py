@@ -4,8 +4,10 @@ Four kinds are found by their form: e-mail addresses, IP addresses, payment card
 numbers. These seeds induce lexical patterns, the words around them. Patterns and the
 identifier-like strings they surround form a graph. In a few rounds Spark scores it: a pattern
 by the share of its strings that are known to be of a kind, a string by the patterns around
-it. Strings that patterns of high confidence surround count as known in the next round, and
-in the end every place where such a string stands is added to the seeds.
+it. Strings that patterns of high confidence surround in most of their places count as known
+in the next round, and in the end every place where such a string stands is added to the
+seeds. Of strings that stand mostly elsewhere, or are too short to be one thing everywhere, as
+years are, only the places in patterns of high confidence are added.
 
 The texts are read once; the graph is frames throughout, pre-aggregated before each join.
 """
@@ -26,6 +28,9 @@ ROUNDS = 3
 SUPPORT, CONFIDENCE = 5.0, 0.8
 #: A string needs such a score: one minus the product of its patterns' doubts.
 ACCEPT = 0.9
+#: It is meant wherever it stands if patterns of high confidence surround such a share of its
+#: places, and it has so many digits, or an @.
+SHARE, TELLING_DIGITS = 0.5, 7
 #: Unseen identifiers have so many digits, or an @.
 LEAST_DIGITS = 4
 #: Characters before and after a string in which its neighbouring words are looked for.
@@ -136,18 +141,32 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scored(edges: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT, confidence: float = CONFIDENCE, accept: float = ACCEPT) -> DataFrame:
-    """(value, kind, score) of the strings found by patterns alone.
+    """(value, kind, score, whole) of the strings found by patterns alone.
 
     ``edges`` has (pattern, value, kind): once for each pattern and string that stand together,
-    with the kind a seed has, else NULL. A pattern stands for at most one kind, that with the
-    most support. With a round's new strings known, further patterns may qualify.
+    with the kind a seed has, else NULL; and n, in how many places they do (1 if there is no such
+    column). A pattern stands for at most one kind, that with the most support. ``whole`` says
+    that the string is meant in all its places, not only in those of trusted patterns. With a
+    round's new whole strings known, further patterns may qualify.
     """
+    return _scored(edges, rounds, support, confidence, accept)[0]
+
+
+def _scored(edges: DataFrame, rounds: int, support: float = SUPPORT, confidence: float = CONFIDENCE, accept: float = ACCEPT) -> tuple[DataFrame, DataFrame]:
+    """What ``scored`` gives, and the trusted (pattern, kind, support, trust)."""
     spark = edges.sparkSession
+    edges = edges if "n" in edges.columns else edges.withColumn("n", F.lit(1))
     known = edges.where("kind IS NOT NULL").groupBy("value").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0))
     known = sure = staged(known, "pii-known")
-    open_edges = staged(edges.where("kind IS NULL").select("pattern", "value").distinct(), "pii-open")
+    open_edges = edges.where("kind IS NULL").groupBy("pattern", "value").agg(F.sum("n").alias("n"))
+    open_edges = staged(open_edges, "pii-open")
+    # A place has two patterns, one of them with both words to the left.
+    places = staged(open_edges.groupBy("value").agg((F.sum("n") / 2).alias("places")), "pii-places")
     every = staged(edges.select("pattern", "value").distinct(), "pii-edges")
-    new = spark.createDataFrame([], "value string, kind int, score double")
+    left = F.col("pattern").endswith(" _")
+    telling = F.col("value").contains("@") | (F.length(F.regexp_replace("value", "[^0-9]", "")) >= TELLING_DIGITS)
+    new = spark.createDataFrame([], "value string, kind int, score double, whole boolean")
+    trusted = spark.createDataFrame([], "pattern string, kind int, support double, trust double")
     count = 0
     for _ in range(rounds):
         joined = every.join(known, "value", "left")
@@ -158,15 +177,18 @@ def scored(edges: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT, con
         per = per.select("pattern", best["kind"].alias("kind"), best["sum"].alias("support"), (best["sum"] / (F.col("n") + 1)).alias("trust"))
         trusted = staged(per.where((F.col("support") >= support) & (F.col("trust") >= confidence)), "pii-patterns")
         doubt = F.sum(F.log1p(-F.col("trust")))
-        found = open_edges.join(trusted, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"))
-        pick = F.max(F.struct("score", (-F.col("kind")).alias("turned"))).alias("pick")
-        found = found.groupBy("value").agg(pick).select("value", (-F.col("pick.turned")).alias("kind"), "pick.score")
-        new = staged(found.where(F.col("score") >= accept).join(sure.select("value"), "value", "left_anti"), "pii-new")
-        before, count = count, new.count()
+        inside = F.greatest(*[F.sum(F.when(x, F.col("n")).otherwise(0)) for x in (left, ~left)])
+        found = open_edges.join(trusted, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"), inside.alias("inside"))
+        pick = F.max(F.struct("score", (-F.col("kind")).alias("turned"), "inside")).alias("pick")
+        found = found.groupBy("value").agg(pick).select("value", (-F.col("pick.turned")).alias("kind"), "pick.score", "pick.inside")
+        found = found.where(F.col("score") >= accept).join(sure.select("value"), "value", "left_anti").join(places, "value")
+        whole = telling & (F.col("inside") >= SHARE * F.col("places"))
+        new = staged(found.select("value", "kind", "score", whole.alias("whole")), "pii-new")
+        before, count = count, new.where("whole").count()
         if count == before:
             break
-        known = sure.unionByName(new)
-    return new
+        known = sure.unionByName(new.where("whole").drop("whole"))
+    return new, trusted
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, rounds: int) -> DataFrame:
@@ -176,12 +198,15 @@ def _found(docs: DataFrame, id_col: str, text_col: str, rounds: int) -> DataFram
     small_batches(docs.sparkSession)
     scanned = staged(rows.mapInArrow(_scanned, f"row long, id long, base array<{_SPAN}>, places array<{_PLACE}>"), "pii-scanned")
     places = scanned.select("row", "id", F.explode("places").alias("p")).select("row", "id", "p.*")
-    edges = places.select(F.explode("patterns").alias("pattern"), "value", "kind").groupBy("pattern", "value").agg(F.min("kind").alias("kind"))
-    strings = scored(staged(edges, "pii-graph"), rounds)
-    spots = places.where("kind IS NULL").select("row", "id", "start", "end", "value")
-    span = F.struct("start", "kind", "end")
+    edges = places.select(F.explode("patterns").alias("pattern"), "value", "kind").groupBy("pattern", "value")
+    edges = edges.agg(F.min("kind").alias("kind"), F.count(F.lit(1)).alias("n"))
+    strings, trusted = _scored(staged(edges, "pii-graph"), rounds)
+    spots = places.where("kind IS NULL").select("row", "id", "start", "end", "value", "patterns")
+    hits = spots.join(strings, "value")
+    inside = hits.where("NOT whole").withColumn("pattern", F.explode("patterns")).join(trusted.select("pattern", "kind"), ["pattern", "kind"])
+    spans = [x.select("row", "id", F.struct("start", "kind", "end").alias("span")) for x in (hits.where("whole"), inside)]
     # Equal rows give equal places, so each place counts once.
-    more = spots.join(strings, "value").groupBy("row", "id").agg(F.collect_set(span).alias("more"))
+    more = spans[0].unionByName(spans[1]).groupBy("row", "id").agg(F.collect_set("span").alias("more"))
     more = staged(more.select("row", F.col("id").alias("of"), "more"), "pii-more")
     release(docs.sparkSession)
     same = (F.col("row") == F.col("of_row")) & F.col("id").eqNullSafe(F.col("of"))

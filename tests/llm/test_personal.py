@@ -118,3 +118,16 @@ def test_given_documents(spark):
 def test_rows_in_any_layout(spark):
     one, many = (as_rows(personal.personal_data(documents(spark).repartition(n))) for n in (1, 4))
     assert one == many
+
+
+def test_common_numbers_count_by_their_places(spark):
+    """A year in a trusted pattern is a phone there and a year elsewhere; so is a date that stands mostly elsewhere."""
+    rows = [(i, f"please call me at +1 (2{i:02d}) 555-0{i:03d} tomorrow about it {i}", "en", "s", 0) for i in range(30)]
+    rows += [(100, "please call me at 2020 tomorrow or never", "en", "s", 0), (101, "it was 2020 when we met", "en", "s", 0)]
+    rows += [(110, "please call me at 2021-01-17 tomorrow or never", "en", "s", 0)]
+    rows += [(120 + i, f"we met on 2021-01-17 in town {chr(97 + i)}", "en", "s", 0) for i in range(9)]
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in personal.personal_data(documents(spark, rows)).collect()}
+    assert found[100] == [(18, 3, 22)] and found[110] == [(18, 3, 28)]
+    assert found[101] == [] and not any(found[120 + i] for i in range(9))
+    texts = {r.doc_id: r.text for r in personal.redacted(documents(spark, rows)).collect()}
+    assert texts[101] == rows[31][1] and texts[100] == "please call me at [PHONE] tomorrow or never"
