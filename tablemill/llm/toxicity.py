@@ -112,12 +112,25 @@ class Model:
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, every: np.ndarray, sizes: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
-    """(log-odds, z-score) of words by their counts in toxic, clean and all texts."""
+    """(log-odds, z-score) of words by their counts in toxic, clean and all texts.
+
+    The z-score is the signed root of the log-likelihood ratio of the counts. It needs no word
+    to occur in both classes: many toxic occurrences and no clean one are sure however rare the
+    word is in the corpus.
+    """
     n1, n0, n = sizes
     prior = PRIOR * np.maximum(every, 0.5) / max(n, 1.0)
     a, b = toxic + prior, clean + prior
     odds = np.log(a / (n1 + PRIOR - a)) - np.log(b / (n0 + PRIOR - b))
-    return odds, odds / np.sqrt(1 / a + 1 / b)
+    share = (toxic + clean) / max(n1 + n0, 1.0)
+    ratio = sum(_gain(seen, size * p) for count, size in ((toxic, n1), (clean, n0)) for seen, p in ((count, share), (size - count, 1 - share)))
+    return odds, np.sign(odds) * np.sqrt(np.maximum(2 * ratio, 0.0))
+
+
+def _gain(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """seen * log(seen / expected), 0 where nothing is seen."""
+    some = seen > 0
+    return np.where(some, seen * np.log(np.where(some, seen, 1.0) / np.where(some, np.maximum(expected, 1e-300), 1.0)), 0.0)
 
 
 def chance_rate(scores: np.ndarray, shares: np.ndarray) -> float:

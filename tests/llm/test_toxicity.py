@@ -135,3 +135,15 @@ def test_held_out_accuracy(spark):
     area = np.mean([(sum(g < b for g in good) + sum(g == b for g in good) / 2) / len(good) for b in bad])
     assert area > 0.75
     assert np.mean([s < 0.5 for s in good]) > 0.9
+
+
+def test_rare_words_of_toxic_texts_only_are_sure():
+    """At the size of a large corpus, where the prior of a rare word is nearly nothing."""
+    sizes, share = (6.6e6, 53e6, 5e9), 2e-7
+    toxic, clean = np.array([66.0, 66.0, 6.0, 1.0, 7.0]), np.array([0.0, 1.0, 0.0, 8.0, 53.0])
+    odds, z = toxicity.log_odds(toxic, clean, np.full(5, share * sizes[2]), sizes)
+    assert z[0] > z[1] > toxicity.LEAST_Z and z[2] > toxicity.LEAST_Z and odds[0] > 5
+    assert abs(z[3]) < toxicity.LEAST_Z and abs(z[4]) < toxicity.LEAST_Z
+    # Where nearly all that is learned from is toxic, a few toxic occurrences say nothing.
+    _, z = toxicity.log_odds(np.array([6.0]), np.array([0.0]), np.array([1000.0]), (53e6, 1e6, 5e9))
+    assert abs(z[0]) < toxicity.LEAST_Z
