@@ -27,8 +27,6 @@ from tablemill.llm.common import small_batches, text_bytes
 TRAIN_ROWS = 200_000
 #: Of these, the rows that fit level and curve, at most.
 FIT_ROWS = 40_000
-#: Words the model may hold, at most: those in most contexts of toxic texts.
-MAX_TERMS = 50_000
 #: Different words that must stand before a word in toxic texts; copies of a text add none.
 LEAST_CONTEXTS = 5
 PRIOR = 30_000.0
@@ -37,6 +35,8 @@ DRIFT = 0.5
 #: Chance that a clean text has such a segment, for a passage to be reported.
 SIGNIFICANT = 0.05
 
+#: Texts of kind 0, 1 and -1.
+_CLASSES = ("clean", "toxic", "other")
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -191,27 +191,26 @@ def _contexts(rows: DataFrame) -> DataFrame:
 
 
 def _counted(rows: DataFrame, terms: set[str]) -> DataFrame:
-    """(word, kind, n): counts of the terms per class over ``rows`` (t, kind); the empty word for all.
+    """(word, clean, toxic, other): counts of the terms per class over ``rows`` (t, kind); the empty word for all.
 
-    ``kind`` is -1 for texts of no class. A task adds up what it reads: at most three counts
-    for each term.
+    ``kind`` is -1 for texts of no class. A task adds up what it reads: at most one row for each
+    term.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, Counter] = {}
+        kept = (Counter(), Counter(), Counter())
         for batch in batches:
             for t, kind in zip(*batch.columns, strict=True):
                 words = tokens(t.as_py())
-                counts = kept.setdefault(kind.as_py(), Counter())
+                counts = kept[kind.as_py()]
                 counts[""] += len(words)
                 counts.update(filter(terms.__contains__, words))
-        found = [(w, k, n) for k, c in kept.items() for w, n in c.items()]
-        columns = zip(*found, strict=True) if found else [[]] * 3
-        kinds = (pa.string(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["word", "kind", "n"])
+        found = list(set().union(*kept))
+        columns = [pa.array([c[w] for w in found], pa.int64()) for c in kept]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *columns], ["word", *_CLASSES])
 
-    found = rows.select("t", "kind").mapInArrow(run, "word string, kind int, n long")
-    return found.groupBy("word", "kind").agg(F.sum("n").alias("n"))
+    found = rows.select("t", "kind").mapInArrow(run, f"word string, {', '.join(f'{c} long' for c in _CLASSES)}")
+    return found.groupBy("word").agg(*[F.sum(c).alias(c) for c in _CLASSES])
 
 
 def learned(
@@ -222,10 +221,13 @@ def learned(
     label_col: str = "toxic",
     train_rows: int = TRAIN_ROWS,
     fit_rows: int = FIT_ROWS,
-    max_terms: int = MAX_TERMS,
+    max_terms: int | None = None,
 ) -> Model:
     """A model from the labelled rows that aren't held out.
 
+    These rows bound the words it may hold; ``max_terms`` bounds them further, to those in most
+    contexts of toxic texts.
+
     Rows with a NULL id or label teach nothing; of several labels of one id the largest counts.
     Without texts of both classes the model knows no words and every score is 0 or nearly so.
     """
@@ -239,11 +241,11 @@ def learned(
     texts = docs.select(key.cast("long").alias("key"), text_bytes(text_col).alias("t"))
     rows = texts.join(F.broadcast(sample), "key")
     frequent = _contexts(rows.where("kind > 0")).where(F.col("n") >= LEAST_CONTEXTS)
-    terms = {r.word for r in frequent.orderBy(F.desc("n"), "word").limit(max_terms).collect()}
+    if max_terms is not None:
+        frequent = frequent.orderBy(F.desc("n"), "word").limit(max_terms)
+    terms = {r.word for r in frequent.select("word").collect()}
     everything = texts.join(F.broadcast(sample), "key", "left").withColumn("kind", F.coalesce("kind", F.lit(-1)))
-    counts: dict[str, np.ndarray] = {}
-    for r in _counted(everything, terms).collect():
-        counts.setdefault(r.word, np.zeros(3))[r.kind] += r.n
+    counts = {r.word: np.array([r.clean, r.toxic, r.other], float) for r in _counted(everything, terms).collect()}
     clean_n, toxic_n, other_n = counts.pop("", np.zeros(3))
     if not toxic_n or not clean_n or not counts:
         return Model()

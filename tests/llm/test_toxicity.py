@@ -147,3 +147,15 @@ def test_rare_words_of_toxic_texts_only_are_sure():
     # Where nearly all that is learned from is toxic, a few toxic occurrences say nothing.
     _, z = toxicity.log_odds(np.array([6.0]), np.array([0.0]), np.array([1000.0]), (53e6, 1e6, 5e9))
     assert abs(z[0]) < toxicity.LEAST_Z
+
+
+def test_all_words_of_the_labelled_rows_may_be_held(spark):
+    n = 50_500
+    orders = [[f"w{i * step % n}" for i in range(n)] for step in (1, 3, 7, 9, 11, 13)]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, " ".join(words), "en", "s", 0) for i, words in zip(ids, orders)]
+    labels = [(i, 1, 1) for i, *_ in rows] + [(i, 1, 0) for i in ids[6:12]]
+    rows += [(i, "calm water " * n, "en", "s", 0) for i in ids[6:12]]
+    model = toxicity.learned(documents(spark, rows), labelled(spark, labels))
+    # w0 starts all of these texts, so it stands behind nothing else.
+    assert len([w for w in model.weights if w[1:].isdigit()]) == n - 1
