@@ -2,7 +2,7 @@
 
 Four kinds are found by their form: e-mail addresses, IP addresses, payment cards and phone
 numbers. These seeds induce lexical patterns, the words around them. Patterns and the
-identifier-like strings they surround form a graph. In a few rounds Spark scores it: a pattern
+identifier-like strings they surround form a graph. In rounds, until one finds nothing new, Spark scores it: a pattern
 by the share of its strings that are known to be of a kind, a string by the patterns around
 it. Strings that patterns of high confidence surround in most of their places count as known
 in the next round, and in the end every place where such a string stands is added to the
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -23,7 +24,6 @@ from pyspark.sql import DataFrame, functions as F
 from tablemill.llm.common import free, release, small_batches, staged, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
 #: A pattern needs so many distinct known strings of a kind, and such a share of all its strings.
 SUPPORT, CONFIDENCE = 5.0, 0.8
 #: A string needs such a score: one minus the product of its patterns' doubts.
@@ -31,8 +31,8 @@ ACCEPT = 0.9
 #: It is meant wherever it stands if patterns of high confidence surround such a share of its
 #: places, and it has so many digits, or an @.
 SHARE, TELLING_DIGITS = 0.5, 7
-#: Unseen identifiers have so many digits, or an @.
-LEAST_DIGITS = 4
+#: Unseen identifiers have so many digits, or an @; those of several groups no more than a card.
+LEAST_DIGITS, MOST_DIGITS = 4, 19
 #: Characters before and after a string in which its neighbouring words are looked for.
 CONTEXT = 80
 
@@ -42,10 +42,13 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# Digit groups as seeds join them; the whole is one string.
+_GROUPS = re.compile(r"[+(]?[0-9]++(?:(?:\x20?[()]\x20?|\)[.-]|\x20-\x20|[\x20.-])[0-9]++)++")
 _HINT = re.compile(r"[0-9@][^\x20\x09-\x0D]*")
 _SPACE = frozenset("\t\n\x0b\x0c\r ")
 _EDGES = ".,;:!?\"'()[]{}<>#*$%&=|_"
 _DIGITS = re.compile(r"[0-9]")
+_DIGIT_RUNS = re.compile(r"[0-9]+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -96,14 +99,48 @@ def _around(text: str, start: int, end: int) -> list[str]:
     return [f"{left[0]} {left[1]} _", f"{left[1]} _ {right[0] if right else '$'}"]
 
 
+def _grouped(text: str) -> Iterator[tuple[int, int]]:
+    """Digit groups with blanks or brackets between them, as of national phones and of cards.
+
+    A last group of one digit, or groups of mostly one, are no identifier; nor is a part of a word.
+    """
+    for m in _GROUPS.finditer(text):
+        start, end = m.span()
+        if m[0][0] == "(" and ")" not in m[0]:
+            start += 1
+        groups = _DIGIT_RUNS.findall(m[0])
+        digits = sum(map(len, groups))
+        if not LEAST_DIGITS <= digits <= MOST_DIGITS or len(groups[-1]) < 2 or digits < 2 * len(groups) - 1:
+            continue
+        if not any(c in " ()" for c in m[0][1:]):
+            continue
+        # Edges may enclose the whole, as long as white space or the text's end is behind them.
+        before, after = start, end
+        while before and text[before - 1] in _EDGES:
+            before -= 1
+        while after < len(text) and text[after] in _EDGES:
+            after += 1
+        if (not before or text[before - 1] in _SPACE) and (after == len(text) or text[after] in _SPACE):
+            yield start, end
+
+
 def _candidates(text: str, known: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like words that no seed overlaps."""
+    """Identifier-like words, and digit groups as one, that no seed overlaps."""
     merged: list[list[int]] = []
     for s, _, e in known:
         if merged and s < merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], e)
         else:
             merged.append([s, e])
+    grouped, at = [], 0
+    for start, end in _grouped(text):
+        while at < len(merged) and merged[at][1] <= start:
+            at += 1
+        if at == len(merged) or merged[at][0] >= end:
+            grouped.append([start, end])
+    yield from ((s, e) for s, e in grouped)
+    # Neither lists' spans overlap, so the words are those outside both.
+    merged = sorted(merged + grouped)
     at = 0
     for m in _HINT.finditer(text):
         start, end = m.span()
@@ -140,19 +177,20 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bases, span), pa.array(places, place)], ["row", "id", "base", "places"])
 
 
-def scored(edges: DataFrame, rounds: int = ROUNDS, support: float = SUPPORT, confidence: float = CONFIDENCE, accept: float = ACCEPT) -> DataFrame:
+def scored(edges: DataFrame, rounds: int | None = None, support: float = SUPPORT, confidence: float = CONFIDENCE, accept: float = ACCEPT) -> DataFrame:
     """(value, kind, score, whole) of the strings found by patterns alone.
 
     ``edges`` has (pattern, value, kind): once for each pattern and string that stand together,
     with the kind a seed has, else NULL; and n, in how many places they do (1 if there is no such
     column). A pattern stands for at most one kind, that with the most support. ``whole`` says
     that the string is meant in all its places, not only in those of trusted patterns. With a
-    round's new whole strings known, further patterns may qualify.
+    round's new whole strings known, further patterns may qualify; what is known stays known, and
+    by default the rounds go on until one finds nothing new.
     """
     return _scored(edges, rounds, support, confidence, accept)[0]
 
 
-def _scored(edges: DataFrame, rounds: int, support: float = SUPPORT, confidence: float = CONFIDENCE, accept: float = ACCEPT) -> tuple[DataFrame, DataFrame]:
+def _scored(edges: DataFrame, rounds: int | None, support: float = SUPPORT, confidence: float = CONFIDENCE, accept: float = ACCEPT) -> tuple[DataFrame, DataFrame]:
     """What ``scored`` gives, and the trusted (pattern, kind, support, trust)."""
     spark = edges.sparkSession
     edges = edges if "n" in edges.columns else edges.withColumn("n", F.lit(1))
@@ -165,10 +203,11 @@ def _scored(edges: DataFrame, rounds: int, support: float = SUPPORT, confidence:
     every = staged(edges.select("pattern", "value").distinct(), "pii-edges")
     left = F.col("pattern").endswith(" _")
     telling = F.col("value").contains("@") | (F.length(F.regexp_replace("value", "[^0-9]", "")) >= TELLING_DIGITS)
-    new = spark.createDataFrame([], "value string, kind int, score double, whole boolean")
+    whole = new = spark.createDataFrame([], "value string, kind int, score double, whole boolean")
     trusted = spark.createDataFrame([], "pattern string, kind int, support double, trust double")
-    count = 0
-    for _ in range(rounds):
+    for k in count():
+        if k == rounds:
+            break
         joined = every.join(known, "value", "left")
         sums = [F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(f"k{k}") for k in range(len(KINDS))]
         per = joined.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *sums)
@@ -181,17 +220,17 @@ def _scored(edges: DataFrame, rounds: int, support: float = SUPPORT, confidence:
         found = open_edges.join(trusted, "pattern").groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"), inside.alias("inside"))
         pick = F.max(F.struct("score", (-F.col("kind")).alias("turned"), "inside")).alias("pick")
         found = found.groupBy("value").agg(pick).select("value", (-F.col("pick.turned")).alias("kind"), "pick.score", "pick.inside")
-        found = found.where(F.col("score") >= accept).join(sure.select("value"), "value", "left_anti").join(places, "value")
-        whole = telling & (F.col("inside") >= SHARE * F.col("places"))
-        new = staged(found.select("value", "kind", "score", whole.alias("whole")), "pii-new")
-        before, count = count, new.where("whole").count()
-        if count == before:
+        found = found.where(F.col("score") >= accept).join(known.select("value"), "value", "left_anti").join(places, "value")
+        meant = telling & (F.col("inside") >= SHARE * F.col("places"))
+        new = staged(found.select("value", "kind", "score", meant.alias("whole")), "pii-new")
+        if new.where("whole").isEmpty():
             break
-        known = sure.unionByName(new.where("whole").drop("whole"))
-    return new, trusted
+        whole = staged(whole.unionByName(new.where("whole")), "pii-whole")
+        known = sure.unionByName(whole.drop("whole"))
+    return whole.unionByName(new.where("NOT whole")), trusted
 
 
-def _found(docs: DataFrame, id_col: str, text_col: str, rounds: int) -> DataFrame:
+def _found(docs: DataFrame, id_col: str, text_col: str, rounds: int | None) -> DataFrame:
     """(row, id, base, more): spans of known form, and those the patterns add."""
     id_, t = F.col(f"`{id_col}`").cast("long"), text_bytes(text_col)
     rows = docs.select(F.xxhash64(id_, t).alias("row"), id_.alias("id"), t.alias("t"))
@@ -214,7 +253,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, rounds: int) -> DataFram
     return joined.select("row", "id", "base", F.coalesce("more", F.array().cast(f"array<{_SPAN}>")).alias("more"))
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None) -> DataFrame:
     """(doc_id, base, spans) for every row of ``docs``.
 
     ``base`` holds (start, kind, end) of the strings of known form, ``spans`` those and the ones
@@ -228,7 +267,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select(F.col("id").alias("doc_id"), "base", spans.alias("spans"))
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None) -> DataFrame:
     """``docs`` with each span of its text replaced by its kind in brackets, as ``[EMAIL]``.
 
     Of spans that overlap, the first names the kind and all are replaced together. Texts without

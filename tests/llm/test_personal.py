@@ -131,3 +131,33 @@ def test_common_numbers_count_by_their_places(spark):
     assert found[101] == [] and not any(found[120 + i] for i in range(9))
     texts = {r.doc_id: r.text for r in personal.redacted(documents(spark, rows)).collect()}
     assert texts[101] == rows[31][1] and texts[100] == "please call me at [PHONE] tomorrow or never"
+
+
+def test_digit_groups_are_one_candidate():
+    listed = lambda text: sorted(text[s:e] for s, e in personal._candidates(text, personal.seeds(text)))
+    assert listed("call me at (555) 123-4567 or 01 23 45 67 89, now") == ["(555) 123-4567", "01 23 45 67 89"]
+    assert listed("card 4111 1111 1111 1112. It") == ["4111 1111 1111 1112"]
+    assert listed("(555 123 4567), 555.123.4567") == ["555 123 4567", "555.123.4567"]
+    assert listed("in 1999. 2020 was AB-12345 6789 017/445599") == ["017/445599", "1999", "2020", "6789", "AB-12345"]
+    assert listed("+1 (202) 555-0199 host 10.0.0.1") == []
+    assert listed("1 2 3 4 5 6 7") == []
+    assert len(listed("12 " * 100_000)) == 0
+
+
+def test_phones_with_blanks_are_found_whole(spark):
+    rows = [(i, f"please call me at +1 (2{i:02d}) 555-0{i:03d} tomorrow about it {i}", "en", "s", 0) for i in range(40)]
+    rows += [(100, "please call me at (555) 123-4567 tomorrow", "en", "s", 0), (101, "please call me at 030 1234 567 tomorrow", "en", "s", 0)]
+    texts = {r.doc_id: r.text for r in personal.redacted(documents(spark, rows)).collect()}
+    assert texts[100] == texts[101] == "please call me at [PHONE] tomorrow"
+
+
+def test_rounds_go_on_until_nothing_is_new(spark):
+    """Each level's strings make the patterns that find the next level's."""
+    level = lambda k: [(f"level{k}x{i:02d}-5555555", 3 if k == 0 else None) for i in range(12)]
+    edges = []
+    for k in range(6):
+        for i, (new, _) in enumerate(level(k + 1)):
+            for p in "pq":
+                edges += [(f"{p}{k} {i} _", old, kind, 1) for old, kind in level(k)] + [(f"{p}{k} {i} _", new, None, 100)]
+    found = personal.scored(spark.createDataFrame(edges, "pattern string, value string, kind int, n int")).collect()
+    assert {r.value for r in found} == {v for k in range(1, 7) for v, _ in level(k)}
