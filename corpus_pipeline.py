@@ -18,6 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """By the contract of op8: shingles of three words, 2 bits. Looser near copies stay (README)."""
     return simhash.keep_one(docs)
 
 
