@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablemill.llm import archives, balltree, kmeanstree, licences, mixing, packing, personal, repeats, simhash, toxicity
+from tablemill.llm import archives, balltree, kmeanstree, licences, mixing, packing, periods, personal, repeats, simhash, spelling
+from tablemill.llm import tokenplanes, toxicity
+from tablemill.llm.common import WORD
 from tablemill.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -152,3 +154,68 @@ def op2_licences(spark: SparkSession, folder: str) -> DataFrame:
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Where every piece of every document stands in the packed sequences."""
     return packing.packing(table(spark, folder, "documents"))
+
+
+@query()
+def op11_token_planes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's token ids, written as files of planes and read back."""
+    import public_tokenizers
+
+    return tokenplanes.encoded(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _with_slips(docs: DataFrame) -> DataFrame:
+    """The words of all documents, some of them, by their checksum, without one code point."""
+    word_runs = docs.select("doc_id", F.explode(spelling.runs("text")).alias("run"))
+    # Shorter ones are no words, whole or not.
+    word_runs = word_runs.where(F.length("run") >= spelling.LEAST_LENGTH)
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run").cast("binary"))
+    slip = spelling.without("run", (h % F.length("run")).cast("int"))
+    return word_runs.select(F.when(h % 199 == 0, slip).otherwise(F.col("run")).alias("word"))
+
+
+@query()
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """The more frequent spelling, if any, of every word of the documents."""
+    return spelling.variants(_with_slips(table(spark, folder, "documents")))
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The documents, a tenth of them, by the checksum of the id, periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    docs = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, found).alias("words"))
+    n = F.size("words").cast("long")
+    docs = docs.select("*", F.when(n > 0, F.expr("(h div 10) % size(words)")).alias("a"), n.alias("n"))
+    p = F.expr("1 + (n - a) div (3 + (h div 10) % 8)")
+    docs = docs.select("*", p.cast("int").alias("p"))
+    part = F.slice("words", F.col("a").cast("int") + 1, F.col("p"))
+    tail = F.flatten(F.array_repeat(part, F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    planted = F.slice(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), tail), F.lit(1), F.col("n").cast("int"))
+    text = F.when(F.col("p").isNotNull(), F.array_join(planted, " ")).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+@query()
+def op13_periodic(spark: SparkSession, folder: str) -> DataFrame:
+    """The periodic runs of every document, the longest for its period, and what is left without repeats."""
+    found = periods.runs_and_rest(_with_planted_runs(table(spark, folder, "documents")))
+
+    def better(best: Column, run: Column) -> Column:
+        # Runs come by start and period, so the first of equals stays.
+        return F.when(run["length"] * best["period"] > best["length"] * run["period"], run).otherwise(best)
+
+    best = F.when(F.size("runs") > 0, F.reduce("runs", F.get("runs", F.lit(0)), better))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "")
+    found = found.select("*", best.alias("best"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        "runs_sha256",
+        F.sha2(F.col("kept_text").cast("binary"), 256).alias("collapsed_sha256"),
+    )

@@ -27,8 +27,8 @@ def duck():
     return con
 
 
-def test_all_ten_and_the_pipeline_are_registered():
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
+def test_all_and_the_pipeline_are_registered():
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
     assert set(ORACLES) <= set(entry.oracle_sql())
 
@@ -54,6 +54,9 @@ def test_against_sql(spark, duck, name):
         ("op7_substrings", "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"),
         ("op8_simhash", "doc_id bigint, fingerprint string, component_id bigint"),
         ("op9_warc", "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"),
+        ("op11_token_planes", "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"),
+        ("op12_spelling", "word string, form string, root string, n bigint, n_near bigint, form_n bigint"),
+        ("op13_periodic", "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string"),
         ("op10_pii", "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"),
     ],
 )

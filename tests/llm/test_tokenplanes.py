@@ -1,0 +1,109 @@
+"""Files of token ids: exact round trips, and the ids of the library itself."""
+
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from tablemill.llm import tokenplanes as tp
+from tablemill.llm.queries import QUERIES
+from tests.llm.awkward import ROWS, as_rows, clashing, documents
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+tokenizers = pytest.importorskip("tokenizers")
+
+FOLDER = "/root/testdata/sf0.001"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+TRICKY = "a  b \n c\n\nd\t e'll 's  <|endoftext|> x<|endoftext|>y z 　 \x1c q 12 34,5 ...  !  é è\r\n 你 好 😀 '"
+
+
+@pytest.fixture(scope="module")
+def library():
+    return tokenizers.Tokenizer.from_file(VOCABULARY)
+
+
+def ids_by_library(library, text):
+    return library.encode(text or "", add_special_tokens=False).ids + [0]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 50256), max_size=70), st.sampled_from(tp.PLANES))
+def test_planes_round_trip(ids, kind):
+    ids = np.array(ids, np.uint32)
+    assert tp.ids_of(tp.planes_of(ids, kind), len(ids), kind).tolist() == ids.tolist()
+
+
+@pytest.mark.parametrize("kind", tp.PLANES)
+def test_a_stretch_unpacks_only_its_blocks(kind):
+    writer, rng = tp.Writer(3, 4, kind, 100, 3), np.random.default_rng(1)
+    docs = [(None if k == 2 else k, rng.integers(0, 60000, n).astype("<u4")) for k, n in enumerate([5, 0, 250, 1, 100, 44])]
+    for id_, ids in docs:
+        writer.add(id_, ids.tobytes())
+    file = tp.Reader(writer.whole())
+    every = np.concatenate([ids for _, ids in docs])
+    assert (file.slice, file.number, len(file.blocks)) == (3, 4, 4)
+    for known, id_, start, n in file.documents.tolist():
+        assert np.concatenate([*file.stretch(start, n), every[:0]]).tolist() == every[start : start + n].tolist()
+    assert [(d["id"] if d["known"] else None) for d in file.documents] == [i for i, _ in docs]
+    opened = []
+    file.block = lambda k, real=file.block: opened.append(k) or real(k)
+    file.held = (None,)
+    assert np.concatenate(list(file.stretch(290, 20))).tolist() == every[290:310].tolist()
+    assert opened == [2, 3]
+
+
+def test_a_damaged_file_is_refused():
+    writer = tp.Writer(0, 0, "byte", 100, 3)
+    writer.add(1, np.arange(50, dtype="<u4").tobytes())
+    whole = writer.whole()
+    with pytest.raises(ValueError):
+        tp.Reader(whole[:-1])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text() | st.text(alphabet=" \n\t \x1cab'.1é"))
+def test_pieces_give_the_ids_of_whole_texts(text):
+    whole = tokenizers_cached().encode(text, add_special_tokens=False).ids
+    encode = tp._encoder(VOCABULARY, True)
+    assert np.frombuffer(encode([text])[0], "<u4").tolist() == whole
+
+
+def tokenizers_cached(found=[]):
+    if not found:
+        found.append(tokenizers.Tokenizer.from_file(VOCABULARY))
+    return found[0]
+
+
+def test_tricky_text(library):
+    for by_space in (True, False):
+        assert np.frombuffer(tp._encoder(VOCABULARY, by_space)([TRICKY])[0], "<u4").tolist() == ids_by_library(library, TRICKY)[:-1]
+
+
+@pytest.mark.parametrize("options", [{}, {"kind": "bit", "block_ids": 1000, "file_ids": 3000}, {"by_space": False}])
+def test_awkward_rows(spark, library, tmp_path, options):
+    docs = clashing(documents(spark, [*ROWS, (-5, TRICKY, "en", "a", 1)]))
+    wanted = sorted(((r[0], ids_by_library(library, r[1])) for r in [*ROWS, (-5, TRICKY)]), key=repr)
+    path = tp.write_ids(docs, str(tmp_path / "ids"), VOCABULARY, **options)
+    assert as_rows(tp.read_ids(spark, path), "doc_id", "ids") == wanted
+    got = tp.read_documents(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((r[0] for r in wanted), key=lambda x: (x is not None, x))
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    crcs = [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got]
+    assert sorted(crcs, key=repr) == sorted(((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in wanted), key=repr)
+
+
+def test_empty_table(spark):
+    assert tp.encoded(documents(spark).limit(0), VOCABULARY).collect() == []
+
+
+def test_query(spark, library):
+    at, wanted = 0, []
+    for r in spark.read.parquet(f"{FOLDER}/documents.parquet").orderBy("doc_id").collect():
+        ids = ids_by_library(library, r.text)
+        wanted.append((r.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert as_rows(QUERIES["op11_token_planes"](spark, FOLDER)) == sorted(wanted, key=repr)
