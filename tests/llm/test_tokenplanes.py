@@ -69,6 +69,14 @@ def test_pieces_give_the_ids_of_whole_texts(text):
     assert np.frombuffer(encode([text])[0], "<u4").tolist() == whole
 
 
+def test_other_tokenizers_are_refused_by_piece(spark):
+    words = public_tokenizers.path("word_bpe_49k.json")
+    with pytest.raises(ValueError):
+        tp._encoder(words, True)(["Some words, with Case  and spaces"])
+    ids = np.frombuffer(tp._encoder(words, False)(["Some words"])[0], "<u4").tolist()
+    assert ids == tokenizers.Tokenizer.from_file(words).encode("Some words", add_special_tokens=False).ids
+
+
 def tokenizers_cached(found=[]):
     if not found:
         found.append(tokenizers.Tokenizer.from_file(VOCABULARY))
