@@ -149,17 +149,22 @@ class Reader:
 #: byte-level tokenizer that keeps a space with the word behind it.
 _PIECE = re.compile(r"(?<=\S) (?=\S)")
 #: Where a text has none of these, spaces and line feeds stand alone between other characters.
-_ODD = ("  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+_ODD = ("  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x80)) if c.isspace() and c not in " \n"))
+_ODD_WIDE = (*_ODD, *(c for c in map(chr, range(0x80, 0x3001)) if c.isspace()))
 #: Pieces whose ids a worker remembers, some 200 bytes each.
 REMEMBERED = 1_000_000
 
 
-def _pieces(texts: Sequence[str]) -> pa.ListArray:
+def _odd(text: str) -> bool:
+    return any(map(text.__contains__, _ODD if text.isascii() else _ODD_WIDE))
+
+
+def _pieces(texts: Sequence[str], odd: bool) -> pa.ListArray:
     """Each text in pieces that can be encoded one by one; all but its first lack the space before them.
 
     A piece that begins with a line feed has no space before it.
     """
-    if any(odd in t for t in texts for odd in _ODD):
+    if odd:
         return pa.array([_PIECE.split(t) for t in texts], pa.list_(pa.string()))
     return pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n"), " ")
 
@@ -195,7 +200,7 @@ class Encoder:
             return []
         ids = self._encoded(["".join(pieces)])[0]
         ends = np.cumsum(self.bytes[np.frombuffer(ids, "<u4")])
-        wanted = np.cumsum(np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces)))
+        wanted = np.cumsum(pc.binary_length(pa.array(pieces, pa.string())).to_numpy().astype(np.int64))
         cuts = np.searchsorted(ends, wanted)
         if cuts[-1] + 1 != len(ends) or (ends[cuts] != wanted).any():
             raise ValueError("this tokenizer's ids don't follow the bytes of the text: use by_space=False")
@@ -203,8 +208,11 @@ class Encoder:
         return [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
     def _learn(self, new: Sequence[str]) -> None:
-        plain = [p for p in new if p.strip() == (p[1:] if p[:1] == "\n" else p) and p.strip()]
-        spaced = [p if p[0] == "\n" else " " + p for p in plain]
+        # Pieces without white space of their own at either end can stand one behind the other.
+        plain = [p for p in new if p and not (p[0].isspace() or p[-1].isspace())]
+        lines = [p for p in new if len(p) > 1 and p[0] == "\n" and not (p[1].isspace() or p[-1].isspace())]
+        spaced = [" " + p for p in plain] + lines
+        plain += lines
         self.known.update(zip(plain, self._joined(spaced), strict=True))
         rest = [p for p in new if p not in self.known]
         self.known.update(zip(rest, self._encoded([p if p[:1] == "\n" else " " + p for p in rest]), strict=True))
@@ -213,11 +221,11 @@ class Encoder:
         if not self.by_space:
             return [x for t in texts for x in self._encoded([t])]
         found: list[bytes] = [b""] * len(texts)
-        odd = [any(map(t.__contains__, _ODD)) for t in texts]
+        odd = [_odd(t) for t in texts]
         for kind in (False, True):
             some = [k for k, x in enumerate(odd) if x == kind]
             if some:
-                for k, ids in zip(some, self._by_piece(_pieces([texts[k] for k in some])), strict=True):
+                for k, ids in zip(some, self._by_piece(_pieces([texts[k] for k in some], kind)), strict=True):
                     found[k] = ids
         return found
 
