@@ -1,8 +1,10 @@
 """Best-fit packing of documents into sequences of several permitted lengths.
 
 Longest pieces first, each piece goes into the open bin that it fills best. If none has room,
-a bin is opened at the size that costs least per word it can still get, and in the end each
-bin is downsized to the shortest permitted length that holds its contents. A document longer
+a bin is opened at the size that costs least per word it can be filled with, as the sizes of
+the pieces still to come tell, and in the end each bin is downsized to the shortest permitted
+length that holds its contents. A sequence costs more per word the longer it is, and what is
+not filled is paid for too: short sequences and full ones are both wanted. A document longer
 than the longest sequence is cut into pieces of that length and a rest. Pieces are dealt over
 shards of bounded size that are packed side by side, each without looking at the others.
 """
@@ -22,23 +24,55 @@ from tablemill.llm.vectors import pieces
 from tablemill.session import staged
 
 CAPACITIES = (512, 1024, 2048, 4096)
-#: What a sequence costs besides its length, in words.
-OVERHEAD = 16
+#: A sequence of c words costs ``OVERHEAD`` + c + c * c / ``QUADRATIC``: every word of it is worked on,
+#: filled or not, and looks at all the others.
+OVERHEAD, QUADRATIC = 16, 8192
 #: Pieces of a shard, about.
 SHARD_PIECES = 50_000
 
 
-def best_fit(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
+def sequence_cost(capacity: int, overhead: float = OVERHEAD, quadratic: float = QUADRATIC) -> float:
+    return overhead + capacity + capacity * capacity / quadratic
+
+
+def _filled(size: int, capacity: int, sizes: int, many: list[int]) -> int:
+    """Words that a new bin gets from a piece and the longest ones to come that fit, one after the other.
+
+    ``sizes`` has a bit for each size still to come, ``many`` how many there are of it.
+    """
+    left = capacity - size
+    sizes &= (1 << (left + 1)) - 1
+    while sizes:
+        top = sizes.bit_length() - 1
+        left -= top * min(many[top], left // top)
+        sizes &= (1 << min(top, left + 1)) - 1
+    return capacity - left
+
+
+def best_fit(
+    sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES, overhead: float = OVERHEAD, quadratic: float = QUADRATIC
+) -> tuple[list[int], list[int], list[int]]:
     """(bin of each piece, its place in the bin, final capacity of each bin).
 
     ``sizes`` come longest first; none is over the largest capacity. Room that is left is kept
-    as bits of one number, so the best fit is the lowest bit at or above a size.
+    as bits of one number, so the best fit is the lowest bit at or above a size. A new bin gets
+    the capacity that costs least per word it can be filled with, and in the end the least that
+    holds its contents.
     """
     capacities = sorted(capacities)
-    rest = sum(sizes)
+    cost = {c: sequence_cost(c, overhead, quadratic) for c in capacities}
+    many = [0] * (capacities[-1] + 1)
+    coming = 0
+    for size in sizes:
+        many[size] += 1
+        coming |= 1 << size
+    shortest = {f: next(c for c in capacities if c >= f) for f in range(1, capacities[-1] + 1)}
     room, bins = 0, {}
     which, place, filled = [], [], []
     for size in sizes:
+        many[size] -= 1
+        if not many[size]:
+            coming ^= 1 << size
         fits = room >> size
         if fits:
             left = size + (fits & -fits).bit_length() - 1
@@ -47,23 +81,22 @@ def best_fit(sizes: Sequence[int], capacities: Sequence[int] = CAPACITIES, overh
             if not stack:
                 room ^= 1 << left
         else:
-            # Cost per word the new bin can get, from this piece and those still to come.
-            left = min((c for c in capacities if c >= size), key=lambda c: ((c + overhead) / min(c, rest), c))
+            fills = [(c, _filled(size, c, coming, many)) for c in capacities if c >= size]
+            left = min(fills, key=lambda x: (cost[shortest[x[1]]] / x[1], x[0]))[0]
             b = len(filled)
             filled.append(0)
         which.append(b)
         place.append(filled[b])
         filled[b] += size
-        rest -= size
         left -= size
         if left:
             bins.setdefault(left, []).append(b)
             room |= 1 << left
-    return which, place, [next(c for c in capacities if c >= f) for f in filled]
+    return which, place, [shortest[f] for f in filled]
 
 
 def packed_pieces(
-    lengths: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: int = OVERHEAD, shard_pieces: int = SHARD_PIECES
+    lengths: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: float = OVERHEAD, quadratic: float = QUADRATIC, shard_pieces: int = SHARD_PIECES
 ) -> DataFrame:
     """(id, piece, start, n_words, bin_id, capacity, place) for rows (row, id, n) of ``lengths``.
 
@@ -83,7 +116,7 @@ def packed_pieces(
         shard = table.column("shard")[0].as_py()
         sizes = table.column("n_words").to_numpy()
         order = np.lexsort((table.column("piece").to_numpy(), table.column("row").to_numpy(), -sizes))
-        which, place, capacity = best_fit(sizes[order].tolist(), capacities, overhead)
+        which, place, capacity = best_fit(sizes[order].tolist(), capacities, overhead, quadratic)
         which = np.array(which, np.int64)
         table = table.take(pa.array(order)).drop_columns(["shard"])
         table = table.append_column("bin_id", pa.array((np.int64(shard) << 32) + which))
@@ -106,7 +139,8 @@ def packing(
     id_col: str = "doc_id",
     text_col: str = "text",
     capacities: Sequence[int] = CAPACITIES,
-    overhead: int = OVERHEAD,
+    overhead: float = OVERHEAD,
+    quadratic: float = QUADRATIC,
     shard_pieces: int = SHARD_PIECES,
 ) -> DataFrame:
     """(doc_id, piece, start, n_words, bin_id, capacity, place) for each piece of each document.
@@ -117,7 +151,16 @@ def packing(
     documents of their own. An empty table gives an empty one. Extra columns are ignored.
     """
     lengths = staged(_numbered(docs, id_col, text_col), "pack-lengths")
-    return packed_pieces(lengths, capacities, overhead, shard_pieces).select(F.col("id").alias("doc_id"), "piece", "start", "n_words", "bin_id", "capacity", "place")
+    return packed_pieces(lengths, capacities, overhead, quadratic, shard_pieces).select(F.col("id").alias("doc_id"), "piece", "start", "n_words", "bin_id", "capacity", "place")
+
+
+def _located(docs: DataFrame, id_col: str, text_col: str, stored: bool) -> DataFrame:
+    """(file, at, id, text): each row with the place where it is read, the same in every reading."""
+    columns = [F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")]
+    if not stored:
+        docs = staged(docs.select(*columns), "pack-texts")
+        columns = ["id", "text"]
+    return docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), *columns)
 
 
 def packed_texts(
@@ -125,20 +168,24 @@ def packed_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     capacities: Sequence[int] = CAPACITIES,
-    overhead: int = OVERHEAD,
+    overhead: float = OVERHEAD,
+    quadratic: float = QUADRATIC,
     shard_pieces: int = SHARD_PIECES,
+    stored: bool = False,
 ) -> DataFrame:
     """``packing`` with each piece's ``text``; pieces of a document joined give its text back.
 
-    Documents without words are in no sequence and left out.
+    Documents without words are in no sequence and left out. ``stored`` says that ``docs`` are the
+    rows of Parquet files as they are there; other frames are written first, to be read twice.
     """
     small_batches(docs.sparkSession)
-    held = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), "pack-texts")
-    lengths = staged(held.select("row", "id", word_count(F.col("text")).alias("n")), "pack-lengths")
-    layout = packed_pieces(lengths, capacities, overhead, shard_pieces).where("n_words > 0")
+    held = _located(docs, id_col, text_col, stored)
+    lengths = held.select(F.monotonically_increasing_id().alias("row"), "file", "at", "id", word_count(F.col("text")).alias("n"))
+    lengths = staged(lengths, "pack-lengths")
+    layout = packed_pieces(lengths, capacities, overhead, quadratic, shard_pieces).where("n_words > 0")
     per = layout.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "piece", "n_words", "bin_id", "capacity", "place"))).alias("parts"))
-    per = staged(per.withColumnRenamed("row", "of"), "pack-layout")
-    joined = held.join(per, F.col("row") == F.col("of")).select("id", "text", "parts")
+    per = staged(per.join(lengths.select("row", "file", "at"), "row").drop("row"), "pack-layout")
+    joined = held.join(per, ["file", "at"]).select("id", "text", "parts")
     word = re.compile(WORD)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,7 +43,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Digit groups as seeds join them; the whole is one string.
-_GROUPS = re.compile(r"[+(]?[0-9]++(?:(?:\x20?[()]\x20?|\)[.-]|\x20-\x20|[\x20.-])[0-9]++)++")
+_GROUPS = re.compile(r"(?<![0-9])[+(]?[0-9]++(?:(?:\x20?[()]\x20?|\)[.-]|\x20-\x20|[\x20.-])[0-9]++)++")
 _HINT = re.compile(r"[0-9@][^\x20\x09-\x0D]*")
 _SPACE = frozenset("\t\n\x0b\x0c\r ")
 _EDGES = ".,;:!?\"'()[]{}<>#*$%&=|_"
@@ -99,12 +99,13 @@ def _around(text: str, start: int, end: int) -> list[str]:
     return [f"{left[0]} {left[1]} _", f"{left[1]} _ {right[0] if right else '$'}"]
 
 
-def _grouped(text: str) -> Iterator[tuple[int, int]]:
+def _grouped(text: str, first: int, last: int) -> Iterator[tuple[int, int]]:
     """Digit groups with blanks or brackets between them, as of national phones and of cards.
 
-    A last group of one digit, or groups of mostly one, are no identifier; nor is a part of a word.
+    They stand in ``text[first:last]``. A last group of one digit, or groups of mostly one, are
+    no identifier; nor is a part of a word.
     """
-    for m in _GROUPS.finditer(text):
+    for m in _GROUPS.finditer(text, first, last):
         start, end = m.span()
         if m[0][0] == "(" and ")" not in m[0]:
             start += 1
@@ -132,12 +133,9 @@ def _candidates(text: str, known: list[tuple[int, int, int]]) -> Iterator[tuple[
             merged[-1][1] = max(merged[-1][1], e)
         else:
             merged.append([s, e])
-    grouped, at = [], 0
-    for start, end in _grouped(text):
-        while at < len(merged) and merged[at][1] <= start:
-            at += 1
-        if at == len(merged) or merged[at][0] >= end:
-            grouped.append([start, end])
+    # Between seeds, as what failed to be one may hold an identifier beside a seed.
+    ends = [0, *(x for span in merged for x in span), len(text)]
+    grouped = [[s, e] for a, b in zip(ends[::2], ends[1::2], strict=True) if a < b for s, e in _grouped(text, a, b)]
     yield from ((s, e) for s, e in grouped)
     # Neither lists' spans overlap, so the words are those outside both.
     merged = sorted(merged + grouped)
@@ -276,28 +274,39 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     names = docs.columns
     id_, t = F.col(f"`{id_col}`").cast("long"), text_bytes(text_col)
     row, spans, of_row, of_id = (free(names, x) for x in ("__row", "__spans", "__of_row", "__of_id"))
-    found = _found(docs, id_col, text_col, rounds)
-    found = found.select(F.col("row").alias(of_row), F.col("id").alias(of_id), F.array_sort(F.array_union("base", "more")).alias(spans))
+    found = _found(docs, id_col, text_col, rounds).where(F.size("more") > 0)
+    # Strings of known form are found again where the text is; only what patterns add is joined.
+    found = found.select(F.col("row").alias(of_row), F.col("id").alias(of_id), F.col("more").alias(spans))
     # Equal rows of one id have equal spans; one of them is enough.
-    found = staged(found.where(F.size(spans) > 0).dropDuplicates([of_row, of_id]), "pii-spans")
+    found = staged(found.dropDuplicates([of_row, of_id]), "pii-spans")
     same = (F.col(row) == F.col(of_row)) & id_.eqNullSafe(F.col(of_id))
     joined = docs.withColumn(row, F.xxhash64(id_, t)).join(found, same, "left")
-    text = F.when(F.col(spans).isNull(), F.col(f"`{text_col}`")).otherwise(_replace(F.col(f"`{text_col}`"), F.col(spans)))
+    text = F.arrow_udf(_cut, "string")(t, F.col(spans))
     return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names])
 
 
-def _replace(text, spans):
-    """Cut the spans out, in Spark's own functions: parts between them and names for them."""
-    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(done, span):
-        name = F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), span["kind"] + 1)
-        between = F.substring(text, done["at"] + 1, span["start"] - done["at"])
-        after = F.struct(F.concat(done["out"], between, name).alias("out"), span["end"].alias("at"))
-        longer = F.struct(done["out"].alias("out"), F.greatest(done["at"], span["end"]).alias("at"))
-        return F.when(span["start"] >= done["at"], after).otherwise(longer)
-
-    return F.aggregate(spans, state, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+def _without(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """``text`` with names for its spans (start, kind, end), which come in order."""
+    parts, at = [], 0
+    for start, kind, end in spans:
+        if start >= at:
+            parts += [text[at:start], f"[{KINDS[kind].upper()}]"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
+def _cut(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for column, added in texts:
+        out = []
+        for t, more in zip(column, added, strict=True):
+            raw = t.as_py()
+            if raw is not None:
+                text = raw.decode("utf-8", "replace")
+                extra = {(x["start"], x["kind"], x["end"]) for x in more.as_py() or ()}
+                spans = sorted(extra.union(seeds(text)))
+                raw = _without(text, spans).encode() if spans else raw
+            out.append(raw)
+        yield pa.array(out, pa.binary()).cast(pa.string())
 
 
 __all__ = ["KINDS", "personal_data", "redacted", "scored", "seeds"]

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablemill.llm.common import small_batches, text_bytes
+from tablemill.llm.common import small_batches, staged, text_bytes
 
 #: Labelled rows that are learned from, at most: those with the least hash of their id.
 TRAIN_ROWS = 200_000
@@ -29,6 +29,8 @@ TRAIN_ROWS = 200_000
 FIT_ROWS = 40_000
 #: Different words that must stand before a word in toxic texts; copies of a text add none.
 LEAST_CONTEXTS = 5
+#: Different words a task counts before it hands them on.
+HELD_WORDS = 200_000
 PRIOR = 30_000.0
 LEAST_Z = 2.0
 DRIFT = 0.5
@@ -190,29 +192,52 @@ def _contexts(rows: DataFrame) -> DataFrame:
     return pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _counted(rows: DataFrame, terms: set[str]) -> DataFrame:
-    """(word, clean, toxic, other): counts of the terms per class over ``rows`` (t, kind); the empty word for all.
+def _counted(rows: DataFrame) -> DataFrame:
+    """(word, clean, toxic, other): counts of all words per class over ``rows`` (t, kind); the empty word for all.
 
-    ``kind`` is -1 for texts of no class. A task adds up what it reads: at most one row for each
-    term.
+    ``kind`` is -1 for texts of no class. A task hands on what it has counted whenever that is
+    ``HELD_WORDS`` different words, so it holds no more, whatever the vocabulary.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = (Counter(), Counter(), Counter())
+
+        def counts() -> pa.RecordBatch:
+            found = list(set().union(*kept))
+            columns = [pa.array([c[w] for w in found], pa.int64()) for c in kept]
+            for c in kept:
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *columns], ["word", *_CLASSES])
+
         for batch in batches:
             for t, kind in zip(*batch.columns, strict=True):
                 words = tokens(t.as_py())
-                counts = kept[kind.as_py()]
-                counts[""] += len(words)
-                counts.update(filter(terms.__contains__, words))
-        found = list(set().union(*kept))
-        columns = [pa.array([c[w] for w in found], pa.int64()) for c in kept]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *columns], ["word", *_CLASSES])
+                own = kept[kind.as_py()]
+                own[""] += len(words)
+                own.update(words)
+                if sum(map(len, kept)) >= HELD_WORDS:
+                    yield counts()
+        yield counts()
 
     found = rows.select("t", "kind").mapInArrow(run, f"word string, {', '.join(f'{c} long' for c in _CLASSES)}")
     return found.groupBy("word").agg(*[F.sum(c).alias(c) for c in _CLASSES])
 
 
+def _telling(counts: DataFrame, sizes: tuple[float, float, float]) -> DataFrame:
+    """(word, odds, clean, every): the words of ``counts`` whose log-odds are sure."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean, toxic, other = (c.to_numpy().astype(float) for c in batch.columns[1:])
+            every = clean + toxic + other
+            odds, z = log_odds(toxic, clean, every, sizes)
+            sure = np.abs(z) >= LEAST_Z
+            columns = [pa.array(np.clip(odds, -4.0, 8.0)[sure]), pa.array(clean[sure]), pa.array(every[sure])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(sure)), *columns], ["word", "odds", "clean", "every"])
+
+    return counts.select("word", *_CLASSES).mapInArrow(run, "word string, odds double, clean double, every double")
+
+
 def learned(
     docs: DataFrame,
     labels: DataFrame,
@@ -243,22 +268,25 @@ def learned(
     frequent = _contexts(rows.where("kind > 0")).where(F.col("n") >= LEAST_CONTEXTS)
     if max_terms is not None:
         frequent = frequent.orderBy(F.desc("n"), "word").limit(max_terms)
-    terms = {r.word for r in frequent.select("word").collect()}
     everything = texts.join(F.broadcast(sample), "key", "left").withColumn("kind", F.coalesce("kind", F.lit(-1)))
-    counts = {r.word: np.array([r.clean, r.toxic, r.other], float) for r in _counted(everything, terms).collect()}
-    clean_n, toxic_n, other_n = counts.pop("", np.zeros(3))
-    if not toxic_n or not clean_n or not counts:
+    # Every word is counted, as which ones are asked for is a frame too; the empty word is the total.
+    asked = frequent.select("word").unionAll(docs.sparkSession.createDataFrame([("",)], "word string"))
+    counts = staged(_counted(everything).join(asked, "word", "left_semi"), "toxicity-counts")
+    total = counts.where("word = ''").first()
+    clean_n, toxic_n, other_n = (float(total[c]) for c in _CLASSES) if total else (0.0, 0.0, 0.0)
+    if not toxic_n or not clean_n:
+        return Model()
+    every_n = clean_n + toxic_n + other_n
+    # Words of the labelled rows only, so these bound them.
+    sure = _telling(counts.where("word != ''"), (toxic_n, clean_n, every_n)).orderBy("word").toArrow()
+    if not len(sure):
         return Model()
-    words = sorted(counts)
-    table = np.array([counts[w] for w in words])
-    odds, z = log_odds(table[:, 1], table[:, 0], table.sum(axis=1), (toxic_n, clean_n, clean_n + toxic_n + other_n))
-    odds = np.clip(odds, -4.0, 8.0)
-    sure = np.abs(z) >= LEAST_Z
-    model = Model({w: float(o) for w, o, s in zip(words, odds, sure, strict=True) if s})
-    prior = PRIOR * np.maximum(table.sum(axis=1), 0.5) / (clean_n + toxic_n + other_n)
-    shares = ((table[:, 0] + prior) / (clean_n + PRIOR))[sure]
+    odds, clean, every = (sure.column(c).to_numpy() for c in ("odds", "clean", "every"))
+    model = Model(dict(zip(sure.column("word").to_pylist(), odds.tolist(), strict=True)))
+    prior = PRIOR * np.maximum(every, 0.5) / every_n
+    shares = (clean + prior) / (clean_n + PRIOR)
     shares = np.append(shares, max(0.0, 1 - shares.sum()))
-    model.rate = chance_rate(np.append(odds[sure] - DRIFT, -DRIFT), shares)
+    model.rate = chance_rate(np.append(odds - DRIFT, -DRIFT), shares)
     few = docs.sparkSession.createDataFrame(sample.orderBy(F.xxhash64("key"), "key").limit(fit_rows).collect(), "key long, kind int")
     fitted = _segment_scores(texts.join(F.broadcast(few), "key"), model).collect()
     clean = [r for r in fitted if r.kind == 0 and r.n]

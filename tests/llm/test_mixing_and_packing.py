@@ -1,6 +1,7 @@
 import os
 from collections import defaultdict
 
+
 import pytest
 
 from tablemill.llm import mixing, packing
@@ -79,28 +80,75 @@ def test_sources_meet_their_targets(spark):
 
 
 def test_best_fit_by_search():
-    """The bit search against a plain scan over all bins."""
+    """The bit searches against plain scans over all bins and all pieces to come."""
     import random
 
     draw = random.Random(4)
+    cost = lambda c: 3 + c + c * c / 100
     for _ in range(30):
         caps = sorted(draw.sample(range(5, 60), 3))
         sizes = sorted((draw.randint(1, caps[-1]) for _ in range(60)), reverse=True)
-        which, place, capacity = packing.best_fit(sizes, caps, 3)
-        opened, filled, rest = [], [], sum(sizes)
-        for size, b in zip(sizes, which, strict=True):
+        which, place, capacity = packing.best_fit(sizes, caps, 3, 100)
+        opened, filled = [], []
+
+        def per_word(c, k):
+            fill = sizes[k]
+            for s in sizes[k + 1 :]:
+                fill += s if fill + s <= c else 0
+            return cost(min(x for x in caps if x >= fill)) / fill
+
+        for k, (size, b) in enumerate(zip(sizes, which, strict=True)):
             room = sorted((opened[k] - filled[k], k) for k in range(len(opened)) if opened[k] - filled[k] >= size)
             if room:
                 assert opened[b] - filled[b] == room[0][0]
             else:
                 assert b == len(opened)
-                opened.append(min((c for c in caps if c >= size), key=lambda c: ((c + 3) / min(c, rest), c)))
+                opened.append(min((c for c in caps if c >= size), key=lambda c: (per_word(c, k), c)))
                 filled.append(0)
             filled[b] += size
-            rest -= size
         assert capacity == [min(c for c in caps if c >= f) for f in filled]
 
 
+def least_cost(sizes, caps, *weights):
+    """The least cost of any way to put ``sizes`` into sequences, over all subsets."""
+    full = (1 << len(sizes)) - 1
+    total = [sum(s for k, s in enumerate(sizes) if m >> k & 1) for m in range(full + 1)]
+    one = [min((packing.sequence_cost(c, *weights) for c in caps if c >= t), default=float("inf")) for t in total]
+    best = [0.0] + [float("inf")] * full
+    for m in range(1, full + 1):
+        first = m & -m
+        part = m ^ first
+        while True:
+            best[m] = min(best[m], one[part | first] + best[m ^ part ^ first])
+            if not part:
+                break
+            part = (part - 1) & (m ^ first)
+    return best[full]
+
+
+def test_cost_is_near_the_least():
+    import random
+
+    draw, ratios = random.Random(9), []
+    caps = (8, 16, 32, 64)
+    for _ in range(120):
+        sizes = sorted((draw.randint(1, draw.choice((8, 30, 64))) for _ in range(draw.randint(1, 8))), reverse=True)
+        weights = (1, draw.choice((64, 128, 256)))
+        got = sum(packing.sequence_cost(c, *weights) for c in packing.best_fit(sizes, caps, *weights)[2])
+        ratios.append(got / least_cost(sizes, caps, *weights))
+    assert max(ratios) < 1.2 and sum(ratios) / len(ratios) < 1.01
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+def test_several_lengths_cost_less_than_the_one_that_holds_all(spark):
+    rows = packing.packing(spark.read.parquet(f"{FOLDER}/documents.parquet")).where("n_words > 0").collect()
+    bins = {r.bin_id: r.capacity for r in rows}
+    counts = {c: sum(x == c for x in bins.values()) for c in packing.CAPACITIES}
+    assert all(counts.values())
+    alone = packing.best_fit(sorted((r.n_words for r in rows), reverse=True), (4096,))[2]
+    assert sum(map(packing.sequence_cost, bins.values())) < 0.9 * sum(map(packing.sequence_cost, alone))
+
+
 def check_layout(rows, caps, sizes):
     """Every word once, bins in one piece, none over its capacity, each as short as can be."""
     bins, docs = defaultdict(list), defaultdict(list)
@@ -139,8 +187,13 @@ def test_no_rows_to_pack(spark):
         packing.packing(documents(spark), capacities=())
 
 
-def test_pieces_give_the_text_back(spark):
-    rows = packing.packed_texts(clashing(documents(spark)), capacities=(100, 1000)).collect()
+@pytest.mark.parametrize("stored", [False, True])
+def test_pieces_give_the_text_back(spark, tmp_path, stored):
+    docs = clashing(documents(spark))
+    if stored:
+        docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+    rows = packing.packed_texts(docs, capacities=(100, 1000), stored=stored).collect()
     texts = defaultdict(list)
     for r in rows:
         texts[r.doc_id].append((r.start, r.text))

@@ -52,6 +52,24 @@ def test_seeds_of_very_long_runs():
     assert personal.seeds("+1 " * n) == []
 
 
+def test_candidates_of_very_long_runs():
+    import time
+
+    began, n = time.time(), 3_000_000
+    assert list(personal._candidates("7" * n, [])) == [(0, n)]
+    assert list(personal._candidates("x " + "7" * n + " 77", [])) == [(2, n + 2)]
+    assert not list(personal._grouped("7 " * (n // 10), 0, n))
+    assert time.time() - began < 30
+
+
+def test_what_stands_beside_a_seed_is_a_candidate():
+    """The phone's form swallows the address behind it and fails; what is left of it is still there."""
+    text = "reach +1 (826) 555-4081 190.137.2.9 today"
+    known = personal.seeds(text)
+    assert [text[s:e] for s, _, e in known] == ["190.137.2.9"]
+    assert [text[s:e] for s, e in personal._candidates(text, known)] == ["+1 (826) 555-4081"]
+
+
 def test_awkward_rows(spark):
     got = {}
     for r in personal.personal_data(clashing(documents(spark))).collect():
