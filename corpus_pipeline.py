@@ -32,7 +32,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed_texts(docs)
+    # The stage before was written, so rows are told apart by where they stand in its files.
+    return packing.packed_texts(docs, stored=True)
 
 
 STAGES = [
