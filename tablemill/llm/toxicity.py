@@ -30,7 +30,7 @@ FIT_ROWS = 40_000
 #: Different words that must stand before a word in toxic texts; copies of a text add none.
 LEAST_CONTEXTS = 5
 #: Different words a task counts before it hands them on.
-HELD_WORDS = 200_000
+HELD_WORDS = 100_000
 PRIOR = 30_000.0
 LEAST_Z = 2.0
 DRIFT = 0.5
@@ -192,11 +192,12 @@ def _contexts(rows: DataFrame) -> DataFrame:
     return pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """(word, clean, toxic, other): counts of all words per class over ``rows`` (t, kind); the empty word for all.
+def _counted(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(word, clean, toxic, other): counts per class over ``rows`` (t, kind) of the words ``asked`` (word).
 
-    ``kind`` is -1 for texts of no class. A task hands on what it has counted whenever that is
-    ``HELD_WORDS`` different words, so it holds no more, whatever the vocabulary.
+    ``kind`` is -1 for texts of no class, the empty word stands for all words. A task counts every
+    word and hands on its counts whenever they are of ``HELD_WORDS`` different words, so it holds
+    no more, whatever the vocabulary.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +221,8 @@ def _counted(rows: DataFrame) -> DataFrame:
         yield counts()
 
     found = rows.select("t", "kind").mapInArrow(run, f"word string, {', '.join(f'{c} long' for c in _CLASSES)}")
+    # Asked words that were written are few enough to be broadcast, or the join is one by shuffle.
+    found = found.join(asked, "word", "left_semi")
     return found.groupBy("word").agg(*[F.sum(c).alias(c) for c in _CLASSES])
 
 
@@ -269,9 +272,8 @@ def learned(
     if max_terms is not None:
         frequent = frequent.orderBy(F.desc("n"), "word").limit(max_terms)
     everything = texts.join(F.broadcast(sample), "key", "left").withColumn("kind", F.coalesce("kind", F.lit(-1)))
-    # Every word is counted, as which ones are asked for is a frame too; the empty word is the total.
     asked = frequent.select("word").unionAll(docs.sparkSession.createDataFrame([("",)], "word string"))
-    counts = staged(_counted(everything).join(asked, "word", "left_semi"), "toxicity-counts")
+    counts = staged(_counted(everything, staged(asked, "toxicity-words")), "toxicity-counts")
     total = counts.where("word = ''").first()
     clean_n, toxic_n, other_n = (float(total[c]) for c in _CLASSES) if total else (0.0, 0.0, 0.0)
     if not toxic_n or not clean_n:
