@@ -29,7 +29,7 @@ TRAIN_ROWS = 200_000
 FIT_ROWS = 40_000
 #: Different words that must stand before a word in toxic texts; copies of a text add none.
 LEAST_CONTEXTS = 5
-#: Different words a task counts before it hands them on.
+#: Different words, or pairs of words, a task holds before it hands them on.
 HELD_WORDS = 100_000
 PRIOR = 30_000.0
 LEAST_Z = 2.0
@@ -180,13 +180,20 @@ def _contexts(rows: DataFrame) -> DataFrame:
     """(word, n): how many different words stand before each word in the texts of ``rows`` (t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: set[tuple[str, str]] = set()
+
+        def listed() -> pa.RecordBatch:
+            found = list(pairs)
+            pairs.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.string()) for k in (0, 1)], ["word", "before"])
+
         for batch in batches:
-            pairs = set()
             for t in batch.column(0):
                 words = tokens(t.as_py())
                 pairs.update(zip(words, ["", *words[:-1]], strict=True))
-            listed = list(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in listed], pa.string()) for k in (0, 1)], ["word", "before"])
+                if len(pairs) >= HELD_WORDS:
+                    yield listed()
+        yield listed()
 
     pairs = rows.select("t").mapInArrow(run, "word string, before string").distinct()
     return pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -221,9 +228,9 @@ def _counted(rows: DataFrame, asked: DataFrame) -> DataFrame:
         yield counts()
 
     found = rows.select("t", "kind").mapInArrow(run, f"word string, {', '.join(f'{c} long' for c in _CLASSES)}")
-    # Asked words that were written are few enough to be broadcast, or the join is one by shuffle.
-    found = found.join(asked, "word", "left_semi")
-    return found.groupBy("word").agg(*[F.sum(c).alias(c) for c in _CLASSES])
+    # The counts of a task hold most asked words once or more, so they meet after they are added up.
+    found = found.groupBy("word").agg(*[F.sum(c).alias(c) for c in _CLASSES])
+    return found.join(asked, "word", "left_semi")
 
 
 def _telling(counts: DataFrame, sizes: tuple[float, float, float]) -> DataFrame:
