@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import combinations
+from math import prod
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tablemill.errors import RequestError
+from tablemill.functions.names import resolve
 
 TABLE = ["schema_name", "table_name"]
 
@@ -99,3 +102,52 @@ def key_profile(df: DataFrame, candidates: Sequence[Sequence[str]]) -> DataFrame
     profile = reduce(DataFrame.unionAll, [one(c) for c in candidates])
     is_key = (F.col("n_rows") == F.col("n_distinct")) & (F.col("n_null") == 0)
     return profile.withColumn("is_key", is_key)
+
+
+#: Relative error of the sketches that discard candidates, how many times it a candidate may lack, and their size.
+_ERROR, _MARGIN, _LOG_REGISTERS = 0.01, 6, 14
+
+
+def discovered_keys(df: DataFrame, max_columns: int = 3, columns: Sequence[str] | None = None) -> list[list[str]]:
+    """The minimal keys of up to ``max_columns`` columns, found without candidates being named.
+
+    A key has no NULL and no value twice; it is minimal if no part of it is one. Sets of columns
+    are searched by size. A set that holds a key is skipped, as is one whose columns have too few
+    values between them, or too few together, by a sketch with an error of 1 % (six of which
+    are allowed for); what is left is counted exactly, so whatever is returned is a key. One pass
+    over the table makes the sketches of a whole level, ``_PASS`` sets at a time. An empty table
+    has no keys to tell. Advice only, as ``key_profile``.
+    """
+    names = [resolve(c, df.columns) for c in columns] if columns else [
+        f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType, T.ArrayType, T.StructType))
+    ]
+    whole = [F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(names)]]
+    row = df.agg(*whole).first()
+    n_rows = row["n"]
+    names = [c for i, c in enumerate(names) if row[f"v{i}"] == n_rows]
+    least = n_rows * (1 - _MARGIN * _ERROR)
+    keys: list[list[str]] = []
+    values: dict[str, int] = {}
+    for size in range(1, max_columns + 1 if n_rows else 1):
+        sets = [s for s in combinations(names, size) if not any(set(k) <= set(s) for k in keys)]
+        # Sets of one column are all sketched, as larger ones are judged by them first.
+        sets = [s for s in sets if size == 1 or prod(values[c] * (1 + _MARGIN * _ERROR) for c in s) >= n_rows]
+        likely = []
+        for at in range(0, len(sets), _PASS):
+            part = sets[at : at + _PASS]
+            found = df.agg(*[
+                F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*[F.col(f"`{c}`") for c in s]), F.lit(_LOG_REGISTERS))).alias(f"d{i}")
+                for i, s in enumerate(part)
+            ]).first()
+            if size == 1:
+                values |= {s[0]: found[f"d{i}"] for i, s in enumerate(part)}
+            likely += [s for i, s in enumerate(part) if found[f"d{i}"] >= least]
+        if likely:
+            profile = key_profile(df, likely).where("is_key").select("key_columns").collect()
+            exact = {r["key_columns"] for r in profile}
+            keys += [list(s) for s in likely if ",".join(s) in exact]
+    return keys
+
+
+#: Sketches made in one pass, of some 16 KB each.
+_PASS = 32

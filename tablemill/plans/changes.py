@@ -16,7 +16,7 @@ from tablemill.sinks import tables
 
 def insert_rows(spark: SparkSession, target: str, rows: DataFrame) -> RunResult:
     def body(result: RunResult) -> None:
-        ready = conform(rows, spark.table(target).schema)
+        ready = conform(rows, tables.read(spark, target).schema)
         ready, seen = counted(tables.arranged(ready, target))
         tables.append(ready, target)
         result.rows_read = result.rows_written = result.rows_inserted = seen.get["rows"]
@@ -30,9 +30,8 @@ def update_rows(
     """Set columns where the predicate is TRUE; ``rows_written`` is the rows changed."""
 
     def body(result: RunResult) -> None:
-        moves = {c.lower() for c in assignments} & {
-            c.lower() for c in tables.partition_columns(spark, target)
-        }
+        placing = [*tables.partition_columns(spark, target), *tables.bucket_keys(spark, target)[0]]
+        moves = {c.lower() for c in assignments} & {c.lower() for c in placing}
         change = partial(query.updated, assignments=assignments, where=where)
         result.rows_written = _rewrite(spark, target, where, change, result, narrow=not moves)
 
@@ -44,7 +43,7 @@ def delete_rows(spark: SparkSession, target: str, where: Column) -> RunResult:
 
     def body(result: RunResult) -> None:
         change = partial(query.deleted, where=where)
-        result.rows_deleted = _rewrite(spark, target, where, change, result, narrow=True, deletes=True)
+        result.rows_deleted = _rewrite(spark, target, where, change, result, narrow=True)
 
     return run(target, body)
 
@@ -56,7 +55,6 @@ def _rewrite(
     change: Callable[[DataFrame], DataFrame],
     result: RunResult,
     narrow: bool,
-    deletes: bool = False,
 ) -> int:
     """Rewrite the table, or just the partitions with affected rows; the affected rows.
 
@@ -65,6 +63,8 @@ def _rewrite(
     """
     table = spark.table(target)
     columns = tables.partition_columns(spark, target)
+    if columns and not narrow and table.isEmpty():
+        return 0
     if not columns or not narrow:
         rows, seen = counted(table, affected=F.count_if(where))
         tables.replace(change(rows), target)
@@ -81,10 +81,7 @@ def _rewrite(
         if not total["affected"]:
             return 0
         after = change(tables.in_partitions(table, scope, columns))
-        tables.overwrite_partitions(after, target)
-        if deletes:
-            emptied = scope.where("n = n_affected").select(*[F.col(c).cast("string").alias(c) for c in columns])
-            tables.drop_partitions(spark, target, emptied.collect())
+        tables.overwrite_partitions(after, target, scope=scope)
         return total["affected"]
     finally:
         delete_path(spark, path)

@@ -71,14 +71,13 @@ def load_documents(
     convert. No document at all leaves the target as it is, even when truncating.
     """
     spark = documents.sparkSession
-    filters, stages = split_leading_matches(pipeline) if pipeline else ([filter or {}], [])
-    tests = [document_predicate(VariantFields(docs.DOC), f) for f in filters if f]
-    matches = reduce(lambda a, b: a & b, tests, F.col(docs.DOC).isNotNull())
-    grouped = makes_groups(stages)
-    keep_id = grouped and not document_options.drop_group_id
-
     def body(result: RunResult) -> None:
         require_table_name(target)
+        filters, stages = split_leading_matches(pipeline) if pipeline else ([filter or {}], [])
+        tests = [document_predicate(VariantFields(docs.DOC), f) for f in filters if f]
+        matches = reduce(lambda a, b: a & b, tests, F.col(docs.DOC).isNotNull())
+        grouped = makes_groups(stages)
+        keep_id = grouped and not document_options.drop_group_id
         parsed = docs.parsed(documents, json_col)
         fields = schema or docs.schema_of_parsed(parsed.where(matches))
 
@@ -148,7 +147,7 @@ def _ensure(
         tables.create_table(
             spark, target, _without_not_null(schema), options.base, keep_not_null=False
         )
-        result.warn(f"Table '{target}' created or verified")
+        result.warn(f"Table '{target}' is there")
     if not tables.table_exists(spark, target):
         raise RequestError(f"Table '{target}' not found")
 
@@ -157,10 +156,10 @@ def _write(
     spark: SparkSession, out: DataFrame, target: str, options: LoadOptions, result: RunResult
 ) -> None:
     _ensure(spark, target, out.schema, options, result)
-    ready = conform(out, spark.table(target).schema)
+    ready = conform(out, tables.read(spark, target).schema)
     if options.truncate:
         tables.replace(ready, target, max_records_per_file=options.max_records_per_file)
-        result.warn(f"Table '{target}' truncated")
+        result.warn(f"The old rows of {target} are gone")
     else:
         tables.append(ready, target, options.max_records_per_file)
 

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablemill.errors import RequestError
 from tablemill.functions.names import require_columns, require_table_name, resolve
@@ -18,6 +17,7 @@ from tablemill.session import delete_path, work_path
 from tablemill.sinks import tables
 from tablemill.sources.scans import query_scan
 
+
 @dataclass(frozen=True)
 class SyncOptions:
     column_mappings: Mapping[str, str] | None = None
@@ -42,8 +42,9 @@ def sync_table(
 
     The source is evaluated once and written to the shared folder, so that the
     keys deleted and the rows inserted can't differ. The new content is written
-    beside the old and published in one step. Of a partitioned table only the partitions
-    that lose or get rows are read and rewritten, whether or not they are part of the key.
+    beside the old and published in one step. Of a partitioned or bucketed table only the partitions
+    that lose or get rows are rewritten, whether or not they are part of the key; where they
+    are few enough to broadcast, only they are read for it.
     """
 
     def body(result: RunResult) -> None:
@@ -59,13 +60,14 @@ def sync_table(
         require_columns(rows.columns)
         current = spark.table(target)
         staged_path = work_path(spark, "sync-source")
-        prepared, seen = counted(ops.prepare_source(current, rows, options.column_mappings))
+        prepared = ops.prepare_source(tables.read(spark, target), rows, options.column_mappings)
+        prepared, seen = counted(tables.bucketed(prepared, target))
         prepared.write.parquet(staged_path)
         result.rows_read = seen.get["rows"]
         result.warn(f"Staged {result.rows_read} source rows")
         try:
             if result.rows_read == 0:
-                result.warn("No rows read from source query")
+                result.warn("The source has no rows, so the target stays as it is")
                 return
             staged = spark.read.schema(prepared.schema).parquet(staged_path)
             if options.reject_null_keys and not staged.where(ops.any_null(names)).isEmpty():
@@ -103,9 +105,7 @@ def _apply(
         try:
             before, scope = current, None
             if columns:
-                found = ops.touched_partitions(
-                    current, staged, names, tables.stored_partition(current, columns), options.key_collation
-                )
+                found = _scope(spark, current, staged, target, names, columns, options)
                 found.write.parquet(scope_path)
                 scope = spark.read.schema(found.schema).parquet(scope_path)
                 before = tables.in_partitions(current, scope, columns)
@@ -119,23 +119,34 @@ def _apply(
             if scope is None:
                 tables.replace(after, target, tag, options.max_records_per_file)
             else:
-                emptied = _emptied(current, scope, columns)
-                tables.overwrite_partitions(after, target)
-                tables.drop_partitions(spark, target, emptied)
+                tables.overwrite_partitions(after, target, options.max_records_per_file, tag, scope)
                 result.warn("Rewrote only the partitions the sync touches")
             result.rows_deleted = seen.get["deleted"]
         finally:
             delete_path(spark, scope_path)
     result.rows_inserted = result.rows_written = result.rows_read
-    result.warn(f"Deleted {result.rows_deleted} rows from target table")
-    result.warn(f"Inserted {result.rows_inserted} rows into target table")
-
-
-def _emptied(current: DataFrame, scope: DataFrame, columns: Sequence[str]) -> list[Row]:
-    """Partitions that lose all their rows and get none, as text."""
-    losing = scope.where("n_added = 0")
-    whole = tables.in_partitions(current, losing, columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    lost = losing.select(*[F.col(c).alias(f"__l{i}") for i, c in enumerate(columns)], "n_deleted")
-    same = [F.col(c).eqNullSafe(F.col(f"__l{i}")) for i, c in enumerate(columns)]
-    gone = whole.join(lost, reduce(lambda a, b: a & b, same)).where("n = n_deleted")
-    return gone.select(*[F.col(c).cast("string").alias(c) for c in columns]).collect()
+    result.warn(f"{result.rows_deleted} target rows had a key of the source")
+    result.warn(f"{result.rows_inserted} source rows are in the target")
+
+
+def _scope(
+    spark: SparkSession,
+    current: DataFrame,
+    staged: DataFrame,
+    target: str,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    options: SyncOptions,
+) -> DataFrame:
+    """The partitions that lose or get rows.
+
+    Where equal keys are in one partition, as in a bucketed table or one partitioned by key
+    columns, the source tells them all and the target isn't read. Else the target's key and
+    partition columns are.
+    """
+    deciding = tables.bucket_keys(spark, target)[0] or columns
+    plain = not options.key_collation or not any(dict(current.dtypes)[c] == "string" for c in deciding)
+    if set(deciding) <= set(keys) and plain:
+        return staged.select(*tables.stored_partition(staged, columns)).distinct()
+    stored = tables.stored_partition(current, columns)
+    return ops.touched_partitions(current, staged, keys, stored, options.key_collation)

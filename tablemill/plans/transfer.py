@@ -38,13 +38,12 @@ def _load(
         tables.create_table(spark, target, rows.schema, options.base, options.partition_by)
     if not tables.table_exists(spark, target):
         raise RequestError(f"Table '{target}' not found")
-    ready = conform(rows, spark.table(target).schema)
+    ready = conform(rows, tables.read(spark, target).schema)
+    ready, seen = counted(tables.arranged(ready, target))
     if options.truncate:
-        ready, seen = counted(ready)
-        tables.replace(ready, target, max_records_per_file=options.max_records_per_file)
-        result.warn(f"Table {target} was truncated before insert")
+        tables.replace(ready, target, max_records_per_file=options.max_records_per_file, gathered=True)
+        result.warn(f"The old rows of {target} are gone")
     else:
-        ready, seen = counted(tables.arranged(ready, target))
         tables.append(ready, target, options.max_records_per_file)
     result.rows_read = result.rows_written = seen.get["rows"]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -128,6 +129,33 @@ def key_profile_lines(spark, folder):
     return keys.key_profile(table(spark, folder, "lineitem"), LINE_KEYS)
 
 
+def _minimal_keys_sql(name: str, most: int = 3) -> str:
+    """All sets of up to so many columns, one by one; those that are keys and hold no smaller one."""
+    columns = [c.split()[0] for c in TYPES[name].split(", ")]
+    tests = [
+        f"SELECT '{','.join(s)}' AS key_columns, {len(s)} AS n_columns, "
+        f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(s)} FROM {name} "
+        f"WHERE {' AND '.join(f'{c} IS NOT NULL' for c in s)})) = (SELECT count(*) FROM {name}) AS is_key"
+        for n in range(1, most + 1)
+        for s in combinations(columns, n)
+    ]
+    return (
+        f"WITH t AS MATERIALIZED ({' UNION ALL '.join(tests)}) SELECT '{name}' AS table_name, key_columns, n_columns FROM t a "
+        "WHERE is_key AND NOT EXISTS (SELECT 1 FROM t b WHERE b.is_key AND b.n_columns < a.n_columns "
+        "AND list_has_all(string_split(a.key_columns, ','), string_split(b.key_columns, ',')))"
+    )
+
+
+DISCOVERED_IN = ["events", "lineitem"]
+
+
+@query(" UNION ALL ".join(f"({_minimal_keys_sql(t)})" for t in DISCOVERED_IN))
+def key_discovery(spark, folder):
+    """Minimal keys of up to three columns, with no candidates given."""
+    found = [(t, ",".join(k), len(k)) for t in DISCOVERED_IN for k in keys.discovered_keys(table(spark, folder, t))]
+    return spark.createDataFrame(found, "table_name string, key_columns string, n_columns int")
+
+
 # Index rows as the data itself suggests them: each candidate key is an index, unique if its
 # values are, and the first is the primary key if it is one. Dates run downwards.
 CANDIDATES = {

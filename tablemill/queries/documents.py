@@ -234,6 +234,21 @@ def doc_quarantine(spark, folder):
     return ops.rejected_documents(sql(spark, folder, BROKEN_DOCS), "js").select("event_id")
 
 
+FRAMED_DOCS = """
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN concat(props, props) WHEN 2 THEN concat(props, ',', props)
+  WHEN 3 THEN concat(props, ' x}') ELSE concat('  ', props, '  ') END AS js
+FROM events
+"""
+
+
+@query("SELECT event_id, event_id % 5 IN (1, 2, 3) AS rejected FROM events")
+def doc_framing(spark, folder):
+    """A text that holds more than one document, or something behind it, is rejected whole."""
+    docs = sql(spark, folder, FRAMED_DOCS)
+    good = ops.good_documents(docs, "js").select("event_id", F.lit(False).alias("rejected"))
+    return good.unionAll(ops.rejected_documents(docs, "js").select("event_id", F.lit(True)))
+
+
 @query(
     """
 SELECT count(*) AS n_read, count(*) FILTER (event_type <> 'error') AS n_written,

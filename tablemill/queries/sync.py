@@ -224,6 +224,43 @@ def sync_published(spark, folder):
     return spark.table(target)
 
 
+@query(
+    f"""
+WITH src AS ({REISSUED_LINES})
+SELECT * FROM lineitem t WHERE NOT EXISTS (
+  SELECT 1 FROM src s WHERE s.l_orderkey = t.l_orderkey AND s.l_linenumber = t.l_linenumber)
+UNION ALL SELECT * FROM src
+"""
+)
+def sync_bucketed(spark, folder):
+    """Into a table dealt over hidden buckets of its key: only those of the source's keys are rewritten."""
+    lines = table(spark, folder, "lineitem")
+    target, base = new_table(spark, "lake_buckets")
+    tables.create_table(spark, target, lines.schema, base, bucket_by=LINE_KEY, buckets=32)
+    tables.append(tables.arranged(lines, target), target)
+    _checked(sync_table(spark, sql(spark, folder, REISSUED_LINES), target, LINE_KEY))
+    return tables.read(spark, target)
+
+
+FILE_ROWS = 1000
+
+
+@query(
+    """
+SELECT o_orderstatus, count(*) AS n_rows, TRUE AS no_file_over
+FROM orders GROUP BY o_orderstatus
+"""
+)
+def sync_file_batches(spark, folder):
+    """A sync of a partitioned table with so many rows a file at most."""
+    target = _lake_copy(spark, folder, "orders", ["o_orderstatus"])
+    source = table(spark, folder, "orders").where("o_orderkey % 2 = 0")
+    _checked(sync_table(spark, source, target, ["o_orderkey"], SyncOptions(max_records_per_file=FILE_ROWS)))
+    files = spark.table(target).groupBy("o_orderstatus", F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    per = files.groupBy("o_orderstatus").agg(F.sum("n").alias("n_rows"), F.max("n").alias("most"))
+    return per.select("o_orderstatus", "n_rows", (F.col("most") <= FILE_ROWS).alias("no_file_over"))
+
+
 REPRICED = """
 SELECT o_orderkey, o_custkey, o_orderstatus, CAST(0 AS DOUBLE) AS o_totalprice, o_orderdate,
        o_orderpriority FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'

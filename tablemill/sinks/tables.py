@@ -3,6 +3,11 @@
 A table's location is ``<base>/<name>/snapshot-<tag>``. Replacing its content writes a
 new snapshot and then points the catalog at it, so readers see the old rows or
 the new ones and a failed write changes nothing. One writer per table is assumed.
+
+Of a partitioned table a snapshot holds the partitions that were rewritten; the catalog points
+each partition at the snapshot it was last written to. Old files stay, so a frame that was
+opened before goes on reading what it saw. A table without partition columns of its own can
+have hidden ones: hash buckets of its key, so that a change rewrites only the buckets it touches.
 """
 
 from __future__ import annotations
@@ -12,21 +17,27 @@ import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablemill.errors import RequestError
-from tablemill.functions.names import quoted, require_columns, require_table_name
+from tablemill.functions.names import quoted, require_columns, require_table_name, resolve
 from tablemill.functions.types import table_ddl
-from tablemill.session import delete_path, list_path, work_path
+from tablemill.session import delete_path, list_path
 
 SNAPSHOT = "snapshot-"
 
+# The hidden partition column of a bucketed table, and the properties that describe it.
+BUCKET = "__bucket"
+_BUCKETS, _BUCKET_BY = "tablemill.buckets", "tablemill.bucket_by"
+_NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
 # Replaced snapshots stay this long for readers that still use them: well above the longest read.
 KEPT_SECONDS = 24 * 3600
 
 # Partitions named in one catalog statement.
-_DROP_CHUNK = 1000
+_CHUNK = 1000
 
 
 def table_exists(spark: SparkSession, name: str) -> bool:
@@ -61,20 +72,60 @@ def create_table(
     base: str,
     partition_by: Sequence[str] = (),
     keep_not_null: bool = True,
+    bucket_by: Sequence[str] = (),
+    buckets: int = 0,
 ) -> bool:
-    """Create the table if it is missing; TRUE when it was created."""
+    """Create the table if it is missing; TRUE when it was created.
+
+    With ``bucket_by``, key columns of the table, its rows are dealt over ``buckets`` hidden
+    partitions by their hash. Choose so many that a bucket takes a task or a few to rewrite.
+    """
     require_table_name(name)
     require_columns(schema.names)
     if table_exists(spark, name):
         return False
+    properties = ""
+    if bucket_by:
+        if partition_by or buckets < 1:
+            raise RequestError("Buckets are for tables without partition columns, and at least one is needed")
+        keys = [resolve(c, schema.names) for c in bucket_by]
+        schema = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
+        partition_by = [BUCKET]
+        properties = f"TBLPROPERTIES ('{_BUCKETS}' = '{buckets}', '{_BUCKET_BY}' = '{','.join(keys)}')"
     clause = f"PARTITIONED BY ({', '.join(quoted(c) for c in partition_by)})" if partition_by else ""
     spark.sql(
         f"CREATE TABLE {quoted(name)} ({table_ddl(schema, keep_not_null)}) USING parquet "
-        f"{clause} LOCATION '{base}/{name}/{SNAPSHOT}{uuid.uuid4().hex}'"
+        f"{clause} LOCATION '{base}/{name}/{SNAPSHOT}{uuid.uuid4().hex}' {properties}"
     )
     return True
 
 
+def bucket_keys(spark: SparkSession, name: str) -> tuple[list[str], int]:
+    """The columns whose hash is the table's bucket, and how many buckets it has; none and 0 if it has none."""
+    found = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {quoted(name)}").collect()}
+    return ([*found[_BUCKET_BY].split(",")], int(found[_BUCKETS])) if _BUCKETS in found else ([], 0)
+
+
+def read(spark: SparkSession, name: str) -> DataFrame:
+    """The table's rows, without a hidden bucket column."""
+    rows = spark.table(name)
+    return rows.drop(BUCKET) if BUCKET in rows.columns else rows
+
+
+def bucketed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the table's bucket column, if the table has one."""
+    if BUCKET not in df.sparkSession.table(name).columns:
+        return df
+    keys, buckets = bucket_keys(df.sparkSession, name)
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(buckets)).cast("int"))
+
+
+def _ready(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the table's columns, in its order and types."""
+    df = bucketed(df, name)
+    return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in df.sparkSession.table(name).schema])
+
+
 @contextmanager
 def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """A session setting for the length of one write; ``insertInto`` takes no options."""
@@ -96,13 +147,15 @@ def arranged(df: DataFrame, name: str) -> DataFrame:
     much of the data and joins small ones. Unpartitioned tables need no shuffle.
     """
     columns = partition_columns(df.sparkSession, name)
-    return df.hint("rebalance", *columns) if columns else df
+    return bucketed(df, name).hint("rebalance", *columns) if columns else df
 
 
 def append(df: DataFrame, name: str, max_records_per_file: int | None = None) -> None:
     """Add rows; the files appear together when the job commits."""
     require_columns(df.columns)
     spark = df.sparkSession
+    if BUCKET not in df.columns:
+        df = bucketed(df, name)
     with _setting(spark, "spark.sql.files.maxRecordsPerFile", str(max_records_per_file or 0)):
         df.select(*spark.table(name).columns).write.insertInto(name)
 
@@ -133,26 +186,22 @@ def replace(
     name: str,
     tag: str | None = None,
     max_records_per_file: int | None = None,
+    gathered: bool = False,
 ) -> None:
-    """Replace the table's content with ``df``, which may read the table itself."""
+    """Replace the table's content with ``df``, which may read the table itself.
+
+    ``gathered`` says that the rows are ``arranged`` already.
+    """
     spark = df.sparkSession
-    columns = partition_columns(spark, name)
-    if columns:
-        # The rows are read twice here, for their partitions and for themselves, so they are pinned.
-        held = work_path(spark, "replacement")
-        write_snapshot(df, held)
-        try:
-            done = spark.read.schema(df.schema).parquet(held)
-            gone = _partitions_only_in(spark.table(name), done, columns)
-            overwrite_partitions(done, name)
-            drop_partitions(spark, name, gone)
-        finally:
-            delete_path(spark, held)
+    if partition_columns(spark, name):
+        before = _catalog_partitions(spark, name)
+        written = overwrite_partitions(df, name, max_records_per_file, tag, gathered=gathered)
+        drop_partitions(spark, name, sorted(before - written, key=repr))
     else:
         path = snapshot_path(spark, name, tag)
         write_snapshot(df, path, max_records_per_file)
         publish(spark, name, path)
-        remove_old_snapshots(spark, name)
+    remove_old_snapshots(spark, name)
 
 
 def stored_partition(rows: DataFrame, columns: Sequence[str]) -> list[Column]:
@@ -163,72 +212,155 @@ def stored_partition(rows: DataFrame, columns: Sequence[str]) -> list[Column]:
     ]
 
 
-def _partition_values(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return rows.select(*stored_partition(rows, columns)).distinct()
-
-
 def in_partitions(rows: DataFrame, scope: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The rows whose partition is in ``scope``, however many partitions that names.
 
-    The scope stays a frame: where it is small enough to broadcast, Spark prunes the
-    partitions with it, else it is one more join.
+    The scope stays a frame. Values are compared by plain equality, which is what Spark prunes
+    partitions by at run time where the scope is small enough to broadcast; which columns are
+    NULL is a test of its own, of which there are as many as the scope has different ones.
     """
-    marked = scope.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(columns)], F.lit(True).alias("__in"))
-    same = [F.col(c).eqNullSafe(F.col(f"__p{i}")) for i, c in enumerate(columns)]
-    return rows.join(marked.where("__in"), reduce(lambda a, b: a & b, same), "left_semi")
+    shapes = scope.select(*[F.col(c).isNull().alias(c) for c in columns]).distinct().collect()
+    parts = []
+    for shape in shapes:
+        empty = [c for c in columns if shape[c]]
+        given = [c for c in columns if not shape[c]]
+        tests = [F.col(c).isNull() for c in empty] + [F.col(c).isNotNull() for c in given]
+        alike = reduce(lambda a, b: a & b, tests)
+        part = rows.where(alike)
+        if given:
+            # Spark prunes only by a side that a comparison has narrowed; this one holds for every row.
+            marked = scope.where(alike).select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(given)])
+            marked = marked.where(F.hash(*marked.columns) >= -(1 << 31))
+            same = [part[c] == F.col(f"__p{i}") for i, c in enumerate(given)]
+            part = part.join(marked, reduce(lambda a, b: a & b, same), "left_semi")
+        parts.append(part)
+    return reduce(DataFrame.unionAll, parts) if parts else rows.limit(0)
+
+
+Partition = tuple[str | None, ...]
+
+
+def partition_texts(rows: DataFrame, columns: Sequence[str]) -> set[Partition]:
+    """The different partitions of ``rows``, each by its values as text."""
+    found = rows.select(*[F.col(c).cast("string").alias(c) for c in columns]).distinct()
+    return {tuple(r) for r in found.collect()}
+
+
+def _named(folder: str) -> str | None:
+    """The value in a partition's folder name."""
+    value = folder.partition("=")[2]
+    return None if value == _NULL_FOLDER else unquote(value, encoding="latin-1")
+
+
+def _catalog_partitions(spark: SparkSession, name: str) -> set[Partition]:
+    shown = spark.sql(f"SHOW PARTITIONS {quoted(name)}").collect()
+    return {tuple(_named(part) for part in r[0].split("/")) for r in shown}
+
 
+def _folder_partitions(spark: SparkSession, path: str, depth: int) -> dict[Partition, str]:
+    """The partitions that have a folder under ``path``, and that folder."""
+    found: dict[Partition, str] = {(): path}
+    for _ in range(depth):
+        below = [(p, child) for p, folder in found.items() for child, _ in list_path(spark, folder)]
+        leaves = [(p, child, child.rstrip("/").rpartition("/")[2]) for p, child in below]
+        found = {(*p, _named(leaf)): child for p, child, leaf in leaves if "=" in leaf}
+    return found
 
-def overwrite_partitions(df: DataFrame, name: str) -> None:
+
+def overwrite_partitions(
+    df: DataFrame,
+    name: str,
+    max_records_per_file: int | None = None,
+    tag: str | None = None,
+    scope: DataFrame | None = None,
+    gathered: bool = False,
+) -> set[Partition]:
     """Replace the partitions that ``df`` has rows for, leave the others; ``df`` may read the table.
 
-    Rows are written once, beside the table, and move in when all of them are there: a run that
-    fails before changes nothing. Partitions move one after another; a run broken off in between
-    gives the same table when repeated.
+    Partitions that ``scope`` names and ``df`` has no rows for are dropped. Returns the partitions
+    written. The rows are written once, to a new snapshot; then the catalog points each partition
+    at its new folder, one after another, and the table at the snapshot. A run that fails before
+    changes nothing; one broken off in between gives the same table when repeated. Old folders
+    stay for running readers until ``remove_old_snapshots``.
     """
     spark = df.sparkSession
-    require_columns(df.columns)
-    if not partition_columns(spark, name):
+    require_columns([c for c in df.columns if c != BUCKET])
+    columns = partition_columns(spark, name)
+    if not columns:
         raise RequestError(f"Table '{name}' has no partition columns")
-    with _setting(spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
-        rows = arranged(df.select(*spark.table(name).columns), name)
-        rows.write.mode("overwrite").insertInto(name)
+    path = snapshot_path(spark, name, tag)
+    rows = _ready(df, name)
+    writer = (rows if gathered else arranged(rows, name)).write.partitionBy(*columns)
+    try:
+        writer.option("maxRecordsPerFile", str(max_records_per_file or 0)).parquet(path)
+        written = _folder_partitions(spark, path, len(columns))
+        gone = partition_texts(scope, columns) - written.keys() if scope is not None else set()
+    except Exception:
+        delete_path(spark, path)
+        raise
+    _point(spark, name, columns, written)
+    # New partitions of later appends go to the new snapshot, where no old files are.
+    spark.sql(f"ALTER TABLE {quoted(name)} SET LOCATION '{path}'")
+    drop_partitions(spark, name, sorted(gone, key=repr))
+    spark.catalog.refreshTable(name)
+    return set(written)
 
 
-def _partitions_only_in(old: DataFrame, new: DataFrame, columns: list[str]) -> list[Row]:
-    """Partition values, as text, that ``old`` has and ``new`` has not."""
-    left, right = _partition_values(old, columns), _partition_values(new, columns)
-    same = reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
-    gone = left.join(right, same, "left_anti")
-    return gone.select(*[F.col(c).cast("string").alias(c) for c in columns]).collect()
+def _spec(columns: Sequence[str], partition: Partition) -> str:
+    def value(text: str | None) -> str:
+        return "NULL" if text is None else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
+    return "PARTITION (" + ", ".join(f"{quoted(c)} = {value(v)}" for c, v in zip(columns, partition, strict=True)) + ")"
 
-def drop_partitions(spark: SparkSession, name: str, partitions: Sequence[Row]) -> None:
-    """Drop partitions given by their values as text, a bounded number per statement."""
 
-    def value(text: str | None) -> str:
-        return "NULL" if text is None else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _point(spark: SparkSession, name: str, columns: Sequence[str], folders: dict[Partition, str]) -> None:
+    """Point the catalog's partitions at these folders; those it hasn't are added."""
+    located = [f"{_spec(columns, p)} LOCATION '{folder}'" for p, folder in folders.items()]
+    for at in range(0, len(located), _CHUNK):
+        spark.sql(f"ALTER TABLE {quoted(name)} ADD IF NOT EXISTS {' '.join(located[at : at + _CHUNK])}")
+    for p, folder in folders.items():
+        spark.sql(f"ALTER TABLE {quoted(name)} {_spec(columns, p)} SET LOCATION '{folder}'")
 
-    specs = [
-        "PARTITION (" + ", ".join(f"{quoted(c)} = {value(v)}" for c, v in p.asDict().items()) + ")"
-        for p in partitions
-    ]
-    for at in range(0, len(specs), _DROP_CHUNK):
-        spark.sql(f"ALTER TABLE {quoted(name)} DROP IF EXISTS {', '.join(specs[at : at + _DROP_CHUNK])}")
+
+def drop_partitions(spark: SparkSession, name: str, partitions: Sequence[Partition]) -> None:
+    """Drop partitions given by their values as text, a bounded number per statement; their files stay."""
+    columns = partition_columns(spark, name)
+    specs = [_spec(columns, p) for p in partitions]
+    for at in range(0, len(specs), _CHUNK):
+        spark.sql(f"ALTER TABLE {quoted(name)} DROP IF EXISTS {', '.join(specs[at : at + _CHUNK])}")
 
 
 def remove_old_snapshots(spark: SparkSession, name: str, older_than: float = KEPT_SECONDS) -> list[str]:
     """Delete snapshots the table no longer points at and that are older than so many seconds.
 
     A snapshot's age counts from when it was written; a reader that began on it while it was
-    current is safe for the rest of that time.
+    current is safe for the rest of that time. Of a partitioned table the folders go that no
+    partition is in any more and that were replaced so long ago.
     """
     current = table_location(spark, name).rstrip("/").rpartition("/")[2]
     newest_gone = (time.time() - older_than) * 1000
-    gone = [
-        path
-        for path, modified in list_path(spark, _folder(spark, name))
-        if path.rpartition("/")[2].startswith(SNAPSHOT) and not path.endswith(current) and modified <= newest_gone
-    ]
+    snapshots = [(p, t) for p, t in list_path(spark, _folder(spark, name)) if p.rpartition("/")[2].startswith(SNAPSHOT)]
+    columns = partition_columns(spark, name)
+    if columns:
+        gone = _replaced_folders(spark, name, len(columns), snapshots, newest_gone)
+    else:
+        gone = [path for path, modified in snapshots if not path.endswith(current) and modified <= newest_gone]
     for path in gone:
         delete_path(spark, path)
     return gone
+
+
+def _replaced_folders(
+    spark: SparkSession, name: str, depth: int, snapshots: list[tuple[str, int]], newest_gone: float
+) -> list[str]:
+    """Partition folders without a file of the table, whose successor was written by ``newest_gone``."""
+    used = {unquote(f.rpartition("/")[0]).rpartition(f"/{SNAPSHOT}")[2] for f in spark.table(name).inputFiles()}
+    held = [(t, _folder_partitions(spark, path, depth)) for path, t in sorted(snapshots, key=lambda x: x[1])]
+    gone = []
+    for k, (_, folders) in enumerate(held):
+        for partition, folder in folders.items():
+            # Without a successor it was dropped, at the latest by the newest snapshot.
+            replaced = next((t for t, later in held[k + 1 :] if partition in later), held[-1][0])
+            if unquote(folder).rpartition(f"/{SNAPSHOT}")[2] not in used and k + 1 < len(held) and replaced <= newest_gone:
+                gone.append(folder)
+    return gone

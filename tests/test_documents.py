@@ -409,3 +409,21 @@ def test_group_then_match_that_drops_all(spark, base, name):
     result = load_documents(df, "js", name, options=LoadOptions(truncate=True), pipeline=stages)
     assert result.ok and result.rows_written == 0
     assert spark.table(name).count() == 1
+
+
+def test_a_text_is_one_document(spark):
+    from tablemill.operators import documents as ops
+
+    texts = ['{"a":1}', ' {"a":1}\n', '{"a":1}{"a":2}', '{"a":1},{"a":2}', '{"a":1},null,{}', '{"a":1} x}', '{"a":1}]}', '[{"a":1}]', "{}", "{", None, "", '{"a":1}}]}', '{"a":[{"b":1} ]}', '{"a":1}}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, js string")
+    assert sorted(r.i for r in ops.good_documents(df, "js").collect()) == [0, 1, 8, 13]
+    assert sorted(r.i for r in ops.rejected_documents(df, "js").collect() if r.js) == [2, 3, 4, 5, 6, 7, 9, 12, 14]
+
+
+def test_an_unknown_operator_ends_in_an_error(spark, base, name):
+    from tablemill.plans.documents import LoadOptions, load_documents
+
+    df = spark.createDataFrame([('{"a":1}',)], "js string")
+    for given in ({"filter": {"a": {"$near": 1}}}, {"filter": {"$or": 3}}, {"pipeline": [{"$out": "x"}]}):
+        result = load_documents(df, "js", name, options=LoadOptions(base=base), **given)
+        assert result.error and not spark.catalog.tableExists(name), given

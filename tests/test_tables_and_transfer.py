@@ -5,7 +5,7 @@ from conftest import rows
 from tablemill.errors import RequestError
 from tablemill.operators import mapping
 from tablemill.plans.changes import delete_rows, insert_rows, update_rows
-from tablemill.plans.sync import sync_table
+from tablemill.plans.sync import SyncOptions, sync_table
 from tablemill.plans.transfer import TransferOptions, insert_records, transfer
 from tablemill.operators.slices import dense_ids, with_previous
 from tablemill.session import list_path, shared_dir, staged, work_scope
@@ -270,3 +270,116 @@ def test_a_scope_leaves_no_working_data(spark):
         assert list_path(spark, path)
     assert list_path(spark, path) == []
     assert all("scope-" not in p for p, _ in list_path(spark, f"{shared_dir(spark)}/tablemill"))
+
+
+def by_files(df):
+    """Rows in each file of a frame."""
+    found = df.groupBy(F.input_file_name().alias("file")).count()
+    return {r.file: r["count"] for r in found.collect()}
+
+
+def scanned_rows(spark, action):
+    """Rows that file scans put out while ``action`` runs, by Spark's own count of input records."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    jvm = spark.sparkContext._jvm
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(k).inputRecords() for k in range(stages.size()))
+
+    before = total()
+    action()
+    return total() - before
+
+
+@pytest.fixture
+def parted(spark, base, name):
+    """A table of 300 partitions by date and 40 rows each, one partition of NULL."""
+    df = spark.range(12_000).select(
+        F.col("id").alias("k"),
+        F.when(F.col("id") % 300 != 7, F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 300).cast("int"))).alias("day"),
+        (F.col("id") * 2).alias("v"),
+    )
+    assert transfer(spark, df, name, TransferOptions(create_if_missing=True, base=base, partition_by=["day"])).ok
+    return name
+
+
+def test_a_scope_prunes_partitions(spark, parted):
+    table = spark.table(parted)
+    scope = table.where("k in (3, 7)").select("day").distinct()
+    path = f"{tables._folder(spark, parted)}/scope"
+    scope.write.parquet(path)
+    scope = spark.read.parquet(path)
+    got = []
+    found = scanned_rows(spark, lambda: got.extend(tables.in_partitions(table, scope, ["day"]).select("k", "v").collect()))
+    assert sorted(r.k for r in got) == sorted(k for k in range(12_000) if k % 300 in (3, 7))
+    assert found <= 80 + 3 * 2
+    assert table.where(F.col("day").isNull()).count() == 40
+
+
+def test_a_change_reads_what_it_touches(spark, parted):
+    update = lambda: results.append(update_rows(spark, parted, {"v": F.lit(-1)}, F.expr("k in (3, 307, 7)")))
+    results = []
+    found = scanned_rows(spark, update)
+    assert results[0].rows_written == 3 and results[0].rows_read == 80, results
+    # One narrow pass over the table finds the partitions; two are read again.
+    assert found <= 12_000 + 80 + 20
+    assert spark.table(parted).where("v = -1").count() == 3 and spark.table(parted).count() == 12_000
+
+
+def test_a_frame_opened_before_a_sync_is_read_after_it(spark, parted):
+    before = spark.table(parted)
+    want = rows(before)
+    source = spark.createDataFrame([(3, 0), (7, 0), (11, 0)], "k long, v long").withColumn("day", F.lit(None).cast("date"))
+    assert sync_table(spark, source, parted, ["k"]).ok
+    assert rows(before) == want
+    after = spark.table(parted)
+    assert after.count() == 12_000 and after.where("day is null").count() == 42
+    # Replaced folders go by age; none that the table is in.
+    assert not tables.remove_old_snapshots(spark, parted)
+    assert len(tables.remove_old_snapshots(spark, parted, older_than=-10)) == 3
+    assert rows(spark.table(parted)) == rows(after) and after.count() == 12_000
+
+
+def test_a_dropped_partition_comes_back_empty(spark, parted):
+    assert delete_rows(spark, parted, F.expr("k % 300 = 5")).rows_deleted == 40
+    assert len(spark.sql(f"SHOW PARTITIONS {parted}").collect()) == 299
+    again = spark.createDataFrame([(5, "2020-01-06", 1)], "k long, day string, v long")
+    assert insert_rows(spark, parted, again).ok
+    assert [r.k for r in spark.table(parted).where("day = '2020-01-06'").collect()] == [5]
+
+
+def test_rows_a_file_of_partitioned_tables(spark, base, name):
+    df = spark.range(6000).select(F.col("id").alias("k"), (F.col("id") % 3).cast("int").alias("p"))
+    assert transfer(spark, df, name, TransferOptions(create_if_missing=True, base=base, partition_by=["p"])).ok
+    source = df.where("k % 2 = 0")
+    assert sync_table(spark, source, name, ["k"], SyncOptions(max_records_per_file=100)).ok
+    assert max(by_files(spark.table(name)).values()) <= 100
+    assert transfer(spark, df, name, TransferOptions(truncate=True, max_records_per_file=500)).ok
+    assert max(by_files(spark.table(name)).values()) <= 500 and spark.table(name).count() == 6000
+
+
+def test_one_row_rewrites_one_bucket(spark, base, name):
+    df = spark.range(4000).select(F.col("id").alias("k"), F.concat(F.lit("n"), "id").alias("t"))
+    tables.create_table(spark, name, df.schema, base, bucket_by=["K"], buckets=16)
+    assert insert_rows(spark, name, df).ok
+    assert tables.read(spark, name).columns == ["k", "t"]
+    before = by_files(spark.table(name))
+    results = []
+    source = spark.createDataFrame([(17, "new")], "k long, t string")
+    found = scanned_rows(spark, lambda: results.append(sync_table(spark, source, name, ["k"])))
+    assert results[0].ok and results[0].rows_deleted == 1, results
+    after = by_files(spark.table(name))
+    assert len(before.keys() - after.keys()) == 1 and sum(after.values()) == 4000
+    # The source alone tells the bucket, which is read for keys in the source's range and for others.
+    assert found < 4000 / 16 * 3
+    assert sorted(rows(tables.read(spark, name).where("k = 17"))) == [(17, "new")]
+    # A key that moves takes its row to another bucket; NULL keys have one too.
+    assert update_rows(spark, name, {"k": F.lit(5000)}, F.expr("k = 18")).rows_written == 1
+    assert sync_table(spark, spark.createDataFrame([(5000, "x"), (None, "y")], "k long, t string"), name, ["k"]).rows_deleted == 1
+    assert delete_rows(spark, name, F.expr("k < 3900")).rows_deleted == 3899
+    left = tables.read(spark, name)
+    assert left.count() == 102 and left.where("k is null").count() == 1
+    assert transfer(spark, df.limit(10), name, TransferOptions(truncate=True)).ok
+    assert rows(tables.read(spark, name)) == rows(df.limit(10))
