@@ -229,8 +229,9 @@ def _counted(rows: DataFrame, asked: DataFrame) -> DataFrame:
 
     found = rows.select("t", "kind").mapInArrow(run, f"word string, {', '.join(f'{c} long' for c in _CLASSES)}")
     # The counts of a task hold most asked words once or more, so they meet after they are added up.
-    found = found.groupBy("word").agg(*[F.sum(c).alias(c) for c in _CLASSES])
-    return found.join(asked, "word", "left_semi")
+    # ``first`` keeps the planner from turning that round where the asked words are few.
+    found = found.groupBy("word").agg(F.first("word").alias("spelled"), *[F.sum(c).alias(c) for c in _CLASSES])
+    return found.join(asked, "word", "left_semi").select(F.col("spelled").alias("word"), *_CLASSES)
 
 
 def _telling(counts: DataFrame, sizes: tuple[float, float, float]) -> DataFrame:
