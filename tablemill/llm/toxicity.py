@@ -229,9 +229,9 @@ def _counted(rows: DataFrame, asked: DataFrame) -> DataFrame:
 
     found = rows.select("t", "kind").mapInArrow(run, f"word string, {', '.join(f'{c} long' for c in _CLASSES)}")
     # The counts of a task hold most asked words once or more, so they meet after they are added up.
-    # ``first`` keeps the planner from turning that round where the asked words are few.
-    found = found.groupBy("word").agg(F.first("word").alias("spelled"), *[F.sum(c).alias(c) for c in _CLASSES])
-    return found.join(asked, "word", "left_semi").select(F.col("spelled").alias("word"), *_CLASSES)
+    # (Were they written first, Spark would turn that round where they are few.)
+    found = found.groupBy("word").agg(*[F.sum(c).alias(c) for c in _CLASSES])
+    return found.join(asked, "word", "left_semi")
 
 
 def _telling(counts: DataFrame, sizes: tuple[float, float, float]) -> DataFrame:
@@ -281,7 +281,7 @@ def learned(
         frequent = frequent.orderBy(F.desc("n"), "word").limit(max_terms)
     everything = texts.join(F.broadcast(sample), "key", "left").withColumn("kind", F.coalesce("kind", F.lit(-1)))
     asked = frequent.select("word").unionAll(docs.sparkSession.createDataFrame([("",)], "word string"))
-    counts = staged(_counted(everything, staged(asked, "toxicity-words")), "toxicity-counts")
+    counts = staged(_counted(everything, asked), "toxicity-counts")
     total = counts.where("word = ''").first()
     clean_n, toxic_n, other_n = (float(total[c]) for c in _CLASSES) if total else (0.0, 0.0, 0.0)
     if not toxic_n or not clean_n:
