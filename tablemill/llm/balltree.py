@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablemill.llm.vectors import (
-    MOST_REGIONS, QUERY_BLOCK, SHARD_ROWS, best, best_of, in_shards, kmeans, matrix, met, nearest, packed, pieces, sampled, usable,
+    MOST_REGIONS, QUERY_BLOCK, SHARD_ROWS, best, best_of, by_dimension, in_shards, kmeans, matrix, met, nearest, packed, pieces, sampled, usable,
 )
 from tablemill.session import staged
 
@@ -26,9 +26,11 @@ LEAF_ROWS = 128
 SCALE = 64
 
 
-def build(ids: np.ndarray, points: np.ndarray, leaf_rows: int = LEAF_ROWS) -> dict[str, np.ndarray]:
+def build(ids: np.ndarray, points: np.ndarray, leaf_rows: int = LEAF_ROWS, names: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """A ball tree as arrays: points in tree order; per node its span, first child, centre, radius.
 
+    ``ids`` tell the rows apart; ``names``, by default the same, may repeat.
+
     A node is cut at the median along the line between two far points. Children lie side by
     side; a leaf's first child is 0.
     """
@@ -51,12 +53,13 @@ def build(ids: np.ndarray, points: np.ndarray, leaf_rows: int = LEAF_ROWS) -> di
     points = points[order]
     centres = np.array([points[s:e].mean(axis=0) for s, e in spans]).reshape(len(spans), -1)
     radii = np.array([np.sqrt(((points[s:e] - c) ** 2).sum(axis=1).max(initial=0)) for (s, e), c in zip(spans, centres, strict=True)])
-    return {"ids": ids[order], "points": points, "spans": np.array(spans), "child": np.array(child), "centres": centres, "radii": radii}
+    names = (ids if names is None else names)[order]
+    return {"ids": ids[order], "names": names, "points": points, "spans": np.array(spans), "child": np.array(child), "centres": centres, "radii": radii}
 
 
 def search(tree: dict[str, np.ndarray], ids: np.ndarray, vectors: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(query, id, score) of up to ``k`` best rows per query that score at least its floor."""
-    points, rows, spans, child = tree["points"], tree["ids"], tree["spans"].tolist(), tree["child"].tolist()
+    """(query, name, score) of up to ``k`` best rows per query that score at least its floor."""
+    points, rows, names, spans, child = tree["points"], tree["ids"], tree["names"], tree["spans"].tolist(), tree["child"].tolist()
     lengths = np.sqrt((vectors**2).sum(axis=1))
     # Products of whole numbers are exact in doubles below 2^53, else in 64-bit integers.
     if lengths.max(initial=0) * np.sqrt((points**2).sum(axis=1)).max(initial=0) >= 2**52:
@@ -84,7 +87,7 @@ def search(tree: dict[str, np.ndarray], ids: np.ndarray, vectors: np.ndarray, fl
             if not len(good):
                 continue
             scores = np.concatenate([scores, new[good]])
-            found = np.concatenate([found, rows[start:end][good]])
+            found = np.concatenate([found, names[start:end][good]])
             if len(scores) >= k:
                 top = best_of(scores, found, k)
                 scores, found = scores[top], found[top]
@@ -102,33 +105,39 @@ def top_k(
     """(query_id, rank, vec_id, score): each query's ``k`` highest integer inner products.
 
     Components count as floor(64 * x). Queries are the rows whose id is divisible by ``every``;
-    all other rows are candidates. Ties go to the smaller id; with fewer candidates than ``k``
-    all are returned. Which rows take part is said at ``vectors.usable``. No usable row gives an
-    empty result. Extra columns are ignored.
+    all other rows of the same dimension are candidates. Ties go to the smaller id; with fewer
+    candidates than ``k`` all are returned. Rows of one id are searched for, and found, each for
+    itself. Which rows take part is said at ``vectors.usable``. No usable row gives an empty
+    result. Extra columns are ignored.
     """
     rows = usable(df, id_col, vec_col, lambda x: F.floor(x * SCALE), nonzero=False)
-    n, queries_n = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id") % every == 0)).first()
-    if not queries_n:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    schema = "query_id long, rank int, vec_id long, score long"
+    return by_dimension(rows, every, lambda part: _searched(part, every, k, shard_rows), schema)
+
+
+def _searched(rows: DataFrame, every: int, k: int, shard_rows: int) -> DataFrame:
+    """(query, rank, id, score) over ``rows`` (id, name, v) of one dimension."""
+    is_query = F.col("name") % every == 0
+    n, queries_n = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     centres = kmeans(sampled(rows), min(MOST_REGIONS, pieces(n, shard_rows)))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            region, _ = nearest(matrix(batch.column(1)), centres)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(region.astype(np.int32))], ["id", "v", "region"])
+            region, _ = nearest(matrix(batch.column(2)), centres)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(region.astype(np.int32))], ["id", "name", "v", "region"])
 
-    near = staged(rows.mapInArrow(placed, "id long, v array<double>, region int"), "ball-regions")
+    near = staged(rows.mapInArrow(placed, "id long, name long, v array<double>, region int"), "ball-regions")
     dealt, spans = in_shards(near, "region", shard_rows)
     dealt = staged(dealt, "ball-shards")
 
     def grown(table: pa.Table) -> pa.Table:
-        tree = build(table.column("id").to_numpy(), matrix(table.column("v")))
+        tree = build(table.column("id").to_numpy(), matrix(table.column("v")), names=table.column("name").to_numpy())
         whole = {"shard": table.column("shard").slice(0, 1), "data": pa.array([packed(**tree)], pa.binary())}
         return pa.table({**whole, "centre": pa.array([tree["centres"][0].tolist()]), "radius": pa.array([float(tree["radii"][0])])})
 
     schema = "shard int, data binary, centre array<double>, radius double"
-    trees = staged(dealt.select("shard", "id", "v").groupBy("shard").applyInArrow(grown, schema), "ball-trees")
-    asks = dealt.where(F.col("id") % every == 0).select("shard", F.col("id").alias("query"), "v", "region")
+    trees = staged(dealt.select("shard", "id", "name", "v").groupBy("shard").applyInArrow(grown, schema), "ball-trees")
+    asks = dealt.where(is_query).select("shard", F.col("id").alias("query"), "v", "region")
     found_schema, blocks = "query long, id long, score long", pieces(queries_n, QUERY_BLOCK)
     look = lambda data, ids, vectors, floors: search(data, ids, vectors, floors.to_numpy(zero_copy_only=False), k)
     data = trees.select("shard", "data")
@@ -138,7 +147,7 @@ def top_k(
     shared = shared.select("query", "v", "shard", F.coalesce("kth", F.lit(float("-inf"))).alias("floor"))
     # Regions are boundedly many, so the reach of each goes to every task; shards are not.
     reach = np.zeros(len(centres))
-    for r in near.mapInArrow(_reaches(centres), "region int, far double").groupBy("region").agg(F.max("far").alias("far")).collect():
+    for r in near.select("id", "v", "region").mapInArrow(_reaches(centres), "region int, far double").groupBy("region").agg(F.max("far").alias("far")).collect():
         reach[r.region] = r.far
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +169,7 @@ def top_k(
 
     far = shared.mapInArrow(routed, "shard int, query long, v array<double>, floor double")
     away = met(far, data, blocks, look, found_schema, "floor")
-    out = best(staged(home.unionAll(away), "ball-found"), k)
-    return out.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+    return best(staged(home.unionAll(away), "ball-found"), k).select("query", "rank", "id", "score")
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablemill.llm.vectors import (
-    QUERY_BLOCK, SHARD_ROWS, best, best_of, in_shards, kmeans, matrix, met, nearest, packed, pieces, sampled, usable,
+    QUERY_BLOCK, SHARD_ROWS, best, best_of, by_dimension, in_shards, kmeans, matrix, met, nearest, packed, pieces, sampled, usable,
 )
 from tablemill.session import staged
 
@@ -113,8 +113,11 @@ def exact_products(points: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def search(data: dict[str, np.ndarray], ids: np.ndarray, vectors: np.ndarray, k: int, visits: list[set[int]] | None = None) -> tuple[np.ndarray, ...]:
-    """(query, id, score) of each query's ``k`` best rows of a shard, of all or of the leaves it visits."""
-    points, rows = data["points"], data["ids"]
+    """(query, place in the shard, score) of each query's ``k`` best rows of a shard, of all or of the leaves it visits.
+
+    Ties go to the smaller name.
+    """
+    points, rows, names = data["points"], data["ids"], data["names"]
     if visits is None:
         rough = vectors @ points.T
     else:
@@ -133,9 +136,9 @@ def search(data: dict[str, np.ndarray], ids: np.ndarray, vectors: np.ndarray, k:
     query, row = np.nonzero((rough >= (least - slack)[:, None]) & (rough > -np.inf))
     scores = np.concatenate([exact_products(points[row[a : a + 65536]], vectors[query[a : a + 65536]]) for a in range(0, len(row), 65536)] or [np.zeros(0)])
     cuts = np.searchsorted(query, np.arange(len(ids) + 1))
-    kept = [a + best_of(scores[a:b], rows[row[a:b]], k) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    kept = [a + best_of(scores[a:b], names[row[a:b]], k) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     kept = np.concatenate([np.zeros(0, np.int64), *kept])
-    return ids[query[kept]], rows[row[kept]], scores[kept]
+    return ids[query[kept]], row[kept], scores[kept]
 
 
 def calibrated(tree: Tree, trials: np.ndarray, leaves: np.ndarray, per_query: np.ndarray, recall: float) -> int:
@@ -167,39 +170,46 @@ def neighbours(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest found by inner product.
 
-    Queries are the rows whose id is divisible by ``every``; all other rows are candidates. The
-    score is the inner product of the original vectors in double precision; ties go to the
+    Queries are the rows whose id is divisible by ``every``; all other rows of the same dimension
+    are candidates, also rows of the query's id. The score is the inner product of the original vectors in double precision; ties go to the
     smaller id. With no more candidates than ``k`` all are returned, and fewer than ``k`` only if
     there are fewer: a query whose leaves hold too few rows visits all. Which rows take part is
     said at ``vectors.usable``; zero vectors don't. No usable row gives an empty result. Extra
     columns are ignored.
     """
-    spark = df.sparkSession
     rows = usable(df, id_col, vec_col, lambda x: x, nonzero=True)
+    schema = "query_id long, rank int, vec_id long, score double"
+    return by_dimension(rows, every, lambda part: _searched(part, every, k, recall, fit_rows, leaf_rows, trial_queries, shard_rows), schema)
+
+
+def _searched(
+    rows: DataFrame, every: int, k: int, recall: float, fit_rows: int, leaf_rows: int, trial_queries: int, shard_rows: int
+) -> DataFrame:
+    """(query, rank, id, score) over ``rows`` (id, name, v) of one dimension."""
+    is_query = F.col("name") % every == 0
     squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    n, queries_n, longest = rows.agg(F.count(F.lit(1)), F.count_if(F.col("id") % every == 0), F.max(F.sqrt(squared))).first()
-    if not queries_n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    n, queries_n, longest = rows.agg(F.count(F.lit(1)), F.count_if(is_query), F.max(F.sqrt(squared))).first()
     sample = _lengthened(sampled(rows, fit_rows), longest)
     wanted = min(MOST_LEAVES, pieces(n, leaf_rows))
     tree = Tree(sample, max(4.0, len(sample) / wanted))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf = tree.leaf_of(_lengthened(matrix(batch.column(1)), longest)) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf.astype(np.int32))], ["id", "v", "leaf"])
+            leaf = tree.leaf_of(_lengthened(matrix(batch.column(2)), longest)) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf.astype(np.int32))], ["id", "name", "v", "leaf"])
 
-    indexed = staged(rows.mapInArrow(placed, "id long, v array<double>, leaf int"), "ann-index")
+    indexed = staged(rows.mapInArrow(placed, "id long, name long, v array<double>, leaf int"), "ann-index")
     # Neighbouring leaves share a shard, so a query hands on its best rows per shard, not per leaf.
     dealt, spans = in_shards(indexed, "leaf", shard_rows, together=True)
 
     def shard(table: pa.Table) -> pa.Table:
         table = table.sort_by([("leaf", "ascending"), ("id", "ascending")])
-        data = packed(ids=table.column("id").to_numpy(), leaf=table.column("leaf").to_numpy(), points=matrix(table.column("v")))
+        ids, names = table.column("id").to_numpy(), table.column("name").to_numpy()
+        data = packed(ids=ids, names=names, leaf=table.column("leaf").to_numpy(), points=matrix(table.column("v")))
         return pa.table({"shard": table.column("shard").slice(0, 1), "data": pa.array([data], pa.binary())})
 
-    shards = staged(dealt.select("shard", "id", "v", "leaf").groupBy("shard").applyInArrow(shard, "shard int, data binary"), "ann-shards")
-    queries = indexed.where(F.col("id") % every == 0).select(F.col("id").alias("query"), "v")
+    shards = staged(dealt.select("shard", "id", "name", "v", "leaf").groupBy("shard").applyInArrow(shard, "shard int, data binary"), "ann-shards")
+    queries = indexed.where(is_query).select(F.col("id").alias("query"), "v")
     trials = queries.orderBy(F.xxhash64("query"), "query").limit(trial_queries).toArrow()
     trial_ids, trial_vectors = trials.column("query").to_numpy(), matrix(trials.column("v"))
 
@@ -207,12 +217,11 @@ def neighbours(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, leaf = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            data = {"ids": ids, "points": matrix(batch.column(1))}
-            query, row, score = search(data, trial_ids, trial_vectors, k)
-            at = np.argsort(ids)
-            of = leaf[at[np.searchsorted(ids, row, sorter=at)]]
-            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(row), pa.array(score), pa.array(of)], ["query", "id", "score", "leaf"])
+            ids, names, leaf = (batch.column(c).to_numpy() for c in (0, 1, 3))
+            data = {"ids": ids, "names": names, "points": matrix(batch.column(2))}
+            query, at, score = search(data, trial_ids, trial_vectors, k)
+            found = [pa.array(query), pa.array(names[at]), pa.array(score), pa.array(leaf[at])]
+            yield pa.RecordBatch.from_arrays(found, ["query", "id", "score", "leaf"])
 
     found_schema = "query long, id long, score double"
     truth = indexed.mapInArrow(compared, found_schema + ", leaf int")
@@ -245,7 +254,10 @@ def neighbours(
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *(c.take(index) for c in part.columns), lists], ["shard", "query", "v", "leaves"])
 
     asked = queries.mapInArrow(routed, "shard int, query long, v array<double>, leaves array<int>")
-    look = lambda data, ids, vectors, leaves: search(data, ids, vectors, k, [set(x) for x in leaves.to_pylist()])
+
+    def look(data: dict[str, np.ndarray], ids: np.ndarray, vectors: np.ndarray, leaves: pa.Array) -> tuple[np.ndarray, ...]:
+        query, at, score = search(data, ids, vectors, k, [set(x) for x in leaves.to_pylist()])
+        return query, data["names"][at], score
+
     found = met(asked, shards, pieces(queries_n, QUERY_BLOCK), look, found_schema, "leaves")
-    out = best(found, k)
-    return out.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+    return best(found, k).select("query", "rank", "id", "score")

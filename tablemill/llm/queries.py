@@ -117,15 +117,15 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 OP1_SQL = """
 WITH ints AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
+    SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
     FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-    FROM ints q JOIN ints c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+    SELECT q.n, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM ints q JOIN ints c ON q.vec_id % 20 = 0 AND q.n <> c.n AND len(q.v) = len(c.v)
 ), ranked AS (
-    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+    SELECT query_id, (row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
     FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +27,37 @@ def pieces(rows: int, per_piece: int) -> int:
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, component: Callable[[Column], Column], nonzero: bool) -> DataFrame:
-    """(id, v): the rows that take part, ``v`` an array of doubles.
+    """(id, name, v): the rows that take part, ``v`` an array of doubles.
 
-    Left out are rows with a NULL id, a NULL or empty vector, a NULL or non-finite component
-    or, if asked, only zeros, and vectors of another dimension than the most frequent one
-    (the larger of equally frequent). Of several rows of one id the least vector takes part.
+    ``name`` is the row's id in ``df``; ``id`` is a number of its own, so rows that share a name
+    stay apart, each a query or a candidate for itself. Left out are rows with a NULL id, a NULL
+    or empty vector, a NULL or non-finite component or, if asked, only zeros. Vectors of all
+    dimensions take part; each meets those of its own.
     """
     x = F.col(f"`{vec_col}`").cast("array<double>")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     keep = F.col(f"`{id_col}`").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~bad
     if nonzero:
         keep = keep & F.exists(x, lambda c: c != 0)
-    rows = df.where(keep).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(x, component).cast("array<double>").alias("v"))
-    rows = staged(rows.groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.orderBy(F.desc("n"), F.desc("d")).first()
-    return rows.where(F.size("v") == (most.d if most else 0))
+    name, v = F.col(f"`{id_col}`").cast("long").alias("name"), F.transform(x, component).cast("array<double>").alias("v")
+    # Written before anything reads the numbers, so a rerun task can't give others.
+    return staged(df.where(keep).select(F.monotonically_increasing_id().alias("id"), name, v), "vectors")
+
+
+def by_dimension(rows: DataFrame, every: int, search: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+    """``search`` over the rows of each dimension that has queries, all results together.
+
+    A search gives (query, rank, id, score), with the queries as row numbers; here they get
+    their names back. Dimensions are taken to be few: each is a search of its own.
+    """
+    asked = F.count_if(F.col("name") % every == 0)
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(asked.alias("asked")).orderBy("d").collect()
+    parts = [search(rows if len(sizes) == 1 else rows.where(F.size("v") == s.d)) for s in sizes if s.asked]
+    if not parts:
+        return rows.sparkSession.createDataFrame([], schema)
+    names = rows.where(F.col("name") % every == 0).select(F.col("id").alias("query"), F.col("name").alias("query_id"))
+    found = reduce(DataFrame.unionAll, parts).join(names, "query")
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
 def matrix(column: pa.Array) -> np.ndarray:

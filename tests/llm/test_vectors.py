@@ -1,5 +1,6 @@
 import math
 import os
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,21 +13,23 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 
 
 def good(rows, nonzero=False):
-    """Rows that take part; of one id the least vector."""
-    out = {}
+    """(id, vector) of the rows that take part."""
+    out = []
     for i, v, _ in rows:
         if i is None or not v or any(x is None or not math.isfinite(x) for x in v) or (nonzero and not any(v)):
             continue
-        v = [float(np.float32(x)) for x in v]
-        out[i] = min(v, out.get(i, v))
+        out.append((i, [float(np.float32(x)) for x in v]))
     return out
 
 
 def plain_exact(rows, k=20, every=20):
-    ints = {i: [math.floor(64 * x) for x in v] for i, v in good(rows).items()}
+    ints = [(i, [math.floor(64 * x) for x in v]) for i, v in good(rows)]
     out = []
-    for q in (i for i in ints if i % every == 0):
-        scored = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)
+    for n, (q, asked) in enumerate(ints):
+        if q % every:
+            continue
+        others = [(i, v) for m, (i, v) in enumerate(ints) if m != n and len(v) == len(asked)]
+        scored = sorted((-sum(a * b for a, b in zip(asked, v, strict=True)), i) for i, v in others)
         out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:k], start=1)]
     return sorted(out, key=repr)
 
@@ -47,6 +50,12 @@ AWKWARD = [
     (2100, [0.0] * 6, 0),
     (None, [1.0] * 6, 0),
     (20, [9.0] * 6, 0),  # an id that is there already
+    (20, [9.0] * 6, 0),  # and the whole row once more
+    (21, [1.0] * 6, 0),
+    *[(3000 + 5 * i, [i - 9.0, 2.0, 0.5], 0) for i in range(40)],  # another dimension
+    (3000, [7.0, 7.0, 7.0], 0),
+    (4000, [5.0, 5.0], 0),  # a query without candidates
+    (4001, [5.0], 0),  # a candidate without queries
     (-40, [0.001] * 6, 0),
     (2120, [300.0, -300.0, 5.0, 0.0, 1.0, 2.0], 0),
 ]
@@ -101,11 +110,16 @@ def test_bounds_save_visits():
 
 
 def plain_near(rows, k=20, every=20):
+    """Per query id a list for each of its rows: their true neighbours and scores."""
     vectors = good(rows, nonzero=True)
     out = {}
-    for q in (i for i in vectors if i % every == 0):
-        scored = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=True)), i) for i, v in vectors.items() if i != q)
-        out[q] = [(i, -s) for s, i in scored[:k]]
+    for n, (q, asked) in enumerate(vectors):
+        if q % every:
+            continue
+        others = [(i, v) for m, (i, v) in enumerate(vectors) if m != n and len(v) == len(asked)]
+        scored = sorted((-sum(a * b for a, b in zip(asked, v, strict=True)), i) for i, v in others)
+        if scored:
+            out.setdefault(q, []).append([(i, -s) for s, i in scored[:k]])
     return out
 
 
@@ -117,15 +131,34 @@ def test_near_neighbours(spark, shard_rows):
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     want = plain_near(AWKWARD)
     assert set(got) == set(want)
-    vectors, hits = good(AWKWARD, nonzero=True), 0
+    hits = asked = 0
     for q, found in got.items():
-        found.sort()
-        assert [r for r, _, _ in found] == list(range(1, 21))
-        assert all((-a[2], a[1]) < (-b[2], b[1]) for a, b in zip(found, found[1:], strict=False))
+        # As many answers as rows of that id, each with ranks of its own.
+        ranks = sorted(r for _ in want[q] for r in range(1, len(want[q][0]) + 1))
+        assert sorted(r for r, _, _ in found) == ranks
+        for rank in set(ranks):
+            assert len([r for r, _, _ in found if r == rank]) == len(want[q])
+        if len(want[q]) == 1:
+            found.sort()
+            assert all((-a[2], a[1]) < (-b[2], b[1]) or a[1:] == b[1:] for a, b in zip(found, found[1:], strict=False))
+        true = [x for answer in want[q] for x in answer]
         for _, i, s in found:
-            assert s == pytest.approx(sum(a * b for a, b in zip(vectors[q], vectors[i], strict=True)), abs=1e-9)
-        hits += len({i for _, i, _ in found} & {i for i, _ in want[q]})
-    assert hits >= 0.9 * 20 * len(want)
+            products = [sum(a * b for a, b in zip(v, w, strict=True)) for n, (p, v) in enumerate(good(AWKWARD, nonzero=True)) if p == q
+                        for m, (c, w) in enumerate(good(AWKWARD, nonzero=True)) if c == i and m != n and len(v) == len(w)]
+            assert any(s == pytest.approx(p, abs=1e-9) for p in products)
+        hits += sum((Counter(i for _, i, _ in found) & Counter(i for i, _ in true)).values())
+        asked += len(true)
+    assert hits >= 0.9 * asked
+
+
+def test_rows_of_one_id_and_other_dimensions_stay(spark):
+    rows = [(20, [1.0, 0.0], 0), (20, [0.0, 1.0], 0), (20, [0.0, 1.0], 0), (7, [3.0, 1.0], 0), (40, [1.0, 1.0, 1.0], 0), (41, [2.0, 1.0, 1.0], 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert as_rows(balltree.top_k(df)) == plain_exact(rows)
+    near = kmeanstree.neighbours(df)
+    assert sorted(tuple(r) for r in near.collect()) == sorted(
+        (q, rank, i, s) for q, answers in plain_near(rows).items() for answer in answers for rank, (i, s) in enumerate(answer, start=1)
+    )
 
 
 def test_few_candidates_all_come(spark):
@@ -148,7 +181,7 @@ def test_best_bins_come_in_turn():
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 def test_recall_on_given_vectors(spark):
     df = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
-    want = plain_near([(r.vec_id, r.embedding, 0) for r in df.collect()])
+    want = {q: answers[0] for q, answers in plain_near([(r.vec_id, r.embedding, 0) for r in df.collect()]).items()}
     got = {}
     for r in kmeanstree.neighbours(df).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
