@@ -37,6 +37,8 @@ class DocumentOptions:
     exclude_fields: Collection[str] | None = None
     field_mappings: Mapping[str, str] | None = None
     drop_group_id: bool = False
+    #: Dotted names of fields to read as arrays, for pipelines; others follow ``array_handling``.
+    array_fields: Collection[str] = ()
 
     @property
     def array_mode(self) -> str:
@@ -193,24 +195,27 @@ def variant_text(value: Column) -> Column:
     return F.when(wrapped, F.coalesce(*inner, whole)).otherwise(whole)
 
 
-def _read_type(dt: T.DataType, options: DocumentOptions) -> T.DataType | None:
-    """Type to read a field as; None for a field that never holds a value."""
+def _read_type(dt: T.DataType, options: DocumentOptions, path: str) -> T.DataType | None:
+    """Type to read the field at ``path`` as; None for a field that never holds a value."""
     if _wrappers(dt):
         return T.StructType([T.StructField(n, T.StringType()) for n in _wrappers(dt)])
     if isinstance(dt, T.VariantType):
         return dt  # stays what it is in each document until it is flattened
     if isinstance(dt, T.StructType):
-        if not options.flatten:
+        if not options.flatten and path not in options.array_fields:
             return T.StringType()  # JSON text
-        fields = [(f.name, _read_type(f.dataType, options)) for f in dt]
+        fields = [(f.name, _read_type(f.dataType, options, f"{path}.{f.name}")) for f in dt]
         kept = [T.StructField(n, t) for n, t in fields if t is not None]
         return T.StructType(kept) if kept else None
     if isinstance(dt, T.ArrayType):
+        element = dt.elementType
+        if path in options.array_fields:
+            element = T.VariantType() if case_clashes(element) else _read_type(element, options, path)
+            return T.ArrayType(element) if element else None
         if options.array_mode == SKIP:
             return None
         if options.array_mode == SERIALIZE:
             return T.StringType()  # JSON text
-        element = dt.elementType
         if isinstance(element, (T.StructType, T.ArrayType)):
             return T.ArrayType(T.StringType())
         element = document_type(element)
@@ -246,7 +251,7 @@ def _fields(path: list[str], schema: T.StructType, options: DocumentOptions) ->
     """
     columns = []
     for group in _same_names(schema):
-        types = [(f, _read_type(f.dataType, options)) for f in group]
+        types = [(f, _read_type(f.dataType, options, ".".join([*path, f.name]))) for f in group]
         kept = [(f, t) for f, t in types if t is not None]
         if not kept:
             continue
@@ -386,7 +391,7 @@ def inferred_columns(
     def walk(node: T.StructType, prefix: str) -> None:
         for f in node:
             name = f"{prefix}{options.separator}{f.name}" if prefix else f.name
-            dt = _read_type(f.dataType, options)
+            dt = _read_type(f.dataType, options, "")
             if dt is None:
                 continue
             if _wrappers(dt):

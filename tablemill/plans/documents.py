@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
 
@@ -18,8 +18,10 @@ from tablemill.operators.mapping import conform
 from tablemill.operators.pipelines import (
     VariantFields,
     apply_pipeline,
+    array_paths,
     deciding_stages,
     document_predicate,
+    keeps_documents,
     makes_groups,
     split_leading_matches,
 )
@@ -67,8 +69,8 @@ def load_documents(
     on the parsed document, so fields are inferred from matching documents only.
     Bad documents are counted and don't stop the load. With ``rejected_path`` their text and the
     reason go to a folder of this run (``options.run_id``) under it, once the load is done: those
-    that are no document, and, unless documents are grouped, those with a value that doesn't
-    convert. No document at all leaves the target as it is, even when truncating.
+    that are no document, and, unless the pipeline merges, cuts or multiplies documents, those with
+    a value that doesn't convert. No document at all leaves the target as it is, even when truncating.
     """
     spark = documents.sparkSession
     def body(result: RunResult) -> None:
@@ -76,21 +78,22 @@ def load_documents(
         filters, stages = split_leading_matches(pipeline) if pipeline else ([filter or {}], [])
         tests = [document_predicate(VariantFields(docs.DOC), f) for f in filters if f]
         matches = reduce(lambda a, b: a & b, tests, F.col(docs.DOC).isNotNull())
-        grouped = makes_groups(stages)
-        keep_id = grouped and not document_options.drop_group_id
+        one_to_one = keeps_documents(stages)
+        keep_id = makes_groups(stages) and not document_options.drop_group_id
+        reading = replace(document_options, array_fields=array_paths(stages))
         parsed = docs.parsed(documents, json_col)
         fields = schema or docs.schema_of_parsed(parsed.where(matches))
 
         def columns(parsed_documents: DataFrame) -> DataFrame:
             matching = parsed_documents.where(matches)
-            return docs.read_documents(matching, json_col, fields, document_options)
+            return docs.read_documents(matching, json_col, fields, reading)
 
         if apply_pipeline(columns(parsed), deciding_stages(stages)).isEmpty():
             result.rows_read = result.rows_failed = _bad_documents(parsed)
             result.warn(NO_DOCUMENTS)
             return
         seen = None
-        if not grouped:
+        if one_to_one:
             # Counted between parsing and the filter, so that each text is parsed once.
             parsed, seen = counted(parsed, failed=F.count_if(F.col(docs.DOC).isNull()))
         rows = apply_pipeline(columns(parsed), stages)
@@ -111,9 +114,9 @@ def load_documents(
         result.rows_read = result.rows_written + result.rows_failed
         if options.rejected_path:
             read = docs.read_documents(
-                docs.only_parsed(documents, json_col).where(matches), json_col, fields, document_options, [json_col]
+                docs.only_parsed(documents, json_col).where(matches), json_col, fields, reading, [json_col]
             )
-            if grouped:
+            if not one_to_one:
                 read = read.limit(0)
             else:
                 read = apply_pipeline(read, [s for s in stages if "$match" in s])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablemill.operators import documents as ops
 from tablemill.operators.documents import DocumentOptions
-from tablemill.operators.pipelines import apply_pipeline, document_filter
+from tablemill.operators.pipelines import VariantFields, apply_pipeline, document_filter, document_predicate
 from tablemill.plans.documents import LoadOptions, load_documents, load_raw_json
 from tablemill.queries.registry import new_table, query, sql, table
 from tablemill.queries.sync import _checked
@@ -403,3 +403,173 @@ def doc_rejected(spark, folder):
     r = _checked(load_documents(sql(spark, folder, UNFIT_DOCS), "js", target, options=options))
     found = spark.read.parquet(options.rejected_path).groupBy("reason").agg(F.count("*").alias("n"))
     return found.withColumn("n_failed", F.lit(r.rows_failed).cast("long"))
+
+
+# --- filters as trees, and pipelines that unwind, order, compute and accumulate ---
+
+# Some events without a user, some with a user of null, the others with the user's number or its text.
+LOOSE_EVENTS = """
+SELECT event_id, concat('{"id":', event_id, CASE WHEN user_id % 5 = 0 THEN '' WHEN user_id % 5 = 1
+  THEN ',"user":null' WHEN user_id % 5 = 2 THEN concat(',"user":"u', user_id, '"')
+  ELSE concat(',"user":', user_id) END, ',"type":"', event_type, '","value":', value, ',"props":', props, '}') AS js
+FROM events
+"""
+
+
+@query(
+    """
+SELECT event_id AS id FROM events WHERE
+  (user_id % 5 IN (0, 1) OR (user_id % 5 IN (3, 4) AND user_id > 20) OR (user_id % 5 = 2 AND ('u' || user_id)[2:2] IN ('1', '3')))
+  AND NOT (event_type = 'view' OR CAST(json_extract(props, '$.k') AS INT) > 70)
+  AND NOT (user_id % 5 = 1 AND value >= 50)
+"""
+)
+def doc_predicate_tree(spark, folder):
+    """Boolean trees on fields that are missing, null, text or a number, tested on the parsed text."""
+    spec = {
+        "$or": [{"user": None}, {"user": {"$gt": 20}}, {"user": {"$regex": "^u[13]"}}],
+        "$nor": [{"type": "view"}, {"props.k": {"$gt": 70}}],
+        "$and": [{"$or": [{"user": {"$exists": False}}, {"user": {"$ne": None}}, {"value": {"$not": {"$gte": 50}}}]}],
+    }
+    docs = ops.only_parsed(sql(spark, folder, LOOSE_EVENTS), "js")
+    found = docs.where(document_predicate(VariantFields(ops.DOC), spec))
+    return found.select(F.variant_get(ops.DOC, "$.id", "bigint").alias("id"))
+
+
+# An order with its lines; orders without lines have an empty array, none at all, null or one bare line.
+ORDERS_WITH_LINES = """
+SELECT concat('{"order":', o_orderkey, ',"status":"', o_orderstatus, '"', CASE
+  WHEN o_orderkey % 7 = 0 THEN ',"lines":[]' WHEN o_orderkey % 7 = 1 THEN '' WHEN o_orderkey % 7 = 2 THEN ',"lines":null'
+  ELSE concat(',"lines":', to_json(lines)) END, '}') AS js
+FROM orders JOIN (
+  SELECT l_orderkey, array_sort(collect_list(named_struct('no', l_linenumber, 'part', l_partkey, 'qty', CAST(l_quantity AS INT)))) AS lines
+  FROM lineitem GROUP BY l_orderkey) q ON o_orderkey = l_orderkey
+"""
+
+
+@query(
+    """
+SELECT o_orderkey AS "order" FROM orders WHERE o_orderkey % 7 > 2 AND o_orderkey IN (
+  SELECT l_orderkey FROM lineitem WHERE CAST(l_quantity AS INT) >= 45 AND l_linenumber = 1)
+  AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 10 = 3)
+  AND o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY ALL HAVING count(*) <> 4)
+"""
+)
+def doc_element_match(spark, folder):
+    """Filters on an array's elements and its size."""
+    spec = {
+        "lines": {"$elemMatch": {"qty": {"$gte": 45}, "no": 1}},
+        "lines.part": {"$not": {"$mod": [10, 3]}},
+        "$nor": [{"lines": {"$size": 4}}],
+    }
+    docs = ops.only_parsed(sql(spark, folder, ORDERS_WITH_LINES), "js")
+    found = docs.where(document_predicate(VariantFields(ops.DOC), spec))
+    return found.select(F.variant_get(ops.DOC, "$.order", "bigint").alias("order"))
+
+
+def _piped(spark, docs, stages, **options):
+    """Documents through a pipeline into a table; what the table holds."""
+    target, base = new_table(spark, "doc_piped")
+    _checked(load_documents(docs, "js", target, DocumentOptions(**options), LoadOptions(base=base), pipeline=stages))
+    return spark.table(target)
+
+
+@query(
+    """
+SELECT CAST(l_partkey AS BIGINT) AS part, count(*) AS n, CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS qty
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+WHERE o_orderkey % 7 > 2 AND o_orderstatus <> 'P' AND CAST(l_quantity AS INT) > 5 GROUP BY l_partkey
+"""
+)
+def doc_unwind(spark, folder):
+    """A row per element, filtered and grouped by a field of the elements."""
+    stages = [
+        {"$match": {"status": {"$ne": "P"}}},
+        {"$unwind": "$lines"},
+        {"$match": {"lines.qty": {"$gt": 5}}},
+        {"$group": {"_id": "$lines.part", "n": {"$sum": 1}, "qty": {"$sum": "$lines.qty"}}},
+    ]
+    return _piped(spark, sql(spark, folder, ORDERS_WITH_LINES), stages, field_mappings={"_id": "part"})
+
+
+@query(
+    """
+SELECT CAST(o_orderkey AS BIGINT) AS "order", o_orderstatus AS status, CAST(l_linenumber AS BIGINT) AS lines_no,
+  CAST(l_partkey AS BIGINT) AS lines_part, CAST(CAST(l_quantity AS INT) AS BIGINT) AS lines_qty,
+  row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, CAST(l_quantity AS INT)) - 1 AS at
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 7 > 2
+UNION ALL SELECT o_orderkey, o_orderstatus, NULL, NULL, NULL, NULL
+FROM orders WHERE o_orderkey % 7 <= 2 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)
+"""
+)
+def doc_unwind_outer(spark, folder):
+    """A row per element with its place, and one for each document that has none."""
+    spec = {"path": "$lines", "preserveNullAndEmptyArrays": True, "includeArrayIndex": "at"}
+    return _piped(spark, sql(spark, folder, ORDERS_WITH_LINES), [{"$unwind": spec}])
+
+
+@query(
+    """
+SELECT o_orderkey AS "orderId", o_orderpriority AS priority, c_name AS customer_name
+FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'O'
+ORDER BY o_orderpriority, o_orderkey DESC LIMIT 100 OFFSET 25
+"""
+)
+def doc_top(spark, folder):
+    """An ordered cut of the documents, which Spark plans as one top-k."""
+    stages = [
+        {"$match": {"status": "O"}},
+        {"$sort": {"priority": 1, "orderId": -1}},
+        {"$skip": 25},
+        {"$limit": 100},
+        {"$unset": ["_id", "status", "customer.segment"]},
+    ]
+    return _piped(spark, sql(spark, folder, ORDER_DOCS), stages)
+
+
+@query(
+    """
+SELECT event_type AS type, count(*) AS n, avg(CAST(json_extract(props, '$.k') AS BIGINT)) AS mean,
+  min(CAST(json_extract(props, '$.k') AS BIGINT)) AS least,
+  max(CASE WHEN user_id % 5 IN (3, 4) THEN user_id END)::VARCHAR AS most_number,
+  coalesce(max(CASE WHEN user_id % 5 = 2 THEN 'u' || user_id END), max(CASE WHEN user_id % 5 IN (3, 4) THEN user_id END)::VARCHAR) AS most,
+  '[' || array_to_string(list_sort(list(DISTINCT CAST(json_extract(props, '$.k') AS BIGINT))), ',') || ']' AS ks
+FROM events GROUP BY event_type
+"""
+)
+def doc_accumulators(spark, folder):
+    """Accumulators whose states Spark merges; a field of mixed type is ordered by kind, then value."""
+    stages = [
+        {"$addFields": {"number": {"$cond": [{"$gte": ["$user", 0]}, "$user", None]}}},
+        {
+            "$group": {
+                "_id": "$type", "n": {"$count": {}}, "mean": {"$avg": "$props.k"}, "least": {"$min": "$props.k"},
+                "most_number": {"$max": "$number"}, "most": {"$max": "$user"}, "ks": {"$addToSet": "$props.k"},
+            }
+        },
+    ]
+    return _piped(spark, sql(spark, folder, LOOSE_EVENTS), stages, field_mappings={"_id": "type"})
+
+
+@query(
+    """
+SELECT CAST(o_orderkey AS BIGINT) AS "order", CASE WHEN o_orderkey % 7 > 3 THEN 'wide' ELSE 'narrow' END AS form,
+  CAST(o_orderkey * 2 + 1 AS BIGINT) AS odd, lower(o_orderstatus) || '-x' AS label, CAST(n AS INT) AS n_lines
+FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey
+WHERE o_orderkey % 7 > 2
+"""
+)
+def doc_computed(spark, folder):
+    """Fields computed from others."""
+    stages = [
+        {"$match": {"lines": {"$elemMatch": {"no": {"$gte": 0}}}}},
+        {"$addFields": {"rest": {"$mod": ["$order", 7]}}},
+        {
+            "$project": {
+                "order": 1, "form": {"$cond": [{"$gt": ["$rest", 3]}, "wide", "narrow"]},
+                "odd": {"$add": [{"$multiply": ["$order", 2]}, 1]},
+                "label": {"$concat": [{"$toLower": "$status"}, "-x"]}, "n_lines": {"$size": "$lines"},
+            }
+        },
+    ]
+    return _piped(spark, sql(spark, folder, ORDERS_WITH_LINES), stages)
