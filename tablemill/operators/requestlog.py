@@ -13,11 +13,13 @@ from datetime import date
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tablemill.errors import RequestError
 from tablemill.functions.masking import mask_json
 from tablemill.functions.names import COLUMN_MESSAGE, IDENTIFIER, MAX_NAME_LENGTH, quoted
+from tablemill.operators.slices import PLACE, SLICE, in_slices
+from tablemill.session import delete_path, work_path
 
 # Headers never logged, paths not logged, body limits and marks,
 # days kept and file size before a roll.
@@ -198,18 +200,49 @@ def roll_columns(interval: str = "Daily") -> list[str]:
     return ["log_date", "log_hour"] if interval == "Hourly" else ["log_date"]
 
 
-def _mean_bytes(text: Column, df: DataFrame) -> int:
-    """Mean size of a record as it is written, measured over all of them."""
-    found = df.agg(F.avg(F.octet_length(text))).first()[0]
-    return max(1, int(found or 1))
+_BYTES = "__bytes"
+ROLL = "roll"
 
 
-def _rolled(logs: DataFrame, interval: str, max_file_bytes: int, mean_bytes: int, mode: str):
-    columns = roll_columns(interval)
-    # The rebalance hint gathers a day's records into files of fair size and lets AQE cut a
-    # day that holds much of the log.
-    writer = logs.hint("rebalance", *columns).write.mode(mode).partitionBy(*columns)
-    return writer.option("maxRecordsPerFile", str(max(1, max_file_bytes // mean_bytes)))
+def _numbered(sliced: DataFrame, folders: Sequence[str], max_file_bytes: int) -> DataFrame:
+    """``sliced`` with ROLL, the file of a record, in the order of time within a slice of a folder.
+
+    A record above half the limit is a file of its own. The others are cut where their running
+    size passes a multiple of the limit less the largest of them, so no file gets above the limit.
+    """
+    small = F.col(_BYTES) * 2 <= max_file_bytes
+    largest = sliced.where(small).agg(F.max(_BYTES)).first()[0] or 0
+    in_time = Window.partitionBy(*folders, SLICE).orderBy(PLACE)
+    share = F.when(small, F.col(_BYTES)).otherwise(0)
+    before = F.sum(share).over(in_time) - share
+    # Windows of one order follow each other without a further shuffle or sort.
+    cut = sliced.withColumn("__cut", F.when(small, F.floor(before / F.lit(max_file_bytes - largest))))
+    opens = F.col("__cut").isNull() | ~F.equal_null("__cut", F.lag("__cut").over(in_time))
+    marked = cut.withColumn("__opens", opens.cast("bigint"))
+    return marked.withColumn(ROLL, F.sum("__opens").over(in_time) + F.col(SLICE).cast("bigint") * 10**9)
+
+
+def _write_rolled(
+    logs: DataFrame, size: Column, columns: Sequence[str], form: str, path: str, interval: str, max_file_bytes: int, mode: str
+) -> None:
+    """``columns`` of the log, in a folder per day or hour and file, ``size`` telling a record's bytes.
+
+    Records are sorted by time over slices, so a day that holds much of the log is written by many
+    tasks; a file lies within a slice, in the order of time.
+    """
+    if max_file_bytes < 1:
+        raise RequestError("A file needs at least one byte")
+    spark, folders = logs.sparkSession, roll_columns(interval)
+    sized = with_roll_columns(logs.withColumn(_BYTES, size.cast("bigint")), interval)
+    slices_path = work_path(spark, "log-slices")
+    try:
+        sliced = in_slices(sized, [*folders, "timestamp"], path=slices_path)
+        numbered = _numbered(sliced, folders, max_file_bytes)
+        kept = list(dict.fromkeys([*columns, *folders]))
+        out = numbered.select(*kept, ROLL, PLACE).sortWithinPartitions(*folders, ROLL, PLACE).drop(PLACE)
+        getattr(out.write.mode(mode).partitionBy(*folders, ROLL), form)(path)
+    finally:
+        delete_path(spark, slices_path)
 
 
 def write_rolling(
@@ -217,17 +250,16 @@ def write_rolling(
     path: str,
     interval: str = "Daily",
     max_file_bytes: int = MAX_FILE_BYTES,
-    mean_record_bytes: int | None = None,
+    record_bytes: Column | None = None,
     mode: str = "append",
 ) -> None:
-    """One folder per day or hour, files rolled near ``max_file_bytes``.
+    """One folder per day or hour, and in it one per file of up to ``max_file_bytes``.
 
-    A record's size is that of its JSON line unless it is given. Parquet packs records, so
-    files come out smaller than that.
+    A record's size is that of its JSON line, or ``record_bytes``. Parquet packs records, so files
+    come out smaller than that. Only a record larger than the limit makes a larger file.
     """
-    out = with_roll_columns(logs, interval)
-    mean = mean_record_bytes or _mean_bytes(json_line(logs), logs)
-    _rolled(out, interval, max_file_bytes, mean, mode).parquet(path)
+    size = F.octet_length(json_line(logs)) if record_bytes is None else record_bytes
+    _write_rolled(logs, size, logs.columns, "parquet", path, interval, max_file_bytes, mode)
 
 
 def write_rolling_lines(
@@ -238,15 +270,15 @@ def write_rolling_lines(
     max_file_bytes: int = MAX_FILE_BYTES,
     mode: str = "append",
 ) -> None:
-    """The log as lines of text, or of JSON with ``form="json"``, in folders per day or hour."""
+    """The log as lines of text, or of JSON with ``form="json"``, in folders per day or hour and file.
+
+    No file gets above ``max_file_bytes`` but by a single line that does.
+    """
     lines = {"text": text_line, "json": json_line}
     if form not in lines:
         raise RequestError(f"Unknown line form: '{form}'")
-    line = lines[form](logs)
-    out = with_roll_columns(logs.select(F.col("timestamp"), line.alias("line")), interval)
-    out = out.select("line", *roll_columns(interval))
-    mean = _mean_bytes(F.col("line"), out) + 1
-    _rolled(out, interval, max_file_bytes, mean, mode).text(path)
+    out = logs.select(F.col("timestamp"), lines[form](logs).alias("line"))
+    _write_rolled(out, F.octet_length("line") + 1, ["line"], "text", path, interval, max_file_bytes, mode)
 
 
 def retained(
@@ -267,13 +299,16 @@ def retained(
     return out
 
 
+_DAYS_A_STATEMENT = 500
+
+
 def drop_old_partitions(spark: SparkSession, table: str, before: date) -> int:
     """Drop a rolled log table's days before a date: catalog work, no rewrite."""
     listed = spark.sql(f"SHOW PARTITIONS {quoted(table)}").collect()
     days = {part.split("/")[0].partition("=")[2] for (part,) in listed}
     old = sorted(d for d in days if d < before.isoformat())
-    if old:
-        parts = ", ".join(f"PARTITION (log_date = DATE '{d}')" for d in old)
+    for at in range(0, len(old), _DAYS_A_STATEMENT):
+        parts = ", ".join(f"PARTITION (log_date = DATE '{d}')" for d in old[at : at + _DAYS_A_STATEMENT])
         spark.sql(f"ALTER TABLE {quoted(table)} DROP IF EXISTS {parts}")
     return len(old)
 

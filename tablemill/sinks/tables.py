@@ -194,9 +194,7 @@ def replace(
     """
     spark = df.sparkSession
     if partition_columns(spark, name):
-        before = _catalog_partitions(spark, name)
-        written = overwrite_partitions(df, name, max_records_per_file, tag, gathered=gathered)
-        drop_partitions(spark, name, sorted(before - written, key=repr))
+        overwrite_partitions(df, name, max_records_per_file, tag, gathered=gathered, whole=True)
     else:
         path = snapshot_path(spark, name, tag)
         write_snapshot(df, path, max_records_per_file)
@@ -239,6 +237,11 @@ def in_partitions(rows: DataFrame, scope: DataFrame, columns: Sequence[str]) ->
 
 Partition = tuple[str | None, ...]
 
+# The property that names the snapshot whose partitions are being switched to, and the partitions
+# that go with it, kept beside its folders.
+_SWITCH = "tablemill.switch"
+_GONE = "_gone"
+
 
 def partition_texts(rows: DataFrame, columns: Sequence[str]) -> set[Partition]:
     """The different partitions of ``rows``, each by its values as text."""
@@ -274,14 +277,17 @@ def overwrite_partitions(
     tag: str | None = None,
     scope: DataFrame | None = None,
     gathered: bool = False,
+    whole: bool = False,
 ) -> set[Partition]:
     """Replace the partitions that ``df`` has rows for, leave the others; ``df`` may read the table.
 
-    Partitions that ``scope`` names and ``df`` has no rows for are dropped. Returns the partitions
-    written. The rows are written once, to a new snapshot; then the catalog points each partition
-    at its new folder, one after another, and the table at the snapshot. A run that fails before
-    changes nothing; one broken off in between gives the same table when repeated. Old folders
-    stay for running readers until ``remove_old_snapshots``.
+    Partitions that ``scope`` names and ``df`` has no rows for are dropped, with ``whole`` all that
+    ``df`` has none for. Returns the partitions written. The rows are written once, to a new
+    snapshot; then the catalog points each partition at its new folder, one after another, and at
+    last the table at the snapshot. A run that fails before changes nothing; one broken off in
+    between is ended by ``end_switch``, if it had a ``tag``, and gives the same table when
+    repeated, but for rows with NULL keys. Old folders stay for running readers until
+    ``remove_old_snapshots``.
     """
     spark = df.sparkSession
     require_columns([c for c in df.columns if c != BUCKET])
@@ -294,16 +300,59 @@ def overwrite_partitions(
     try:
         writer.option("maxRecordsPerFile", str(max_records_per_file or 0)).parquet(path)
         written = _folder_partitions(spark, path, len(columns))
-        gone = partition_texts(scope, columns) - written.keys() if scope is not None else set()
+        leaving = _catalog_partitions(spark, name) if whole else set()
+        if scope is not None:
+            leaving |= partition_texts(scope, columns)
+        gone = sorted(leaving - written.keys(), key=repr)
+        if tag:
+            dropped = spark.createDataFrame([(list(p),) for p in gone], "partition array<string>")
+            dropped.coalesce(1).write.parquet(f"{path}/{_GONE}")
     except Exception:
         delete_path(spark, path)
         raise
+    if tag:
+        spark.sql(f"ALTER TABLE {quoted(name)} SET TBLPROPERTIES ('{_SWITCH}' = '{path}')")
+    else:
+        _forget_switch(spark, name)  # what a broken run left must not come back over this one
+    _switch(spark, name, columns, path, written, gone)
+    return set(written)
+
+
+def _switch(
+    spark: SparkSession, name: str, columns: Sequence[str], path: str, written: dict[Partition, str], gone: Sequence[Partition]
+) -> None:
+    """Show a finished snapshot: each partition, then the table, whose place says that all is done."""
     _point(spark, name, columns, written)
+    drop_partitions(spark, name, gone)
     # New partitions of later appends go to the new snapshot, where no old files are.
     spark.sql(f"ALTER TABLE {quoted(name)} SET LOCATION '{path}'")
-    drop_partitions(spark, name, sorted(gone, key=repr))
+    _forget_switch(spark, name)
     spark.catalog.refreshTable(name)
-    return set(written)
+
+
+def _forget_switch(spark: SparkSession, name: str) -> None:
+    spark.sql(f"ALTER TABLE {quoted(name)} UNSET TBLPROPERTIES IF EXISTS ('{_SWITCH}')")
+
+
+def end_switch(spark: SparkSession, name: str, tag: str) -> bool:
+    """Whether the run ``tag`` has been published; if it was broken off while partitions switched, they all do now.
+
+    Its snapshot was whole and named in the table's properties before the first partition switched,
+    so nothing is computed or inserted again.
+    """
+    def is_of_run(path: str) -> bool:
+        return path.rstrip("/").rpartition("/")[2].startswith(f"{SNAPSHOT}{tag}")
+
+    if is_of_run(table_location(spark, name)):
+        return True
+    columns = partition_columns(spark, name)
+    shown = spark.sql(f"SHOW TBLPROPERTIES {quoted(name)}").where(F.col("key") == _SWITCH).first() if columns else None
+    if shown is None or not is_of_run(shown["value"]):
+        return False
+    path = shown["value"]
+    gone = spark.read.schema("partition array<string>").parquet(f"{path}/{_GONE}").collect()
+    _switch(spark, name, columns, path, _folder_partitions(spark, path, len(columns)), [tuple(r["partition"]) for r in gone])
+    return True
 
 
 def _spec(columns: Sequence[str], partition: Partition) -> str:

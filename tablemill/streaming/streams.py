@@ -7,7 +7,6 @@ watermark.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -74,22 +73,17 @@ def stream_sync(
 ) -> StreamingQuery:
     """Sync each batch into a table.
 
-    A batch may be replayed after a crash. On an unpartitioned table the published
-    snapshot carries the stream's name and batch number, in the same catalog change
-    that shows it; a replayed batch finds its own mark and is skipped. A table
-    partitioned by key columns has only the touched partitions rewritten, which no
-    single change can mark. There a replay deletes what it inserted before, which
-    holds for rows with keys: a batch with a NULL key is refused.
+    A batch may be replayed after a crash. The published snapshot carries the stream's
+    name and batch number, and a replayed batch that finds its own mark is skipped. Of a
+    partitioned table the touched partitions switch one by one: a batch broken off there
+    left its finished snapshot named in the table's properties, and the replay switches
+    the rest to it. So rows with NULL keys are not added twice either.
     """
     spark = rows.sparkSession
-    partitioned = bool(tables.partition_columns(spark, target))
-    if partitioned:
-        options = replace(options, reject_null_keys=True)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         tag = f"{stream_name}-batch{batch_id}-"
-        leaf = tables.table_location(spark, target).rstrip("/").rpartition("/")[2]
-        if leaf.startswith(f"{tables.SNAPSHOT}{tag}"):
+        if tables.end_switch(spark, target, tag):
             return
         result = sync_table(spark, batch, target, keys, options, tag=tag)
         if on_result:

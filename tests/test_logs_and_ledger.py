@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import Window, functions as F
@@ -95,7 +96,7 @@ def test_rolling_and_retention(spark, tmp_path):
     df = spark.range(96).selectExpr(
         "id", "TIMESTAMP_NTZ'2024-01-01 00:30:00' + make_dt_interval(0, CAST(id AS INT)) AS timestamp"
     )
-    logs.write_rolling(df, path, "Hourly", max_file_bytes=100, mean_record_bytes=100)
+    logs.write_rolling(df, path, "Hourly", max_file_bytes=100)
     back = spark.read.parquet(path)
     assert back.select("log_date", "log_hour").distinct().count() == 96
     now = F.expr("TIMESTAMP_NTZ'2024-01-05 00:00:00'")
@@ -126,6 +127,29 @@ def test_hot_day_is_written_by_several_tasks(spark, tmp_path):
     assert by_day["2024-01-01"] > 3 and back.count() == 60000
 
 
+@pytest.mark.parametrize("limit", [1, 150, 1000, 100_000])
+def test_no_file_above_its_limit(spark, tmp_path, limit):
+    """Runs of large records make more files, not larger ones; a file is in the order of time."""
+    path = str(tmp_path / "log")
+    df = spark.range(0, 3000, 1, 5).selectExpr(
+        "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST((id * 7919) % 3000 AS INT)) AS timestamp",
+        "CAST((id * 7919) % 3000 AS STRING) AS path",
+        "CASE WHEN (id * 7919) % 3000 BETWEEN 500 AND 700 THEN repeat('x', 600) WHEN id % 500 = 0 THEN repeat('é', 2000) END AS request_body",
+    )
+    logs.write_rolling_lines(df, path, "json", "Hourly", max_file_bytes=limit)
+    files, sizes, seen = list((tmp_path / "log").rglob("*.txt")), [], []
+    for file in files:
+        lines = file.read_text().splitlines()
+        sizes.append(file.stat().st_size)
+        assert sizes[-1] <= limit or len(lines) == 1
+        order = [int(json.loads(line)["path"]) for line in lines]
+        assert order == sorted(order)
+        seen += order
+    assert sorted(seen) == list(range(3000))
+    if limit == 100_000:
+        assert len(files) == 50  # one per hour
+
+
 def test_partition_drop(spark, base, name):
     spark.sql(
         f"CREATE TABLE {name} (id int, log_date date) USING parquet PARTITIONED BY (log_date) "

@@ -66,8 +66,36 @@ def test_sync_into_touched_partitions(spark, tmp_path, base, name):
         stream_sync(stream, name, ["k", "v"], str(tmp_path / checkpoint), "s").awaitTermination()
         assert rows(spark.table(name)) == [(1, "a"), (1, "a"), (2, "b"), (3, "c")]
     put(spark, [(None, "a")], source)
-    with pytest.raises(StreamingQueryException, match="NULL keys"):
-        stream_sync(stream, name, ["k", "v"], str(tmp_path / "one"), "s").awaitTermination()
+    stream_sync(stream, name, ["k", "v"], str(tmp_path / "one"), "s").awaitTermination()
+    assert rows(spark.table(name)) == [(None, "a"), (1, "a"), (1, "a"), (2, "b"), (3, "c")]
+
+
+@pytest.mark.parametrize("switched", [0, 1, 2, 3])
+def test_a_batch_broken_off_between_partitions(spark, tmp_path, base, name, monkeypatch, switched):
+    """The replay ends the switch that had begun; rows with NULL keys come once, partitions that empty go."""
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    target = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], KV)
+    tables.create_table(spark, name, target.schema, base, partition_by=["v"])
+    tables.append(target, name)
+    # Key 4 moves, so its old partition empties.
+    put(spark, [(None, "a"), (None, "b"), (1, "b"), (4, "c")], source)
+    stream = file_stream(spark, source, spark.read.parquet(source).schema)
+    point = tables._point
+
+    def broken(spark, name, columns, folders):
+        point(spark, name, columns, dict(list(folders.items())[:switched]))
+        raise OSError("the driver is lost")
+
+    monkeypatch.setattr(tables, "_point", broken)
+    with pytest.raises(StreamingQueryException):
+        stream_sync(stream, name, ["k"], state, "s").awaitTermination()
+    monkeypatch.setattr(tables, "_point", point)
+    expected = [(None, "a"), (None, "b"), (1, "b"), (2, "b"), (3, "c"), (4, "c")]
+    for checkpoint in (state, str(tmp_path / "lost")):
+        stream_sync(stream, name, ["k"], checkpoint, "s").awaitTermination()
+        assert rows(spark.table(name)) == expected
+    assert spark.sql(f"SHOW PARTITIONS {name}").count() == 3
+    assert not spark.sql(f"SHOW TBLPROPERTIES {name}").where("key = 'tablemill.switch'").count()
 
 
 def test_scrub(spark, tmp_path):
