@@ -43,7 +43,7 @@ def delete_rows(spark: SparkSession, target: str, where: Column) -> RunResult:
 
     def body(result: RunResult) -> None:
         change = partial(query.deleted, where=where)
-        result.rows_deleted = _rewrite(spark, target, where, change, result, narrow=True)
+        result.rows_deleted = _rewrite(spark, target, where, change, result, narrow=True, removes=True)
 
     return run(target, body)
 
@@ -55,11 +55,13 @@ def _rewrite(
     change: Callable[[DataFrame], DataFrame],
     result: RunResult,
     narrow: bool,
+    removes: bool = False,
 ) -> int:
     """Rewrite the table, or just the partitions with affected rows; the affected rows.
 
-    Which partitions those are is found by one aggregate over the predicate's and the
-    partition's columns. ``rows_read`` counts the rows rewritten.
+    Which partitions those are is found by one aggregate over the affected rows' partitions, so
+    the predicate reaches the files and skips what their statistics and Bloom filters rule out.
+    ``rows_read`` counts the rows rewritten.
     """
     table = spark.table(target)
     columns = tables.partition_columns(spark, target)
@@ -71,17 +73,18 @@ def _rewrite(
         result.rows_read = seen.get["rows"]
         return seen.get["affected"]
     path = work_path(spark, "change-scope")
-    hits = F.count_if(where).alias("n_affected")
-    found = table.groupBy(*columns).agg(hits, F.count(F.lit(1)).alias("n")).where("n_affected > 0")
+    found = table.where(where).groupBy(*columns).agg(F.count(F.lit(1)).alias("n_affected"))
     try:
-        found.write.parquet(path)
+        with tables.looking_up(spark):
+            found.write.parquet(path)
         scope = spark.read.schema(found.schema).parquet(path)
-        total = scope.agg(F.sum("n").alias("n"), F.sum("n_affected").alias("affected")).first()
-        result.rows_read = total["n"] or 0
-        if not total["affected"]:
+        affected = scope.agg(F.sum("n_affected")).first()[0]
+        if not affected:
             return 0
         after = change(tables.in_partitions(table, scope, columns))
-        tables.overwrite_partitions(after, target, scope=scope)
-        return total["affected"]
+        after, seen = counted(tables.arranged(after, target))
+        tables.overwrite_partitions(after, target, scope=scope, gathered=True)
+        result.rows_read = seen.get["rows"] + (affected if removes else 0)
+        return affected
     finally:
         delete_path(spark, path)

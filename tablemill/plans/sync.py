@@ -106,7 +106,8 @@ def _apply(
             before, scope = current, None
             if columns:
                 found = _scope(spark, current, staged, target, names, columns, options)
-                found.write.parquet(scope_path)
+                with tables.looking_up(spark):
+                    found.write.parquet(scope_path)
                 scope = spark.read.schema(found.schema).parquet(scope_path)
                 before = tables.in_partitions(current, scope, columns)
             bounds = ops.key_bounds(staged, names)
@@ -142,11 +143,15 @@ def _scope(
 
     Where equal keys are in one partition, as in a bucketed table or one partitioned by key
     columns, the source tells them all and the target isn't read. Else the target's key and
-    partition columns are.
+    partition columns are; where the source has few keys and the files Bloom filters of them, only
+    in the row groups that can hold one.
     """
     deciding = tables.bucket_keys(spark, target)[0] or columns
     plain = not options.key_collation or not any(dict(current.dtypes)[c] == "string" for c in deciding)
     if set(deciding) <= set(keys) and plain:
         return staged.select(*tables.stored_partition(staged, columns)).distinct()
     stored = tables.stored_partition(current, columns)
-    return ops.touched_partitions(current, staged, keys, stored, options.key_collation)
+    looked_up = [c for c in tables.lookup_columns(spark, target) if c in keys]
+    exact = [c for c in looked_up if not options.key_collation or dict(current.dtypes)[c] != "string"]
+    near = tables.having(current, staged, exact)
+    return ops.touched_partitions(near, staged, keys, stored, options.key_collation)

@@ -438,3 +438,30 @@ def sync_declared_unique(spark, folder):
         left = spark.table(target).agg(F.count("*").alias("n"), F.count("c_name").alias("named")).first()
         found.append((attempt, result.error, left["n"], left["named"]))
     return spark.createDataFrame(found, "attempt string, message string, n_rows bigint, n_old bigint")
+
+
+# Each nation's largest order, moved to the month of all such corrections.
+CORRECTED = """
+SELECT o_orderkey, -o_totalprice AS o_totalprice, 13 AS o_month FROM (
+  SELECT o_orderkey, o_totalprice, row_number() OVER (
+    PARTITION BY c_nationkey ORDER BY o_totalprice DESC, o_orderkey) AS place
+  FROM orders JOIN customer ON c_custkey = o_custkey) q
+WHERE place = 1
+"""
+
+
+@query(
+    f"""
+WITH src AS ({CORRECTED}), tgt AS ({MONTHLY})
+SELECT * FROM tgt t WHERE NOT EXISTS (SELECT 1 FROM src s WHERE s.o_orderkey = t.o_orderkey)
+UNION ALL SELECT * FROM src
+"""
+)
+def sync_looked_up(spark, folder):
+    """A few keys in a table partitioned by something else: its files' Bloom filters tell where they are."""
+    rows = sql(spark, folder, MONTHLY)
+    target, base = new_table(spark, "lake_looked_up")
+    tables.create_table(spark, target, rows.schema, base, ["o_month"], lookup_by=["o_orderkey"])
+    tables.append(tables.arranged(rows, target), target)
+    _checked(sync_table(spark, sql(spark, folder, CORRECTED), target, ["o_orderkey"]))
+    return spark.table(target)

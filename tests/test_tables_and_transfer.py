@@ -383,3 +383,61 @@ def test_one_row_rewrites_one_bucket(spark, base, name):
     assert left.count() == 102 and left.where("k is null").count() == 1
     assert transfer(spark, df.limit(10), name, TransferOptions(truncate=True)).ok
     assert rows(tables.read(spark, name)) == rows(df.limit(10))
+
+
+@pytest.fixture
+def looked_up(spark, base, name):
+    """40 partitions of 2500 rows whose keys are in no order, with Bloom filters of the keys."""
+    df = spark.range(100_000).selectExpr("xxhash64(id) AS k", "id AS v", "cast(id % 40 AS int) AS p")
+    assert tables.create_table(spark, name, df.schema, base, ["p"], lookup_by=["K"])
+    tables.append(tables.arranged(df, name), name)
+    return name
+
+
+def few_keys(spark):
+    """100 keys, all in the partitions 3 and 11; they move to partition 5."""
+    return spark.range(100_000).where("id % 40 IN (3, 11) AND id < 2000").selectExpr("xxhash64(id) AS k", "-1L AS v", "5 AS p")
+
+
+def test_few_keys_are_looked_up(spark, looked_up):
+    assert tables.lookup_columns(spark, looked_up) == ["k"]
+    source = staged(few_keys(spark))
+    results = []
+    sync = lambda: results.append(sync_table(spark, source, looked_up, ["k"]))
+    found = scanned_rows(spark, sync)
+    assert results[0].ok and (results[0].rows_read, results[0].rows_deleted) == (100, 100), results
+    # Two partitions by their filters, and one that a filter takes for a hit in vain, at most; then
+    # the three that change, for the rows in and out of the source's key range; the source a few times.
+    assert found <= 3 * 2500 + 2 * 3 * 2500 + 1000
+    # Rewritten files have filters as well.
+    found = scanned_rows(spark, lambda: results.append(sync_table(spark, source, looked_up, ["k"])))
+    assert results[1].rows_deleted == 100 and found <= 2600 + 2500 + 2 * 2600 + 1000
+    after = spark.table(looked_up)
+    assert after.count() == 100_000 and after.where("v = -1 AND p = 5").count() == 100
+    assert after.where("p = 3").count() == 2450 and spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold") == "10"
+
+
+def test_changes_by_key_are_looked_up(spark, looked_up):
+    keys = [r.k for r in few_keys(spark).limit(20).collect()]
+    results = []
+    found = scanned_rows(spark, lambda: results.append(delete_rows(spark, looked_up, F.col("k").isin(keys))))
+    assert results[0].rows_deleted == 20 and results[0].rows_read in (2500, 5000)
+    assert found <= 3 * 2500 + 5000 + 100
+    assert spark.table(looked_up).count() == 100_000 - 20
+
+
+@pytest.mark.parametrize("most", [2, 500])
+def test_lookups_with_null_text_and_many_keys(spark, base, name, monkeypatch, most):
+    monkeypatch.setattr(tables, "LOOKUP_VALUES", most)
+    df = spark.createDataFrame([("a", 1, 1), ("b ", 2, 1), (None, 3, 2), ("", 4, 2), ("C", 5, 3)], "k string, v int, p int")
+    assert tables.create_table(spark, name, df.schema, base, ["p"], lookup_by=["k", "v"])
+    tables.append(df, name)
+    source = spark.createDataFrame([("a", 0, 9), (None, 0, 9), ("", 0, 9), ("c", 0, 9)], "k string, v int, p int")
+    assert sync_table(spark, source, name, ["k"]).rows_deleted == 2
+    assert rows(spark.table(name).where("p < 9")) == rows(df.where("v IN (2, 3, 5)"))
+    assert sync_table(spark, source, name, ["k"], SyncOptions(key_collation="UTF8_LCASE")).rows_deleted == 4
+    assert rows(spark.table(name).where("p < 9")) == rows(df.where("v IN (2, 3)"))
+    only_nulls = spark.createDataFrame([(None, 8, 9)], "k string, v int, p int")
+    assert sync_table(spark, only_nulls, name, ["k"]).rows_deleted == 0
+    with pytest.raises(RequestError):
+        tables.create_table(spark, f"{name}_2", df.schema, base, ["p"], lookup_by=["P"])
