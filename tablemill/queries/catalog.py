@@ -7,10 +7,12 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablemill.operators import catalog as ops, keys
+from tablemill.operators import catalog as ops, keys, profiles
 from tablemill.operators.sync import duplicate_keys
-from tablemill.queries.registry import TABLES, query, table
+from tablemill.plans.profiles import table_profile, update_profile
+from tablemill.queries.registry import TABLES, new_table, query, table
 from tablemill.session import staged
+from tablemill.sinks import tables
 
 # Column types of the given tables, for the SQL twin of the column inventory.
 TYPES = {
@@ -249,3 +251,71 @@ def declared_key(spark, folder):
             )
         )
     return reduce(DataFrame.unionAll, parts)
+
+
+# Tables whose profiles are kept: by what they are partitioned, and the rows that come later.
+PROFILED = {"orders": ("o_orderpriority", "o_orderstatus = 'P'"), "events": ("event_type", "value > 90")}
+
+
+def _merged_sql() -> str:
+    selects = []
+    for name in PROFILED:
+        for ordinal, column in enumerate(TYPES[name].split(", "), start=1):
+            field, kind = column.split(" ")
+            number = {"string": "NULL", "timestamp_ntz": f"epoch({field})"}.get(kind, field)
+            text = f"left({field}, {profiles.CUT})" if kind == "string" else "NULL"
+            longest = f"max(length({field}))" if kind == "string" else "NULL"
+            selects.append(
+                f"SELECT '{name}' AS table_name, '{field}' AS column_name, count(*) AS n_rows, count(*) - count({field}) AS n_null, "
+                f"count({field}) AS n_values, CAST({longest} AS BIGINT) AS longest, "
+                f"min(CAST({number} AS DOUBLE)) AS least_number, max(CAST({number} AS DOUBLE)) AS most_number, "
+                f"min(CAST({text} AS VARCHAR)) AS least_text, max(CAST({text} AS VARCHAR)) AS most_text, "
+                f"TRUE AS distinct_holds, {'NULL' if kind == 'string' else 'TRUE'} AS median_holds FROM {name}"
+            )
+    return " UNION ALL ".join(selects)
+
+
+@query(_merged_sql())
+def profile_merged(spark, folder):
+    """Profiles kept by partition, brought up to date after an append, and how well their sketches hold."""
+    parts = []
+    for name, (by, late) in PROFILED.items():
+        rows = table(spark, folder, name)
+        target, base = new_table(spark, f"profiled_{name}")
+        tables.create_table(spark, target, rows.schema, base, [by])
+        for some in (f"NOT coalesce({late}, FALSE)", late):
+            tables.append(tables.arranged(rows.where(some), target), target)
+            done = update_profile(spark, target, f"{target}_profile", base)
+            if not done.ok:
+                raise RuntimeError(done.error)
+        found = table_profile(spark, target, f"{target}_profile")
+        parts.append(_held(found, rows).select(F.lit(name).alias("table_name"), "*"))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _held(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """The exact parts of profiles, and whether distinct counts and medians are within their stated errors.
+
+    Counted from the rows, a column at a time.
+    """
+    spark = rows.sparkSession
+    told = {r["column_name"]: r for r in found.select("column_name", "quantiles").collect()}
+    counted = []
+    for field in rows.schema:
+        value = F.col(field.name)
+        number = F.unix_micros(value.cast("timestamp")) / 1e6 if "timestamp" in field.dataType.simpleString() else value
+        told_median = told[field.name]["quantiles"]
+        below = F.lit(None).cast("double")
+        up_to = F.lit(None).cast("double")
+        if told_median is not None:
+            below = F.avg((number < told_median[2]).cast("int"))
+            up_to = F.avg((number <= told_median[2]).cast("int"))
+        counted.append(
+            rows.agg(F.count_distinct(value).alias("d"), below.alias("below"), up_to.alias("up_to"))
+            .select(F.lit(field.name).alias("column_name"), "*")
+        )
+    seen = spark.createDataFrame(reduce(DataFrame.unionAll, counted).collect(), "column_name string, d long, below double, up_to double")
+    errors = F.abs(F.col("n_distinct") - F.col("d")) <= 4 * profiles.DISTINCT_ERROR * F.col("d") + 1
+    median = (F.col("below") <= 0.5 + profiles.RANK_ERROR) & (F.col("up_to") >= 0.5 - profiles.RANK_ERROR)
+    facts = ["n_rows", "n_null", "n_values", "longest", "least_number", "most_number", "least_text", "most_text"]
+    return found.join(seen, "column_name").select("column_name", *facts, errors.alias("distinct_holds"), median.alias("median_holds"))
