@@ -47,6 +47,20 @@ def work_scope(spark: SparkSession) -> Iterator[str]:
         delete_path(spark, path)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the length of one action; ``insertInto`` takes no options."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, label: str = "staged") -> DataFrame:
     """``df`` written once under the shared folder and read back.
 

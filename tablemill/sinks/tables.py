@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tablemill.errors import RequestError
 from tablemill.functions.names import quoted, require_columns, require_table_name, resolve
 from tablemill.functions.types import table_ddl
-from tablemill.session import delete_path, list_path
+from tablemill.session import delete_path, list_path, setting
 
 SNAPSHOT = "snapshot-"
 
@@ -158,7 +158,7 @@ def having(rows: DataFrame, values: DataFrame, columns: Sequence[str]) -> DataFr
 @contextmanager
 def looking_up(spark: SparkSession) -> Iterator[None]:
     """For jobs that start in here, lists of up to ``LOOKUP_VALUES`` values reach the Bloom filters."""
-    with _setting(spark, "spark.sql.parquet.pushdown.inFilterThreshold", str(LOOKUP_VALUES)):
+    with setting(spark, "spark.sql.parquet.pushdown.inFilterThreshold", str(LOOKUP_VALUES)):
         yield
 
 
@@ -188,20 +188,6 @@ def _ready(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in df.sparkSession.table(name).schema])
 
 
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A session setting for the length of one write; ``insertInto`` takes no options."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
-
 def arranged(df: DataFrame, name: str) -> DataFrame:
     """Rows gathered by the table's partitions, so that not every task writes to each.
 
@@ -218,7 +204,7 @@ def append(df: DataFrame, name: str, max_records_per_file: int | None = None) ->
     spark = df.sparkSession
     if BUCKET not in df.columns:
         df = bucketed(df, name)
-    with _setting(spark, "spark.sql.files.maxRecordsPerFile", str(max_records_per_file or 0)):
+    with setting(spark, "spark.sql.files.maxRecordsPerFile", str(max_records_per_file or 0)):
         df.select(*spark.table(name).columns).write.insertInto(name)
 
 

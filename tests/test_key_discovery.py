@@ -5,6 +5,7 @@ from itertools import combinations
 
 import pytest
 
+from tablemill.operators import keys
 from tablemill.operators.keys import discovered_keys
 
 
@@ -34,3 +35,27 @@ def test_no_rows_and_repeated_rows(spark):
     assert discovered_keys(spark.createDataFrame([], "a int")) == []
     assert discovered_keys(spark.createDataFrame([(1, 1), (1, 1)], "a int, b int")) == []
     assert discovered_keys(spark.createDataFrame([(1, {"x": 1})], "a int, m map<string,int>")) == [["a"]]
+
+
+def test_sets_that_hardly_repeat_are_not_counted_whole(spark, monkeypatch):
+    """Each pair and triple of the columns repeats a few values in a hundred; only what is a key is grouped whole."""
+    monkeypatch.setattr(keys, "_SLICE_ROWS", 1 << 9, raising=False)
+    whole = []
+    grouped = keys._without_repeats if hasattr(keys, "_without_repeats") else None
+    if grouped:
+        monkeypatch.setattr(keys, "_without_repeats", lambda df, sets, slices, n: (whole.extend(sets) if slices == 1 else None, grouped(df, sets, slices, n))[1])
+    profile = keys.key_profile
+    monkeypatch.setattr(keys, "key_profile", lambda df, sets: (whole.extend(sets), profile(df, sets))[1])
+    n = 30000
+    draws = [f"CAST(floor(rand({i}) * 900) AS INT) AS v{i}" for i in range(4)]
+    df = spark.range(n).selectExpr("id AS k", *draws).select("k", "v0", "v1", "v2", "v3").localCheckpoint()
+    twice = df.where("k % 40 = 0").selectExpr(f"k + {n} AS k", "v0", "v1", "v2", "v3")
+    found = discovered_keys(df.unionAll(twice))
+    assert found == [["k"]]
+    assert {tuple(s) for s in whole} == {("k",)}
+
+
+def test_slices_end_with_the_whole():
+    assert keys._slices(10) == [1]
+    steps = keys._slices(10**9)
+    assert steps[-1] == 1 and steps == sorted(steps, reverse=True)
