@@ -21,6 +21,8 @@ from tablemill.operators.mapping import usable_fields
 
 DOC = "__doc"
 _FRAMED = "__framed"
+# What follows a text that is parsed; a whole number, as no other digits in a text give it.
+_END = 4098273648172635
 
 # What can be done with an array. Any other mode means Serialize.
 SERIALIZE = "serialize"
@@ -62,19 +64,21 @@ class Flattened:
 def parsed(df: DataFrame, json_col: str) -> DataFrame:
     """``df`` with the document as variant DOC: NULL for text that is no JSON object.
 
-    The text is parsed as the one element of an array: Spark's parser stops behind the first value,
-    and so would see neither a second document nor what else follows. A bracket that follows would
-    close the array; texts that could have one are parsed as the one field of an object as well.
+    The text is parsed as the first of an array's two elements, the other being ``_END``: Spark's
+    parser stops behind the first value, and so would see neither a second document nor what else
+    follows. A bracket that follows would close the array early, which then has no ``_END``; texts
+    that hold that number themselves are parsed as the one field of an object as well.
     """
     text = F.col(json_col)
     # The plain tests settle all but padded text.
     opens = text.startswith("{") | text.rlike(r"\A\s+\{")
     closes = text.endswith("}") | text.rlike(r"\}\s+\z")
-    framed = F.when(opens & closes, F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
-    alone = F.variant_get(_FRAMED, "$[1]", "variant").isNull()
-    closed = text.rlike(r"\}\s*\]") & F.try_parse_json(F.concat(F.lit('{"d":'), text, F.lit("}"))).isNull()
+    framed = F.when(opens & closes, F.try_parse_json(F.concat(F.lit("["), text, F.lit(f",{_END}]"))))
+    end, more = (F.variant_get(_FRAMED, f"$[{i}]", "variant") for i in (1, 2))
+    ended = (F.schema_of_variant(end) == "BIGINT") & (F.try_variant_get(end, "$", "bigint") == _END) & more.isNull()
+    broken = text.contains(str(_END)) & F.try_parse_json(F.concat(F.lit('{"d":'), text, F.lit("}"))).isNull()
     found = df.withColumn(_FRAMED, framed)
-    return found.withColumn(DOC, F.when(alone & ~closed, F.variant_get(_FRAMED, "$[0]", "variant"))).drop(_FRAMED)
+    return found.withColumn(DOC, F.when(ended & ~broken, F.variant_get(_FRAMED, "$[0]", "variant"))).drop(_FRAMED)
 
 
 def only_parsed(df: DataFrame, json_col: str) -> DataFrame:

@@ -35,10 +35,6 @@ NOT_CONVERTED = "a value that doesn't convert"
 NO_DOCUMENTS = "No document matches"
 
 
-def _bad_documents(parsed: DataFrame) -> int:
-    return parsed.where(F.col(docs.DOC).isNull()).count()
-
-
 @dataclass(frozen=True)
 class LoadOptions:
     truncate: bool = False
@@ -73,30 +69,36 @@ def load_documents(
     a value that doesn't convert. No document at all leaves the target as it is, even when truncating.
     """
     spark = documents.sparkSession
+
     def body(result: RunResult) -> None:
         require_table_name(target)
+        staged_path = work_path(spark, "documents")
+        try:
+            _load(result, staged_path)
+        finally:
+            delete_path(spark, staged_path)
+
+    def _load(result: RunResult, staged_path: str) -> None:
         filters, stages = split_leading_matches(pipeline) if pipeline else ([filter or {}], [])
         tests = [document_predicate(VariantFields(docs.DOC), f) for f in filters if f]
         matches = reduce(lambda a, b: a & b, tests, F.col(docs.DOC).isNotNull())
         one_to_one = keeps_documents(stages)
         keep_id = makes_groups(stages) and not document_options.drop_group_id
         reading = replace(document_options, array_fields=array_paths(stages))
-        parsed = docs.parsed(documents, json_col)
-        fields = schema or docs.schema_of_parsed(parsed.where(matches))
-
-        def columns(parsed_documents: DataFrame) -> DataFrame:
-            matching = parsed_documents.where(matches)
-            return docs.read_documents(matching, json_col, fields, reading)
-
-        if apply_pipeline(columns(parsed), deciding_stages(stages)).isEmpty():
-            result.rows_read = result.rows_failed = _bad_documents(parsed)
+        # Parsed once, counted between parsing and the filter, and kept: fields, the first row and
+        # all rows are read from what is written here.
+        parsed, seen = counted(docs.parsed(documents, json_col), good=F.count(docs.DOC))
+        parsed.where(matches).select(docs.DOC).write.parquet(staged_path)
+        bad = seen.get["rows"] - seen.get["good"]
+        matching = spark.read.schema(T.StructType([T.StructField(docs.DOC, T.VariantType())])).parquet(staged_path)
+        fields = schema or docs.schema_of_parsed(matching)
+        read_in = docs.read_documents(matching, docs.DOC, fields, reading)
+
+        if apply_pipeline(read_in, deciding_stages(stages)).isEmpty():
+            result.rows_read = result.rows_failed = bad
             result.warn(NO_DOCUMENTS)
             return
-        seen = None
-        if one_to_one:
-            # Counted between parsing and the filter, so that each text is parsed once.
-            parsed, seen = counted(parsed, failed=F.count_if(F.col(docs.DOC).isNull()))
-        rows = apply_pipeline(columns(parsed), stages)
+        rows = apply_pipeline(read_in, stages)
         plan = docs.flatten_plan(rows, document_options, keep_id)
         result.warnings += [f"Field name clash: '{n}'" for n in docs.case_clashes(fields)] + plan.warnings
         if not plan.columns:
@@ -107,7 +109,6 @@ def load_documents(
             rows.select(*plan.columns, unconverted.alias(FAILED)), failed=F.count_if(FAILED)
         )
         _write(spark, picked.where(~F.col(FAILED)).drop(FAILED), target, options, result)
-        bad = seen.get["failed"] if seen else _bad_documents(parsed)
         unconverted_rows = written.get["failed"]
         result.rows_failed = bad + unconverted_rows
         result.rows_written = written.get["rows"] - unconverted_rows

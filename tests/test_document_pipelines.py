@@ -199,3 +199,35 @@ def test_load_through_a_pipeline(spark, base, name, tmp_path):
     assert empty.ok and empty.rows_written == 0 and spark.table(name).count() == 2
     wrong = load_documents(docs(spark, *texts), "js", name, options=LoadOptions(truncate=True), pipeline=[{"$group": {"_id": None, "m": {"$push": "$k"}}}])
     assert wrong.error and spark.table(name).count() == 2
+
+
+@pytest.mark.parametrize(
+    "stages",
+    [
+        [{"$unwind": "$b"}, {"$group": {"_id": "$b.c", "n": {"$sum": 1}}}],
+        [{"$unwind": {"path": "$b", "preserveNullAndEmptyArrays": True}}],
+        [{"$match": {"a": {"$gte": 0}}}, {"$project": {"n": {"$size": "$b"}}}],
+    ],
+)
+def test_documents_are_computed_once(spark, name, base, stages):
+    """The source of a load is computed and parsed once, whatever reads its documents afterwards."""
+    made = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        made.add(1)
+        return ('{"a":%d,"b":[{"c":%d},{"c":7}]}' % (i, i % 3) if i % 10 else "{",)
+
+    docs = spark.createDataFrame(spark.sparkContext.range(200, numSlices=2).map(text), "js string")
+    r = load_documents(docs, "js", name, options=LoadOptions(base=base), pipeline=stages)
+    assert r.ok and r.rows_failed == 20
+    assert made.value == 200
+
+
+def test_texts_that_hold_what_follows_a_parsed_text(spark):
+    """The number that marks the end of a text may stand in the text itself."""
+    end = "4098273648172635"
+    good = ['{"a":%s}' % end, '{"a":[1,%s],"b":[{"c":2}]}' % end, '  {"a":"%s]"} ' % end, '{"a":[{"b":1}] }']
+    bad = ['{"a":1},%s],{"b":1}' % end, '{"a":1},%s]}' % end, '{"a":1},"%s"],{}' % end, '{"a":1}],{"b":1}', '{"a":1},{"b":1}', '{"a":1},%s.0],{}' % end]
+    df = ops.parsed(spark.createDataFrame([(t,) for t in good + bad], "js string"), "js")
+    found = {r["js"]: r[ops.DOC] is not None for r in df.collect()}
+    assert found == dict.fromkeys(good, True) | dict.fromkeys(bad, False)
