@@ -39,8 +39,11 @@ def document_scan(spark: SparkSession, path: str, json_col: str = "doc") -> Data
 
 
 def record_columns(df: DataFrame, json_col: str, ordinal: str) -> list[str]:
-    """Keys of the record with the lowest ordinal, in its own order; empty without rows."""
-    first = df.agg(F.min_by(json_col, ordinal).alias("j"))
+    """Keys of the record with the lowest ordinal, in its own order; empty without rows.
+
+    Of several records with that ordinal it is the one whose text is smallest, so that runs agree.
+    """
+    first = df.agg(F.min_by(json_col, F.when(F.col(ordinal).isNotNull(), F.struct(ordinal, json_col))).alias("j"))
     row = first.select(F.json_object_keys("j").alias("k")).first()
     return list(row["k"] or [])
 

@@ -441,3 +441,10 @@ def test_lookups_with_null_text_and_many_keys(spark, base, name, monkeypatch, mo
     assert sync_table(spark, only_nulls, name, ["k"]).rows_deleted == 0
     with pytest.raises(RequestError):
         tables.create_table(spark, f"{name}_2", df.schema, base, ["p"], lookup_by=["P"])
+
+
+def test_the_first_of_several_records_with_one_ordinal_does_not_depend_on_their_order(spark):
+    texts = [(1, '{"b":1}'), (1, '{"a":1}'), (2, '{"c":1}'), (None, '{"d":1}')]
+    for some in (texts, texts[::-1]):
+        df = spark.createDataFrame(some, "i int, js string").coalesce(1)
+        assert record_scan(df, "js", "i").columns == ["a"]
