@@ -11,14 +11,16 @@ key can't match, so they skip the join and its shuffle altogether.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tablemill.errors import RequestError
 from tablemill.functions.names import resolve
 from tablemill.operators.mapping import conform, rename_mapped
+from tablemill.session import setting
 
 MATCHED = "__matched"
 
@@ -146,13 +148,25 @@ def flagged_rows(
     keys: Sequence[str],
     key_collation: str | None = None,
     bounds: Bounds | None = None,
+    within: str | None = None,
 ) -> DataFrame:
     """Every target row once, with ``MATCHED`` TRUE where the source replaces it, else NULL.
 
     With ``bounds`` (from ``key_bounds`` of the source), rows outside them skip the
     join and its shuffle. On a target written in key order that leaves most files alone.
+
+    ``within`` is a column of both sides, such as a hash bucket, that equal keys share. Both are
+    then dealt by it alone, so that the rows come out gathered by it and need no second shuffle
+    to be written. A task keeps the source's keys of its values of ``within`` in memory. Run it in
+    ``joining_within``.
     """
     target_keys = [resolve(k, target.columns) for k in keys]
+    if within is not None:
+        both = [within, *target_keys]
+        held = source.where(~any_null(target_keys)).select(*both).repartition(within).distinct()
+        held = held.withColumn(MATCHED, F.lit(True)).hint("shuffle_hash")
+        dealt = target.repartition(within)
+        return dealt.join(held, _match(dealt, held, both, None), "left").select(*[dealt[c] for c in target.columns], held[MATCHED])
     wanted = _distinct_keys(source, target_keys, key_collation).withColumn(MATCHED, F.lit(True))
     may, cannot = _split(target, target_keys, bounds, key_collation)
     on = _match(may, wanted, target_keys, key_collation)
@@ -161,6 +175,13 @@ def flagged_rows(
     return flagged.unionByName(cannot.withColumn(MATCHED, F.lit(None).cast("boolean")))
 
 
+@contextmanager
+def joining_within(spark: SparkSession) -> Iterator[None]:
+    """For jobs that start in here, sides that are dealt by one of a join's columns are not dealt again."""
+    with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        yield
+
+
 def touched_partitions(
     target: DataFrame,
     source: DataFrame,

@@ -110,15 +110,20 @@ def _apply(
                     found.write.parquet(scope_path)
                 scope = spark.read.schema(found.schema).parquet(scope_path)
                 before = tables.in_partitions(current, scope, columns)
-            bounds = ops.key_bounds(staged, names)
+            bucket = _shared_bucket(spark, current, target, names, options)
+            bounds = {} if bucket else ops.key_bounds(staged, names)
             flagged, seen = counted(
-                ops.flagged_rows(before, staged, names, options.key_collation, bounds),
+                ops.flagged_rows(before, staged, names, options.key_collation, bounds, bucket),
                 deleted=F.count(ops.MATCHED),
             )
             kept = flagged.where(F.col(ops.MATCHED).isNull()).drop(ops.MATCHED)
-            after = kept.unionByName(staged)
+            after = kept.unionByName(staged.repartition(bucket) if bucket else staged)
             if scope is None:
                 tables.replace(after, target, tag, options.max_records_per_file)
+            elif bucket:
+                with ops.joining_within(spark):
+                    tables.overwrite_partitions(after, target, options.max_records_per_file, tag, scope, gathered=True)
+                result.warn("Rewrote only the partitions the sync touches")
             else:
                 tables.overwrite_partitions(after, target, options.max_records_per_file, tag, scope)
                 result.warn("Rewrote only the partitions the sync touches")
@@ -130,6 +135,20 @@ def _apply(
     result.warn(f"{result.rows_inserted} source rows are in the target")
 
 
+def _together(spark: SparkSession, current: DataFrame, target: str, keys: Sequence[str], columns: Sequence[str], options: SyncOptions) -> bool:
+    """Whether equal keys are in one partition."""
+    deciding = tables.bucket_keys(spark, target)[0] or columns
+    plain = not options.key_collation or not any(dict(current.dtypes)[c] == "string" for c in deciding)
+    return set(deciding) <= set(keys) and plain
+
+
+def _shared_bucket(spark: SparkSession, current: DataFrame, target: str, keys: Sequence[str], options: SyncOptions) -> str | None:
+    """The hidden bucket column, where equal keys share a bucket and none is text compared by a collation."""
+    if tables.BUCKET not in current.columns or options.key_collation:
+        return None
+    return tables.BUCKET if _together(spark, current, target, keys, [tables.BUCKET], options) else None
+
+
 def _scope(
     spark: SparkSession,
     current: DataFrame,
@@ -146,9 +165,7 @@ def _scope(
     partition columns are; where the source has few keys and the files Bloom filters of them, only
     in the row groups that can hold one.
     """
-    deciding = tables.bucket_keys(spark, target)[0] or columns
-    plain = not options.key_collation or not any(dict(current.dtypes)[c] == "string" for c in deciding)
-    if set(deciding) <= set(keys) and plain:
+    if _together(spark, current, target, keys, columns, options):
         return staged.select(*tables.stored_partition(staged, columns)).distinct()
     stored = tables.stored_partition(current, columns)
     looked_up = [c for c in tables.lookup_columns(spark, target) if c in keys]

@@ -365,7 +365,10 @@ def overwrite_partitions(
     writer = (rows if gathered else arranged(rows, name)).write.partitionBy(*columns)
     try:
         writer = writer.options(**_file_options(lookup_columns(spark, name)))
-        writer.option("maxRecordsPerFile", str(max_records_per_file or 0)).parquet(path)
+        # A task that has few buckets whole keeps a file of each open rather than sorting its rows by them.
+        open_files = bucket_keys(spark, name)[1] if gathered else 0
+        with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", str(open_files)):
+            writer.option("maxRecordsPerFile", str(max_records_per_file or 0)).parquet(path)
         written = _folder_partitions(spark, path, len(columns))
         leaving = _catalog_partitions(spark, name) if whole else set()
         if scope is not None:

@@ -323,3 +323,28 @@ def test_hot_source_key_reaches_the_join_once(spark, tmp_path, small_skew):
     assert ops.flagged_rows(t, s, ["k"]).count() == 2
     text = plan_of(ops.kept_rows(t, s, ["k"]))
     assert "partial_count" in text
+
+
+def test_bucketed_sync_deals_rows_once(spark, base, name):
+    """Rows come out of the join gathered by bucket: no exchange but those of the target and the source's keys."""
+    target = spark.range(400).selectExpr("IF(id % 50 = 0, NULL, id % 90) AS k", "id AS v")
+    source = spark.range(60).selectExpr("IF(id % 20 = 0, NULL, id % 40) AS k", "-id AS v")
+    tables.create_table(spark, name, target.schema, base, bucket_by=["k"], buckets=8)
+    tables.append(tables.arranged(target, name), name)
+    current, staged = spark.table(name), tables.bucketed(source, name).localCheckpoint()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with ops.joining_within(spark):
+            flagged = ops.flagged_rows(current, staged, ["k"], within=tables.BUCKET)
+            plan = flagged._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" not in plan
+        assert rows(flagged) == rows(ops.flagged_rows(current, staged, ["k"]).select(flagged.columns))
+        expected = rows(ops.delete_insert(target, source, ["k"]))
+        r = sync_table(spark, source, name, ["k"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert r.error is None and rows(tables.read(spark, name)) == expected
+    assert r.rows_deleted == target.where("k < 40 AND k IN (SELECT id % 40 FROM range(60) WHERE id % 20 <> 0)").count()
+    files = [f.rpartition("/")[0] for f in spark.table(name).inputFiles()]
+    assert max(files.count(f) for f in files) <= 2
