@@ -1,9 +1,11 @@
-"""A table's profile, kept beside it and brought up to date partition by partition."""
+"""A table's profile, kept beside it and brought up to date by the files that came."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
+from hashlib import sha256
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -11,21 +13,24 @@ from tablemill.errors import RequestError
 from tablemill.functions.names import require_table_name
 from tablemill.metrics import RunResult, run
 from tablemill.operators import profiles
-from tablemill.session import delete_path, work_path
 from tablemill.sinks import tables
 
-# Of each partition the profile has a row without a column name, which says that it has been read.
-_SCHEMA = T.StructType([T.StructField("version", T.StringType()), *profiles.SKETCHES])
+# A profile is of pieces: files of one partition that were read together. Of each of its files a
+# piece has a row without a column name, which says that the file has been read.
+_SCHEMA = T.StructType([T.StructField("version", T.StringType()), T.StructField("file", T.StringType()), *profiles.SKETCHES])
+
+#: Pieces of a partition; where an append would make more, the partition is read whole into one.
+MOST_PIECES = 16
 
 
 def update_profile(spark: SparkSession, target: str, profile: str, base: str | None = None) -> RunResult:
-    """Read the partitions of ``target`` that were written since the profile was; keep the rest of it.
+    """Read the files of ``target`` that were written since the profile was; keep the rest of it.
 
     ``profile`` names the table that holds the sketches; it is created under ``base`` if missing.
-    A partition is told by its files, so appended, rewritten and dropped ones are noticed; a table
-    without partition columns is read whole when it changes. ``rows_read`` counts the table's rows
-    that were read, ``rows_inserted`` the partitions profiled and ``rows_deleted`` those that went
-    or were replaced. Repeating a run that failed is safe.
+    Appended, rewritten and dropped files are noticed. A partition of which files went is read
+    whole, and so is one at its ``MOST_PIECES + 1``-th append. ``rows_read`` counts the table's rows
+    that were read, ``rows_inserted`` the partitions read from and ``rows_deleted`` the pieces of the
+    profile that went or were replaced. Repeating a run that failed is safe.
     """
 
     def body(result: RunResult) -> None:
@@ -34,20 +39,29 @@ def update_profile(spark: SparkSession, target: str, profile: str, base: str | N
             raise RequestError(f"There is no table '{target}' to profile")
         if base is not None:
             tables.create_table(spark, profile, _SCHEMA, base, keep_not_null=False)
-        kept = spark.table(profile)
-        known = {r["version"] for r in kept.where("column_name IS NULL").select("version").distinct().collect()}
-        versions = tables.partition_versions(spark, target)
-        new = {p: v for p, v in versions.items() if v not in known}
-        gone = known - set(versions.values())
+        files = tables.partition_files(spark, target)
+        known = _pieces(spark, profile)
+        current = _current(known, files)
+        holder = {f: v for v in current for f in known[v]}
+        new = {}
+        for partition, paths in files.items():
+            left = [f for f in paths if f not in holder]
+            held = {holder[f] for f in paths if f in holder}
+            if left and len(held) >= MOST_PIECES:
+                current -= held
+                left = paths
+            if left:
+                new[partition] = left
+        versions = {p: _version(p, paths) for p, paths in new.items()}
+        gone = known.keys() - current - set(versions.values())
         result.rows_inserted, result.rows_deleted = len(new), len(gone)
         if new:
-            result.rows_read = _add(spark, target, profile, new)
+            result.rows_read = _add(spark, target, profile, new, versions)
         if gone:
-            current = _frame(spark, versions.values())
-            kept = spark.table(profile).join(current, "version", "left_semi")
+            kept = spark.table(profile).join(_frame(spark, current | set(versions.values())), "version", "left_semi")
             tables.replace(kept, profile)
         result.rows_written = result.rows_inserted
-        result.warn(f"Profiled {len(new)} of {len(versions)} partitions")
+        result.warn(f"Profiled {len(new)} of {len(files)} partitions")
 
     return run(target, body)
 
@@ -57,43 +71,65 @@ def table_profile(spark: SparkSession, target: str, profile: str, most_frequent:
 
     A profile that is behind the table is refused: bring it up to date first.
     """
-    versions = set(tables.partition_versions(spark, target).values())
-    current = _frame(spark, versions)
-    rows = spark.table(profile).join(current, "version", "left_semi")
-    read = rows.where("column_name IS NULL").select("version").distinct().count()
-    if read < len(versions):
-        raise RequestError(f"The profile lacks {len(versions) - read} partitions of '{target}'")
-    return profiles.described(profiles.merged(rows.where("column_name IS NOT NULL")), most_frequent)
+    files = tables.partition_files(spark, target)
+    known = _pieces(spark, profile)
+    current = _current(known, files)
+    read = set().union(*[known[v] for v in current])
+    behind = sum(not read.issuperset(paths) for paths in files.values())
+    if behind:
+        raise RequestError(f"The profile lacks files of {behind} partitions of '{target}'")
+    rows = spark.table(profile).where("column_name IS NOT NULL").join(_frame(spark, current), "version", "left_semi")
+    return profiles.described(profiles.merged(rows), most_frequent)
+
+
+def _version(partition: tables.Partition, files: Iterable[str]) -> str:
+    return sha256("\n".join([repr(partition), *sorted(files)]).encode()).hexdigest()
+
+
+def _pieces(spark: SparkSession, profile: str) -> dict[str, set[str]]:
+    """The pieces of a profile, and the files of each."""
+    if "file" not in spark.table(profile).columns:
+        raise RequestError(f"The profile '{profile}' is not by files: drop it, and it will be made anew")
+    found: dict[str, set[str]] = {}
+    for row in spark.table(profile).where("column_name IS NULL").select("version", "file").collect():
+        found.setdefault(row["version"], set()).add(row["file"])
+    return found
+
+
+def _current(pieces: dict[str, set[str]], files: dict[tables.Partition, list[str]]) -> set[str]:
+    """The pieces all of whose files the table has; of those that share a file, the largest."""
+    left = {f for paths in files.values() for f in paths}
+    current = set()
+    for version in sorted(pieces, key=lambda v: (-len(pieces[v]), v)):
+        if pieces[version] <= left:
+            left -= pieces[version]
+            current.add(version)
+    return current
 
 
 def _frame(spark: SparkSession, versions: Iterable[str]) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in versions], "version string")
+    return F.broadcast(spark.createDataFrame([(v,) for v in versions], "version string"))
 
 
-def _add(spark: SparkSession, target: str, profile: str, new: dict[tables.Partition, str]) -> int:
-    """Profile these partitions and add their rows; the rows of the table that were read."""
+def _add(
+    spark: SparkSession, target: str, profile: str, new: dict[tables.Partition, list[str]], versions: dict[tables.Partition, str]
+) -> int:
+    """Profile these files, a piece for each partition, and add their rows; the rows of the table that were read."""
     columns = tables.partition_columns(spark, target)
     table = spark.table(target)
     names = [f"__p{i}" for i in range(len(columns))]
-    listed = spark.createDataFrame([(*p, v) for p, v in new.items()], ", ".join(f"{n} string" for n in [*names, "version"]))
-    path = work_path(spark, "profile-scope")
-    try:
-        # Written, so that Spark knows that it is small and prunes partitions by it.
-        listed.select(*[F.col(n).cast(table.schema[c].dataType).alias(n) for n, c in zip(names, columns, strict=True)], "version").write.parquet(path)
-        listed = spark.read.parquet(path)
-        scope = listed.select(*[F.col(n).alias(c) for n, c in zip(names, columns, strict=True)])
-        rows = tables.in_partitions(table, scope, columns) if columns else table
-        found = profiles.column_sketches(rows, columns, skip=[tables.BUCKET])
-        # The value of a partition column goes by another name here, as its profile has its own rows.
-        found = found.toDF(*[f"{n}_" for n in names], *found.columns[len(names) :])
-        if columns:
-            same = [F.col(f"{n}_").eqNullSafe(F.col(n)) for n in names]
-            found = found.join(listed, reduce(lambda a, b: a & b, same))
-        else:
-            found = found.withColumn("version", F.lit(next(iter(new.values()))))
-        read = listed.select("version", *[F.lit(None).cast(f.dataType).alias(f.name) for f in profiles.SKETCHES])
-        tables.append(found.select(*_SCHEMA.names).unionAll(read), profile)
-    finally:
-        delete_path(spark, path)
-    added = spark.table(profile).where("ordinal = 1").join(_frame(spark, new.values()), "version", "left_semi")
+    listed = [(*p, unquote(f.rpartition("/")[2]), versions[p]) for p, paths in new.items() for f in paths]
+    scope = spark.createDataFrame(listed, ", ".join(f"{n} string" for n in [*names, "__name", "__version"]))
+    scope = scope.select(*[F.col(n).cast(table.schema[c].dataType).alias(n) for n, c in zip(names, columns, strict=True)], "__name", "__version")
+    # Files are pruned by name; one write names its files alike in all partitions, so both tell.
+    rows = table.select("*", F.col("_metadata.file_name").alias("__file")).where(F.col("__file").isin(sorted({r[-2] for r in listed})))
+    same = [rows["__file"] == scope["__name"]]
+    same += [rows[f"`{c}`"].eqNullSafe(scope[n]) for n, c in zip(names, columns, strict=True)]
+    rows = rows.join(F.broadcast(scope), reduce(lambda a, b: a & b, same)).select("__version", *[f"`{c}`" for c in table.columns])
+    found = profiles.column_sketches(rows, ["__version"], skip=["__version", tables.BUCKET])
+    found = found.withColumnRenamed("__version", "version").withColumn("file", F.lit(None).cast("string"))
+    read = spark.createDataFrame([(versions[p], f) for p, paths in new.items() for f in paths], "version string, file string")
+    read = read.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in profiles.SKETCHES])
+    tables.append(found.select(*_SCHEMA.names).unionAll(read), profile)
+    added = spark.table(profile).where("ordinal = 1").join(_frame(spark, versions.values()), "version", "left_semi")
     return added.agg(F.sum("n_rows")).first()[0] or 0

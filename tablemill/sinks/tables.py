@@ -17,7 +17,6 @@ import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from functools import reduce
-from hashlib import sha256
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -321,10 +320,10 @@ def _folder_partitions(spark: SparkSession, path: str, depth: int) -> dict[Parti
     return found
 
 
-def partition_versions(spark: SparkSession, name: str) -> dict[Partition, str]:
-    """Each partition that has files, and a version: a digest of it and of its files' names.
+def partition_files(spark: SparkSession, name: str) -> dict[Partition, list[str]]:
+    """Each partition that has files, and their paths.
 
-    Files are never changed once written, so content that changes has another version. A table
+    Files are never changed once written, so content that changes is in other files. A table
     without partition columns is one partition.
     """
     depth = len(partition_columns(spark, name))
@@ -333,7 +332,7 @@ def partition_versions(spark: SparkSession, name: str) -> dict[Partition, str]:
     for file in spark.table(name).inputFiles():
         folders = unquote(file.rpartition("/")[0]).split("/")
         held.setdefault(tuple(_named(f) for f in folders[len(folders) - depth :]), []).append(file)
-    return {p: sha256("\n".join([repr(p), *sorted(files)]).encode()).hexdigest() for p, files in held.items()}
+    return held
 
 
 def overwrite_partitions(
