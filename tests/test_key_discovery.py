@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablemill.operators import keys
 from tablemill.operators.keys import discovered_keys
@@ -59,3 +60,45 @@ def test_slices_end_with_the_whole():
     assert keys._slices(10) == [1]
     steps = keys._slices(10**9)
     assert steps[-1] == 1 and steps == sorted(steps, reverse=True)
+
+
+def test_sets_that_share_a_column_share_the_passes(spark, monkeypatch):
+    """Eight keys of two columns: the table is read a few times, not once per key and step."""
+    monkeypatch.setattr(keys, "_SLICE_ROWS", 1 << 8, raising=False)
+    monkeypatch.setattr(keys, "_PASS_ROWS", 1 << 10, raising=False)
+    n, read = 1 << 13, spark.sparkContext.accumulator(0)
+
+    def row(i):
+        read.add(1)
+        return (i // 64, *[(i % 64 * m + i // 64) % 64 + 1000 * (i % 64) for m in range(1, 9)])
+
+    names = [f"c{i}" for i in range(8)]
+    df = spark.createDataFrame(spark.sparkContext.range(n, numSlices=4).map(row), "k long, " + ", ".join(f"{c} long" for c in names))
+    found = discovered_keys(df, max_columns=2)
+    assert [k for k in found if "k" in k] == [["k", c] for c in names]
+    assert read.value <= 10 * n
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_hashes_tell_the_same_as_values(spark, monkeypatch, seed):
+    """Tables larger than a slice, with a value that fills a third, and hashes that meet by chance."""
+    monkeypatch.setattr(keys, "_SLICE_ROWS", 1 << 5, raising=False)
+    monkeypatch.setattr(keys, "_PART_ROWS", 1 << 6, raising=False)
+    draw = random.Random(seed)
+    names = ["a", "b", "c", "d", "e", "f"]
+    rows = [(0 if i % 3 else i, i % 3 and i, draw.randint(0, 99), draw.choice("xyz"), i // 20, i % 20) for i in range(1200)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d string, e int, f int")
+    assert sorted(discovered_keys(df)) == plain(rows, names)
+    weak = lambda df, c: F.pmod(F.xxhash64(F.lit(df.columns.index(c)), F.col(c)), F.lit(512 if seed else 4))
+    monkeypatch.setattr(keys, "_hash", weak, raising=False)
+    assert sorted(discovered_keys(df)) == plain(rows, names)
+
+
+def test_values_that_are_equal_but_not_alike(spark, monkeypatch):
+    """Zeros of both signs, NaN and texts that a collation holds equal repeat; a last letter is enough to differ."""
+    monkeypatch.setattr(keys, "_SLICE_ROWS", 1 << 5, raising=False)
+    first = spark.range(2000).selectExpr("id", "CAST(id AS DOUBLE) AS zero", "CAST(id + 1 AS DOUBLE) AS nan", "concat('t', id) COLLATE UTF8_LCASE AS lower", "concat('T', id) AS text")
+    last = spark.sql("SELECT 2000L AS id, -0.0D AS zero, double('NaN') AS nan, 'T7' COLLATE UTF8_LCASE AS lower, 't7' AS text")
+    more = spark.sql("SELECT 2001L AS id, 2001.0D AS zero, double('NaN') AS nan, 'u' COLLATE UTF8_LCASE AS lower, 't8' AS text")
+    df = first.unionAll(last).unionAll(more).localCheckpoint()
+    assert discovered_keys(df, max_columns=1) == [["id"], ["text"]]
